@@ -54,8 +54,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
 def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many documents of each length to take so that their words come as near `budget` as found.
 
-    A proportional part of each length, then larger lengths greedily down to KNAPSACK_WORDS, then the best
-    reachable sum at most the budget by dynamic programming over (length, copies), copies split in powers of
+    A proportional part of each length for most words, then larger lengths greedily down to KNAPSACK_WORDS,
+    then the best reachable sum at most the budget by dynamic programming over (length, copies), copies split in powers of
     two; last, one more document if that ends nearer.
     """
     lengths, counts = lengths.astype(np.int64), counts.astype(np.int64)
@@ -65,7 +65,9 @@ def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
         return take
     if budget >= total:
         return counts.copy()
-    take = np.array([c * budget // total for c in counts.tolist()], np.int64)
+    # what is left for the knapsack: enough for several documents of any length, so that it can be met closely
+    spare = min(budget, KNAPSACK_WORDS, max(4 * int(lengths.max()), budget // 4))
+    take = np.array([c * (budget - spare) // total for c in counts.tolist()], np.int64)
     left = budget - int((lengths * take).sum())
     order = np.argsort(-lengths, kind="stable")
     for i in order.tolist():
@@ -82,14 +84,14 @@ def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
     made_by = np.full(cap + 1, -1, np.int64)
     items: list[tuple[int, int]] = []
     for i in range(len(lengths)):
-        spare, size = int(counts[i] - take[i]), int(lengths[i])
+        free, size = int(counts[i] - take[i]), int(lengths[i])
         if not 0 < size <= cap:
             continue
-        spare = min(spare, cap // size)
+        free = min(free, cap // size)
         part = 1
-        while spare > 0:
-            n = min(part, spare)
-            spare -= n
+        while free > 0:
+            n = min(part, free)
+            free -= n
             part *= 2
             step = n * size
             if step > cap:
