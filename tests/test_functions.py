@@ -59,3 +59,8 @@ def test_weeks_and_business_days(spark):
             expected = sum((a + dt.timedelta(i)).weekday() < 5 for i in range(1, n + 1))
             row = spark.createDataFrame([(a, b)], "a date, b date").select(dates.business_days(F.col("a"), F.col("b")).alias("x")).first()
             assert row["x"] == expected
+
+
+@pytest.mark.parametrize("raw, value", [("十", 10.0), ("十五", 15.0), ("二十", 20.0), ("三百零二", 302.0), ("九", 9.0), ("一百二十三点五", 123.5), ("两百", 200.0), ("x", None), ("", None), (None, None)])
+def test_chinese_numbers(spark, raw, value):
+    assert one(spark, raw, text.chinese_number) == value

@@ -24,6 +24,14 @@ def test_feed(spark):
     assert [(r["title"], r["link"]) for r in rows] == [("A & B", "u"), ("C", "")]
 
 
+def test_html_tables_and_linked_data(spark):
+    page = "<table><tr><th>a</th><td>b  <b>c</b></td></tr>\n<tr><td>1</td><td>2</td></tr></table><table><tr><td>x</td></tr></table>"
+    page += '<script type="application/ld+json">{"@type": "Dataset", "name": "n"}</script><script type="application/ld+json">{broken</script>'
+    df = spark.createDataFrame([(1, page), (2, None)], "id int, html string")
+    assert [r["cells"] for r in readers.html_tables(df, "id", "html").orderBy("row").collect()] == [["a", "b c"], ["1", "2"]]
+    assert [(r["id"], r["name"]) for r in readers.linked_data(df, "id", "html").collect()] == [(1, "n")]
+
+
 def test_symbol_files(spark, tmp_path):
     def bars(code, n, price=1.0):
         rows = spark.range(n).select(F.date_add(F.lit("2020-01-01").cast("date"), F.col("id").cast("int")).alias("date"), *[F.lit(price).alias(c) for c in ("open", "high", "low", "close")], F.lit(5.0).alias("volume"))

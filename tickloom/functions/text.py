@@ -63,3 +63,15 @@ def largest_count(c: Column) -> Column:
     found = F.regexp_extract_all(F.lower(c), F.lit(r"([0-9]+(?:\.[0-9]+)?\s*[kmbt]?)\b"), 1)
     scale = lambda x: F.when(F.endswith(x, F.lit("k")), 1e3).when(F.endswith(x, F.lit("m")), 1e6).when(F.endswith(x, F.lit("b")), 1e9).when(F.endswith(x, F.lit("t")), 1e12).otherwise(1.0)
     return F.array_max(F.transform(found, lambda x: F.regexp_extract(x, r"^[0-9.]+", 0).cast("double") * scale(x)))
+
+
+def chinese_number(c: Column) -> Column:
+    """A number below a thousand in Chinese numerals, with a decimal part after the point sign (F36); null if it isn't one."""
+    digits = "[一二三四五六七八九]"
+    form = rf"^(?:({digits})百)?零?(?:({digits})?(十))?({digits})?(?:点([零一二三四五六七八九]+))?$"
+    plain = F.translate(F.trim(c), "两〇", "二零")
+    part = lambda i: F.translate(F.regexp_extract(plain, form, i), "零一二三四五六七八九", "0123456789")
+    whole = lambda i, empty: F.when(part(i) == "", empty).otherwise(part(i)).cast("int")
+    tens = F.when(part(3) == "", 0).otherwise(whole(2, "1") * 10)
+    value = whole(1, "0") * 100 + tens + whole(4, "0") + F.concat(F.lit("0."), part(5), F.lit("0")).cast("double")
+    return F.when(plain.rlike(form) & (plain != ""), value)

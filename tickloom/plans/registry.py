@@ -22,7 +22,7 @@ def query(sql: str | None = None):
 
 
 def _load() -> None:
-    from tickloom.plans import calendar, dashboard, extras, filings, market, news, portfolio, quant, scalars, store  # noqa: F401
+    from tickloom.plans import calendar, dashboard, extras, filings, gates, market, news, portfolio, quant, scalars, store  # noqa: F401
 
 
 _load()

@@ -70,6 +70,22 @@ def feed_entries(df: DataFrame, key: str, column: str, tag: str = "item") -> Dat
     return df.select(key, entry.alias("entry")).select(key, inner("title").alias("title"), inner("link").alias("link"), inner("pubDate").alias("published"))
 
 
+def html_tables(df: DataFrame, key: str, column: str) -> DataFrame:
+    """key, table, row, cells of every table with two rows or more, white space collapsed."""
+    table = F.posexplode(F.regexp_extract_all(column, F.lit(r"(?is)<table[^>]*>.*?</table>"), 0)).alias("table", "html")
+    rows = df.select(key, table).withColumn("rows", F.regexp_extract_all("html", F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), 1)).where("size(rows) >= 2")
+    rows = rows.select(key, "table", F.posexplode("rows").alias("row", "html"))
+    clean = lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, r"<[^>]*>", " "), r"\s+", " "))
+    return rows.select(key, "table", "row", F.transform(F.regexp_extract_all("html", F.lit(r"(?is)<t[dh][^>]*>(.*?)</t[dh]>"), 1), clean).alias("cells"))
+
+
+def linked_data(df: DataFrame, key: str, column: str, kind: str = "Dataset") -> DataFrame:
+    """key, name, json of the linked-data scripts of one type; broken scripts go."""
+    script = F.explode(F.regexp_extract_all(column, F.lit(r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"), 1)).alias("json")
+    rows = df.select(key, script)
+    return rows.where(F.get_json_object("json", "$['@type']") == kind).select(key, F.get_json_object("json", "$.name").alias("name"), "json")
+
+
 def write_days(df: DataFrame, path: str, day: str = "date") -> None:
     """Replace only the days that `df` has (K3)."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
