@@ -32,7 +32,7 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 @contextlib.contextmanager
-def _cleaned(spark: SparkSession):
+def cleaned(spark: SparkSession):
     """Shuffle files of what runs inside go when it ends, not when the driver next collects its garbage."""
     name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(name, None)
@@ -43,12 +43,12 @@ def _cleaned(spark: SparkSession):
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
-def cut(df: DataFrame, path: str | None = None) -> DataFrame:
+def cut(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Write `df` as Parquet into the shared folder and read it again: the lineage ends there."""
     spark = df.sparkSession
-    path = path or scratch_dir(spark)
-    with _cleaned(spark):
-        df.write.mode("overwrite").parquet(path)
+    path = scratch_dir(spark)
+    with cleaned(spark):
+        df.write.mode("overwrite").option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -70,12 +70,13 @@ def join_counted(left: DataFrame, groups: DataFrame, keys: list[str], count: str
     """
     least = max(total // HOT_SHARE, 64)
     rest = [c for c in groups.columns if c not in keys]
-    hot = F.broadcast(groups.where(F.col(count) > least).withColumn("_hot", F.lit(True)))
-    marked = left.join(hot, keys, "left")
-    warm = marked.where(F.col("_hot")).select(*left.columns, *rest)
-    cold = marked.where(F.col("_hot").isNull()).select(*left.columns)
-    cold = cold.join(groups.where(F.col(count) <= least), keys, "left").select(*left.columns, *rest)
-    return warm.unionByName(cold)
+    hot = groups.where(F.col(count) > least).select(*keys, F.lit(True).alias("_hot"), *[F.col(c).alias(f"_hot_{c}") for c in rest])
+    marked = left.join(F.broadcast(hot), keys, "left")
+    # rows that are answered go anywhere: their salt matches no group
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*left.columns), F.lit(1 << 20)) + 1).otherwise(F.lit(0))
+    cold = groups.where(F.col(count) <= least).withColumn("_salt", F.lit(0).cast("long"))
+    joined = marked.withColumn("_salt", salt.cast("long")).join(cold, [*keys, "_salt"], "left")
+    return joined.select(*left.columns, *[F.when(F.col("_hot"), F.col(f"_hot_{c}")).otherwise(F.col(c)).alias(c) for c in rest])
 
 
 def map_sorted_groups(df: DataFrame, keys: list[str], order: list[str], fn: Callable, schema: str) -> DataFrame:

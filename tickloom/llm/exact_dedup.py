@@ -9,10 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm._common import join_counted
+from tickloom.llm._common import cut, join_counted
 
 #: Characters under the prefix hash.
 PREFIX_CHARS = 64
+#: Surviving (length, prefix) groups are sent to every task up to this number, 16 bytes each.
+MAX_BROADCAST_GROUPS = 500_000
 
 
 def duplicate_groups(docs: DataFrame, prefix_chars: int = PREFIX_CHARS) -> DataFrame:
@@ -21,12 +23,18 @@ def duplicate_groups(docs: DataFrame, prefix_chars: int = PREFIX_CHARS) -> DataF
     Columns: text_sha256, keep_id (the largest doc_id), group_size. A null text equals an empty one. Empty
     tables give no rows. Repeated rows count each.
     """
-    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("n_bytes", F.octet_length("text"))
-    lengths = base.groupBy("n_bytes").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("n_bytes")
-    same_length = base.join(lengths, "n_bytes", "left_semi").withColumn("prefix", F.xxhash64(F.substring("text", 1, prefix_chars)))
-    prefixes = same_length.groupBy("n_bytes", "prefix").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("n_bytes", "prefix")
-    same_prefix = same_length.join(prefixes, ["n_bytes", "prefix"], "left_semi")
-    groups = same_prefix.groupBy(F.sha2("text", 256).alias("text_sha256")).agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    text = F.coalesce("text", F.lit(""))
+    sized = docs.select(F.octet_length(text).alias("n_bytes"), F.xxhash64(F.substring(text, 1, prefix_chars)).alias("prefix"))
+    lengths = sized.groupBy("n_bytes").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("n_bytes")
+    prefixes = sized.join(lengths, "n_bytes", "left_semi").groupBy("n_bytes", "prefix").agg(F.count(F.lit(1)).alias("n"))
+    prefixes = cut(prefixes.where("n > 1").select("n_bytes", "prefix"))
+    keyed = docs.select("doc_id", text.alias("text"), F.octet_length(text).alias("n_bytes"), F.xxhash64(F.substring(text, 1, prefix_chars)).alias("prefix"))
+    sha = F.sha2("text", 256).alias("text_sha256")
+    if prefixes.count() <= MAX_BROADCAST_GROUPS:
+        same_prefix = keyed.join(F.broadcast(prefixes), ["n_bytes", "prefix"], "left_semi").select("doc_id", sha)
+    else:  # too many for every task to hold: hash first, so that narrow rows shuffle and not texts
+        same_prefix = keyed.select("doc_id", "n_bytes", "prefix", sha).join(prefixes, ["n_bytes", "prefix"], "left_semi")
+    groups = same_prefix.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     return groups.where("group_size > 1")
 
 
@@ -39,7 +47,7 @@ def exact_duplicates(docs: DataFrame, prefix_chars: int = PREFIX_CHARS) -> DataF
     """
     rows = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
     total = docs.count()
-    joined = join_counted(rows, duplicate_groups(docs, prefix_chars), ["text_sha256"], "group_size", total)
+    joined = join_counted(rows, cut(duplicate_groups(docs, prefix_chars)), ["text_sha256"], "group_size", total)
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     size = F.coalesce("group_size", F.lit(1)).cast("long")
     return joined.select("doc_id", keep.alias("keep_id"), size.alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")

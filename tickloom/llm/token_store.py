@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm._chunks import RunEncoder
-from tickloom.llm._common import _cleaned, arrow_rows, cut, scratch_dir
+from tickloom.llm._common import arrow_rows, cleaned, cut, scratch_dir
 
 BLOCK_IDS = 1 << 18
 _LENGTHS = (1 + ((np.arange(256)[:, None] >> (2 * np.arange(4)[None, :])) & 3)).astype(np.uint8)
@@ -155,11 +155,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, pattern: str, e
     spark = docs.sparkSession
     with open(tokenizer_path, "rb") as f:
         definition = f.read()
-    spark.conf.set("spark.sql.parquet.compression.codec", "zstd")
-    try:
-        raw = cut(_token_blocks(docs, definition, pattern, end_id, block_ids))
-    finally:
-        spark.conf.unset("spark.sql.parquet.compression.codec")
+    raw = cut(_token_blocks(docs, definition, pattern, end_id, block_ids), "zstd")
     counts = _count_ids(raw).orderBy(F.col("n").desc(), "id").collect()
     order = np.array([r["id"] for r in counts], np.int64)
     spark.createDataFrame([(i, int(v)) for i, v in enumerate(order)], "rank long, id long").coalesce(1).write.mode("overwrite").parquet(f"{path}/dictionary")
@@ -177,7 +173,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, pattern: str, e
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("shard", "block", "start", "doc_ids", "lengths")), pa.array(control, pa.binary()), pa.array(data, pa.binary())], names=["shard", "block", "start", "doc_ids", "lengths", "control", "data"])
 
     arrow_rows(spark, 16)
-    with _cleaned(spark):
+    with cleaned(spark):
         raw.mapInArrow(run, "shard long, block long, start long, doc_ids array<long>, lengths binary, control binary, data binary").write.mode("overwrite").parquet(f"{path}/blocks")
 
 
@@ -188,15 +184,13 @@ def read_store(spark: SparkSession, path: str, digest: bool = False) -> DataFram
     shard its first place, and blocks know theirs within the shard.
     """
     blocks = spark.read.parquet(f"{path}/blocks")
-    sums = blocks.select("shard", "start", F.octet_length("lengths").alias("b"), "lengths")
-
     def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = [int(np.frombuffer(x, "<u4").sum()) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], names=["shard", "n"])
 
     arrow_rows(spark, 16)
-    per = sums.select("shard", "lengths").mapInArrow(totals, "shard long, n long").groupBy("shard").agg(F.sum("n").alias("n")).orderBy("shard").collect()
+    per = blocks.select("shard", "lengths").mapInArrow(totals, "shard long, n long").groupBy("shard").agg(F.sum("n").alias("n")).orderBy("shard").collect()
     bases, base = {}, 0
     for r in per:
         bases[r["shard"]] = base
