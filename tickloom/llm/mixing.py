@@ -166,7 +166,7 @@ def _draw(rows: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
     out = ["doc_id", "size", "source_size", "target", "whole"]
     settled = marked.where("open <= 0 or open >= in_range").select(*out, (F.col("open") > 0).alias("picked"))
     rank = F.row_number().over(Window.partitionBy(*keys, "range").orderBy("h", "doc_id"))
-    split = marked.where("open > 0 and open < in_range").withColumn("rank", rank).select(*out, (F.col("rank") <= F.col("open")).alias("picked"))
+    split = marked.where("open > 0 and open < in_range").repartition(*keys, "range").withColumn("rank", rank).select(*out, (F.col("rank") <= F.col("open")).alias("picked"))
     return settled.unionByName(split)
 
 
