@@ -90,26 +90,41 @@ def log_likelihood(above, below, same, n_u, n_v, similarity, base: float):
     return above * np.log(up) + below * np.log(down) + same * np.log(np.clip(1 - up - down, 1e-12, 1))
 
 
-_GRID = np.linspace(0.0, 1.0, 201)
-
-
-def may_reach(one: np.ndarray, n_one: int, many: np.ndarray, n_many: np.ndarray, p: SketchParams) -> np.ndarray:
-    """For each sketch in `many` whether its similarity to `one` can be the threshold or more."""
-    t = p.threshold[0] / p.threshold[1]
-    above = (many < one[None, :]).sum(1)
-    below = (many > one[None, :]).sum(1)
-    same = p.size - above - below
-    cap = np.minimum(n_one / n_many, n_many / n_one)
-    possible = cap >= t - 1e-9
-    sure = same >= t * p.size
-    unsure = np.flatnonzero(possible & ~sure)
-    if len(unsure):
-        a, b, s, m, c = above[unsure, None], below[unsure, None], same[unsure, None], n_many[unsure, None].astype(float), cap[unsure, None]
-        grid = np.minimum(_GRID[None, :], c)
-        best = log_likelihood(a, b, s, float(n_one), m, grid, p.base).max(1)
-        at = log_likelihood(a, b, s, float(n_one), m, np.full_like(c, t), p.base)[:, 0]
-        possible[unsure] = best - at <= p.margin
-    return possible
+_GRID = np.linspace(0.0, 1.0, 101)
+
+
+class ReachTest:
+    """Whether two sketches can belong to sets whose similarity is the threshold or more.
+
+    They can unless the joint likelihood at the threshold is worse than at the best similarity by the margin.
+    The answer depends on four counts only, so it is kept: among many near copies the same ones come again.
+    """
+
+    def __init__(self, p: SketchParams, most: int = 500_000):
+        self.p, self.most = p, most
+        self.known: dict[tuple[int, int], bool] = {}
+
+    def __call__(self, one: np.ndarray, n_one: int, many: np.ndarray, n_many: np.ndarray) -> np.ndarray:
+        p = self.p
+        t = p.threshold[0] / p.threshold[1]
+        above = (many < one[None, :]).sum(1)
+        below = (many > one[None, :]).sum(1)
+        possible = np.minimum(n_one / n_many, n_many / n_one) >= t - 1e-9
+        unsure = np.flatnonzero(possible & (p.size - above - below < t * p.size))
+        if len(unsure):
+            keys, back = np.unique((n_many[unsure].astype(np.int64) << 32) | (above[unsure] << 16) | below[unsure], return_inverse=True)
+            new = np.array([k for k in keys.tolist() if (n_one, k) not in self.known], np.int64)
+            if len(new):
+                if len(self.known) > self.most:
+                    self.known.clear()
+                    new = keys
+                a, b, m = (new >> 16 & 0xFFFF)[:, None], (new & 0xFFFF)[:, None], (new >> 32)[:, None].astype(float)
+                cap = np.minimum(n_one / m, m / n_one)
+                best = log_likelihood(a, b, p.size - a - b, float(n_one), m, np.minimum(_GRID[None, :], cap), p.base).max(1)
+                at = log_likelihood(a, b, p.size - a - b, float(n_one), m, np.full_like(cap, t), p.base)[:, 0]
+                self.known.update(zip(((n_one, k) for k in new.tolist()), (best - at <= p.margin).tolist()))
+            possible[unsure] = np.array([self.known[n_one, k] for k in keys.tolist()], bool)[back]
+        return possible
 
 
 def sketch_documents(docs: DataFrame, p: SketchParams) -> DataFrame:
@@ -150,14 +165,15 @@ def _chunked(rows: DataFrame, group: str, n_chunks: str) -> DataFrame:
 def _likely_edges(buckets: DataFrame, p: SketchParams) -> DataFrame:
     """src, dst: within each bucket a spanning forest of the pairs that may reach the threshold."""
 
+    reach = ReachTest(p)
+
     def forest(key, rows) -> list[tuple]:
-        _, lo, hi = key
         ids = [r[0] for r in rows]
         if len(ids) < 2:
             return []
         n = np.array([r[1] for r in rows], np.int64)
         sk = np.frombuffer(b"".join(r[2] for r in rows), "<u2").reshape(len(ids), p.size)
-        return [(ids[i], ids[j]) for i, j in _span(len(ids), lambda i, js: may_reach(sk[i], int(n[i]), sk[js], n[js], p))]
+        return [(ids[i], ids[j]) for i, j in _span(len(ids), lambda i, js: reach(sk[i], int(n[i]), sk[js], n[js]))]
 
     return map_sorted_groups(buckets, ["band", "lo", "hi"], ["rep"], forest, "src long, dst long").distinct()
 
