@@ -29,7 +29,7 @@ CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr",
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "tbody": {"table"}, "tfoot": {"table"}, "option": {"select"}}
 #: Elements that are never main text; words of a class or id, and roles, that mark such elements.
 CHROME_TAGS = frozenset("head nav footer aside form script style noscript template iframe svg canvas button select textarea dialog menu object embed audio video map input datalist title".split())
-CHROME_WORDS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer masthead cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments commentlist disqus respond reply replies pagination pager widget toolbar skip".split())
+CHROME_WORDS = frozenset("ad ads adv adbox adslot adunit adsbygoogle advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer masthead cookie cookies consent gdpr notice notices notification alert toast popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments commentlist disqus respond responses discussion reply replies pagination pager widget toolbar skip".split())
 CHROME_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th figcaption tr table ul ol dl tbody".split())
 KEEP = frozenset(("html", "body", "main", "article"))
@@ -37,7 +37,7 @@ KEEP = frozenset(("html", "body", "main", "article"))
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _WORD = re.compile(r"[a-z]+|\d+")
-_SPACE = re.compile(r"[ \t\n\x0b\f\r\xa0  -     　\x85]+")
+_SPACE = re.compile(r"\s+")
 
 
 class Node:
@@ -111,7 +111,7 @@ def is_chrome(node: Node, in_article: bool) -> bool:
         return tag == "article" and in_article and _marked(attrs)
     if tag in CHROME_TAGS:
         return True
-    if tag == "header":  # an article's own header may hold its title
+    if tag == "header" or "header" in _names(attrs):  # an article's own header may hold its title
         return not (in_article and any(isinstance(c, Node) and c.tag in ("h1", "h2", "hgroup") for c in node.children))
     if not attrs:
         return False
@@ -120,12 +120,14 @@ def is_chrome(node: Node, in_article: bool) -> bool:
     return re.search(r"display\s*:\s*none", attrs.get("style", ""), re.I) is not None or _marked(attrs)
 
 
-def _marked(attrs: dict[str, str]) -> bool:
+def _names(attrs: dict[str, str]) -> list[str]:
+    """The words of an element's class and id."""
     names = attrs.get("class", "") + " " + attrs.get("id", "")
-    if names == " ":
-        return False
-    split = re.sub(r"([a-z])([A-Z])", r"\1 \2", names).lower()
-    return not CHROME_WORDS.isdisjoint(_WORD.findall(split))
+    return _WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", names).lower()) if names != " " else []
+
+
+def _marked(attrs: dict[str, str]) -> bool:
+    return not CHROME_WORDS.isdisjoint(_names(attrs))
 
 
 def subtree_keys(root: Node) -> list[int]:
