@@ -8,12 +8,11 @@ as a whole.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Callable
 
-import numpy as np
-
-#: Runs a worker remembers; the frequent ones come early, so a full memo is left as it is.
-MEMO_RUNS = 500_000
+#: Runs a worker remembers, about 250 MB; the frequent ones come early, so a full memo is left as it is.
+MEMO_RUNS = 1_200_000
 
 
 class _Irregular(Exception):
@@ -50,12 +49,15 @@ class RunEncoder:
     def _piece(self, piece: str) -> bytes:
         ids = self.pieces.get(piece)
         if ids is None:
-            ids = np.array(self.encode_piece(piece), "<u4").tobytes()
+            made = self.encode_piece(piece)
+            ids = struct.pack(f"<{len(made)}I", *made)
             if len(self.pieces) < self.most and len(piece) <= 64:
                 self.pieces[piece] = ids
         return ids
 
     def _slow(self, text: str) -> bytes:
+        if text.isascii() and text[text[0] == " " :].isalpha():  # one piece of the pattern
+            return self._piece(text)
         return b"".join(map(self._piece, self.find(text)))
 
     def encode(self, text: str) -> bytes:

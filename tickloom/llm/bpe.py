@@ -44,9 +44,8 @@ class BpeTransducer:
         self.ranks = ranks
         self.tokens = {i: t for t, i in ranks.items()}
         self.prefixes = {t[:n] for t in ranks for n in range(1, len(t))}
-        self.longest = max(map(len, ranks))
         self.max_states = max_states
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
         self.splits: dict[bytes, tuple[bytes, bytes] | None] = {}
         self.spines: dict[tuple[int, bool], list[tuple[bytes, int, float]]] = {}
         self._reset()
@@ -112,35 +111,50 @@ class BpeTransducer:
 
     def _fit(self, left: int, right: int) -> bool:
         """Whether merging the bytes of both gives the two back: no merge across their border comes first."""
-        if left < 0:
-            return True
-        yes = self.fits.get((left, right))
+        key = left << 32 | right
+        yes = self.fits.get(key)
         if yes is None:
-            yes = True
-            for a, made_a, absorbed_a in self._spine(left, True):
-                for b, made_b, absorbed_b in self._spine(right, False):
-                    rank = self.ranks.get(a + b)
-                    if rank is not None:
-                        when = max(rank, made_a, made_b)
-                        if when < absorbed_a and when <= absorbed_b:
-                            yes = False
-                            break
-                if not yes:
-                    break
+            yes = len(self.tokens[right]) == 1 or self._split(self.tokens[right]) is not None
+            if left >= 0 and yes:
+                yes = not any(
+                    (rank := self.ranks.get(a + b)) is not None and (when := max(rank, made_a, made_b)) < absorbed_a and when <= absorbed_b
+                    for a, made_a, absorbed_a in self._spine(left, True)
+                    for b, made_b, absorbed_b in self._spine(right, False)
+                )
             if len(self.fits) > 400_000:
                 self.fits.clear()
-            self.fits[left, right] = yes
+            self.fits[key] = yes
         return yes
 
-    def _last(self, found: list[tuple[int, int]], data: bytes, end: int) -> tuple[int, int]:
-        """Start and id of the last token of the encoding of data[:end], given those of every shorter start."""
-        get = self.ranks.get
-        for start in range(max(0, end - self.longest), end):
-            part = data[start:end]
-            token = get(part)
-            if token is not None and self._fit(found[start][1], token) and (end - start == 1 or self._split(part) is not None):
-                return start, token
-        raise ValueError("the vocabulary lacks a byte")
+    def _grow(self, found: list[tuple[int, int]], data: bytes) -> list[tuple[int, int]]:
+        """Complete `found`, the last token (start, id) for each end, up to the end of `data`.
+
+        A start stays in play as long as the bytes from it on begin some token. Of the tokens that end at a
+        place exactly one fits what stands before it, so the first found is taken.
+        """
+        get, prefixes, fits = self.ranks.get, self.prefixes, self.fits.get
+        at = len(found) - 1
+        live = [s for s in range(at) if data[s:at] in prefixes]
+        live.append(at)
+        for end in range(at + 1, len(data) + 1):
+            hit, keep = None, []
+            for s in live:
+                part = data[s:end]
+                if hit is None:
+                    token = get(part)
+                    if token is not None:
+                        left = found[s][1]
+                        yes = fits(left << 32 | token)
+                        if yes or yes is None and self._fit(left, token):
+                            hit = (s, token)
+                if part in prefixes:
+                    keep.append(s)
+            if hit is None:
+                raise ValueError("the vocabulary lacks a byte")
+            found.append(hit)
+            keep.append(end)
+            live = keep
+        return found
 
     @staticmethod
     def _cuts(found: list[tuple[int, int]], end: int) -> list[int]:
@@ -153,7 +167,7 @@ class BpeTransducer:
         last, pending = self.keys[state]
         data = pending + bytes((byte,))
         n = len(data)
-        found = [*self.chains[state], self._last(self.chains[state], data, n)]
+        found = self._grow(list(self.chains[state]), data)
         paths = [self._cuts(found, s) for s in range(n) if data[s:] in self.prefixes]
         paths.append(self._cuts(found, n))
         agreed = 0
@@ -199,10 +213,13 @@ class BpeTransducer:
     def _follow(self, state: int, rest: bytes) -> list[int]:
         """What is emitted from a state on, without making states."""
         data = self.keys[state][1] + rest
-        found = list(self.chains[state])
-        for end in range(len(found), len(data) + 1):
-            found.append(self._last(found, data, end))
-        return [found[c][1] for c in self._cuts(found, len(data))[1:]]
+        found = self._grow(list(self.chains[state]), data)
+        out = []
+        at = len(data)
+        while at:
+            at, token = found[at]
+            out.append(token)
+        return out[::-1]
 
 
 class StreamDecoder:
