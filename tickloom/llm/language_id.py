@@ -7,9 +7,8 @@ and a stray word doesn't change the language. The language of a text is that of
 
 from __future__ import annotations
 
-import re
+import functools
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -42,57 +41,75 @@ SCRIPTS = (
     ("Arabic", 0xFB50, 0xFDFF),
     ("Arabic", 0xFE70, 0xFEFF),
 )
-_LETTERS = re.compile(r"[^\W\d_]+")
-#: A fit reads at most this many texts of each language, those of smallest seeded hash.
-TEXTS_PER_LANGUAGE = 1500
+#: A fit reads at most this many texts of each language, those of smallest seeded hash. Up to 1000, Spark
+#: limits each language before the shuffle, so a common one doesn't gather in a task.
+TEXTS_PER_LANGUAGE = 1000
 #: Trigrams in a model: the most frequent ones.
 MAX_TRIGRAMS = 60_000
 MEMO_WORDS = 500_000
 
 
-def script_of(letter: str) -> str:
-    point = ord(letter)
-    for name, low, high in SCRIPTS:
-        if low <= point <= high:
-            return name
-    return "Other"
+SCRIPT_NAMES = [*dict.fromkeys(name for name, _, _ in SCRIPTS), "Other"]
+_SPACE = 32
+
 
+@functools.cache
+def _letter_tables() -> tuple[np.ndarray, np.ndarray]:
+    """For every code point whether it is a letter, and the number of its script."""
+    alpha = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
+    script = np.full(0x110000, len(SCRIPT_NAMES) - 1, np.uint8)
+    for name, low, high in SCRIPTS:
+        script[low : high + 1] = SCRIPT_NAMES.index(name)
+    return alpha, script
 
-def _parts(run: str) -> list[str]:
-    """Runs of letters in lower case; a run without end, as in scripts without spaces, in parts of 24."""
-    return [w[i : i + 24] for w in _LETTERS.findall(run.lower()) for i in range(0, len(w), 24)]
 
+def letters_of(runs: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every letter of white-space runs: its trigram, its script, and the number of its run.
 
-def _trigrams(word: str) -> list[str]:
-    padded = f" {word} "
-    return [padded[i : i + 3] for i in range(len(padded) - 2)]
+    A trigram is the letter, in lower case, with its two neighbours, where anything but a letter is a space;
+    it packs three code points of 21 bits.
+    """
+    alpha, script = _letter_tables()
+    c = np.frombuffer(("\n".join(runs) + "\n").lower().encode("utf-32-le", "surrogatepass"), "<u4")
+    is_end = c == 10
+    is_letter = alpha[c]
+    x = np.where(is_letter, c, _SPACE).astype(np.int64)
+    before, after = np.roll(x, 1), np.roll(x, -1)
+    before[:1] = after[-1:] = _SPACE
+    codes = before << 42 | x << 21 | after
+    run_of = np.cumsum(is_end) - is_end
+    return codes[is_letter], script[c[is_letter]], run_of[is_letter]
 
 
 @dataclass
 class LanguageModel:
     languages: list[str]
-    scripts: dict[str, list[int]] = field(default_factory=dict)
-    trigrams: dict[str, int] = field(default_factory=dict)
+    #: Script numbers by language: which scripts its texts are written in.
+    scripts: np.ndarray = field(default_factory=lambda: np.zeros((len(SCRIPT_NAMES), 0), bool))
+    #: Known trigrams, sorted, and the log-probabilities of each by language; row 0 is for unknown ones.
+    trigrams: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     logs: np.ndarray = field(default_factory=lambda: np.zeros((1, 0), np.float32))
     switch: float = 10.0
 
-    def word_scores(self, run: str) -> tuple[np.ndarray, int]:
-        """Scores of one white-space run by language, and its letters; languages of other scripts are out."""
+    def run_scores(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Scores by language of each run, best 0, and its letters. Languages not written in a letter's script
+        are out, unless the script is nobody's."""
         n = len(self.languages)
-        total, letters = np.zeros(n), 0
-        for word in _parts(run):
-            letters += len(word)
-            found = [self.trigrams[g] + 1 for g in _trigrams(word) if g in self.trigrams]
-            scores = self.logs[found].sum(0) + (len(word) - len(found)) * self.logs[0]
-            allowed = self.scripts.get(script_of(word[0]))
-            if allowed is not None:
-                mask = np.full(n, -60.0)
-                mask[allowed] = 0.0
-                scores = scores + mask
-            total += scores
-        if letters:
-            total = np.maximum(total - total.max(), -80.0)
-        return total.astype(np.float32), letters
+        out = np.zeros((len(runs), n), np.float32)
+        codes, script, run_of = letters_of(runs)
+        letters = np.bincount(run_of, minlength=len(runs)).astype(np.int64)
+        if n and len(codes):
+            at = np.searchsorted(self.trigrams, codes)
+            hit = at < len(self.trigrams)
+            hit[hit] = self.trigrams[at[hit]] == codes[hit]
+            each = self.logs[np.where(hit, at + 1, 0)]
+            away = np.where(self.scripts.any(1, keepdims=True) & ~self.scripts, np.float32(-60), np.float32(0))
+            if away.any():
+                each = each + away[script]
+            starts = np.flatnonzero(np.diff(run_of, prepend=-1))
+            sums = np.add.reduceat(each, starts, 0)
+            out[run_of[starts]] = np.maximum(sums - sums.max(1, keepdims=True), -80)
+        return out, letters
 
 
 def usable_for_training(docs: DataFrame, folds: int = 4, out: int = 2) -> Column:
@@ -111,39 +128,34 @@ def fit_languages(docs: DataFrame, most: int = TEXTS_PER_LANGUAGE, max_trigrams:
     texts = docs.where(usable_for_training(docs)).select("doc_id", "text", "lang").join(F.broadcast(chosen), (F.col("doc_id") == F.col("chosen")) & (F.col("lang") == F.col("as_lang")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams: Counter = Counter()
-        scripts: Counter = Counter()
         for batch in batches:
+            by_lang: dict[str, list[str]] = {}
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for word, n in Counter(_parts(text)).items():
-                    scripts[lang, script_of(word[0])] += n * len(word)
-                    for g in _trigrams(word):
-                        grams[lang, g] += n
-        keys = [*((0, *k) for k in grams), *((1, *k) for k in scripts)]
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.string()), pa.array([k[2] for k in keys], pa.string()), pa.array([*grams.values(), *scripts.values()], pa.int64())], names=["kind", "lang", "item", "n"])
+                by_lang.setdefault(lang, []).extend(text.split())
+            for lang, runs in by_lang.items():
+                codes, script, _ = letters_of(runs)
+                for kind, values in ((0, codes), (1, script)):
+                    items, n = np.unique(values.astype(np.int64), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(items), kind, np.int32)), pa.array([lang] * len(items), pa.string()), pa.array(items), pa.array(n.astype(np.int64))], names=["kind", "lang", "item", "n"])
 
     arrow_rows(spark, 500)
-    counted = texts.select("text", "lang").mapInArrow(count, "kind int, lang string, item string, n long").groupBy("kind", "lang", "item").agg(F.sum("n").alias("n"))
+    counted = texts.select("text", "lang").mapInArrow(count, "kind int, lang string, item long, n long").groupBy("kind", "lang", "item").agg(F.sum("n").alias("n"))
     grams = counted.where("kind = 0").groupBy("item").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-    grams = grams.orderBy(F.col("total").desc(), "item").limit(max_trigrams).collect()
+    grams = sorted(grams.orderBy(F.col("total").desc(), "item").limit(max_trigrams).collect(), key=lambda r: r["item"])
     shares = counted.where("kind = 1").groupBy("lang", "item").agg(F.sum("n").alias("n")).collect()
     languages = sorted({r["lang"] for r in shares})
     at = {lang: i for i, lang in enumerate(languages)}
     counts = np.zeros((len(grams) + 1, len(languages)))
     for i, r in enumerate(grams):
         for lang, n in r["by"].items():
-            if lang in at:
-                counts[i + 1, at[lang]] = n
+            counts[i + 1, at[lang]] = n
     counts += 0.5
     logs = np.log(counts / counts.sum(0)) if languages else counts
-    letters = Counter()
+    letters = np.zeros((len(SCRIPT_NAMES), len(languages)))
     for r in shares:
-        letters[r["lang"]] += r["n"]
-    scripts: dict[str, list[int]] = {}
-    for r in shares:
-        if r["n"] >= 0.01 * letters[r["lang"]]:
-            scripts.setdefault(r["item"], []).append(at[r["lang"]])
-    return LanguageModel(languages, {k: sorted(v) for k, v in scripts.items()}, {r["item"]: i for i, r in enumerate(grams)}, logs.astype(np.float32), switch)
+        letters[r["item"], at[r["lang"]]] = r["n"]
+    scripts = letters >= 0.01 * np.maximum(letters.sum(0), 1)
+    return LanguageModel(languages, scripts, np.array([r["item"] for r in grams], np.int64), logs.astype(np.float32), switch)
 
 
 def viterbi(scores: np.ndarray, starts: np.ndarray, lengths: np.ndarray, switch: float) -> np.ndarray:
@@ -191,17 +203,24 @@ class _Words(dict):
     def __init__(self, model: LanguageModel):
         super().__init__()
         self.model = model
+        self.new: list[str] = []
         self.scores = np.zeros((1 << 14, len(model.languages)), np.float32)
         self.letters = np.zeros(1 << 14, np.int64)
 
     def __missing__(self, run: str) -> int:
-        at = len(self)
-        if at == len(self.letters):
+        at = self[run] = len(self)
+        self.new.append(run)
+        return at
+
+    def score_new(self) -> None:
+        """Score the runs met since the last call, all at once."""
+        first, end = len(self) - len(self.new), len(self)
+        while end > len(self.letters):
             self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
             self.letters = np.concatenate([self.letters, np.zeros_like(self.letters)])
-        self.scores[at], self.letters[at] = self.model.word_scores(run)
-        self[run] = at
-        return at
+        if self.new:
+            self.scores[first:end], self.letters[first:end] = self.model.run_scores(self.new)
+            self.new = []
 
 
 #: The runs a worker remembers between tasks, for the model it met last.
@@ -230,6 +249,7 @@ def label_documents(docs: DataFrame, model: LanguageModel, spans: bool = True) -
             if len(words) > MEMO_WORDS:
                 words = _kept[token] = _Words(model)
             ids = [np.fromiter(map(words.__getitem__, (t or "").split()), np.int64) for t in batch.column(1).to_pylist()]
+            words.score_new()
             lengths = np.array([len(x) for x in ids], np.int64)
             flat = np.concatenate(ids) if ids else np.zeros(0, np.int64)
             starts = np.cumsum(lengths) - lengths
