@@ -141,13 +141,14 @@ def medians(spark, sf_dir):
     return rows.groupBy("brand").agg(F.median("p_size").alias("middle"), upper.alias("upper_middle"), F.when(F.count_distinct("p_size") == 1, F.max("p_size")).alias("only_size"))
 
 
-@query("""WITH c AS (SELECT l_orderkey AS task, l_linenumber AS part, CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE round(l_quantity / 1000000 * l_extendedprice, 12) END AS cost FROM lineitem)
-SELECT task, count(*) AS n, count(cost) AS disclosed, round(sum(cost), 6) AS disclosed_cost, CASE WHEN count(cost) = count(*) THEN round(sum(cost), 6) END AS full_cost FROM c GROUP BY 1""")
+@query("""WITH c AS (SELECT l_orderkey AS task, CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE CAST(round(l_quantity * 100) AS BIGINT) * CAST(round(l_extendedprice * 100) AS BIGINT) END AS units FROM lineitem)
+SELECT task, count(*) AS n, count(units) AS disclosed, CAST(sum(units) AS BIGINT) / 10000000000.0::DOUBLE AS disclosed_cost, CASE WHEN count(units) = count(*) THEN CAST(sum(units) AS BIGINT) / 10000000000.0::DOUBLE END AS full_cost FROM c GROUP BY 1""")
 def task_costs(spark, sf_dir):
-    """Sum of the parts disclosed, null if none; the whole only if all parts are known."""
-    cost = F.when(F.col("l_linenumber") % 3 != 0, F.round(F.col("l_quantity") / 1_000_000 * F.col("l_extendedprice"), 12))
-    out = t.read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("task"), cost.alias("cost")).groupBy("task").agg(F.count(F.lit(1)).alias("n"), F.count("cost").alias("disclosed"), F.round(F.sum("cost"), 6).alias("disclosed_cost"))
-    return out.withColumn("full_cost", F.when(F.col("n") == F.col("disclosed"), F.col("disclosed_cost")))
+    """Sum of the parts disclosed at a price per million, null if none; the whole only if all parts are known."""
+    units = F.when(F.col("l_linenumber") % 3 != 0, t.cents("l_quantity") * t.cents("l_extendedprice"))
+    out = t.read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("task"), units.alias("units")).groupBy("task").agg(F.count(F.lit(1)).alias("n"), F.count("units").alias("disclosed"), F.sum("units").alias("units"))
+    cost = F.col("units") / 10_000_000_000.0
+    return out.select("task", "n", "disclosed", cost.alias("disclosed_cost"), F.when(F.col("n") == F.col("disclosed"), cost).alias("full_cost"))
 
 
 @query(f"""WITH {_PRICES}, r AS (SELECT sku, as_of, input_price, row_number() OVER (PARTITION BY sku ORDER BY as_of DESC) AS rn FROM p),
