@@ -35,6 +35,16 @@ def test_exact_empty_and_native(spark):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_one_row_of_equal_texts_stays(spark):
+    docs = rows_of(spark, [(1, "a"), (9, "a"), (9, "a"), (None, "n"), (None, "n"), (None, "m"), (4, "m"), (4, "m"), (5, None), (5, ""), (None, "")])
+    kept = exact_dedup.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"] or "") for r in kept.collect()), key=str) == sorted([(9, "a"), (None, "n"), (4, "m"), (5, "")], key=str)
+    odd = spark.createDataFrame([(3, "t", s) for s in "xyz"], "doc_id long, text string, source string")
+    assert len({exact_dedup.keep_one(odd.repartition(n, "source")).collect()[0] for n in (1, 2, 3)}) == 1
+    assert exact_dedup.keep_one(rows_of(spark, [])).count() == 0
+
+
 def line_truth(texts, min_chars=40, min_docs=5):
     low = str.maketrans({c: c + 32 for c in range(65, 91)})
     key = lambda line: line.strip(" \t\n\x0b\x0c\r").translate(low)
@@ -154,6 +164,26 @@ def test_near_duplicates_edges(spark):
     assert kept.columns == docs.columns and kept.count() == 4
 
 
+def test_one_row_of_near_copies_stays(spark):
+    text = "one two three four five six seven eight nine ten " * 9
+    near = [" ".join(f"w{i}" for i in range(40)) + end for end in ("", " x", " y")]
+    docs = rows_of(spark, [(None, near[0]), (None, near[1]), (7, near[2]), (7, "quite another text of the same number"), (3, text), (3, text + "end"), (None, "a b c d e f"), (None, "g h i j k l"), (2, None), (None, " ")])
+    kept = near_dedup.keep_one(docs)
+    assert kept.columns == docs.columns
+    got = sorted(((r["doc_id"], (r["text"] or "")[:20]) for r in kept.collect()), key=str)
+    assert got == sorted([(7, near[2][:20]), (7, "quite another text o"), (3, text[:20]), (None, "a b c d e f"), (None, "g h i j k l"), (2, ""), (None, " ")], key=str)
+    assert near_dedup.keep_one(docs.limit(0)).count() == 0
+
+
+def test_stages_leave_one_row_of_repeats(spark, sf_dir):
+    import corpus_pipeline
+
+    docs = rows_of(spark, [(i, f"text number {i % 3} of this table") for i in (1, 2, 3, 3, 3)] + [(None, "text without a number")] * 4)
+    for _, stage in corpus_pipeline.STAGES[1:3]:
+        docs = stage(spark, docs, sf_dir)
+    assert sorted(r["text"] for r in docs.collect()) == ["text number 0 of this table", "text number 1 of this table", "text number 2 of this table", "text without a number"]
+
+
 def test_sketches_merge_and_estimate():
     p = near_dedup.SketchParams(rows=8, bands=64)
     rng = np.random.default_rng(2)

@@ -16,6 +16,8 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 #: A key is hot when it holds more than one in HOT_SHARE rows, so there are at most HOT_SHARE hot keys.
 HOT_SHARE = 1000
+#: Column of with_rows().
+ROW = "__row"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +54,11 @@ def cut(df: DataFrame, compression: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_rows(df: DataFrame) -> DataFrame:
+    """`df` with a number of its own for each row in ROW, written so that every reader sees the same numbers."""
+    return cut(df.withColumn(ROW, F.monotonically_increasing_id()))
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm._common import cut, join_counted
+from tickloom.llm._common import ROW, cut, join_counted, with_rows
 
 #: Characters under the prefix hash.
 PREFIX_CHARS = 64
@@ -53,6 +53,22 @@ def exact_duplicates(docs: DataFrame, prefix_chars: int = PREFIX_CHARS) -> DataF
     return joined.select("doc_id", keep.alias("keep_id"), size.alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
 
 
+def keep_one(docs: DataFrame, prefix_chars: int = PREFIX_CHARS) -> DataFrame:
+    """One row of `docs` for each text, null as empty; columns and texts as they were.
+
+    It has the largest doc_id, null being the smallest; among rows of that doc_id a hash of the other columns
+    decides, so that only rows equal throughout depend on where they stand.
+    """
+    other = [f.name for f in docs.schema if f.name not in ("doc_id", "text") and "map<" not in f.dataType.simpleString()]
+    rows = with_rows(docs)
+    order = F.struct("doc_id", F.xxhash64(F.lit(0), *other).alias("other"), ROW)
+    ordered = rows.select(order.alias("doc_id"), "text")
+    groups = duplicate_groups(ordered, prefix_chars).select("text_sha256", F.col(f"keep_id.{ROW}").alias("keep_row"), "group_size")
+    shas = rows.select(ROW, F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+    joined = join_counted(shas, cut(groups), ["text_sha256"], "group_size", rows.count())
+    return rows.join(joined.where(F.col("keep_row") != F.col(ROW)).select(ROW), ROW, "left_anti").select(*docs.columns)
+
+
 def drop_copies(docs: DataFrame) -> DataFrame:
     """`docs` without the rows that exact_duplicates() drops; columns and texts as they were."""
     lost = exact_duplicates(docs).where("not kept").select(F.col("doc_id").alias("__lost"), F.col("text_sha256").alias("__sha")).distinct()

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm._common import arrow_rows, cut, join_counted, map_sorted_groups, mix64
+from tickloom.llm._common import ROW, arrow_rows, cut, join_counted, map_sorted_groups, mix64, with_rows
 from tickloom.llm.components import connected_components
 
 
@@ -283,3 +283,17 @@ def drop_near_copies(docs: DataFrame, params: SketchParams | None = None) -> Dat
     """`docs` with one document, the smallest doc_id, of each component."""
     gone = near_duplicates(docs, params).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+
+
+def keep_one(docs: DataFrame, params: SketchParams | None = None) -> DataFrame:
+    """`docs` with one row of each component, where every row is a node of its own whatever its doc_id.
+
+    It has the smallest doc_id, null being the largest; among rows of that doc_id a hash of the text decides.
+    """
+    rows = with_rows(docs)
+    found = near_duplicates(rows.select(F.col(ROW).alias("doc_id"), "text"), params).select(F.col("doc_id").alias(ROW), "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), ROW)
+    found = cut(found.join(rows.select(ROW, order.alias("order")), ROW))
+    groups = found.groupBy("component_id").agg(F.min("order")[ROW].alias("keep_row"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    joined = join_counted(found.select(ROW, "component_id"), cut(groups), ["component_id"], "n", found.count())
+    return rows.join(joined.where(F.col("keep_row") != F.col(ROW)).select(ROW), ROW, "left_anti").select(*docs.columns)
