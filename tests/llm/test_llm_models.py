@@ -155,6 +155,26 @@ def test_targets_and_fit(spark):
     assert mixed.columns == docs.columns and mixed.count() == sum(r["copies"] for r in out)
 
 
+def test_mix_takes_each_row_by_its_own_copies(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice([None, None, 1, 2, i]), " ".join(f"w{rng.randint(0, 99)}" for _ in range(rng.randint(0, 30))), rng.choice(["a", "b", "c", None])) for i in range(600)]
+    rows += [(None, "equal rows without a number", "a")] * 40
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    counts = mixing.mix_counts(docs).collect()
+    assert len(counts) == len(rows) and {r["copies"] for r in counts} > {0}
+    taken, mixed = {}, {}
+    for r in counts:
+        taken[r["target"]] = taken.get(r["target"], 0) + r["copies"] * r["size"]
+    out = mixing.mix_documents(docs).collect()
+    assert len(out) == sum(r["copies"] for r in counts)
+    total = {s: sum(len(t.split()) for _, t, x in rows if x == s) for s in ("a", "b", "c", None)}
+    for r in out:
+        mixed[r["source"]] = mixed.get(r["source"], 0) + len(r["text"].split())
+    assert sorted(mixed.values()) == sorted(n for n in taken.values() if n)
+    targets = {r["source_size"]: r["target"] for r in counts}
+    assert all(abs(mixed[s] - targets[total[s]]) <= 2 for s in total)
+
+
 def test_fit_counts_is_near():
     rng = np.random.default_rng(3)
     for _ in range(20):

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm._common import cut
+from tickloom.llm._common import ROW, cut, with_rows
 
 #: The knapsack is solved exactly over at most this many words; what is open beyond it is filled greedily.
 KNAPSACK_WORDS = 1 << 16
@@ -124,15 +124,17 @@ def _fit(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf[["source_key", "size", "n_take"]]
 
 
-def mix_counts(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 7) -> DataFrame:
-    """doc_id, size, source_size, target, copies (times the mix takes the row) for each row of `docs`.
+def mix_counts(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 7, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, `carry`, size, source_size, target, copies (times the mix takes the row) for each row of `docs`.
 
     Null sources are one source, last in order; null or empty texts have size 0 and no copies beyond the
-    whole copies of their source. Repeated rows are drawn each on its own. Only doc_id, text and source are read.
-    The draw depends on doc_id, seed and counts alone, so reruns agree.
+    whole copies of their source. Repeated rows are drawn each on its own. Only doc_id, text, source and `carry` are read.
+    The draw depends on doc_id, text, seed and counts alone, so reruns agree but for which of equal rows is taken.
     """
     key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
-    rows = cut(docs.select("doc_id", "source", key.alias("source_key"), word_count(F.col("text")).alias("size")))
+    # rows that share a doc_id, or have none, differ by their texts
+    h = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")).alias("h")
+    rows = cut(docs.select("doc_id", *carry, "source", key.alias("source_key"), word_count(F.col("text")).alias("size"), h))
     lengths = cut(rows.groupBy("source", "source_key", "size").agg(F.count(F.lit(1)).alias("n")))
     targets = source_targets(lengths.select("source", (F.col("size") * F.col("n")).alias("size")), weights, share, most)
     key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
@@ -142,19 +144,18 @@ def mix_counts(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
     # one row for each distinct length of a source, however many documents have it
     fitted = rest.groupBy("source_key").applyInPandas(_fit, "source_key string, size long, n_take long")
     plan = cut(lengths.select("source_key", "size", "n").join(fitted, ["source_key", "size"]).join(targets, "source_key"))
-    taken = _draw(rows, plan, seed)
+    taken = _draw(rows, plan, carry)
     copies = (F.col("whole") + F.col("picked").cast("long")).alias("copies")
-    return taken.select("doc_id", "size", "source_size", "target", copies)
+    return taken.select("doc_id", *carry, "size", "source_size", "target", copies)
 
 
-def _draw(rows: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
-    """Mark n_take rows of each (source, length): those of smallest seeded hash.
+def _draw(rows: DataFrame, plan: DataFrame, carry: tuple[str, ...]) -> DataFrame:
+    """Mark n_take rows of each (source, length): those of smallest seeded hash `h`.
 
     A length's rows fall into DRAW_RANGES hash ranges; counts by range show which ranges are taken whole and
     which one is cut, and only the rows of that one are ranked.
     """
-    h = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    rows = rows.withColumn("h", h).withColumn("range", F.shiftrightunsigned(F.col("h"), 64 - DRAW_RANGES.bit_length() + 1))
+    rows = rows.withColumn("range", F.shiftrightunsigned(F.col("h"), 64 - DRAW_RANGES.bit_length() + 1))
     keys = ["source_key", "size"]
     ranges = rows.groupBy(*keys, "range").agg(F.count(F.lit(1)).alias("in_range"))
     before = Window.partitionBy(*keys).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
@@ -163,16 +164,16 @@ def _draw(rows: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
     ranges = ranges.join(least, keys).withColumn("open", F.col("n_take") - F.col("before"))
     ranges = ranges.select(*keys, "range", "in_range", "open", "whole", "source_size", "target")
     marked = rows.join(ranges, [*keys, "range"])
-    out = ["doc_id", "size", "source_size", "target", "whole"]
+    out = ["doc_id", *carry, "size", "source_size", "target", "whole"]
     settled = marked.where("open <= 0 or open >= in_range").select(*out, (F.col("open") > 0).alias("picked"))
-    rank = F.row_number().over(Window.partitionBy(*keys, "range").orderBy("h", "doc_id"))
+    rank = F.row_number().over(Window.partitionBy(*keys, "range").orderBy("h", "doc_id", *carry))
     split = marked.where("open > 0 and open < in_range").repartition(*keys, "range").withColumn("rank", rank).select(*out, (F.col("rank") <= F.col("open")).alias("picked"))
     return settled.unionByName(split)
 
 
 def mix_documents(docs: DataFrame, seed: int = 7) -> DataFrame:
-    """The mix itself: each row of `docs` as often as it is taken, columns as they were."""
-    copies = mix_counts(docs, seed=seed).where("copies > 0").groupBy(F.col("doc_id").alias("__doc")).agg(F.sum("copies").alias("__sum"), F.count(F.lit(1)).alias("__rows"))
-    joined = docs.join(copies, docs["doc_id"].eqNullSafe(copies["__doc"]))
-    times = F.greatest(F.lit(1), F.round(F.col("__sum") / F.col("__rows")).cast("int"))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), times))).select(*[docs[c] for c in docs.columns])
+    """The mix itself: each row of `docs` as often as mix_counts() takes it, columns as they were."""
+    rows = with_rows(docs)
+    copies = mix_counts(rows, seed=seed, carry=(ROW,)).where("copies > 0").select(ROW, F.col("copies").cast("int").alias("__copies"))
+    joined = rows.join(copies, ROW).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+    return joined.select(*docs.columns)
