@@ -43,3 +43,8 @@ def test_entry_without_corpus_operators(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_open_survey_items_are_not_claimed():
+    for name, handle in (("signal_backtest", "A23"), ("signal_grid", "M3"), ("shared_holdings", "J21")):
+        assert handle not in registry.QUERIES[name].__doc__

@@ -173,7 +173,7 @@ def week_keys(spark, sf_dir):
 
 @query()
 def signal_backtest(spark, sf_dir):
-    """Buy on scored signals, exit on loss, time or weakness; the equity curve of one run.
+    """Buy on scored signals, exit on loss, time or weakness; the equity curve of one run.
 
     The path depends on itself, so a run is one group; only signals and the bars of traded codes reach it.
     """
@@ -182,5 +182,5 @@ def signal_backtest(spark, sf_dir):
 
 @query()
 def signal_grid(spark, sf_dir):
-    """The same over a grid of rules, a group each, with metrics and gates."""
+    """The same over a grid of rules, a group each, with metrics and gates."""
     return backtest.grid(t.daily_bars(spark, sf_dir), [backtest.Rules(max_positions=n, stop_loss=s) for n in (5, 10) for s in (0.05, 0.1)])
