@@ -8,6 +8,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
@@ -24,7 +25,7 @@ def shingles(text, width=5):
 def test_pipeline_against_brute_force(spark, sf_dir):
     rows = {r["doc_id"]: r for r in table(spark, sf_dir, "documents").collect()}
     model = quality.fit_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    stats = table(spark, sf_dir, "documents").select("doc_id", quality.text_statistics(table(spark, sf_dir, "documents")["text"]).alias("s")).collect()
+    stats = table(spark, sf_dir, "documents").select("doc_id", quality.text_statistics(F.col("text")).alias("s")).collect()
     good = {r["doc_id"] for r in stats if model.predict(np.array([[r["s"][k] for k in quality.STATISTICS]]))[0] >= 0.3}
     groups = collections.defaultdict(list)
     for i in good:
