@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tickloom.operators import merging
-from tickloom.plans.registry import query
+from tickloom.plans.register import query
 from tickloom.sources import tables as t
 
 _EVENTS = """ev AS (SELECT o_orderkey AS id, o_custkey AS symbol, CAST(o_orderdate AS DATE) AS first, max(CAST(l_shipdate AS DATE)) AS last, o_orderpriority AS importance FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL)"""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import dates
 from tickloom.operators import credit, merging, ranking
-from tickloom.plans.registry import query
+from tickloom.plans.register import query
 from tickloom.sources import tables as t
 
 _OBS = """obs AS (SELECT o_orderkey AS seq, o_custkey % 40 AS company, CAST(o_orderdate AS DATE) AS observed, CAST(round(o_totalprice * 100) AS BIGINT) AS cents, o_orderstatus AS kind FROM orders)"""

@@ -11,7 +11,7 @@ from tickloom.plans.dashboard import prices
 from tickloom.plans.dashboard import _PRICES as PRICES_SQL
 from tickloom.plans.filings import _SCORED as SCORED_SQL
 from tickloom.plans.filings import scored
-from tickloom.plans.registry import query
+from tickloom.plans.register import query
 from tickloom.sources import tables as t
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tickloom.operators import validate
-from tickloom.plans.registry import query
+from tickloom.plans.register import query
 from tickloom.sources import tables as t
 
 

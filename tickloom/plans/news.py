@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import text
 from tickloom.operators import merging, ranking
-from tickloom.plans.registry import query
+from tickloom.plans.register import query
 from tickloom.sources import tables as t
 
 #: Now, for every score that depends on time.

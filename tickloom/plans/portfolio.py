@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tickloom.operators import ranking
-from tickloom.plans.registry import query
+from tickloom.plans.register import query
 from tickloom.sources import tables as t
 
 _POS = """pos AS (SELECT o_custkey AS fund, l_suppkey AS code, l_quantity AS shares, l_extendedprice / l_quantity AS cost, CASE WHEN l_linenumber % 5 = 0 THEN NULL ELSE p_retailprice END AS current,

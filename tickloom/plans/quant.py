@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import dates
 from tickloom.operators import backtest, windows
-from tickloom.plans.registry import query
+from tickloom.plans.register import query
 from tickloom.sources import tables as t
 
 #: hist stands for any oscillator: the close over its 10-bar mean, which SQL can say without recursion.

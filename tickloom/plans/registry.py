@@ -1,28 +1,8 @@
-"""Names of all registered queries with their SQL counterparts."""
+"""All registered queries with their SQL counterparts: importing this loads every plan."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from tickloom.plans import calendar, dashboard, extras, filings, gates, market, news, portfolio, quant, scalars, store  # noqa: F401
+from tickloom.plans.register import ORACLES, QUERIES, query  # noqa: F401
 
-QUERIES: dict[str, Callable] = {}
-ORACLES: dict[str, str] = {}
 FLAGSHIP = "market_concentration"
-
-
-def query(sql: str | None = None):
-    """Register a function of (spark, sf_dir) under its name, with the SQL that gives the same rows."""
-
-    def register(f: Callable) -> Callable:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return register
-
-
-def _load() -> None:
-    from tickloom.plans import calendar, dashboard, extras, filings, gates, market, news, portfolio, quant, scalars, store  # noqa: F401
-
-
-_load()
