@@ -11,12 +11,12 @@ from tickloom.operators import credit, merging, ranking
 from tickloom.plans.register import query
 from tickloom.sources import tables as t
 
-_OBS = """obs AS (SELECT o_orderkey AS seq, o_custkey % 40 AS company, CAST(o_orderdate AS DATE) AS observed, CAST(round(o_totalprice * 100) AS BIGINT) AS cents, o_orderstatus AS kind FROM orders)"""
+_OBS = """obs AS (SELECT o_orderkey AS seq, o_custkey AS company, CAST(o_orderdate AS DATE) AS observed, CAST(round(o_totalprice * 100) AS BIGINT) AS cents, o_orderstatus AS kind FROM orders)"""
 
 
 def observations(spark, sf_dir):
     orders = t.read(spark, sf_dir, "orders")
-    return orders.select(F.col("o_orderkey").alias("seq"), (F.col("o_custkey") % 40).alias("company"), F.to_date("o_orderdate").alias("observed"), t.cents("o_totalprice").alias("cents"), F.col("o_orderstatus").alias("kind"))
+    return orders.select(F.col("o_orderkey").alias("seq"), F.col("o_custkey").alias("company"), F.to_date("o_orderdate").alias("observed"), t.cents("o_totalprice").alias("cents"), F.col("o_orderstatus").alias("kind"))
 
 
 _MONTHS = f"""{_OBS}, latest AS (SELECT company, date_trunc('month', observed)::DATE AS month, cents, observed FROM obs QUALIFY row_number() OVER (PARTITION BY company, date_trunc('month', observed) ORDER BY observed DESC, seq DESC) = 1)"""
@@ -36,11 +36,13 @@ def monthly_latest(spark, sf_dir):
     return _months(spark, sf_dir).select("company", "month", "cents", (F.col("cents") - before).alias("change"), ((F.col("cents") - before) * 1.0 / before).alias("change_share"), F.coalesce(F.lag("month").over(w) == F.add_months("month", -1), F.lit(False)).alias("consecutive"))
 
 
-@query(f"""WITH {_MONTHS} SELECT month, max(CASE WHEN company = 1 THEN cents END) AS c1, max(CASE WHEN company = 2 THEN cents END) AS c2, max(CASE WHEN company = 3 THEN cents END) AS c3 FROM latest GROUP BY 1""")
+@query(f"""WITH {_MONTHS} SELECT month, CAST(sum(CASE WHEN c_mktsegment = 'AUTOMOBILE' THEN cents END) AS BIGINT) AS automobile, CAST(sum(CASE WHEN c_mktsegment = 'BUILDING' THEN cents END) AS BIGINT) AS building, CAST(sum(CASE WHEN c_mktsegment = 'MACHINERY' THEN cents END) AS BIGINT) AS machinery
+FROM latest JOIN customer ON company = c_custkey GROUP BY 1""")
 def monthly_pivot(spark, sf_dir):
-    """Months by company, null where none."""
-    out = _months(spark, sf_dir).groupBy("month").pivot("company", [1, 2, 3]).agg(F.max("cents"))
-    return out.select("month", F.col("1").alias("c1"), F.col("2").alias("c2"), F.col("3").alias("c3"))
+    """Months by segment of the companies' last observations, null where none."""
+    segments = t.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("company"), "c_mktsegment")
+    out = _months(spark, sf_dir).join(segments, "company").groupBy("month").pivot("c_mktsegment", ["AUTOMOBILE", "BUILDING", "MACHINERY"]).agg(F.sum("cents"))
+    return out.select("month", *[F.col(c).alias(c.lower()) for c in ("AUTOMOBILE", "BUILDING", "MACHINERY")])
 
 
 @query("""WITH e AS (SELECT CAST(ts AS DATE) AS day, event_type, CAST(round(value * 1000) AS BIGINT) AS tokens FROM events), b AS (SELECT CAST(floor(date_diff('day', day, DATE '2024-01-30') / 7) AS BIGINT) AS bucket, CAST(sum(tokens) AS BIGINT) AS tokens FROM e WHERE day <= DATE '2024-01-30' GROUP BY 1)
@@ -55,12 +57,12 @@ def weekly_tokens(spark, sf_dir):
     return weeks.select("bucket", "tokens", (F.col("tokens") - before).alias("change"), F.when(share < 0, F.ceil(share)).otherwise(F.floor(share)).alias("change_millionths"))
 
 
-_PRICES = """prices AS (SELECT l_partkey % 200 AS sku, CAST(l_shipdate AS DATE) AS as_of, l_orderkey * 10 + l_linenumber AS seq, l_extendedprice / l_quantity AS input_price, l_tax AS output_price FROM lineitem),
+_PRICES = """prices AS (SELECT l_partkey AS sku, CAST(l_shipdate AS DATE) AS as_of, l_orderkey * 10 + l_linenumber AS seq, l_extendedprice / l_quantity AS input_price, l_tax AS output_price FROM lineitem),
 p AS (SELECT * FROM prices QUALIFY row_number() OVER (PARTITION BY sku, as_of ORDER BY seq DESC) = 1)"""
 
 
 def prices(spark, sf_dir):
-    lines = t.read(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 200).alias("sku"), F.to_date("l_shipdate").alias("as_of"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("input_price"), F.col("l_tax").alias("output_price"))
+    lines = t.read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("sku"), F.to_date("l_shipdate").alias("as_of"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("input_price"), F.col("l_tax").alias("output_price"))
     return merging.pick(lines, ["sku", "as_of"], [F.col("seq").desc()])
 
 
@@ -82,11 +84,13 @@ def quote_changes(spark, sf_dir):
     return prices(spark, sf_dir).select("sku", "as_of", "input_price", before.alias("before"), (F.col("input_price") - before).alias("change"), (F.row_number().over(w.orderBy(F.col("as_of").desc())) == 1).alias("latest"))
 
 
-@query(f"""WITH {_PRICES}, runs AS (SELECT o_orderkey AS run, o_custkey % 200 AS sku, CAST(o_orderdate AS DATE) AS run_day FROM orders)
-SELECT run, runs.sku, run_day, p.as_of, p.input_price FROM runs ASOF LEFT JOIN p ON runs.sku = p.sku AND runs.run_day >= p.as_of""")
+@query(f"""WITH {_PRICES}, runs AS (SELECT o_orderkey AS run, l_linenumber AS part, l_partkey AS sku, CAST(o_orderdate AS DATE) AS run_day FROM orders JOIN lineitem ON l_orderkey = o_orderkey)
+SELECT run, part, runs.sku, run_day, p.as_of, p.input_price FROM runs ASOF LEFT JOIN p ON runs.sku = p.sku AND runs.run_day >= p.as_of""")
 def runs_as_of_prices(spark, sf_dir):
     """A run at the price last seen, not after it."""
-    runs = t.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run"), (F.col("o_custkey") % 200).alias("sku"), F.to_date("o_orderdate").alias("run_day"))
+    orders = t.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run"), F.to_date("o_orderdate").alias("run_day"))
+    parts = t.read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("run"), F.col("l_linenumber").alias("part"), F.col("l_partkey").alias("sku"))
+    runs = orders.join(parts, "run").select("run", "part", "sku", "run_day")
     return merging.as_of(runs, prices(spark, sf_dir), ["sku"], "run_day", "as_of", ["input_price"])
 
 
@@ -134,11 +138,16 @@ def metric_winners(spark, sf_dir):
 @query("""SELECT p_brand AS brand, median(p_size) AS middle, list_sort(list(p_size))[CAST(floor(count(*) / 2) AS INTEGER) + 1] AS upper_middle,
  CASE WHEN count(DISTINCT p_size) = 1 THEN max(p_size) END AS only_size FROM part GROUP BY 1""")
 def medians(spark, sf_dir):
-    """Mean and upper middle value, and the value if all agree."""
-    w = Window.partitionBy("brand").orderBy("p_size", "p_partkey")
-    rows = t.read(spark, sf_dir, "part").select(F.col("p_brand").alias("brand"), "p_size", "p_partkey").withColumn("place", F.row_number().over(w)).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("brand")))
-    upper = F.max(F.when(F.col("place") == F.floor(F.col("n") / 2) + 1, F.col("p_size")))
-    return rows.groupBy("brand").agg(F.median("p_size").alias("middle"), upper.alias("upper_middle"), F.when(F.count_distinct("p_size") == 1, F.max("p_size")).alias("only_size"))
+    """Mean and upper middle value, and the value if all agree.
+
+    Rows are counted by (brand, value) before they move, so a brand with most rows costs one row a distinct value.
+    """
+    counts = t.read(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("brand"), "p_size").agg(F.count(F.lit(1)).alias("c"))
+    w = Window.partitionBy("brand")
+    rows = counts.withColumn("upto", F.sum("c").over(w.orderBy("p_size").rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("c").over(w))
+    at = lambda k: F.min(F.when(F.col("upto") > k, F.col("p_size")))
+    low, high = at(F.floor((F.col("n") - 1) / 2)), at(F.floor(F.col("n") / 2))
+    return rows.groupBy("brand").agg(((low + high) / 2).alias("middle"), high.alias("upper_middle"), F.when(F.count(F.lit(1)) == 1, F.max("p_size")).alias("only_size"))
 
 
 @query("""WITH c AS (SELECT l_orderkey AS task, CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE CAST(round(l_quantity * 100) AS BIGINT) * CAST(round(l_extendedprice * 100) AS BIGINT) END AS units FROM lineitem)

@@ -31,15 +31,19 @@ def turning_points(spark, sf_dir):
     )
 
 
-@query(f"""WITH {PRICES_SQL}, a AS (SELECT sku, as_of, input_price, lead(as_of) OVER w AS next, lead(input_price) OVER w AS later FROM p WHERE sku < 10 WINDOW w AS (PARTITION BY sku ORDER BY as_of)),
-d AS (SELECT sku, as_of, input_price, next, later, unnest(generate_series(as_of, next - INTERVAL 1 DAY, INTERVAL 1 DAY))::DATE AS day FROM a WHERE next IS NOT NULL)
-SELECT sku, day, round(input_price + (later - input_price) * date_diff('day', as_of, day) / date_diff('day', as_of, next), 6) AS price FROM d WHERE isodow(day) < 6""")
+@query("""WITH m AS (SELECT p_brand AS brand, date_trunc('month', l_shipdate)::DATE AS month, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) / 100.0::DOUBLE / sum(l_quantity) AS price FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2),
+a AS (SELECT *, lead(month) OVER w AS next, lead(price) OVER w AS later FROM m WINDOW w AS (PARTITION BY brand ORDER BY month)),
+d AS (SELECT *, unnest(generate_series(month, next - INTERVAL 1 DAY, INTERVAL 1 DAY))::DATE AS day FROM a WHERE next IS NOT NULL)
+SELECT brand, day, round(price + (later - price) * date_diff('day', month, day) / date_diff('day', month, next), 6) AS price FROM d WHERE isodow(day) < 6""")
 def interpolated_days(spark, sf_dir):
-    """Business days between two observations on the line between them."""
-    w = Window.partitionBy("sku").orderBy("as_of")
-    a = prices(spark, sf_dir).where("sku < 10").select("sku", "as_of", "input_price", F.lead("as_of").over(w).alias("next"), F.lead("input_price").over(w).alias("later")).where("next is not null")
-    d = a.withColumn("day", F.explode(F.sequence("as_of", F.date_sub("next", 1)))).where(F.weekday("day") < 5)
-    return d.select("sku", "day", F.round(F.col("input_price") + (F.col("later") - F.col("input_price")) * F.datediff("day", "as_of") / F.datediff("next", "as_of"), 6).alias("price"))
+    """Business days on the line between the monthly prices of each brand."""
+    lines = t.read(spark, sf_dir, "lineitem").select("l_partkey", "l_quantity", F.trunc("l_shipdate", "month").alias("month"), t.cents("l_extendedprice").alias("cents"))
+    brands = t.read(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("brand"))
+    months = lines.join(brands, F.col("l_partkey") == F.col("p_partkey")).groupBy("brand", "month").agg((F.sum("cents") / 100.0 / F.sum("l_quantity")).alias("price"))
+    w = Window.partitionBy("brand").orderBy("month")  # one row for each brand and month
+    a = months.select("brand", "month", "price", F.lead("month").over(w).alias("next"), F.lead("price").over(w).alias("later")).where("next is not null")
+    d = a.withColumn("day", F.explode(F.sequence("month", F.date_sub("next", 1)))).where(F.weekday("day") < 5)
+    return d.select("brand", "day", F.round(F.col("price") + (F.col("later") - F.col("price")) * F.datediff("day", "month") / F.datediff("next", "month"), 6).alias("price"))
 
 
 @query("""WITH c AS (SELECT l_orderkey, l_linenumber, l_suppkey, 4 + l_linenumber / 4.0 AS tenor, l_tax AS coupon FROM lineitem), h AS (SELECT l_suppkey, l_orderkey, l_linenumber, count(*) OVER (PARTITION BY l_orderkey) AS n FROM c WHERE tenor BETWEEN 4.5 AND 5.5 AND coupon <= 0.04)

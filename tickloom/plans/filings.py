@@ -51,8 +51,8 @@ def daily_mood(spark, sf_dir):
 @query(f"WITH {_SCORED} SELECT kind, status, count(*) AS n, count(DISTINCT code) AS n_codes, min(score) AS worst FROM scored GROUP BY GROUPING SETS ((kind), (status), (kind, status), ())")
 def risk_rollup(spark, sf_dir):
     """Counts by each level and overall in one pass."""
-    scored(spark, sf_dir).createOrReplaceTempView("tickloom_scored")
-    return spark.sql("SELECT kind, status, count(*) AS n, count(DISTINCT code) AS n_codes, min(score) AS worst FROM tickloom_scored GROUP BY GROUPING SETS ((kind), (status), (kind, status), ())")
+    levels = [["kind"], ["status"], ["kind", "status"], []]
+    return scored(spark, sf_dir).groupingSets(levels, "kind", "status").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("code").alias("n_codes"), F.min("score").alias("worst"))
 
 
 @query(f"""WITH {_SCORED}, {t.BARS}, nx AS (SELECT code, date, 100.0::DOUBLE * (lead(close) OVER (PARTITION BY code ORDER BY date) / close - 1) AS pct FROM bars),

@@ -32,7 +32,7 @@ def rule_hits(spark, sf_dir):
 @query("SELECT source, lang, count(*) AS n, count(DISTINCT text) AS n_texts, min(doc_id) AS first_id FROM documents GROUP BY 1, 2")
 def feed_counts(spark, sf_dir):
     """Counts by channel and type."""
-    return t.read(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("text").alias("n_texts"), F.min("doc_id").alias("first_id"))
+    return t.read(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.xxhash64(F.lit(17), "text"), F.xxhash64(F.lit(4711), "text")).alias("n_texts"), F.min("doc_id").alias("first_id"))
 
 
 @query("""WITH k AS (SELECT doc_id, source, length(text) AS score, left(lower(text), 30) AS head FROM documents)
@@ -108,23 +108,27 @@ def engagement_scores(spark, sf_dir):
  count(*) OVER (PARTITION BY user_id) AS n, 1.0::DOUBLE * count(*) OVER (PARTITION BY event_type ORDER BY value RANGE UNBOUNDED PRECEDING) / count(*) OVER (PARTITION BY event_type) AS peers FROM events)
 SELECT event_id, n, CAST(round(5 + 35 * CASE WHEN n >= 5 THEN own ELSE peers END) AS INTEGER) AS score FROM g""")
 def engagement_percentile(spark, sf_dir):
-    """Rank among the account's own samples if there are five, else among its kind."""
-
-    def share(key):
-        every = Window.partitionBy(key)
-        return F.count(F.lit(1)).over(every.orderBy("value").rangeBetween(Window.unboundedPreceding, 0)) / F.count(F.lit(1)).over(every)
+    """Rank among the account's own samples if there are five, else among its kind.
 
+    Ranks come from counts by distinct value, made before rows move: a kind that holds most rows costs one row a value.
+    """
     rows = t.read(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
-    rows = rows.withColumns({"own": share("user_id"), "peers": share("event_type"), "n": F.count(F.lit(1)).over(Window.partitionBy("user_id"))})
-    return rows.select("event_id", "n", F.round(5 + 35 * F.when(F.col("n") >= 5, F.col("own")).otherwise(F.col("peers"))).cast("int").alias("score"))
+
+    def ranked(key, share, n):
+        w = Window.partitionBy(key)
+        counts = rows.groupBy(key, "value").agg(F.count(F.lit(1)).alias("c")).withColumn(n, F.sum("c").over(w))
+        return counts.withColumn(share, F.sum("c").over(w.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)) / F.col(n)).drop("c")
+
+    out = rows.join(ranked("user_id", "own", "n"), ["user_id", "value"]).join(ranked("event_type", "peers", "m"), ["event_type", "value"])
+    return out.select("event_id", "n", F.round(5 + 35 * F.when(F.col("n") >= 5, F.col("own")).otherwise(F.col("peers"))).cast("int").alias("score"))
 
 
 @query("""SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9_\\x{4e00}-\\x{9fff}]+', ' ', 'g'), ' +', ' ', 'g')) AS normal,
- regexp_replace(regexp_replace(lower(left(text, 60)), '[^a-z0-9\\x{4e00}-\\x{9fff}]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug, sha256(text) AS sha FROM documents""")
+ regexp_replace(regexp_replace(lower(text), '[^a-z0-9\\x{4e00}-\\x{9fff}]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug, sha256(text) AS sha FROM documents""")
 def text_keys(spark, sf_dir):
-    """normal form, slug of the title, and hash of the text."""
+    """normal form, slug and hash of the text."""
     rows = t.read(spark, sf_dir, "documents")
-    return rows.select("doc_id", text.normalise(F.col("text")).alias("normal"), text.slug(F.left("text", F.lit(60))).alias("slug"), F.sha2("text", 256).alias("sha"))
+    return rows.select("doc_id", text.normalise(F.col("text")).alias("normal"), text.slug(F.col("text")).alias("slug"), F.sha2("text", 256).alias("sha"))
 
 
 @query(f"""WITH s AS (SELECT doc_id, length(text) AS n, CASE WHEN contains(text, '###') THEN 1 ELSE 0 END + CASE WHEN contains(text, '&&&') THEN 1 ELSE 0 END + CASE WHEN contains(text, '!!') THEN 1 ELSE 0 END AS bad,

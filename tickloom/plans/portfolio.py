@@ -101,11 +101,11 @@ def nav_chain(spark, sf_dir):
     return d.select("industry", "date", F.round(run, 6).alias("log_nav"))
 
 
-@query(f"""WITH {_POS}, h AS (SELECT DISTINCT fund, code FROM pos WHERE code <= 20), n AS (SELECT code, count(*) AS n FROM h GROUP BY 1)
+@query(f"""WITH {_POS}, h AS (SELECT DISTINCT fund, code FROM pos), n AS (SELECT code, count(*) AS n FROM h GROUP BY 1)
 SELECT h.fund, count(*) AS n_codes, max(n.n) AS most_shared, string_agg(h.code::VARCHAR, ',' ORDER BY h.code) AS codes FROM h JOIN n USING (code) GROUP BY 1""")
 def shared_holdings(spark, sf_dir):
     """A fund's codes and how many funds hold the most shared one; counts instead of pairs of funds."""
-    held = positions(spark, sf_dir).where("code <= 20").select("fund", "code").distinct()
+    held = positions(spark, sf_dir).select("fund", "code").distinct()
     n = held.groupBy("code").agg(F.count(F.lit(1)).alias("n"))
     out = held.join(n, "code").groupBy("fund").agg(F.count(F.lit(1)).alias("n_codes"), F.max("n").alias("most_shared"), F.sort_array(F.collect_list("code")).alias("codes"))
     return out.withColumn("codes", F.array_join(F.transform("codes", lambda c: c.cast("string")), ","))

@@ -9,46 +9,47 @@ from tickloom.plans.register import query
 from tickloom.sources import tables as t
 
 
-def _halves(spark, sf_dir):
-    """An old and a new delivery of the same keyed rows: even orders first, then those by three with new values."""
-    rows = t.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.to_date("o_orderdate").alias("date"), F.col("o_orderstatus").alias("status"), t.cents("o_totalprice").alias("cents"))
-    return rows.where("id % 2 = 0"), rows.where("id % 3 = 0").withColumn("cents", F.col("cents") + F.when(F.col("id") % 9 == 0, 100).otherwise(0))
+def _deliveries(spark, sf_dir):
+    """An old and a new delivery of the same keyed rows: orders up to 1996, and those since then with corrected values. Both hold 1996."""
+    rows = t.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.to_date("o_orderdate").alias("date"), F.col("o_orderstatus").alias("status"), t.cents("o_totalprice").alias("cents"), "o_orderpriority")
+    corrected = F.col("cents") + F.when(F.col("o_orderpriority") == "1-URGENT", 100).otherwise(0)
+    return rows.where("date < date'1997-01-01'").drop("o_orderpriority"), rows.where("date >= date'1996-01-01'").withColumn("cents", corrected).drop("o_orderpriority")
 
 
-_HALVES = """o AS (SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS date, o_orderstatus AS status, CAST(round(o_totalprice * 100) AS BIGINT) AS cents FROM orders),
-old AS (SELECT * FROM o WHERE id % 2 = 0), new AS (SELECT id, date, status, cents + CASE WHEN id % 9 = 0 THEN 100 ELSE 0 END AS cents FROM o WHERE id % 3 = 0)"""
+_DELIVERIES = """o AS (SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS date, o_orderstatus AS status, CAST(round(o_totalprice * 100) AS BIGINT) AS cents, o_orderpriority FROM orders),
+old AS (SELECT id, date, status, cents FROM o WHERE date < DATE '1997-01-01'), new AS (SELECT id, date, status, cents + CASE WHEN o_orderpriority = '1-URGENT' THEN 100 ELSE 0 END AS cents FROM o WHERE date >= DATE '1996-01-01')"""
 
 
-@query(f"WITH {_HALVES} SELECT * FROM new UNION ALL SELECT * FROM old WHERE id NOT IN (SELECT id FROM new)")
+@query(f"WITH {_DELIVERIES} SELECT * FROM new UNION ALL SELECT * FROM old WHERE id NOT IN (SELECT id FROM new)")
 def keyed_upsert(spark, sf_dir):
     """The new row replaces the old one of its key."""
-    old, new = _halves(spark, sf_dir)
+    old, new = _deliveries(spark, sf_dir)
     return merging.last_wins(old, new, ["id"])
 
 
-@query(f"WITH {_HALVES} SELECT id, status, cents FROM new WHERE id NOT IN (SELECT id FROM old)")
+@query(f"WITH {_DELIVERIES} SELECT id, status, cents FROM new WHERE id NOT IN (SELECT id FROM old)")
 def append_new(spark, sf_dir):
     """Rows whose key isn't there yet."""
-    old, new = _halves(spark, sf_dir)
+    old, new = _deliveries(spark, sf_dir)
     return merging.append_unseen(old, new, ["id"], [F.col("cents").desc()]).select("id", "status", "cents")
 
 
-@query(f"WITH {_HALVES} SELECT * FROM old WHERE NOT (date BETWEEN DATE '1996-01-01' AND DATE '1996-12-31') UNION ALL SELECT * FROM new WHERE date BETWEEN DATE '1996-01-01' AND DATE '1996-12-31'")
+@query(f"WITH {_DELIVERIES} SELECT * FROM old WHERE NOT (date BETWEEN DATE '1996-01-01' AND DATE '1996-12-31') UNION ALL SELECT * FROM new WHERE date BETWEEN DATE '1996-01-01' AND DATE '1996-12-31'")
 def replace_year(spark, sf_dir):
     """U16, K3: what is stored for a range goes, what was fetched for it comes."""
-    old, new = _halves(spark, sf_dir)
+    old, new = _deliveries(spark, sf_dir)
     year = F.col("date").between(F.lit("1996-01-01").cast("date"), F.lit("1996-12-31").cast("date"))
     return merging.replace_range(old, new.where(year), year)
 
 
-@query(f"WITH {_HALVES} SELECT old.id AS id, old.cents AS old_cents, new.cents AS new_cents, old.status AS old_status, new.status AS new_status, 'cents' AS changed FROM old JOIN new ON old.id = new.id WHERE old.cents <> new.cents")
+@query(f"WITH {_DELIVERIES} SELECT old.id AS id, old.cents AS old_cents, new.cents AS new_cents, old.status AS old_status, new.status AS new_status, 'cents' AS changed FROM old JOIN new ON old.id = new.id WHERE old.cents <> new.cents")
 def correction_log(spark, sf_dir):
     """What an upsert changed, field by field."""
-    old, new = _halves(spark, sf_dir)
+    old, new = _deliveries(spark, sf_dir)
     return merging.correction_log(old, new, ["id"], ["cents", "status"]).select("id", "old_cents", "new_cents", "old_status", "new_status", "changed")
 
 
-@query(f"WITH {_HALVES} SELECT status AS kind, max(date) AS latest, arg_max(id, date::VARCHAR || lpad(id::VARCHAR, 12, '0')) AS id, count(*) AS n FROM o GROUP BY 1")
+@query(f"WITH {_DELIVERIES} SELECT status AS kind, max(date) AS latest, arg_max(id, date::VARCHAR || lpad(id::VARCHAR, 12, '0')) AS id, count(*) AS n FROM o GROUP BY 1")
 def latest_by_kind(spark, sf_dir):
     """The newest row of each kind."""
     rows = t.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.to_date("o_orderdate").alias("date"), F.col("o_orderstatus").alias("kind"))
