@@ -119,6 +119,73 @@ def test_site_template_goes(spark):
     assert out[205] == "Story 5\nLicence line"
 
 
+def page(i, host="m.example", ad="Buy of week {}", body="<p>Story {0} is told here at length</p><p>It ends {0} days later</p>"):
+    """A page whose class names mean nothing; its advert changes between seven texts."""
+    text = f'<div class="q1"><div class="zz{i}">{ad.format(i % 7)}</div></div><div class="k9">{body.format(i)}<div class="w3">Join us at {host}</div></div><div class="q2"><b>About us</b></div>'
+    return f"<html><body>{text}</body></html>"
+
+
+def texts_of(spark, rows, **options):
+    docs = spark.createDataFrame([(i, u, h, 1, "k") for i, u, h in rows], "page_id long, url string, html string, host int, keys string")
+    return {r["page_id"]: r["text"] for r in html_text.extract_text(docs, **options).collect()}
+
+
+def test_templates_are_found_by_counts_alone(spark):
+    rows = [(i, f"https://m.example/{i}", page(i)) for i in range(60)] + [(100 + i, f"https://other{i}.example/", page(1000 + i, f"h{i}", f"own {i}")) for i in range(3)]
+    own = {i: f"Story {i} is told here at length\nIt ends {i} days later" for i in range(60)}
+    out = texts_of(spark, rows)
+    assert {i: out[i] for i in range(60)} == own == {i: t for i, t in texts_of(spark, rows, words=False).items() if i < 60}
+    off = texts_of(spark, rows, templates=False)
+    assert off[8] == f"Buy of week 1\n{own[8]}\nJoin us at m.example\nAbout us"
+    # a story that is posted again under other links is no template, whatever stands around it
+    again = [(i, f"https://n.example/{i}", page(i, "n.example", body="<p>The same long story under every link of the site</p><p>and its end</p>")) for i in range(30)]
+    found = texts_of(spark, [(500 + i, u, h) for i, u, h in again] + rows)
+    assert all("The same long story under every link of the site\nand its end" in found[500 + i] for i in range(30))
+
+
+def test_templates_against_brute_force(spark):
+    rng = random.Random(2)
+    rows = []
+    for i in range(120):
+        host = rng.choice(["a.example"] * 5 + ["b.example", "c.example"])
+        parts = [f'<div class="x{k}">{rng.choice(["Alpha", "Beta", "Gamma " + str(rng.randint(0, 40))])}</div>' for k in range(rng.randint(0, 3))]
+        rows.append((i, f"http://{host}/{i}", f"<body>{''.join(parts)}<p>{' '.join(rng.choices('abcdefgh', k=30))} {i // 2}</p></body>"))
+    rows += rows[:10] + [(900, None, None), (901, "http://a.example/", "")]
+    read = [(u.split("/")[2] if u else "", html_text.read_page(h or "")) for _, u, h in rows]
+    seen, everywhere, places, all_places = {}, {}, {}, {}
+    for host, p in read:
+        for key, slot in zip(p.keys, p.slots):
+            seen.setdefault((host, key), set()).add(p.context)
+            everywhere.setdefault(key, set()).add(p.context)
+            places.setdefault((host, slot), {}).setdefault(key, set()).add(p.context)
+            all_places.setdefault(slot, {}).setdefault(key, set()).add(p.context)
+
+    def alike(by_key):
+        n = [len(x) for x in by_key.values()]
+        return sum(n) >= 5 and sum(x for x in n if x > 1) >= 0.75 * sum(n)
+
+    expected = []
+    for (i, _, _), (host, p) in zip(rows, read):
+        gone = set()
+        for k, (key, slot, up) in enumerate(zip(p.keys, p.slots, p.parents)):
+            if up in gone or p.outside[k] or p.hints[k] or len(seen[host, key]) >= 5 or len(everywhere[key]) >= 5 or not p.mains[k] and (alike(places[host, slot]) or alike(all_places[slot])):
+                gone.add(k)
+        expected.append((i, "\n".join(t for t, o in zip(p.texts, p.owners) if o not in gone)))
+    docs = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = html_text.extract_text(docs).collect()
+    assert sorted((r["page_id"], r["text"]) for r in got) == sorted(expected)
+    assert any("Alpha" not in t and t for _, t in expected)
+
+
+def test_templates_on_the_tables(spark, sf_dir):
+    pages = table(spark, sf_dir.replace("0.001", "0.01"), "pages")
+    text = {r["page_id"]: r["text"] for r in html_text.extract_text(pages).collect()}
+    bare = {r["page_id"]: r["text"] for r in html_text.extract_text(pages, words=False).collect()}
+    off = {r["page_id"]: r["text"] for r in html_text.extract_text(pages, templates=False).collect()}
+    assert np.mean([text[i] == bare[i] for i in text]) > 0.98
+    assert np.mean([text[i] != off[i] for i in text]) > 0.9
+
+
 def test_targets_and_fit(spark):
     rng = random.Random(1)
     rows = [(i, " ".join("w" * rng.randint(1, 3) for _ in range(rng.choice([0, 1, 5, 9, 40, 700]))), rng.choice(["a", "b", "c", "d", None]), 4) for i in range(700)]

@@ -24,13 +24,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Scratch folders made while a released() block is open, innermost last.
+_open: list[list[str]] = []
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder under the cluster's shared checkpoint folder; a temporary one only where none is set."""
+    """A new folder under the cluster's shared checkpoint folder. Only a local session may lack one: it gets its own."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tickloom-")
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/tickloom-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/tickloom-{uuid.uuid4().hex}"
+    if _open:
+        _open[-1].append(path)
+    return path
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Delete scratch folders, wherever Spark keeps them."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def path_of(df: DataFrame) -> str:
+    """The scratch folder that cut() read `df` from."""
+    return df.inputFiles()[0].rsplit("/", 1)[0]
+
+
+@contextlib.contextmanager
+def released(spark: SparkSession):
+    """Delete, at the end, the scratch folders made inside: what is still wanted has been written elsewhere by then."""
+    made: list[str] = []
+    _open.append(made)
+    try:
+        yield
+    finally:
+        _open.remove(made)
+        remove(spark, *made)
 
 
 @contextlib.contextmanager
@@ -45,10 +78,10 @@ def cleaned(spark: SparkSession):
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
-def cut(df: DataFrame, compression: str = "snappy") -> DataFrame:
+def cut(df: DataFrame, compression: str = "snappy", path: str | None = None) -> DataFrame:
     """Write `df` as Parquet into the shared folder and read it again: the lineage ends there."""
     spark = df.sparkSession
-    path = scratch_dir(spark)
+    path = path or scratch_dir(spark)
     with cleaned(spark):
         df.write.mode("overwrite").option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -127,12 +160,32 @@ def map_sorted_groups(df: DataFrame, keys: list[str], order: list[str], fn: Call
     rest = [c for c in names if c not in keys]
     names = keys + rest
     dealt = df.select(*names).repartition(*keys).sortWithinPartitions(*keys, *order)
-    return dealt.mapInArrow(run, schema)
+    return map_arrow(dealt, run, schema)
 
 
-def arrow_rows(spark: SparkSession, n: int) -> None:
-    """Rows in an Arrow batch: few where texts are long, so that a batch stays small."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(n))
+#: Bytes of an Arrow batch between Spark and Python, and of the texts that a function takes from it at once.
+BATCH_BYTES = 16 << 20
+
+
+def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """df.mapInArrow(fn) with batches bounded by bytes on both ways, whatever a row's size.
+
+    The bound is one number for every frame, so frames that are built but not yet run keep theirs.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(lambda batches: fn(sliced(batches)), schema)
+
+
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in runs of rows of about BATCH_BYTES at most; a longer row stands alone."""
+    for batch in batches:
+        n = max(1, -(-batch.nbytes // BATCH_BYTES))
+        if n == 1 or len(batch) < 2:
+            yield batch
+            continue
+        step = max(1, len(batch) // n)
+        for at in range(0, len(batch), step):
+            yield batch.slice(at, step)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm._common import arrow_rows, cut
+from tickloom.llm._common import map_arrow, cut
 
 
 @dataclass(frozen=True)
@@ -224,8 +224,7 @@ class ProjectionIndex:
                 pr = unit @ directions
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.tobytes() for x in v], pa.binary()), pa.array([x.tobytes() for x in pr], pa.binary())], names=["rep", "ids", "vec", "proj"])
 
-        arrow_rows(self.spark, 2000)
-        return rows.mapInArrow(run, "rep long, ids array<long>, vec binary, proj binary")
+        return map_arrow(rows, run, "rep long, ids array<long>, vec binary, proj binary")
 
     def _cells(self, rows: DataFrame) -> DataFrame:
         nodes, names = self.nodes, rows.columns
@@ -237,7 +236,7 @@ class ProjectionIndex:
                     yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell_of(nodes, points))], names=[*names, "cell"])
 
         fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
-        return rows.mapInArrow(run, f"{fields}, cell long")
+        return map_arrow(rows, run, f"{fields}, cell long")
 
     def _visit(self, queries: DataFrame, k: int, visits: DataFrame) -> DataFrame:
         """Search each (query, cell) of `visits`; queries of a cell are dealt in blocks against its blocks of vectors."""
@@ -283,7 +282,7 @@ class ProjectionIndex:
                     r += [far] * len(near)
                 yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(c, pa.int64()), pa.array(r, pa.float64())], names=["query", "cell", "reach"])
 
-        more = asked.mapInArrow(others, "query long, cell long, reach double")
+        more = map_arrow(asked, others, "query long, cell long, reach double")
         found = first.unionByName(self._visit(heads, k + 1, more))
         order = Window.partitionBy("query").orderBy(F.col("score").desc(), "rep")
         found = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from tickloom.llm._chunks import RunEncoder
-from tickloom.llm._common import arrow_rows
+from tickloom.llm._common import map_arrow
 
 MAX_STATES = 60_000
 
@@ -288,6 +288,5 @@ def encode_documents(docs: DataFrame, vocabulary_path: str, pattern: str, output
                         made[name].append(value)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(made[name], kinds[name]) for name in outputs)], names=["doc_id", *outputs])
 
-    arrow_rows(spark, 1000)
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"{name} {OUTPUTS[name]}" for name in outputs)
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return map_arrow(docs.select("doc_id", "text"), run, schema)

@@ -1,9 +1,9 @@
 """Main text of web pages, with site templates found by counting element subtrees over each host.
 
-Pages are parsed into element trees. Elements that are chrome by their tag, role or class are out. Of the rest
-every subtree is hashed and counted, in Spark, over the pages of its host; subtrees that recur on many pages of
-a host are that site's template and are deleted too, unless they are the article's own paragraphs. What is left
-is rendered block by block.
+Each page is parsed once, into text blocks and the block elements that could be template. Spark counts, over the
+pages of a host and over all pages, each such subtree (a hash of its place and content) and each place (a hash
+of the tags, classes and ids down to it). A subtree goes if it recurs in several contexts, or if what stands in
+its place recurs. What is left is joined block by block.
 """
 
 from __future__ import annotations
@@ -11,14 +11,14 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm._common import arrow_rows
+from tickloom.llm._common import ROW, cut, join_counted, map_arrow
 
 #: Fixed values of HTML: elements without content, whose content is text, that are blocks, that end open ones.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -27,12 +27,13 @@ BLOCKS = frozenset("address article aside blockquote body center dd details dial
 CLOSES_P = BLOCKS - frozenset("body html td th tr tbody thead tfoot caption summary legend figcaption dd dt li".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"tr", "td", "th", "tbody", "thead", "tfoot"}, "tfoot": {"tr", "td", "th", "tbody", "thead"}, "option": {"option"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "tbody": {"table"}, "tfoot": {"table"}, "option": {"select"}}
-#: Elements that are never main text; words of a class or id, and roles, that mark such elements.
+#: Elements that by their tag or role are never main text.
 CHROME_TAGS = frozenset("head nav footer aside form script style noscript template iframe svg canvas button select textarea dialog menu object embed audio video map input datalist title".split())
-CHROME_WORDS = frozenset("ad ads adv adbox adslot adunit adsbygoogle advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer masthead cookie cookies consent gdpr notice notices notification alert toast popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments commentlist disqus respond responses discussion reply replies pagination pager widget toolbar skip".split())
 CHROME_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
-PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th figcaption tr table ul ol dl tbody".split())
-KEEP = frozenset(("html", "body", "main", "article"))
+#: Words of a class or id that break ties where counts can't decide.
+HINTS = frozenset("ad ads adv adbox adslot adunit adsbygoogle advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation header menu breadcrumb breadcrumbs sidebar aside footer masthead cookie cookies consent gdpr notice notices notification alert toast popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments commentlist disqus respond responses discussion reply replies pagination pager widget toolbar skip".split())
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt figcaption tr table ul ol dl tbody thead tfoot caption".split())
+KEEP = frozenset(("html", "body", "main", "article", "td", "th"))
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
@@ -41,10 +42,10 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children", "key")
+    __slots__ = ("tag", "attrs", "children")
 
     def __init__(self, tag: str, attrs: dict[str, str]):
-        self.tag, self.attrs, self.children, self.key = tag, attrs, [], 0
+        self.tag, self.attrs, self.children = tag, attrs, []
 
 
 def parse(source: str) -> Node:
@@ -104,208 +105,260 @@ def _close(stack: list[Node], tags: set[str], scope: set[str]) -> None:
         del stack[found:]
 
 
-def is_chrome(node: Node, in_article: bool) -> bool:
-    """Menus, headers, footers, side bars, notices, adverts, forms, scripts, comments, by tag, role, class or id."""
+def never(node: Node, in_article: bool) -> bool:
+    """Menus, footers, side bars, forms, scripts, hidden parts: elements that say so by tag, role or style."""
     tag, attrs = node.tag, node.attrs
-    if tag in KEEP:
-        return tag == "article" and in_article and _marked(attrs)
     if tag in CHROME_TAGS:
         return True
-    if tag == "header" or "header" in _names(attrs):  # an article's own header may hold its title
+    if tag == "header":  # an article's own header may hold its title
         return not (in_article and any(isinstance(c, Node) and c.tag in ("h1", "h2", "hgroup") for c in node.children))
-    if not attrs:
+    if not attrs or tag in ("html", "body"):
         return False
     if attrs.get("role", "").lower() in CHROME_ROLES or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true":
         return True
-    return re.search(r"display\s*:\s*none", attrs.get("style", ""), re.I) is not None or _marked(attrs)
+    return "style" in attrs and re.search(r"display\s*:\s*none", attrs["style"], re.I) is not None
 
 
-def _names(attrs: dict[str, str]) -> list[str]:
-    """The words of an element's class and id."""
+def hinted(attrs: dict[str, str]) -> bool:
+    """Whether a class or id has a word of HINTS."""
     names = attrs.get("class", "") + " " + attrs.get("id", "")
-    return _WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", names).lower()) if names != " " else []
+    return names != " " and not HINTS.isdisjoint(_WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", names).lower()))
 
 
-def _marked(attrs: dict[str, str]) -> bool:
-    return not CHROME_WORDS.isdisjoint(_names(attrs))
+@dataclass
+class Page:
+    """Text blocks in page order with the element that each stands in (-1: none that could be template), and the
+    elements: subtree key, place, the element around it, outside the article or not, named by a hint or not, and
+    whether it can't be judged by its place: it has no class or id, or holds the longest block. `context` stands
+    for the page's own text."""
 
+    texts: list[str] = field(default_factory=list)
+    owners: list[int] = field(default_factory=list)
+    keys: list[int] = field(default_factory=list)
+    slots: list[int] = field(default_factory=list)
+    parents: list[int] = field(default_factory=list)
+    outside: list[bool] = field(default_factory=list)
+    hints: list[bool] = field(default_factory=list)
+    mains: list[bool] = field(default_factory=list)
+    context: int = 0
 
-def subtree_keys(root: Node) -> list[int]:
-    """Hash every element's subtree (tag, class, text and children), in the node and as a list."""
-    keys = []
 
-    def visit(node: Node) -> int:
-        h = xxhash.xxh3_64()
-        h.update(f"<{node.tag} {node.attrs.get('class', '')}>")
-        for c in node.children:
-            if isinstance(c, Node):
-                h.update(visit(c).to_bytes(8, "little"))
-            else:
-                h.update(_SPACE.sub(" ", c).strip())
-        node.key = h.intdigest()
-        keys.append(node.key)
-        return node.key
-
-    _deep(visit, root)
-    return keys
-
-
-def _deep(fn, node):
-    """Run a recursive visit where a page may nest elements very deeply."""
-    import sys
-    import threading
-
-    if _depth(node) < 600:
-        return fn(node)
-    out: list = []
-    before, size = sys.getrecursionlimit(), threading.stack_size()
-    sys.setrecursionlimit(200_000)
-    threading.stack_size(512 << 20)
-    try:
-        worker = threading.Thread(target=lambda: out.append(fn(node)))
-        worker.start()
-        worker.join()
-    finally:
-        sys.setrecursionlimit(before)
-        threading.stack_size(size)
-    return out[0]
-
-
-def _depth(root: Node) -> int:
-    deepest, todo = 0, [(root, 1)]
-    while todo:
-        node, depth = todo.pop()
-        deepest = max(deepest, depth)
-        todo += [(c, depth + 1) for c in node.children if isinstance(c, Node)]
-    return deepest
-
-
-def _roots(root: Node) -> tuple[list[Node], bool]:
-    """The outermost articles outside chrome; else main elements; else the page."""
+def _roots(root: Node, words: bool) -> tuple[set[int], set[int]]:
+    """Ids of the outermost articles (else of main elements) outside chrome, and of the elements around them."""
     for wanted in ("article", "main"):
-        found: list[Node] = []
-        todo = [root]
+        found: set[int] = set()
+        around: set[int] = set()
+        todo: list[tuple[Node, tuple | None]] = [(root, None)]
         while todo:
-            node = todo.pop()
-            if node is not root and is_chrome(node, False) or node.tag == "article" and _marked(node.attrs):
+            node, up = todo.pop()
+            if node is not root and never(node, False) or words and node.tag not in ("html", "body") and hinted(node.attrs):
                 continue
             if node.tag == wanted or wanted == "main" and node.attrs.get("role", "").lower() == "main":
-                found.append(node)
+                found.add(id(node))
+                while up is not None and id(up[0]) not in around:
+                    around.add(id(up[0]))
+                    up = up[1]
                 continue
-            todo += [c for c in reversed(node.children) if isinstance(c, Node)]
+            todo += [(c, (node, up)) for c in node.children if isinstance(c, Node)]
         if found:
-            return found, True
-    return [root], False
+            return found, around
+    return set(), set()
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+_BASE, _PRIME = 0x1F3D5B79A2C4E6F7, (1 << 61) - 1
 
 
-def render(root: Node, template: frozenset[int] | set[int] = frozenset()) -> str:
-    """Blocks of the main text in page order, one a line."""
-    blocks: list[str] = []
+def read_page(source: str, words: bool = True) -> Page:
+    """Walk the tree once with a stack of our own: pages may nest very deeply."""
+    root = parse(source)
+    roots, around = _roots(root, words)
+    page = Page()
     line: list[str] = []
+    # subtree hashes: a polynomial over the hashes of tags and texts, so that any stretch costs two look-ups
+    sums, powers = [0], [1]
+    starts: list[int] = []
+    is_own: list[bool] = []
 
-    def end() -> None:
+    def token(data: str) -> None:
+        sums.append((sums[-1] * _BASE + xxhash.xxh3_64_intdigest(data)) % _PRIME)
+
+    def end(owner: int, inside: bool) -> None:
         text = _SPACE.sub(" ", html.unescape("".join(line))).strip()
         line.clear()
-        if text:
-            blocks.append(text)
-
-    roots, in_article = _roots(root)
-
-    def visit(node: Node, top: bool = False) -> None:
-        if not top and is_chrome(node, in_article):
-            return
-        if not top and node.key in template and not (in_article and node.tag in PROSE) and node.tag in BLOCKS and node.tag not in KEEP:
-            return
-        block = node.tag in BLOCKS
-        cell = node.tag in ("td", "th")
-        if cell:
+        if text and (owner >= 0 or inside or not roots):
+            page.texts.append(text)
+            page.owners.append(owner)
+            is_own.append(inside or not roots)
+
+    # a step is a node to enter, or (None, node, owner around it, inside) to leave one
+    todo: list[tuple] = [(root, -1, xxhash.xxh3_64_intdigest(b""), False)]
+    while todo:
+        step = todo.pop()
+        if isinstance(step[0], str):
+            _, owner, _, inside = step
+            line.append(step[0])
+            if owner >= 0:
+                token(_SPACE.sub(" ", step[0]).strip())
+            continue
+        if step[0] is None:
+            _, node, owner, inside, made = step
+            if made >= 0:
+                token("/")
+                while len(powers) < len(sums):
+                    powers.append(powers[-1] * _BASE % _PRIME)
+                first = starts[made]
+                value = (sums[-1] - sums[first] * powers[len(sums) - 1 - first]) % _PRIME
+                page.keys[made] = _signed(xxhash.xxh3_64_intdigest(f"{page.slots[made]} {value}"))
+            elif owner >= 0:
+                token("/")
+            if node.tag in ("td", "th"):
+                line.append(" ")
+            elif node.tag in BLOCKS:
+                end(made if made >= 0 else owner, inside)
+            continue
+        node, owner, place, inside = step
+        tag, attrs, label = node.tag, node.attrs, node.tag
+        inside_before = inside
+        if node is not root:
+            if never(node, inside) or words and inside and tag == "article" and hinted(attrs):
+                continue
+            inside = inside or id(node) in roots
+            label = f"{tag}.{_DIGITS.sub('0', attrs.get('class', ''))}#{_DIGITS.sub('0', attrs.get('id', ''))}" if attrs else tag
+            place = xxhash.xxh3_64_intdigest(f"{place} {label}")
+        made = -1
+        block = tag in BLOCKS
+        if tag in ("td", "th"):
             line.append(" ")
         elif block:
-            end()
-        for c in node.children:
-            if isinstance(c, Node):
-                if c.tag == "br":
-                    line.append(" ")
-                else:
-                    visit(c)
+            end(owner, inside_before)
+        if block and tag not in KEEP and id(node) not in around and id(node) not in roots:
+            bare = tag in PROSE and not ("class" in attrs or "id" in attrs)
+            if not (inside and bare):
+                made = len(page.keys)
+                page.keys.append(0)
+                page.slots.append(_signed(place))
+                page.parents.append(owner)
+                page.outside.append(bool(roots) and not inside)
+                page.hints.append(words and hinted(attrs))
+                page.mains.append(not ("class" in attrs or "id" in attrs))
+                starts.append(len(sums) - 1)
+        here = made if made >= 0 else owner
+        if here >= 0:
+            token(f"<{label}")
+        todo.append((None, node, owner, inside, made))
+        for c in reversed(node.children):
+            if isinstance(c, str):
+                todo.append((c, here, None, inside))
+            elif c.tag == "br":
+                todo.append((" ", here, None, inside))
             else:
-                line.append(c)
-        if cell:
-            line.append(" ")
-        elif block:
-            end()
+                todo.append((c, here, place, inside))
+    end(-1, False)
+    mine = sorted({t for t, o in zip(page.texts, is_own) if o}, key=lambda t: (-len(t), t))[:2]
+    page.context = _signed(xxhash.xxh3_64_intdigest("\n".join(mine)))
+    for text, at in zip(page.texts, page.owners):
+        if mine and text == mine[0]:
+            while at >= 0:
+                page.mains[at] = True
+                at = page.parents[at]
+    return page
+
 
-    for r in roots:
-        _deep(lambda x: visit(x, True), r)
-        end()
-    return "\n".join(blocks)
+_DIGITS = re.compile(r"\d+")
 
 
 def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1))
 
 
-#: A subtree is template when it is on so many pages of its host, and on such a share of them.
-MIN_PAGES, MIN_SHARE = 5, 0.1
-#: Hosts with more than one in HOT_HOSTS pages are hot: fewer than HOT_HOSTS.
-HOT_HOSTS = 500
+#: Contexts (pages that differ in their own text) in which a subtree or a place recurs; and the share of what
+#: stands in a place that must stand there more than once for the place to be template.
+MIN_PAGES, MIN_REPEATED = 5, 0.75
 
+_ELEMENTS = {"keys": "long", "slots": "long", "parents": "int", "outside": "boolean", "hints": "boolean", "mains": "boolean"}
 
-def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """host, n_pages, keys: subtrees on at least `min_pages` pages and that share of the host's pages.
 
-    Keys of a page are distinct before they are counted, and counts are made before rows move, so a large
-    host costs no more than others. A host can have at most 1 / min_share times the subtrees of a page.
-    """
+def _read_pages(pages: DataFrame, words: bool) -> DataFrame:
+    kind = pages.schema["page_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, keys = [], []
-            for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = set(subtree_keys(parse(source or "")))
-                hosts += [host] * (len(own) + 1)
-                keys += [*np.array(list(own), np.uint64).view(np.int64).tolist(), None]
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.int64())], names=["host", "key"])
-
-    arrow_rows(pages.sparkSession, 500)
-    found = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(run, "host string, key long")
-    counts = found.groupBy("host", "key").agg(F.count(F.lit(1)).alias("n"))
-    # the row without a key counts the host's pages
-    per_host = counts.groupBy("host").agg(F.sum(F.when(F.col("key").isNull(), F.col("n"))).alias("n_pages"), F.collect_list(F.when((F.col("n") >= min_pages) & F.col("key").isNotNull(), F.struct("n", "key"))).alias("often"))
-    keys = F.transform(F.filter("often", lambda x: x["n"] >= F.col("n_pages") * min_share), lambda x: x["key"])
-    return per_host.select("host", "n_pages", keys.alias("keys"))
-
-
-def extract_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """page_id, url, text for each row of `pages`: the article's blocks, a line each; empty if there is none.
+            read = [read_page(source or "", words) for source in batch.column(4).to_pylist()]
+            kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
+            arrays = [pa.array([getattr(p, c) for p in read], pa.list_(kinds[k])) for c, k in _ELEMENTS.items()]
+            arrays += [pa.array([p.context for p in read], pa.int64()), pa.array([p.texts for p in read], pa.list_(pa.string())), pa.array([p.owners for p in read], pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), *arrays], names=[ROW, "page_id", "url", "host", *_ELEMENTS, "context", "texts", "owners"])
+
+    rows = pages.select(F.monotonically_increasing_id().alias(ROW), "page_id", "url", host_of(F.col("url")).alias("host"), "html")
+    elements = ", ".join(f"{c} array<{k}>" for c, k in _ELEMENTS.items())
+    return map_arrow(rows, run, f"{ROW} long, page_id {kind}, url string, host string, {elements}, context long, texts array<string>, owners array<int>")
+
+
+def _elements(read: DataFrame) -> DataFrame:
+    """A row for each element of each page that could be template."""
+    at = F.posexplode(F.arrays_zip(*[F.col(c) for c in _ELEMENTS])).alias("at", "e")
+    return read.select(ROW, "host", "context", at).select(ROW, "host", "context", "at", F.col("e.keys").alias("key"), F.col("e.slots").alias("slot"), F.col("e.outside"), F.col("e.hints").alias("hint"), F.col("e.mains").alias("main"))
 
-    Null html is empty. A null or odd url has the empty host, counted like any other. Repeated rows count as
-    pages each. Only page_id, url and html are read; an empty table gives an empty result.
+
+def site_templates(elements: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+    """host, slot, key, n_rows, recurs (the content does), place (most of what stands in the place does).
+
+    Contexts are counted and not pages, so an article that is posted again under other links is no template.
+    Counts are made before rows move; a host of any size costs what its subtrees do.
     """
-    from tickloom.llm._common import cut
+    base = elements.groupBy("host", "slot", "key", "context").agg(F.count(F.lit(1)).alias("n"))
+    own = cut(base.groupBy("host", "slot", "key").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("n_rows")))
+    every = cut(base.select("slot", "key", "context").distinct().groupBy("slot", "key").agg(F.count(F.lit(1)).alias("all_c")))
+    again = lambda c: F.sum(F.when(F.col(c) > 1, F.col(c)).otherwise(0))
+    places = own.groupBy("host", "slot").agg(F.sum("c").alias("n"), again("c").alias("again"), F.count(F.lit(1)).alias("d"))
+    all_places = every.groupBy("slot").agg(F.sum("all_c").alias("all_n"), again("all_c").alias("all_again"), F.count(F.lit(1)).alias("all_d"))
+    rows = join_counted(own, places, ["host", "slot"], "d", own.count())
+    wide = join_counted(every, all_places, ["slot"], "all_d", every.count())
+    rows = rows.join(wide, ["slot", "key"])
+    alike = lambda n, m: (F.col(n) >= min_pages) & (F.col(m) >= F.col(n) * MIN_REPEATED)
+    recurs = (F.col("c") >= min_pages) | (F.col("all_c") >= min_pages)
+    return rows.select("host", "slot", "key", "n_rows", recurs.alias("recurs"), (alike("n", "again") | alike("all_n", "all_again")).alias("place"))
+
+
+def extract_text(pages: DataFrame, min_pages: int = MIN_PAGES, templates: bool = True, words: bool = True) -> DataFrame:
+    """page_id, url, text for each row of `pages`: the article's blocks, a line each; empty if there is none.
 
-    templates = cut(site_templates(pages, min_pages, min_share))
-    total = templates.agg(F.coalesce(F.sum("n_pages"), F.lit(0))).first()[0]
-    least = max(total // HOT_HOSTS, min_pages)
-    rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    hot = F.broadcast(templates.where(F.col("n_pages") > least).select("host", "keys"))
-    warm = rows.join(hot, "host")
-    cold = rows.join(F.broadcast(templates.where(F.col("n_pages") > least).select("host")), "host", "left_anti")
-    cold = cold.join(templates.where((F.col("n_pages") <= least) & (F.size("keys") > 0)).select("host", "keys"), "host", "left")
+    Null html is empty. A null or odd url has the empty host, counted like any other. Repeated rows are pages of
+    one context. Only page_id, url and html are read; an empty table gives an empty result.
+
+    What recurs on a host, or in its place, goes whatever it is called; but an article's bare paragraphs,
+    headings, lists and tables are its own text however often they recur. Counts can't tell on hosts of few
+    pages and where content varies: there what an article element leaves outside goes, and what hint words name.
+    Without `templates` only what says so by tag or role goes; without `words` hints aren't asked.
+    """
+    read = cut(_read_pages(pages, words), "zstd")
+    if templates:
+        elements = _elements(read)
+        found = cut(site_templates(elements, min_pages))
+        total = found.agg(F.coalesce(F.sum("n_rows"), F.lit(0))).first()[0]
+        judged = join_counted(elements.drop("context"), found, ["host", "slot", "key"], "n_rows", total)
+        gone = F.col("recurs") | (F.col("place") & ~F.col("main")) | F.col("hint") | F.col("outside")
+        gone = cut(judged.where(gone).groupBy(ROW).agg(F.collect_list("at").alias("gone")))
+        read = read.select(ROW, "page_id", "url", "parents", "texts", "owners").join(gone, ROW, "left")
+    else:
+        read = read.withColumn("gone", F.lit(None).cast("array<int>"))
+    kind = pages.schema["page_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
-            for source, keys in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                root = parse(source or "")
-                template: set[int] = set()
-                if keys:
-                    subtree_keys(root)
-                    template = {k & 0xFFFFFFFFFFFFFFFF for k in keys}
-                texts.append(render(root, template))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
-
-    arrow_rows(pages.sparkSession, 500)
-    kind = pages.schema["page_id"].dataType.simpleString()
-    both = warm.select("page_id", "url", "html", "keys").unionByName(cold.select("page_id", "url", "html", "keys"))
-    return both.mapInArrow(run, f"page_id {kind}, url string, text string")
+            made = []
+            for parents, texts, owners, lost in zip(*(batch.column(i).to_pylist() for i in range(2, 6))):
+                if lost:
+                    out = set(lost)
+                    for i, up in enumerate(parents):  # an element stands behind the one around it
+                        if up in out:
+                            out.add(i)
+                    texts = [t for t, o in zip(texts, owners) if o not in out]
+                made.append("\n".join(texts))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.string())], names=["page_id", "url", "text"])
+
+    return map_arrow(read.select("page_id", "url", "parents", "texts", "owners", "gone"), run, f"page_id {kind}, url string, text string")

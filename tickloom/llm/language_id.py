@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm._common import arrow_rows
+from tickloom.llm._common import map_arrow
 
 #: First and last code points of the scripts told apart; other letters are "Other".
 SCRIPTS = (
@@ -138,8 +138,7 @@ def fit_languages(docs: DataFrame, most: int = TEXTS_PER_LANGUAGE, max_trigrams:
                     items, n = np.unique(values.astype(np.int64), return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(items), kind, np.int32)), pa.array([lang] * len(items), pa.string()), pa.array(items), pa.array(n.astype(np.int64))], names=["kind", "lang", "item", "n"])
 
-    arrow_rows(spark, 500)
-    counted = texts.select("text", "lang").mapInArrow(count, "kind int, lang string, item long, n long").groupBy("kind", "lang", "item").agg(F.sum("n").alias("n"))
+    counted = map_arrow(texts.select("text", "lang"), count, "kind int, lang string, item long, n long").groupBy("kind", "lang", "item").agg(F.sum("n").alias("n"))
     grams = counted.where("kind = 0").groupBy("item").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
     grams = sorted(grams.orderBy(F.col("total").desc(), "item").limit(max_trigrams).collect(), key=lambda r: r["item"])
     shares = counted.where("kind = 1").groupBy("lang", "item").agg(F.sum("n").alias("n")).collect()
@@ -277,9 +276,8 @@ def label_documents(docs: DataFrame, model: LanguageModel, spans: bool = True) -
                 arrays.append(pa.array(found, pa.list_(pa.struct([("first", pa.int64()), ("words", pa.int64()), ("lang", pa.string())]))))
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "lang_pred", "score", "spans"][: len(arrays)])
 
-    arrow_rows(docs.sparkSession, 3000)
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double"
-    return docs.select("doc_id", "text").mapInArrow(run, schema + (", spans array<struct<first:long,words:long,lang:string>>" if spans else ""))
+    return map_arrow(docs.select("doc_id", "text"), run, schema + (", spans array<struct<first:long,words:long,lang:string>>" if spans else ""))
 
 
 def identify(docs: DataFrame, spans: bool = False) -> DataFrame:

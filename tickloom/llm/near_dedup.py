@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm._common import ROW, arrow_rows, cut, join_counted, map_sorted_groups, mix64, with_rows
+from tickloom.llm._common import ROW, map_arrow, cut, join_counted, map_sorted_groups, mix64, with_rows
 from tickloom.llm.components import connected_components
 
 
@@ -140,8 +140,7 @@ def sketch_documents(docs: DataFrame, p: SketchParams) -> DataFrame:
                 sketches.append(set_sketch(h, p).astype("<u2").tobytes() if len(h) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sketches, pa.binary())], names=["doc_id", "n_shingles", "set_key", "sketch"])
 
-    arrow_rows(docs.sparkSession, 1000)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_key binary, sketch binary")
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n_shingles long, set_key binary, sketch binary")
 
 
 def _band_rows(reps: DataFrame, p: SketchParams) -> DataFrame:
@@ -274,7 +273,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, p: SketchParams) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], names=["rep", "key", "elements"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted.select("rep"), "rep", "left_semi")
-    made = texts.mapInArrow(run, "rep long, key binary, elements binary")
+    made = map_arrow(texts, run, "rep long, key binary, elements binary")
     # rows may repeat a doc_id: each set once
     return made.join(wanted.select("rep", F.col("set_key").alias("key")), ["rep", "key"]).dropDuplicates(["rep", "key"]).select("rep", "elements")
 

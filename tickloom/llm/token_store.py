@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm._chunks import RunEncoder
-from tickloom.llm._common import arrow_rows, cleaned, cut, scratch_dir
+from tickloom.llm._common import map_arrow, cleaned, cut, scratch_dir
 
 BLOCK_IDS = 1 << 18
 _LENGTHS = (1 + ((np.arange(256)[:, None] >> (2 * np.arange(4)[None, :])) & 3)).astype(np.uint8)
@@ -125,8 +125,7 @@ def _token_blocks(docs: DataFrame, definition: bytes, pattern: str, end_id: int,
 
     text = F.coalesce("text", F.lit(""))
     ordered = docs.select(F.col("doc_id").cast("long"), text.alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    arrow_rows(docs.sparkSession, 1000)
-    return ordered.mapInArrow(run, "shard long, block long, start long, doc_ids array<long>, lengths binary, width int, ids binary")
+    return map_arrow(ordered, run, "shard long, block long, start long, doc_ids array<long>, lengths binary, width int, ids binary")
 
 
 def _count_ids(blocks: DataFrame) -> DataFrame:
@@ -141,8 +140,7 @@ def _count_ids(blocks: DataFrame) -> DataFrame:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["id", "n"])
 
-    arrow_rows(blocks.sparkSession, 16)
-    return blocks.select("width", "ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return map_arrow(blocks.select("width", "ids"), run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write_store(docs: DataFrame, path: str, tokenizer_path: str, pattern: str, end_id: int = 0, block_ids: int = BLOCK_IDS) -> None:
@@ -172,9 +170,8 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, pattern: str, e
                 data.append(d)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("shard", "block", "start", "doc_ids", "lengths")), pa.array(control, pa.binary()), pa.array(data, pa.binary())], names=["shard", "block", "start", "doc_ids", "lengths", "control", "data"])
 
-    arrow_rows(spark, 16)
     with cleaned(spark):
-        raw.mapInArrow(run, "shard long, block long, start long, doc_ids array<long>, lengths binary, control binary, data binary").write.mode("overwrite").parquet(f"{path}/blocks")
+        map_arrow(raw, run, "shard long, block long, start long, doc_ids array<long>, lengths binary, control binary, data binary").write.mode("overwrite").parquet(f"{path}/blocks")
 
 
 def read_store(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
@@ -189,8 +186,7 @@ def read_store(spark: SparkSession, path: str, digest: bool = False) -> DataFram
             n = [int(np.frombuffer(x, "<u4").sum()) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], names=["shard", "n"])
 
-    arrow_rows(spark, 16)
-    per = blocks.select("shard", "lengths").mapInArrow(totals, "shard long, n long").groupBy("shard").agg(F.sum("n").alias("n")).orderBy("shard").collect()
+    per = map_arrow(blocks.select("shard", "lengths"), totals, "shard long, n long").groupBy("shard").agg(F.sum("n").alias("n")).orderBy("shard").collect()
     bases, base = {}, 0
     for r in per:
         bases[r["shard"]] = base
@@ -210,7 +206,7 @@ def read_store(spark: SparkSession, path: str, digest: bool = False) -> DataFram
                 last = pa.array([zlib.crc32(c) for c in cuts], pa.int64()) if digest else pa.array(cuts, pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(first + ends - lengths, pa.int64()), pa.array(lengths, pa.int64()), last], names=["doc_id", "start", "n_tokens", "ids_crc32" if digest else "ids"])
 
-    return blocks.mapInArrow(run, f"doc_id long, start long, n_tokens long, {'ids_crc32 long' if digest else 'ids binary'}")
+    return map_arrow(blocks, run, f"doc_id long, start long, n_tokens long, {'ids_crc32 long' if digest else 'ids binary'}")
 
 
 def store_and_read(docs: DataFrame, tokenizer_path: str, pattern: str) -> DataFrame:
