@@ -101,19 +101,20 @@ def hash128(*cols: Column) -> list[Column]:
     return [F.xxhash64(F.lit(17), *cols), F.xxhash64(F.lit(4711), *cols)]
 
 
-def join_counted(left: DataFrame, groups: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
+def join_counted(left: DataFrame, groups: DataFrame, keys: list[str], count: str, total: int, salted: tuple[str, ...] = ()) -> DataFrame:
     """Left-join rows to one row per key when a few keys may hold most rows.
 
     `groups` has one row per key and its number of rows in `count`; `total` is the sum. Keys with over
     total/HOT_SHARE rows number at most HOT_SHARE, so they are broadcast and their rows never shuffle; the
-    others are joined by a shuffle in which no key holds more than that share.
+    others are joined by a shuffle in which no key holds more than that share. `salted` names columns of `left`
+    that tell the rows of a hot key apart, where all of them are much to hash.
     """
     least = max(total // HOT_SHARE, 64)
     rest = [c for c in groups.columns if c not in keys]
     hot = groups.where(F.col(count) > least).select(*keys, F.lit(True).alias("_hot"), *[F.col(c).alias(f"_hot_{c}") for c in rest])
     marked = left.join(F.broadcast(hot), keys, "left")
     # rows that are answered go anywhere: their salt matches no group
-    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*left.columns), F.lit(1 << 20)) + 1).otherwise(F.lit(0))
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*(salted or left.columns)), F.lit(1 << 20)) + 1).otherwise(F.lit(0))
     cold = groups.where(F.col(count) <= least).withColumn("_salt", F.lit(0).cast("long"))
     joined = marked.withColumn("_salt", salt.cast("long")).join(cold, [*keys, "_salt"], "left")
     return joined.select(*left.columns, *[F.when(F.col("_hot"), F.col(f"_hot_{c}")).otherwise(F.col(c)).alias(c) for c in rest])

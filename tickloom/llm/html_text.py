@@ -1,9 +1,10 @@
 """Main text of web pages, with site templates found by counting element subtrees over each host.
 
-Each page is parsed once, into text blocks and the block elements that could be template. Spark counts, over the
-pages of a host and over all pages, each such subtree (a hash of its place and content) and each place (a hash
-of the tags, classes and ids down to it). A subtree goes if it recurs in several contexts, or if what stands in
-its place recurs. What is left is joined block by block.
+Pages are parsed into text blocks and the block elements that could be template. Spark counts, over the pages
+of a host and over all pages, each such subtree (a hash of its place and content) and each place (a hash of the
+tags, classes and ids down to it). A subtree goes if it recurs in several contexts, or if most of what stands
+in its place recurs. What is left is joined block by block. Pages are read once to count and once to write, so
+that only texts and not pages are ever moved.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm._common import ROW, cut, join_counted, map_arrow
+from tickloom.llm._common import cut, hash128, join_counted, map_arrow
 
 #: Fixed values of HTML: elements without content, whose content is text, that are blocks, that end open ones.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -279,29 +280,30 @@ def host_of(url: Column) -> Column:
 #: stands in a place that must stand there more than once for the place to be template.
 MIN_PAGES, MIN_REPEATED = 5, 0.75
 
-_ELEMENTS = {"keys": "long", "slots": "long", "parents": "int", "outside": "boolean", "hints": "boolean", "mains": "boolean"}
+_ELEMENTS = {"keys": pa.int64(), "slots": pa.int64(), "outside": pa.bool_(), "hints": pa.bool_(), "mains": pa.bool_()}
+_COLUMNS = "key long, slot long, outside boolean, hint boolean, main boolean"
 
 
-def _read_pages(pages: DataFrame, words: bool) -> DataFrame:
-    kind = pages.schema["page_id"].dataType.simpleString()
+def _known(pages: DataFrame) -> DataFrame:
+    """page_id, url, host, html, and two hashes of host and html: pages alike in both share what is decided."""
+    rows = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html"))
+    a, b = hash128(F.col("host"), F.col("html"))
+    return rows.withColumns({"a": a, "b": b})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            read = [read_page(source or "", words) for source in batch.column(4).to_pylist()]
-            kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
-            arrays = [pa.array([getattr(p, c) for p in read], pa.list_(kinds[k])) for c, k in _ELEMENTS.items()]
-            arrays += [pa.array([p.context for p in read], pa.int64()), pa.array([p.texts for p in read], pa.list_(pa.string())), pa.array([p.owners for p in read], pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), *arrays], names=[ROW, "page_id", "url", "host", *_ELEMENTS, "context", "texts", "owners"])
 
-    rows = pages.select(F.monotonically_increasing_id().alias(ROW), "page_id", "url", host_of(F.col("url")).alias("host"), "html")
-    elements = ", ".join(f"{c} array<{k}>" for c, k in _ELEMENTS.items())
-    return map_arrow(rows, run, f"{ROW} long, page_id {kind}, url string, host string, {elements}, context long, texts array<string>, owners array<int>")
+def page_elements(pages: DataFrame, words: bool = True) -> DataFrame:
+    """a, b (see _known), host, context, at, key, slot, outside, hint, main: a row for each element that could be template."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            read = [read_page(source, words) for source in batch.column(3).to_pylist()]
+            rows = pa.array([i for i, p in enumerate(read) for _ in p.keys], pa.int64())
+            at = pa.array([k for p in read for k in range(len(p.keys))], pa.int32())
+            context = pa.array([p.context for p in read], pa.int64()).take(rows)
+            arrays = [pa.array([x for p in read for x in getattr(p, c)], kind) for c, kind in _ELEMENTS.items()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(rows) for i in range(3)), context, at, *arrays], names=["a", "b", "host", "context", "at", *(c.split()[0] for c in _COLUMNS.split(", "))])
 
-def _elements(read: DataFrame) -> DataFrame:
-    """A row for each element of each page that could be template."""
-    at = F.posexplode(F.arrays_zip(*[F.col(c) for c in _ELEMENTS])).alias("at", "e")
-    return read.select(ROW, "host", "context", at).select(ROW, "host", "context", "at", F.col("e.keys").alias("key"), F.col("e.slots").alias("slot"), F.col("e.outside"), F.col("e.hints").alias("hint"), F.col("e.mains").alias("main"))
+    return map_arrow(_known(pages).select("a", "b", "host", "html"), run, f"a long, b long, host string, context long, at int, {_COLUMNS}")
 
 
 def site_templates(elements: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
@@ -335,23 +337,33 @@ def extract_text(pages: DataFrame, min_pages: int = MIN_PAGES, templates: bool =
     pages and where content varies: there what an article element leaves outside goes, and what hint words name.
     Without `templates` only what says so by tag or role goes; without `words` hints aren't asked.
     """
-    read = cut(_read_pages(pages, words), "zstd")
+    kind = pages.schema["page_id"].dataType.simpleString()
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [read_page(source, words) for source in batch.column(4).to_pylist()]
+            arrays = [pa.array([p.texts for p in made], pa.list_(pa.string())), *(pa.array([getattr(p, c) for p in made], pa.list_(pa.int32())) for c in ("owners", "parents"))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), *arrays], names=["page_id", "url", "a", "b", "texts", "owners", "parents"])
+
+    rows = map_arrow(_known(pages).select("page_id", "url", "a", "b", "html"), read, f"page_id {kind}, url string, a long, b long, texts array<string>, owners array<int>, parents array<int>")
     if templates:
-        elements = _elements(read)
+        elements = page_elements(pages, words)
+        elements = cut(elements)
         found = cut(site_templates(elements, min_pages))
         total = found.agg(F.coalesce(F.sum("n_rows"), F.lit(0))).first()[0]
         judged = join_counted(elements.drop("context"), found, ["host", "slot", "key"], "n_rows", total)
-        gone = F.col("recurs") | (F.col("place") & ~F.col("main")) | F.col("hint") | F.col("outside")
-        gone = cut(judged.where(gone).groupBy(ROW).agg(F.collect_list("at").alias("gone")))
-        read = read.select(ROW, "page_id", "url", "parents", "texts", "owners").join(gone, ROW, "left")
+        gone = judged.where(F.col("recurs") | (F.col("place") & ~F.col("main")) | F.col("hint") | F.col("outside"))
+        # one row for each page that differs from others, however often it is repeated
+        gone = gone.groupBy("a", "b", "at").agg(F.count(F.lit(1)).alias("n"))
+        gone = cut(gone.groupBy("a", "b").agg(F.collect_list("at").alias("gone"), F.max("n").alias("n")))
+        rows = join_counted(rows, gone, ["a", "b"], "n", gone.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], salted=("a", "b", "page_id"))
     else:
-        read = read.withColumn("gone", F.lit(None).cast("array<int>"))
-    kind = pages.schema["page_id"].dataType.simpleString()
+        rows = rows.withColumn("gone", F.lit(None).cast("array<int>"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = []
-            for parents, texts, owners, lost in zip(*(batch.column(i).to_pylist() for i in range(2, 6))):
+            for texts, owners, parents, lost in zip(*(batch.column(i).to_pylist() for i in range(2, 6))):
                 if lost:
                     out = set(lost)
                     for i, up in enumerate(parents):  # an element stands behind the one around it
@@ -361,4 +373,4 @@ def extract_text(pages: DataFrame, min_pages: int = MIN_PAGES, templates: bool =
                 made.append("\n".join(texts))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.string())], names=["page_id", "url", "text"])
 
-    return map_arrow(read.select("page_id", "url", "parents", "texts", "owners", "gone"), run, f"page_id {kind}, url string, text string")
+    return map_arrow(rows.select("page_id", "url", "texts", "owners", "parents", "gone"), write, f"page_id {kind}, url string, text string")
