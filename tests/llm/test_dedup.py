@@ -85,6 +85,59 @@ def test_lines_are_reversible(spark):
     assert sorted(map(tuple, again.refs.collect())) == sorted(map(tuple, index.refs.collect())) and again.counts.count() == 0
 
 
+def keys_in(index):
+    """The keys that the filters of an index hold, of those in its references."""
+    found = {}
+    for r in index.filters.collect():
+        found[r["shard"]] = line_dedup.CuckooFilter.from_bytes(r["filter"])
+    rows = index.refs.select("k1", line_dedup._shard(index.n_shards).alias("shard")).distinct().collect()
+    return {r["k1"] for r in rows if r["shard"] in found and found[r["shard"]].contains(np.array([r["k1"]], np.int64).view(np.uint64))[0]}
+
+
+@pytest.mark.parametrize("shard_keys, layers, part_docs", [(250_000, 16, 200_000), (4, 2, 8)])
+def test_changes_equal_a_fresh_build(spark, monkeypatch, shard_keys, layers, part_docs):
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", shard_keys)
+    monkeypatch.setattr(line_dedup, "MAX_LAYERS", layers)
+    monkeypatch.setattr(line_dedup, "PART_DOCS", part_docs)
+    rng = random.Random(9)
+    pool = [f"{k} is the number of this line, which is long enough to count" for k in range(25)]
+    texts = {i: "\n".join(rng.choices(pool, k=rng.randint(0, 4))) for i in range(40)}
+    index = line_dedup.LineIndex.build(rows_of(spark, texts.items()))
+    for step in range(4):
+        if step % 2:
+            lost = {i: texts.pop(i) for i in rng.sample(sorted(texts), 15)}
+            rows = rows_of(spark, lost.items())
+            index = index.delete(rows if step == 1 else rows.select("doc_id"))
+        else:
+            new = {100 * step + 50 + i: "\n".join(rng.choices(pool, k=3)) for i in range(12)}
+            texts |= new
+            index = index.insert(rows_of(spark, new.items()))
+        fresh = line_dedup.LineIndex.build(rows_of(spark, texts.items()))
+        assert sorted(map(tuple, index.counts.collect())) == sorted(map(tuple, fresh.counts.collect()))
+        assert sorted(map(tuple, index.refs.collect())) == sorted(map(tuple, fresh.refs.collect()))
+        assert keys_in(index) == {r["k1"] for r in fresh.counts.collect()}
+    out = {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["clean_text"]) for r in index.clean(rows_of(spark, texts.items())).collect()}
+    assert out == line_truth(texts.items())
+
+
+def test_a_change_writes_only_what_it_touches(spark):
+    texts = [(i, f"a long line that every document of this table holds\nthe own line of document {i}, which is long enough too") for i in range(50)]
+    index = line_dedup.LineIndex.build(rows_of(spark, texts))
+    grown = index.delete(rows_of(spark, texts[:1]))
+    assert grown._layers[-1].count() == 2 and len(grown._layers) == 2 and grown._layers[0] is index._layers[0]
+
+
+def test_lines_of_repeated_and_long_rows(spark):
+    line = "a line of more than forty characters in all of these"
+    rows = [(1, line), (1, line + "\nx"), (1, line), (1, line), (2, line), (3, line), (4, line), (None, line), (None, line)]
+    out = sorted(((r["doc_id"], r["n_dropped"]) for r in line_dedup.dedup_lines(rows_of(spark, rows)).collect()), key=str)
+    assert {n for _, n in out} == {0}  # four documents
+    rows += [(5, "\n".join([line, "short"] * 50_000)), (6, line)]
+    got = {(r["doc_id"], r["n_lines"]): r for r in line_dedup.dedup_lines(rows_of(spark, rows)).collect()}
+    assert got[5, 100_000]["n_dropped"] == 50_000 and got[5, 100_000]["clean_text"] == "\n".join(["short"] * 50_000)
+    assert got[1, 2]["clean_text"] == "x" and got[6, 1]["n_dropped"] == 0 and got[None, 1]["n_dropped"] == 0
+
+
 def test_sharded_filters_give_the_same(spark, monkeypatch):
     texts = [(i, "\n".join(f"shared line number {i % 7 + k} that is surely long enough" for k in range(3))) for i in range(60)]
     monkeypatch.setattr(line_dedup, "SHARD_KEYS", 3)
