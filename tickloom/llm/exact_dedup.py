@@ -1,7 +1,8 @@
 """Exact de-duplication by progressive refinement, in DataFrame functions only.
 
 Rows are grouped by byte length, then by a hash of the first bytes, then by a hash of the whole text; each
-step reads only rows whose group in the step before has over one row. Texts never enter a shuffle.
+step reads only rows whose group in the step before has over one row. Finding copies moves lengths and hashes,
+never texts; dropping them moves texts only where the numbers of the lost rows are too many to send to every task.
 """
 
 from __future__ import annotations
@@ -25,9 +26,11 @@ def duplicate_groups(docs: DataFrame, prefix_chars: int = PREFIX_CHARS) -> DataF
     """
     text = F.coalesce("text", F.lit(""))
     sized = docs.select(F.octet_length(text).alias("n_bytes"), F.xxhash64(F.substring(text, 1, prefix_chars)).alias("prefix"))
-    lengths = sized.groupBy("n_bytes").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("n_bytes")
-    prefixes = sized.join(lengths, "n_bytes", "left_semi").groupBy("n_bytes", "prefix").agg(F.count(F.lit(1)).alias("n"))
-    prefixes = cut(prefixes.where("n > 1").select("n_bytes", "prefix"))
+    lengths = cut(sized.groupBy("n_bytes").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    total = lengths.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    # a length that very many texts have doesn't gather them
+    alike = join_counted(sized, lengths, ["n_bytes"], "n", total).where("n is not null")
+    prefixes = cut(alike.groupBy("n_bytes", "prefix").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("n_bytes", "prefix"))
     keyed = docs.select("doc_id", text.alias("text"), F.octet_length(text).alias("n_bytes"), F.xxhash64(F.substring(text, 1, prefix_chars)).alias("prefix"))
     sha = F.sha2("text", 256).alias("text_sha256")
     if prefixes.count() <= MAX_BROADCAST_GROUPS:
@@ -66,11 +69,13 @@ def keep_one(docs: DataFrame, prefix_chars: int = PREFIX_CHARS) -> DataFrame:
     groups = duplicate_groups(ordered, prefix_chars).select("text_sha256", F.col(f"keep_id.{ROW}").alias("keep_row"), "group_size")
     shas = rows.select(ROW, F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
     joined = join_counted(shas, cut(groups), ["text_sha256"], "group_size", rows.count())
-    return rows.join(joined.where(F.col("keep_row") != F.col(ROW)).select(ROW), ROW, "left_anti").select(*docs.columns)
+    # written first: while the lost rows are few, Spark sends their numbers to the texts and not the texts to them
+    lost = cut(joined.where(F.col("keep_row") != F.col(ROW)).select(ROW))
+    return rows.join(lost, ROW, "left_anti").select(*docs.columns)
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """`docs` without the rows that exact_duplicates() drops; columns and texts as they were."""
-    lost = exact_duplicates(docs).where("not kept").select(F.col("doc_id").alias("__lost"), F.col("text_sha256").alias("__sha")).distinct()
+    lost = cut(exact_duplicates(docs).where("not kept").select(F.col("doc_id").alias("__lost"), F.col("text_sha256").alias("__sha")).distinct())
     sha = F.sha2(F.coalesce(docs["text"], F.lit("")), 256)
     return docs.join(lost, docs["doc_id"].eqNullSafe(lost["__lost"]) & (sha == lost["__sha"]), "left_anti")
