@@ -11,8 +11,8 @@ row throughout, and buckets and blocks of any size are worked through in chunks
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm._common import ROW, map_arrow, cut, join_counted, map_sorted_groups, mix64, with_rows
+from tickloom.llm._common import ROW, cut, join_counted, map_arrow, map_sorted_groups, mix64, with_rows
 from tickloom.llm.components import connected_components
 
 
@@ -28,8 +28,8 @@ from tickloom.llm.components import connected_components
 class SketchParams:
     """`bands` bands of `rows` registers find a pair of similarity s with probability 1 - (1 - s**rows)**bands.
 
-    At 0.8 the defaults miss 7 pairs in a million and at 0.85 2 in 100 million; a far larger corpus wants
-    longer rows (and more bands), so that unlike sets rarely meet.
+    At 0.8 the defaults miss 7 pairs in a million and at 0.85 2 in 100 million; for_corpus() lengthens rows for
+    larger corpora, so that unlike sets rarely meet.
     """
 
     width: int = 5
@@ -48,6 +48,14 @@ class SketchParams:
     def size(self) -> int:
         return self.rows * self.bands
 
+    def for_corpus(self, n_docs: int, unlike: float = 0.06, missed: float = 1e-5) -> SketchParams:
+        """Rows so long that a document meets few of n_docs others of similarity `unlike` in a band, and as many
+        bands as it takes to miss at most `missed` of the pairs at 0.8: 5 and 30 up to a million documents, 8 and
+        65 for a billion."""
+        rows = max(5, int(np.ceil(np.log(max(2, n_docs)) / -np.log(unlike))))
+        bands = max(self.bands, int(np.ceil(np.log(missed) / np.log1p(-(0.8**rows)))))
+        return replace(self, rows=rows, bands=bands)
+
 
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word shingles; fewer words than `width` make one shingle."""
@@ -150,64 +158,89 @@ def _band_rows(reps: DataFrame, p: SketchParams) -> DataFrame:
     return reps.select("rep", F.explode(band).alias("band"))
 
 
-def _chunked(rows: DataFrame, group: str, n_chunks: str) -> DataFrame:
-    """Deal a large group's rows to chunks, and each chunk to a task with every other chunk of its group.
-
-    Adds lo, hi (the pair of chunks of the task) and mine (the row's own chunk): groups of one chunk, nearly
-    all, keep one row for each row.
-    """
-    mine = F.pmod(F.xxhash64(F.lit(5), "rep"), F.col(n_chunks)).cast("int")
-    spread = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), (F.col(n_chunks) - 1).cast("int"))))
-    return spread.withColumn("lo", F.least("mine", "other")).withColumn("hi", F.greatest("mine", "other")).drop("other", n_chunks)
-
-
-def _likely_edges(buckets: DataFrame, p: SketchParams) -> DataFrame:
-    """src, dst: within each bucket a spanning forest of the pairs that may reach the threshold."""
-
-    reach = ReachTest(p)
-
-    def forest(key, rows) -> list[tuple]:
-        ids = [r[0] for r in rows]
-        if len(ids) < 2:
-            return []
-        n = np.array([r[1] for r in rows], np.int64)
-        sk = np.frombuffer(b"".join(r[2] for r in rows), "<u2").reshape(len(ids), p.size)
-        return [(ids[i], ids[j]) for i, j in _span(len(ids), lambda i, js: reach(sk[i], int(n[i]), sk[js], n[js]))]
-
-    return map_sorted_groups(buckets, ["band", "lo", "hi"], ["rep"], forest, "src long, dst long").distinct()
-
-
-def _span(n: int, linked) -> list[tuple[int, int]]:
-    """Spanning forest of the graph on 0..n-1 given by linked(i, js) -> bools; joined nodes aren't compared again.
+def _span(labels: np.ndarray, linked: Callable, residents: np.ndarray, visitors: np.ndarray) -> list[tuple[int, int]]:
+    """Edges that join the labels of rows linked across residents and visitors; rows of one label aren't compared.
 
-    Nodes outside the component of the current one are compared with it, so a group that hangs together
-    costs about one comparison for each node.
+    With `linked(i, js)` the rows outside the component of i are compared with it, so a group that hangs
+    together costs about one comparison for each row.
     """
-    label = np.arange(n)
+    label = labels.copy()
     edges = []
-    for i in range(n):
-        js = np.flatnonzero((label != label[i]) & (np.arange(n) > i))
+    both = np.array_equal(residents, visitors)
+    for i in visitors.tolist():
+        js = residents[label[residents] != label[i]]
+        if both:
+            js = js[js > i]
         if not len(js):
-            if (label == label[i]).all():
+            if len(np.unique(label)) == 1:
                 break
             continue
-        yes = js[linked(i, js)]
-        for j in yes.tolist():
+        for j in js[linked(i, js)].tolist():
             if label[j] != label[i]:
                 edges.append((i, j))
                 label[label == label[j]] = label[i]
     return edges
 
 
-def _exact_edges(blocks: DataFrame, p: SketchParams) -> DataFrame:
-    """src, dst: within each block a spanning forest of the pairs whose full sets reach the threshold."""
-    num, den = p.threshold
+def _spanning(rows: DataFrame, groups: DataFrame, group: str, payload: list[str], linker: Callable, p: SketchParams) -> DataFrame:
+    """src, dst: edges that join, within each group of `rows` (group, rep, payload), what `linker` links.
+
+    `groups` has n_chunks for each group. A group of several chunks is worked through chunk by chunk first.
+    Where its rows aren't one component by then, the rows outside its largest component meet all others, in
+    blocks of bounded size: so near copies in any number never meet in pairs of chunks, and no link is lost.
+    """
 
-    def forest(key, rows) -> list[tuple]:
-        ids = [r[0] for r in rows]
-        if len(ids) < 2:
+    def within(key, held) -> list[tuple]:
+        if len(held) < 2:
             return []
-        sets = [np.frombuffer(r[1], np.uint64) for r in rows]
+        all_rows = np.arange(len(held))
+        return [(held[i][0], held[j][0]) for i, j in _span(all_rows, linker([r[1:] for r in held]), all_rows, all_rows)]
+
+    def across(key, held) -> list[tuple]:
+        side = np.array([r[1] for r in held])
+        residents, visitors = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        if not len(residents) or not len(visitors):
+            return []
+        _, labels = np.unique(np.array([r[2] for r in held], np.int64), return_inverse=True)
+        return [(held[i][0], held[j][0]) for i, j in _span(labels, linker([r[3:] for r in held]), residents, visitors)]
+
+    chunk = F.pmod(F.xxhash64(F.lit(5), "rep"), F.col("n_chunks")).cast("int")
+    dealt = rows.join(groups, group)
+    first = cut(map_sorted_groups(dealt.select(group, chunk.alias("chunk"), "rep", *payload), [group, "chunk"], ["rep"], within, "src long, dst long").distinct())
+    large = groups.where("n_chunks > 1")
+    if large.isEmpty():
+        return first
+    labels = connected_components(first)
+    held = rows.join(large, group).join(labels, F.col("rep") == F.col("node"), "left").withColumn("label", F.coalesce("component", "rep")).select(group, "n_chunks", "label", "rep", *payload)
+    held = cut(held)
+    sizes = held.groupBy(group, "label").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.groupBy(group).agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("n_main")).where("n > n_main")
+    apart = held.join(cut(sizes.select(group, "main", F.ceil((F.col("n") - F.col("n_main")) / p.chunk_rows).alias("n_apart"))), group)
+    each = lambda c: F.explode(F.sequence(F.lit(0), (F.col(c) - 1).cast("int")))
+    residents = apart.select(group, chunk.alias("lo"), each("n_apart").alias("hi"), "rep", F.lit(0).alias("side"), "label", *payload)
+    visitors = apart.where("label != main").select(group, each("n_chunks").alias("lo"), F.pmod(F.xxhash64(F.lit(6), "rep"), F.col("n_apart")).cast("int").alias("hi"), "rep", F.lit(1).alias("side"), "label", *payload)
+    met = map_sorted_groups(residents.unionByName(visitors), [group, "lo", "hi"], ["rep", "side"], across, "src long, dst long").distinct()
+    return first.unionByName(cut(met))
+
+
+def _likely(p: SketchParams) -> Callable:
+    """Links sketches whose sets may reach the threshold."""
+    reach = ReachTest(p)
+
+    def linker(rows) -> Callable:
+        n = np.array([r[0] for r in rows], np.int64)
+        sk = np.frombuffer(b"".join(r[1] for r in rows), "<u2").reshape(len(rows), p.size)
+        return lambda i, js: reach(sk[i], int(n[i]), sk[js], n[js])
+
+    return linker
+
+
+def _exact(p: SketchParams) -> Callable:
+    """Links full sets that reach the threshold."""
+    num, den = p.threshold
+
+    def linker(rows) -> Callable:
+        sets = [np.frombuffer(r[0], np.uint64) for r in rows]
         sizes = np.array([len(s) for s in sets])
         _, flat = np.unique(np.concatenate(sets), return_inverse=True)
         ends = np.cumsum(sizes)
@@ -217,17 +250,16 @@ def _exact_edges(blocks: DataFrame, p: SketchParams) -> DataFrame:
         def linked(i: int, js: np.ndarray) -> np.ndarray:
             own = flat[starts[i] : ends[i]]
             seen[own] = True
-            if len(js) * 4 > len(ids):
-                common = np.add.reduceat(seen[flat], starts)[js]
+            if len(js) * 4 > len(sets):
+                common = np.add.reduceat(seen[flat], starts, dtype=np.int64)[js]
             else:
                 common = np.array([np.count_nonzero(seen[flat[starts[j] : ends[j]]]) for j in js])
             seen[own] = False
-            union = sizes[i] + sizes[js] - common
-            return den * common >= num * union
+            return den * common >= num * (sizes[i] + sizes[js] - common)
 
-        return [(ids[i], ids[j]) for i, j in _span(len(ids), linked)]
+        return linked
 
-    return map_sorted_groups(blocks, ["block", "lo", "hi"], ["rep"], forest, "src long, dst long").distinct()
+    return linker
 
 
 def near_duplicates(docs: DataFrame, params: SketchParams | None = None) -> DataFrame:
@@ -239,7 +271,7 @@ def near_duplicates(docs: DataFrame, params: SketchParams | None = None) -> Data
     another text are one node: their links combine. A null doc_id links nothing. Columns other than doc_id
     and text aren't read; empty tables give empty results.
     """
-    p = params or SketchParams()
+    p = (params or SketchParams()).for_corpus(docs.count())
     rows = cut(sketch_documents(docs, p))
     full = rows.where("set_key is not null and doc_id is not null")
     # equal sets are one row: the smallest doc_id speaks for them
@@ -247,15 +279,14 @@ def near_duplicates(docs: DataFrame, params: SketchParams | None = None) -> Data
     bands = cut(_band_rows(reps, p))
     buckets = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("members")).where("n > 1")
     # bands that gather the same rows are worked through once
-    buckets = buckets.groupBy("n", "members").agg(F.min("band").alias("band")).select("band", F.ceil(F.col("n") / p.chunk_rows).alias("n_chunks"))
-    inside = bands.join(buckets, "band").join(reps.select("rep", "n_shingles", "sketch"), "rep").select("band", "rep", "n_shingles", "sketch", "n_chunks")
-    likely = _likely_edges(_chunked(inside, "band", "n_chunks").select("band", "lo", "hi", "rep", "n_shingles", "sketch"), p)
+    buckets = cut(buckets.groupBy("n", "members").agg(F.min("band").alias("band")).select("band", F.ceil(F.col("n") / p.chunk_rows).alias("n_chunks")))
+    inside = bands.join(buckets.select("band"), "band", "left_semi").join(reps.select("rep", "n_shingles", "sketch"), "rep")
+    likely = _spanning(inside, buckets, "band", ["n_shingles", "sketch"], _likely(p), p)
     blocks = cut(connected_components(likely).select(F.col("node").alias("rep"), F.col("component").alias("block")))
     sizes = reps.select("rep", "n_shingles").join(blocks, "rep").groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("elements"))
-    chunks = sizes.select("block", F.greatest(F.ceil(F.col("n") / p.chunk_rows), F.ceil(F.col("elements") / p.chunk_elements)).alias("n_chunks"))
+    chunks = cut(sizes.select("block", F.greatest(F.ceil(F.col("n") / p.chunk_rows), F.ceil(F.col("elements") / p.chunk_elements)).alias("n_chunks")))
     sets = _sets_of(docs, reps.select("rep", "set_key").join(blocks.select("rep"), "rep"), p)
-    held = blocks.join(chunks, "block").join(sets, "rep")
-    links = _exact_edges(_chunked(held, "block", "n_chunks").select("block", "lo", "hi", "rep", "elements"), p)
+    links = _spanning(blocks.join(sets, "rep"), chunks, "block", ["elements"], _exact(p), p)
     found = connected_components(links).select(F.col("node").alias("rep"), "component")
     groups = reps.select("set_key", "rep", "n_docs").join(found, "rep", "left").select("set_key", "n_docs", F.coalesce("component", "rep").alias("component"))
     joined = join_counted(rows.select("doc_id", "n_shingles", "set_key"), groups, ["set_key"], "n_docs", full.count())
@@ -280,7 +311,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, p: SketchParams) -> DataFrame:
 
 def drop_near_copies(docs: DataFrame, params: SketchParams | None = None) -> DataFrame:
     """`docs` with one document, the smallest doc_id, of each component."""
-    gone = near_duplicates(docs, params).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
+    gone = cut(near_duplicates(docs, params).where("not kept").select(F.col("doc_id").alias("__gone")).distinct())
     return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
 
 
@@ -295,4 +326,5 @@ def keep_one(docs: DataFrame, params: SketchParams | None = None) -> DataFrame:
     found = cut(found.join(rows.select(ROW, order.alias("order")), ROW))
     groups = found.groupBy("component_id").agg(F.min("order")[ROW].alias("keep_row"), F.count(F.lit(1)).alias("n")).where("n > 1")
     joined = join_counted(found.select(ROW, "component_id"), cut(groups), ["component_id"], "n", found.count())
-    return rows.join(joined.where(F.col("keep_row") != F.col(ROW)).select(ROW), ROW, "left_anti").select(*docs.columns)
+    lost = cut(joined.where(F.col("keep_row") != F.col(ROW)).select(ROW))  # few: Spark sends them to the texts
+    return rows.join(lost, ROW, "left_anti").select(*docs.columns)
