@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from tickloom.llm._common import ROW, cut, with_rows
 
-#: The knapsack is solved exactly over at most this many words; what is open beyond it is filled greedily.
-KNAPSACK_WORDS = 1 << 16
+#: Words left to the knapsack, at least; four times the longest document where that is more.
+KNAPSACK_WORDS = 1 << 12
 #: Hash ranges by which a very common length is drawn without sorting all its documents.
 DRAW_RANGES = 4096
 WEIGHTS = (5, 2, 1)
@@ -54,9 +54,9 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
 def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many documents of each length to take so that their words come as near `budget` as found.
 
-    A proportional part of each length for most words, then larger lengths greedily down to KNAPSACK_WORDS,
-    then the best reachable sum at most the budget by dynamic programming over (length, copies), copies split in powers of
-    two; last, one more document if that ends nearer.
+    A proportional part of each length, short of the budget by a few documents of the longest length; for the
+    rest, to which some of the shortest documents are left, the best reachable sum at most the budget by dynamic
+    programming over (length, copies), copies split in powers of two; last, one more document if that ends nearer.
     """
     lengths, counts = lengths.astype(np.int64), counts.astype(np.int64)
     total = int((lengths * counts).sum())
@@ -65,19 +65,24 @@ def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
         return take
     if budget >= total:
         return counts.copy()
-    # what is left for the knapsack: enough for several documents of any length, so that it can be met closely
-    spare = min(budget, KNAPSACK_WORDS, max(4 * int(lengths.max()), budget // 4))
-    take = np.array([c * (budget - spare) // total for c in counts.tolist()], np.int64)
+    # what is left for the knapsack: a few times the longest document, and that many words of the shortest ones
+    spare = min(budget, max(4 * int(lengths.max()), KNAPSACK_WORDS))
+    free, held = counts.tolist(), spare
+    for i in np.argsort(lengths, kind="stable").tolist():
+        if lengths[i] and held > 0:
+            n = min(free[i], -(-held // int(lengths[i])))
+            free[i] -= n
+            held -= n * int(lengths[i])
+    # of the others the part of each length in proportion; what one length leaves goes on to the next
+    pool = sum(n * size for n, size in zip(free, lengths.tolist()))
+    carried = 0
+    for i, (size, n) in enumerate(zip(lengths.tolist(), free)):
+        if size and n:
+            carried += size * n * (budget - spare)
+            take[i] = min(n, carried // (size * pool))
+            carried -= int(take[i]) * size * pool
     left = budget - int((lengths * take).sum())
-    order = np.argsort(-lengths, kind="stable")
-    for i in order.tolist():
-        if left <= KNAPSACK_WORDS:
-            break
-        if lengths[i]:
-            n = min(int(counts[i] - take[i]), (left - KNAPSACK_WORDS) // int(lengths[i]) + 1, left // int(lengths[i]))
-            take[i] += max(0, n)
-            left -= max(0, n) * int(lengths[i])
-    cap = min(left, KNAPSACK_WORDS)
+    cap = left
     #: made_by[s]: the item that first reached sum s
     reach = np.zeros(cap + 1, bool)
     reach[0] = True
@@ -174,6 +179,6 @@ def _draw(rows: DataFrame, plan: DataFrame, carry: tuple[str, ...]) -> DataFrame
 def mix_documents(docs: DataFrame, seed: int = 7) -> DataFrame:
     """The mix itself: each row of `docs` as often as mix_counts() takes it, columns as they were."""
     rows = with_rows(docs)
-    copies = mix_counts(rows, seed=seed, carry=(ROW,)).where("copies > 0").select(ROW, F.col("copies").cast("int").alias("__copies"))
+    copies = cut(mix_counts(rows, seed=seed, carry=(ROW,)).where("copies > 0").select(ROW, F.col("copies").cast("int").alias("__copies")))
     joined = rows.join(copies, ROW).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
     return joined.select(*docs.columns)
