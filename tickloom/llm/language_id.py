@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm._common import map_arrow
+from tickloom.llm._common import cut, map_arrow
 
 #: First and last code points of the scripts told apart; other letters are "Other".
 SCRIPTS = (
@@ -41,11 +41,10 @@ SCRIPTS = (
     ("Arabic", 0xFB50, 0xFDFF),
     ("Arabic", 0xFE70, 0xFEFF),
 )
-#: A fit reads at most this many texts of each language, those of smallest seeded hash. Up to 1000, Spark
-#: limits each language before the shuffle, so a common one doesn't gather in a task.
-TEXTS_PER_LANGUAGE = 1000
-#: Trigrams in a model: the most frequent ones.
-MAX_TRIGRAMS = 60_000
+#: A fit reads at most this many texts of each language, those of smallest seeded hash.
+TEXTS_PER_LANGUAGE = 1500
+#: Hash ranges by which they are found: all ranges before the one that holds the last are taken whole.
+HASH_RANGES = 4096
 MEMO_WORDS = 500_000
 
 
@@ -116,16 +115,32 @@ def usable_for_training(docs: DataFrame, folds: int = 4, out: int = 2) -> Column
     return F.col("lang").isNotNull() & F.col("text").isNotNull() & F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(folds)) != out, F.lit(False))
 
 
-def fit_languages(docs: DataFrame, most: int = TEXTS_PER_LANGUAGE, max_trigrams: int = MAX_TRIGRAMS, switch: float = 10.0) -> LanguageModel:
+def chosen_texts(docs: DataFrame, most: int) -> DataFrame:
+    """doc_id, text, lang of the `most` usable rows of each language with the smallest seeded hash.
+
+    Rows are counted by (language, hash range), before they move; the counts show up to which range a language
+    is needed, and only those rows, hardly more than `most`, are ranked.
+    """
+    rows = docs.where(usable_for_training(docs)).select("doc_id", "text", "lang")
+    h = F.xxhash64(F.lit(5), F.col("doc_id"))
+    at = F.shiftrightunsigned(h, 64 - HASH_RANGES.bit_length() + 1).alias("range")
+    counts = rows.groupBy("lang", at).agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("lang").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    last = counts.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < most).groupBy("lang").agg(F.max("range").alias("last"))
+    keys = rows.select("doc_id", "lang", at, h.alias("h")).join(F.broadcast(last), "lang").where("range <= last")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("range", "h", "doc_id"))
+    chosen = keys.withColumn("place", place).where(F.col("place") <= most).select(F.col("doc_id").alias("chosen"), F.col("lang").alias("as_lang")).distinct()
+    return rows.join(F.broadcast(chosen), (F.col("doc_id") == F.col("chosen")) & (F.col("lang") == F.col("as_lang"))).select("doc_id", "text", "lang")
+
+
+def fit_languages(docs: DataFrame, most: int = TEXTS_PER_LANGUAGE, switch: float = 10.0) -> LanguageModel:
     """Learn trigrams and scripts from at most `most` texts of each language; none gives a model without languages.
 
-    Counting runs in Spark; the driver gets at most `max_trigrams` rows, and one for each language and script.
+    Counting runs in Spark. A trigram met once in all chosen texts tells little of its language: such ones are
+    the model's measure of trigrams it doesn't know, so that a new one costs every language its own share. The
+    others, bounded by the chosen texts alone, come to the driver.
     """
-    spark = docs.sparkSession
-    rows = docs.where(usable_for_training(docs)).select("doc_id", "lang")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(5), F.col("doc_id")), "doc_id")
-    chosen = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select(F.col("doc_id").alias("chosen"), F.col("lang").alias("as_lang")).distinct()
-    texts = docs.where(usable_for_training(docs)).select("doc_id", "text", "lang").join(F.broadcast(chosen), (F.col("doc_id") == F.col("chosen")) & (F.col("lang") == F.col("as_lang")))
+    texts = chosen_texts(docs, most)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,17 +154,22 @@ def fit_languages(docs: DataFrame, most: int = TEXTS_PER_LANGUAGE, max_trigrams:
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(items), kind, np.int32)), pa.array([lang] * len(items), pa.string()), pa.array(items), pa.array(n.astype(np.int64))], names=["kind", "lang", "item", "n"])
 
     counted = map_arrow(texts.select("text", "lang"), count, "kind int, lang string, item long, n long").groupBy("kind", "lang", "item").agg(F.sum("n").alias("n"))
+    counted = cut(counted)
     grams = counted.where("kind = 0").groupBy("item").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-    grams = sorted(grams.orderBy(F.col("total").desc(), "item").limit(max_trigrams).collect(), key=lambda r: r["item"])
-    shares = counted.where("kind = 1").groupBy("lang", "item").agg(F.sum("n").alias("n")).collect()
+    once = {r["lang"]: r["n"] for r in grams.where("total = 1").select(F.explode(F.map_keys("by")).alias("lang")).groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    grams = sorted(grams.where("total > 1").collect(), key=lambda r: r["item"])
+    shares = counted.where("kind = 1").collect()
     languages = sorted({r["lang"] for r in shares})
     at = {lang: i for i, lang in enumerate(languages)}
     counts = np.zeros((len(grams) + 1, len(languages)))
     for i, r in enumerate(grams):
         for lang, n in r["by"].items():
             counts[i + 1, at[lang]] = n
+    single = np.array([once.get(lang, 0) for lang in languages], float)
     counts += 0.5
-    logs = np.log(counts / counts.sum(0)) if languages else counts
+    # row 0: one of the unknown trigrams, of which there are as many as were met once
+    counts[0] = (single + 0.5) / max(1.0, single.sum())
+    logs = np.log(counts / (counts[1:].sum(0) + single + 0.5)) if languages else counts
     letters = np.zeros((len(SCRIPT_NAMES), len(languages)))
     for r in shares:
         letters[r["item"], at[r["lang"]]] = r["n"]
