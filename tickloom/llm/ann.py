@@ -19,18 +19,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm._common import map_arrow, cut
+from tickloom.llm._common import cut, join_counted, map_arrow
 
 
 @dataclass(frozen=True)
 class IndexParams:
-    """At most `max_cells` cells are cut on at most `sample` vectors; every vector is indexed."""
+    """Cells of about `cell_rows` vectors, and `leaf_rows` at least of the sample, are cut on at most `sample` vectors; every vector is indexed."""
 
     directions: int = 8
     sure: float = 0.97
     sample: int = 20_000
     cell_rows: int = 8192
-    max_cells: int = 2048
     query_rows: int = 4096
     leaf_rows: int = 32
     seed: int = 3
@@ -183,48 +182,50 @@ _X = np.linspace(0, 200, 20_001)
 class ProjectionIndex:
     """All usable vectors of a table, by cell: build once, then search().
 
-    Vectors that are null, zero, or hold null or non-finite components, take no part, nor do those of another
-    length than most. Equal vectors are one row with their `keep` smallest ids, which is all that a search for
-    `keep` - 1 neighbours can return.
+    Vectors that are null, zero, or hold null or non-finite components, take no part. Vectors of one length are
+    neighbours of each other only: those of other lengths are searched apart, by directions of their own. Equal
+    vectors are one row with their `keep` smallest ids, which is all that a search for `keep` - 1 neighbours can
+    return.
     """
 
     def __init__(self, table: DataFrame, keep: int = 6, params: IndexParams | None = None, id_col: str = "vec_id", vec_col: str = "embedding"):
         self.p, self.keep, self.spark = params or IndexParams(), keep, table.sparkSession
         vec = F.col("vec")
         usable = table.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec")).where("id is not null and vec is not null")
-        usable = usable.where(F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")) ) & F.exists(vec, lambda x: x != 0))
-        lengths = usable.groupBy(F.size("vec").alias("n")).agg(F.count(F.lit(1)).alias("c")).orderBy(F.col("c").desc(), "n").limit(1).collect()
-        self.dim = lengths[0]["n"] if lengths else 1
-        self.usable = usable.where(F.size("vec") == self.dim)
+        self.usable = usable.where(F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(vec, lambda x: x != 0))
         least = Window.partitionBy("vec").orderBy("id")
         first = self.usable.distinct().withColumn("place", F.row_number().over(least)).where(F.col("place") <= keep)
         classes = first.groupBy("vec").agg(F.sort_array(F.collect_list("id")).alias("ids"))
         classes = classes.select(F.col("ids")[0].alias("rep"), "ids", "vec")
-        rng = np.random.default_rng(self.p.seed)
-        self.directions = rng.standard_normal((self.dim, self.p.directions))
         made = cut(self._project(classes))
         n = made.count()
         sample = made.orderBy(F.xxhash64(F.lit(1), F.col("rep"))).limit(self.p.sample).select("proj").collect()
         points = np.stack([np.frombuffer(r["proj"], "<f8") for r in sample]) if sample else np.zeros((0, self.p.directions))
-        self.nodes = kd_cells(points, min(self.p.max_cells, max(1, -(-n // self.p.cell_rows))))
-        cells = self._cells(made)
-        sizes = cells.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / self.p.cell_rows).alias("subs"))
-        self.subs = {r["cell"]: r["subs"] for r in sizes.collect()}  # at most max_cells rows
+        self.nodes = kd_cells(points, max(1, min(-(-n // self.p.cell_rows), len(points) // 8)))
+        cells = cut(self._cells(made))
+        # a cell that the sample can't cut finely enough is dealt in blocks of bounded size
+        self.sizes = cut(cells.groupBy("dim", "cell").agg(F.ceil(F.count(F.lit(1)) / self.p.cell_rows).alias("subs")))
         sub = F.pmod(F.xxhash64(F.lit(2), "rep"), F.col("subs"))
-        self.data = cut(cells.join(F.broadcast(sizes), "cell").withColumn("sub", sub).drop("subs"))
+        self.data = cells.join(self.sizes, ["dim", "cell"]).withColumn("sub", sub).drop("subs")
 
     def _project(self, rows: DataFrame) -> DataFrame:
-        directions = self.directions
+        p = self.p
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                column = batch.column(2)
-                v = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
-                unit = v / np.sqrt((v * v).sum(1))[:, None]
-                pr = unit @ directions
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.tobytes() for x in v], pa.binary()), pa.array([x.tobytes() for x in pr], pa.binary())], names=["rep", "ids", "vec", "proj"])
-
-        return map_arrow(rows, run, "rep long, ids array<long>, vec binary, proj binary")
+                vectors = [np.array(v, float) for v in batch.column(2).to_pylist()]
+                projected = [b""] * len(vectors)
+                dims = np.array([len(v) for v in vectors], np.int64)
+                for dim in np.unique(dims).tolist():
+                    at = np.flatnonzero(dims == dim)
+                    v = np.stack([vectors[i] for i in at])
+                    unit = v / np.abs(v).max(1)[:, None]  # so that squares neither vanish nor overflow
+                    unit /= np.sqrt((unit * unit).sum(1))[:, None]
+                    for i, x in zip(at.tolist(), unit @ directions_of(dim, p)):
+                        projected[i] = x.tobytes()
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([v.tobytes() for v in vectors], pa.binary()), pa.array(projected, pa.binary()), pa.array(dims)], names=["rep", "ids", "vec", "proj", "dim"])
+
+        return map_arrow(rows, run, "rep long, ids array<long>, vec binary, proj binary, dim long")
 
     def _cells(self, rows: DataFrame) -> DataFrame:
         nodes, names = self.nodes, rows.columns
@@ -239,15 +240,16 @@ class ProjectionIndex:
         return map_arrow(rows, run, f"{fields}, cell long")
 
     def _visit(self, queries: DataFrame, k: int, visits: DataFrame) -> DataFrame:
-        """Search each (query, cell) of `visits`; queries of a cell are dealt in blocks against its blocks of vectors."""
+        """Search each (query, cell) of `visits`. A cell's vectors are copied only as often as it has blocks of
+        `query_rows` queries; cells that nobody asks aren't read."""
         p = self.p
-        blocks = max(1, -(-queries.count() // p.query_rows))
-        spread = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-        data = self.data.withColumn("part", spread)
-        sizes = F.broadcast(self.spark.createDataFrame(sorted(self.subs.items()), "cell long, subs long"))
-        asked = visits.join(sizes, "cell").withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1))).drop("subs")
-        asked = asked.join(queries.select("query", "vec", "proj"), "query").withColumn("part", F.pmod(F.xxhash64(F.lit(3), "query"), F.lit(blocks)).cast("int"))
-        keys = ["cell", "sub", "part"]
+        asked = visits.join(queries.select("query", "dim", "vec", "proj"), "query").join(self.sizes, ["dim", "cell"])
+        parts = asked.groupBy("dim", "cell").agg(F.ceil(F.count(F.lit(1)) / p.query_rows).alias("parts"))
+        each = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+        part = F.pmod(F.xxhash64(F.lit(3), "query"), F.col("parts"))
+        data = self.data.join(parts, ["dim", "cell"]).withColumn("part", each("parts")).drop("parts")
+        asked = asked.join(parts, ["dim", "cell"]).withColumn("part", part).withColumn("sub", each("subs")).drop("parts", "subs")
+        keys = ["dim", "cell", "sub", "part"]
 
         def search(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             return _search_block(left, right, k, p)
@@ -257,11 +259,13 @@ class ProjectionIndex:
     def search(self, condition: str, k: int) -> DataFrame:
         """query_id, rank, vec_id, score: the k nearest other vectors of each id for which `condition` (on id) holds."""
         p, nodes = self.p, self.nodes
-        asking = self.usable.where(condition).distinct()
-        own = asking.groupBy("vec").agg(F.min("id").alias("query"))
-        own = cut(asking.join(own, "vec").select("query", "id"))
-        heads = self._project(asking.join(own.where("query = id").select("id"), "id", "left_semi").select(F.col("id").alias("rep"), F.array("id").alias("ids"), "vec"))
-        heads = cut(self._cells(heads).select(F.col("rep").alias("query"), "vec", "proj", "cell"))
+        asking = cut(self.usable.where(condition).distinct())
+        alike = cut(asking.groupBy("vec").agg(F.min("id").alias("query"), F.count(F.lit(1)).alias("n")))
+        total = asking.count()
+        # a vector that very many queries share is searched once, and its rows don't gather
+        own = cut(join_counted(asking, alike, ["vec"], "n", total, salted=("id",)).select("query", "id"))
+        heads = self._project(alike.select(F.col("query").alias("rep"), F.array("query").alias("ids"), "vec"))
+        heads = cut(self._cells(heads).select(F.col("rep").alias("query"), "dim", "vec", "proj", "cell"))
         first = cut(self._visit(heads, k + 1, heads.select("query", "cell", F.lit(4.0).alias("reach"))))
         kth = first.groupBy("query").agg(F.sort_array(F.collect_list("score"), False).alias("s"))
         reach = F.when(F.size("s") > k, 2.0 - 2.0 * F.try_element_at("s", F.lit(k + 1)) + 1e-9).otherwise(F.lit(4.0))
@@ -286,11 +290,17 @@ class ProjectionIndex:
         found = first.unionByName(self._visit(heads, k + 1, more))
         order = Window.partitionBy("query").orderBy(F.col("score").desc(), "rep")
         found = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1)
-        each = own.join(found, "query").select(F.col("id").alias("query_id"), F.explode("ids").alias("vec_id"), "score").where("query_id != vec_id")
+        lists = found.groupBy("query").agg(F.collect_list(F.struct("score", "ids")).alias("found")).join(alike.select("query", "n"), "query")
+        each = join_counted(own, lists, ["query"], "n", total, salted=("id",)).select(F.col("id").alias("query_id"), F.inline("found"))
+        each = each.select("query_id", F.explode("ids").alias("vec_id"), "score").where("query_id != vec_id")
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
         return each.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def directions_of(dim: int, p: IndexParams) -> np.ndarray:
+    return np.random.default_rng([p.seed, dim]).standard_normal((dim, p.directions))
+
+
 def nearest(table: DataFrame, every: int = 50, k: int = 5, params: IndexParams | None = None) -> DataFrame:
     """Search the rows whose vec_id is divisible by `every` against all other rows; largest cosine, ties to the
     smaller vec_id. With fewer candidates all are returned; an empty table gives an empty result. Rows that
