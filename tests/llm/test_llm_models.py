@@ -81,6 +81,34 @@ def test_neighbours_recall(spark):
     assert hits / total >= 0.9
 
 
+def test_neighbours_at_real_dimension(spark, sf_dir):
+    """Recall on the tables' own vectors, every query against every row."""
+    frame = table(spark, sf_dir.replace("0.001", "0.1"), "embeddings")
+    rows = [(r["vec_id"], np.array(r["embedding"], float)) for r in frame.collect() if r["embedding"]]
+    ids, v = np.array([i for i, _ in rows]), np.stack([x for _, x in rows])
+    assert v.shape[1] >= 32
+    norms = np.sqrt((v * v).sum(1))
+    found = {}
+    for r in ann.nearest(frame, params=ann.IndexParams(cell_rows=512)).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = 0
+    for q, got in found.items():
+        at = int(np.flatnonzero(ids == q)[0])
+        s = v @ v[at] / (norms * norms[at])
+        s[at] = -9
+        hits += len(got & set(ids[np.lexsort((ids, -s))[:5]].tolist()))
+    assert len(found) == (ids % 50 == 0).sum() and hits / (5 * len(found)) >= 0.9
+
+
+def test_neighbours_ties_and_other_lengths(spark):
+    rows = [(i, [1.0, 0.0, 0.0]) for i in range(0, 400, 50)] + [(i, [1.0, float(i % 2), 0.0]) for i in range(1, 40)] + [(1000, [1.0, 2.0]), (1001, [2.0, 1.0]), (1050, [3.0, 4.0, 5.0, 6.0])]
+    out = {}
+    for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("rank").collect():
+        out.setdefault(r["query_id"], []).append((r["vec_id"], round(r["score"], 12)))
+    assert out[0] == [(i, 1.0) for i in (2, 4, 6, 8, 10)] and out[350] == [(i, 1.0) for i in (0, 2, 4, 6, 8)]
+    assert out[1000] == [(1001, 0.8)] and 1050 not in out
+
+
 def test_neighbours_edges(spark):
     schema = "vec_id long, embedding array<float>"
     assert ann.nearest(spark.createDataFrame([], schema)).count() == 0
@@ -242,6 +270,14 @@ def test_mix_takes_each_row_by_its_own_copies(spark):
     assert all(abs(mixed[s] - targets[total[s]]) <= 2 for s in total)
 
 
+def test_mix_edges(spark):
+    rows = [(1, "word " * 300_000, "a"), (1, "word " * 300_000, "a"), (2, "x", "a"), (2, "x", "a"), (3, None, None), (None, "", "b")] + [(10 + i, "one two", "b") for i in range(50)]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, source string, size int")
+    out = mixing.mix_counts(docs).collect()
+    assert len(out) == len(rows) and all(0 <= r["copies"] <= 2 for r in out)
+    assert mixing.mix_documents(docs).count() == sum(r["copies"] for r in out)
+
+
 def test_fit_counts_is_near():
     rng = np.random.default_rng(3)
     for _ in range(20):
@@ -280,6 +316,24 @@ def test_language_spans(spark):
     assert {r["lang_pred"] for r in bare.collect()} == {"und"}
 
 
+def test_language_repeated_rows_and_ties(spark):
+    train = [(i, t, lang) for i, (t, lang) in enumerate([("aaa bbb", "xx"), ("ccc ddd", "yy")] * 30)]
+    docs = spark.createDataFrame(train + train[:20] + [(None, "aaa", "xx"), (900, "aaa ccc", None), (900, "aaa ccc", None)], "doc_id long, text string, lang string")
+    out = language_id.identify(docs).collect()
+    assert len(out) == len(train) + 23 and all(r["score"] <= 1 for r in out)
+    assert {r["lang_pred"] for r in out if r["doc_id"] == 900} == {"xx"}  # even shares: the first language
+    assert not next(r for r in out if r["doc_id"] is None)["held_out"]
+
+
+def test_language_takes_the_smallest_hashes(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "text", "xx" if i % 10 else "yy") for i in range(3000)], "doc_id long, text string, lang string")
+    h = {r["doc_id"]: r["h"] for r in docs.select("doc_id", F.xxhash64(F.lit(5), F.col("doc_id")).alias("h")).collect()}
+    got = language_id.chosen_texts(docs, 100).collect()
+    for lang in ("xx", "yy"):
+        usable = [i for i in h if (lang == "yy") == (i % 10 == 0) and zlib.crc32(str(i).encode()) % 4 != 2]
+        assert sorted(r["doc_id"] for r in got if r["lang"] == lang) == sorted(sorted(usable, key=lambda i: h[i] % 2**64)[:100])
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(1)
     lengths = np.array([4, 1, 6, 0, 6])

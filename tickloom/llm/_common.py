@@ -17,7 +17,7 @@ LOWER = UPPER.lower()
 #: A key is hot when it holds more than one in HOT_SHARE rows, so there are at most HOT_SHARE hot keys.
 HOT_SHARE = 1000
 #: Column of with_rows().
-ROW = "__row"
+ROW = "__tickloom_row"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -271,6 +271,7 @@ def encode_documents(docs: DataFrame, vocabulary_path: str, pattern: str, output
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, tokens = _tools(pattern, held.value)
+        wanted = "decoded" in outputs
         for batch in batches:
             made: dict[str, list] = {name: [] for name in OUTPUTS}
             for text in batch.column(1).to_pylist():
@@ -280,7 +281,8 @@ def encode_documents(docs: DataFrame, vocabulary_path: str, pattern: str, output
                 for i in range(0, len(values), window):
                     data, piece = decoder.feed(values[i : i + window].tolist())
                     digest.update(data)
-                    parts.append(piece)
+                    if wanted:
+                        parts.append(piece)
                 parts.append(decoder.finish())
                 one = (len(values), ids, "".join(parts), hashlib.sha256(ids).hexdigest(), digest.hexdigest())
                 for name, value in zip(OUTPUTS, one):

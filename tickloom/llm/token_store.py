@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm._chunks import RunEncoder
-from tickloom.llm._common import map_arrow, cleaned, cut, scratch_dir
+from tickloom.llm._common import cleaned, cut, map_arrow, released, scratch_dir
 
 BLOCK_IDS = 1 << 18
 _LENGTHS = (1 + ((np.arange(256)[:, None] >> (2 * np.arange(4)[None, :])) & 3)).astype(np.uint8)
