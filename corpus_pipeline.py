@@ -1,4 +1,8 @@
-"""A corpus from raw documents to token ids: reject, de-duplicate, mix, encode."""
+"""A corpus from raw documents to token ids: reject, de-duplicate, mix, encode.
+
+Every stage reads the columns doc_id, text, source of its table as they come: null doc_ids and texts, repeated
+rows and empty tables are rows like others. Columns that a stage doesn't know are kept, whatever their names.
+"""
 
 from __future__ import annotations
 
@@ -6,26 +10,31 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tickloom.llm import bpe, exact_dedup, mixing, near_dedup, quality
-from tickloom.llm._common import cut, table
+from tickloom.llm._common import cut, released, remove, scratch_dir, table
 
 
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows whose text the quality model doesn't reject. A null text is scored as an empty one; without labels all rows stay."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each text, null as empty: that of the largest doc_id, null being the smallest."""
     return exact_dedup.keep_one(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of near copies: that of the smallest doc_id, null being the largest. Texts without words all stay."""
     return near_dedup.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each row as often as its source's target asks, from never to twice; null is a source, the last in order."""
     return mixing.mix_documents(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row; a null text has no ids."""
     return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
@@ -42,8 +51,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to the documents; each stage's result is written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """Apply the stages to the documents; each stage's result is written to the shared folder and read again.
+
+    What a stage wrote on its way is deleted once its result is there, and so is the result before it.
+    """
+    docs, written = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+        before, written = written, scratch_dir(spark)
+        with released(spark):
+            docs = cut(stage(spark, docs, sf_dir), path=written)
+        if before:
+            remove(spark, before)
     return STAGES[-1][1](spark, docs, sf_dir)
