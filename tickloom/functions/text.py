@@ -75,3 +75,13 @@ def chinese_number(c: Column) -> Column:
     tens = F.when(part(3) == "", 0).otherwise(whole(2, "1") * 10)
     value = whole(1, "0") * 100 + tens + whole(4, "0") + F.concat(F.lit("0."), part(5), F.lit("0")).cast("double")
     return F.when(plain.rlike(form) & (plain != ""), value)
+
+
+def relative_time(shown: Column, archived: Column) -> Column:
+    """`HH:MM`, N分钟, N小时 against the time of an archive (F12); a clock time after it is of the day before; others are null."""
+    clock = F.regexp_extract_all(shown, F.lit(r"^(\d{1,2}):(\d{2})$"), F.lit(0))
+    number = F.regexp_extract(shown, r"(\d+)", 1).try_cast("int")
+    at = F.date_trunc("day", archived) + F.make_dt_interval(F.lit(0), F.split_part(shown, F.lit(":"), F.lit(1)).try_cast("int"), F.split_part(shown, F.lit(":"), F.lit(2)).try_cast("int"))
+    at = F.when(at > archived, at - F.expr("interval 1 day")).otherwise(at)
+    back = lambda unit: archived - (F.make_dt_interval(F.lit(0), F.lit(0), number) if unit == "m" else F.make_dt_interval(F.lit(0), number))
+    return F.when(F.size(clock) > 0, at).when(shown.rlike("分钟"), back("m")).when(shown.rlike("小时"), back("h"))
