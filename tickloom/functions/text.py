@@ -85,3 +85,20 @@ def relative_time(shown: Column, archived: Column) -> Column:
     at = F.when(at > archived, at - F.expr("interval 1 day")).otherwise(at)
     back = lambda unit: archived - (F.make_dt_interval(F.lit(0), F.lit(0), number) if unit == "m" else F.make_dt_interval(F.lit(0), number))
     return F.when(F.size(clock) > 0, at).when(shown.rlike("分钟"), back("m")).when(shown.rlike("小时"), back("h"))
+
+
+def special_treatment(name: Column) -> Column:
+    """A name under special treatment: ST at the start, after a space or an asterisk."""
+    return name.rlike(r"(?i)(^|\s|\*)ST")
+
+
+def no_company(symbol: Column, kind: Column, name: Column, known: list[str]) -> Column:
+    """An instrument that isn't a company: known symbols, indices, futures, funds."""
+    bare = F.upper(F.trim(symbol))
+    by_symbol = (bare == "") | bare.isin(*known) | bare.startswith("^") | bare.endswith("=F")
+    return F.coalesce(by_symbol, F.lit(True)) | F.coalesce(F.lower(kind).isin("etf", "fund", "index", "future", "futures"), F.lit(False)) | F.coalesce(name.rlike(r"(?i)\bETF\b|\bFutures?\b|指数|期货|交易所交易基金"), F.lit(False))
+
+
+def first_held(*columns: str) -> Column:
+    """The first column that holds more than white space."""
+    return F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in columns])
