@@ -55,15 +55,24 @@ def path_of(df: DataFrame) -> str:
 
 
 @contextlib.contextmanager
-def released(spark: SparkSession):
-    """Delete, at the end, the scratch folders made inside: what is still wanted has been written elsewhere by then."""
+def recorded():
+    """A list of the scratch folders made inside."""
     made: list[str] = []
     _open.append(made)
     try:
-        yield
+        yield made
     finally:
         _open.remove(made)
-        remove(spark, *made)
+
+
+@contextlib.contextmanager
+def released(spark: SparkSession):
+    """Delete, at the end, the scratch folders made inside: what is still wanted has been written elsewhere by then."""
+    with recorded() as made:
+        try:
+            yield
+        finally:
+            remove(spark, *made)
 
 
 @contextlib.contextmanager
@@ -87,9 +96,16 @@ def cut(df: DataFrame, compression: str = "snappy", path: str | None = None) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """What make() gives, written; the scratch folders that it needed on its way are deleted."""
+    path = scratch_dir(spark)
+    with released(spark):
+        return cut(make(), path=path)
+
+
 def with_rows(df: DataFrame) -> DataFrame:
     """`df` with a number of its own for each row in ROW, written so that every reader sees the same numbers."""
-    return cut(df.withColumn(ROW, F.monotonically_increasing_id()))
+    return cut(df.withColumn(ROW, F.monotonically_increasing_id()), "zstd")
 
 
 def ascii_lower(c: Column) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm._common import ROW, cut, join_counted, with_rows
+from tickloom.llm._common import ROW, cut, join_counted, settled, with_rows
 
 #: Characters under the prefix hash.
 PREFIX_CHARS = 64
@@ -64,14 +64,17 @@ def keep_one(docs: DataFrame, prefix_chars: int = PREFIX_CHARS) -> DataFrame:
     """
     other = [f.name for f in docs.schema if f.name not in ("doc_id", "text") and "map<" not in f.dataType.simpleString()]
     rows = with_rows(docs)
-    order = F.struct("doc_id", F.xxhash64(F.lit(0), *other).alias("other"), ROW)
-    ordered = rows.select(order.alias("doc_id"), "text")
-    groups = duplicate_groups(ordered, prefix_chars).select("text_sha256", F.col(f"keep_id.{ROW}").alias("keep_row"), "group_size")
-    shas = rows.select(ROW, F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
-    joined = join_counted(shas, cut(groups), ["text_sha256"], "group_size", rows.count())
+
+    def lost() -> DataFrame:
+        order = F.struct("doc_id", F.xxhash64(F.lit(0), *other).alias("other"), ROW)
+        ordered = rows.select(order.alias("doc_id"), "text")
+        groups = duplicate_groups(ordered, prefix_chars).select("text_sha256", F.col(f"keep_id.{ROW}").alias("keep_row"), "group_size")
+        shas = rows.select(ROW, F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+        joined = join_counted(shas, cut(groups), ["text_sha256"], "group_size", rows.count())
+        return joined.where(F.col("keep_row") != F.col(ROW)).select(ROW)
+
     # written first: while the lost rows are few, Spark sends their numbers to the texts and not the texts to them
-    lost = cut(joined.where(F.col("keep_row") != F.col(ROW)).select(ROW))
-    return rows.join(lost, ROW, "left_anti").select(*docs.columns)
+    return rows.join(settled(docs.sparkSession, lost), ROW, "left_anti").select(*docs.columns)
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm._common import ROW, cut, with_rows
+from tickloom.llm._common import ROW, cut, settled, with_rows
 
 #: Words left to the knapsack, at least; four times the longest document where that is more.
 KNAPSACK_WORDS = 1 << 12
@@ -179,6 +179,6 @@ def _draw(rows: DataFrame, plan: DataFrame, carry: tuple[str, ...]) -> DataFrame
 def mix_documents(docs: DataFrame, seed: int = 7) -> DataFrame:
     """The mix itself: each row of `docs` as often as mix_counts() takes it, columns as they were."""
     rows = with_rows(docs)
-    copies = cut(mix_counts(rows, seed=seed, carry=(ROW,)).where("copies > 0").select(ROW, F.col("copies").cast("int").alias("__copies")))
+    copies = settled(docs.sparkSession, lambda: mix_counts(rows, seed=seed, carry=(ROW,)).where("copies > 0").select(ROW, F.col("copies").cast("int").alias("__copies")))
     joined = rows.join(copies, ROW).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
     return joined.select(*docs.columns)

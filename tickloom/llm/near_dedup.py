@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm._common import ROW, cut, join_counted, map_arrow, map_sorted_groups, mix64, with_rows
+from tickloom.llm._common import ROW, cut, join_counted, map_arrow, map_sorted_groups, mix64, settled, with_rows
 from tickloom.llm.components import connected_components
 
 
@@ -321,10 +321,14 @@ def keep_one(docs: DataFrame, params: SketchParams | None = None) -> DataFrame:
     It has the smallest doc_id, null being the largest; among rows of that doc_id a hash of the text decides.
     """
     rows = with_rows(docs)
-    found = near_duplicates(rows.select(F.col(ROW).alias("doc_id"), "text"), params).select(F.col("doc_id").alias(ROW), "component_id")
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), ROW)
-    found = cut(found.join(rows.select(ROW, order.alias("order")), ROW))
-    groups = found.groupBy("component_id").agg(F.min("order")[ROW].alias("keep_row"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    joined = join_counted(found.select(ROW, "component_id"), cut(groups), ["component_id"], "n", found.count())
-    lost = cut(joined.where(F.col("keep_row") != F.col(ROW)).select(ROW))  # few: Spark sends them to the texts
-    return rows.join(lost, ROW, "left_anti").select(*docs.columns)
+
+    def lost() -> DataFrame:
+        found = near_duplicates(rows.select(F.col(ROW).alias("doc_id"), "text"), params).select(F.col("doc_id").alias(ROW), "component_id")
+        order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), ROW)
+        found = cut(found.join(rows.select(ROW, order.alias("order")), ROW))
+        groups = found.groupBy("component_id").agg(F.min("order")[ROW].alias("keep_row"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        joined = join_counted(found.select(ROW, "component_id"), cut(groups), ["component_id"], "n", found.count())
+        return joined.where(F.col("keep_row") != F.col(ROW)).select(ROW)
+
+    # written first: while the lost rows are few, Spark sends their numbers to the texts
+    return rows.join(settled(docs.sparkSession, lost), ROW, "left_anti").select(*docs.columns)
