@@ -6,33 +6,65 @@ rows and empty tables are rows like others. Columns that a stage doesn't know ar
 
 from __future__ import annotations
 
+import functools
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tickloom.llm import bpe, exact_dedup, mixing, near_dedup, quality
-from tickloom.llm._common import cut, released, remove, scratch_dir, table
+from tickloom.llm._common import cut, recorded, remove, scratch_dir, table
+
+#: Scratch folders that the last stage's result is read from.
+_left: list[str] = []
+
+
+def _release(spark: SparkSession, docs: DataFrame | None = None) -> None:
+    """Delete what earlier stages left, but for folders that `docs` still reads: a stage's result is written before the next one runs."""
+    read = docs.inputFiles() if docs is not None and _left else []
+    gone = [path for path in _left if not any(path.rsplit("/", 1)[1] in file for file in read)]
+    remove(spark, *gone)
+    _left[:] = [path for path in _left if path not in gone]
+
+
+def stage(f):
+    """A stage whose scratch folders go when the next stage starts."""
+
+    @functools.wraps(f)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        _release(spark, docs)
+        with recorded() as made:
+            out = f(spark, docs, sf_dir)
+        _left.extend(made)
+        return out
+
+    return run
 
 
+@stage
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows whose text the quality model doesn't reject. A null text is scored as an empty one; without labels all rows stay."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
+@stage
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each text, null as empty: that of the largest doc_id, null being the smallest."""
     return exact_dedup.keep_one(docs)
 
 
+@stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies: that of the smallest doc_id, null being the largest. Texts without words all stay."""
     return near_dedup.keep_one(docs)
 
 
+@stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row as often as its source's target asks, from never to twice; null is a source, the last in order."""
     return mixing.mix_documents(docs)
 
 
+@stage
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row; a null text has no ids."""
     return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ("n_tokens", "ids_sha256", "decoded_sha256"))
@@ -56,10 +88,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     What a stage wrote on its way is deleted once its result is there, and so is the result before it.
     """
     docs, written = table(spark, sf_dir, "documents"), None
-    for _, stage in STAGES[:-1]:
+    for _, step in STAGES[:-1]:
         before, written = written, scratch_dir(spark)
-        with released(spark):
-            docs = cut(stage(spark, docs, sf_dir), path=written)
+        docs = cut(step(spark, docs, sf_dir), path=written)
+        _release(spark)
         if before:
             remove(spark, before)
     return STAGES[-1][1](spark, docs, sf_dir)
