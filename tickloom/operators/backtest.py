@@ -1,16 +1,19 @@
 """A long-only portfolio simulation over scored signals.
 
-Signals are columns over all bars. The simulation is a state machine day by day, so each run is one group; a
-grid of rules is one group for each, spread over the cluster. Buys and exits execute at the next bar's open.
+Signals are columns over all bars. What a bought share does until it is sold depends on its own bars alone, so
+trades are worked out code by code, in parallel, and only for the best ranked signals of each day that free
+slots could reach. The day by day part of a run, cash and slots, then sees those few trades: its size follows
+days and slots, and not the number of codes. Buys and exits execute at the next session's open.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import asdict, dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.operators import windows
@@ -20,102 +23,271 @@ from tickloom.operators import windows
 class Rules:
     max_positions: int = 30
     cost: float = 0.0015
+    #: Loss from the entry price, and sessions held, at which a position is sold; 0 is never.
     stop_loss: float = 0.1
     max_days: int = 40
     cash: float = 1_000_000.0
-    warm_up: int = 60
+    #: Bars of a code before its signals count.
+    warm_up: int = 252
+    spans: tuple[int, int, int] = (12, 26, 9)
+    #: Positive turns: falling, then rising bars for a buy; the other way for a sale.
+    red_buy: tuple[int, int] = (3, 3)
+    red_sell: tuple[int, int] = (3, 3)
+    #: Negative trends: bars, and sessions back in which the crossing must lie.
+    green_buy: tuple[int, int] = (3, 5)
+    green_sell: tuple[int, int] = (3, 5)
+    mode: str = "both"
+    strict: bool = True
+    least_strength: float = 0.0
+    sell_hist_cross: bool = False
+    sell_line_cross: bool = False
+    sell_weak_days: int = 0
+    #: Means of the trend filter: close above the first, or the second above the third; both with `trend` "and".
+    means: tuple[int, int, int] = (20, 5, 10)
+    trend: str = "or"
+    stock_trend: str = "none"
+    volume: tuple[int, float] = (5, 1.0)
+    market: str = "none"
 
 
-def signals(bars: DataFrame, warm_up: int = 60) -> DataFrame:
-    """code, date, open, close, buy, sell, score for each bar; scores are 50 and more for each filter met, 0 to 100."""
-    w = windows.by(["code"])
-    lines = windows.macd(bars).select("code", "date", "dif", "dea", "hist")
+def signals(bars: DataFrame, rules: Rules | None = None) -> DataFrame:
+    """code, date, open, close, buy, sell, score for each bar; scores are 50 and more for each filter met, 0 to 100."""
+    r = rules or Rules()
+    w, c = windows.by(["code"]), F.col
+    lines = windows.macd(bars, spans=r.spans).select("code", "date", "dif", "dea", "hist")
     rows = bars.select("code", "date", "open", "close", "volume").join(lines, ["code", "date"])
-    c = F.col
-    rows = rows.withColumns({f"ma{n}": windows.sma("close", n, w) for n in (5, 10, 20)} | {"vol5": windows.sma("volume", 5, w), "place": F.row_number().over(w)})
-    turn = windows.red_turn(c("hist"), 2, 2, w, True, False)
-    decay = windows.green_trend(c("hist"), 3, 20, w, True)
-    trend = windows.trend_mask("and", c("close"), c("ma20"), c("ma20")) | windows.trend_mask("fast_gt_slow", c("close"), c("ma5"), c("ma10"))
-    rising = F.coalesce((c("dif") > F.lag("dif").over(w)) | (c("dea") > F.lag("dea").over(w)) | (c("hist") > F.lag("hist").over(w)), F.lit(False))
-    loud = F.coalesce(c("volume") > c("vol5"), F.lit(False))
-    push = F.greatest(F.lit(-10.0), F.least(F.lit(10.0), F.try_divide(c("hist"), c("close")) * 1000))
-    as_int = lambda x, n: F.when(x, n).otherwise(0)
-    score = F.lit(50) + as_int(turn, 18) + as_int(decay, 14) + push + as_int(trend, 8) + as_int(rising, 6) + as_int(loud, 6)
-    weak = F.coalesce((c("close") < c("ma20")) & (c("ma5") < c("ma10")), F.lit(False))
-    ready = c("place") > warm_up
-    return rows.select("code", "date", "open", "close", (ready & (turn | decay) & trend).alias("buy"), (ready & weak).alias("sell"), F.greatest(F.lit(0.0), F.least(F.lit(100.0), score)).alias("score"))
+    names = {f"ma{n}": windows.sma("close", n, w) for n in sorted(set(r.means))}
+    rows = rows.withColumns(names | {"loud_base": windows.sma("volume", r.volume[0], w), "place": F.row_number().over(w)})
+    rows = rows.withColumns({f"last_{x}": F.lag(x).over(w) for x in ("dif", "dea", "hist")})
+    red = windows.red_turn(c("hist"), *r.red_buy, w, True, r.strict)
+    green = windows.green_trend(c("hist"), *r.green_buy, w, True)
+    if r.least_strength > 0:
+        strong = F.abs("hist") / c("close") >= r.least_strength
+        red, green = red & strong, green & strong
+    sell = windows.red_turn(c("hist"), *r.red_sell, w, False, r.strict) | windows.green_trend(c("hist"), *r.green_sell, w, False)
+    no = F.lit(False)
+    if r.sell_hist_cross:
+        sell = sell | F.coalesce((c("last_hist") > 0) & (c("hist") < 0), no)
+    if r.sell_line_cross:
+        sell = sell | F.coalesce((c("last_dif") >= c("last_dea")) & (c("dif") < c("dea")), no)
+    if r.sell_weak_days > 1:
+        sell = sell | windows.falling(c("hist"), r.sell_weak_days, w)
+    buy = {"red_only": red, "green_only": green}.get(r.mode, red | green)
+    trend = _trend("or" if r.trend == "or" else "and", r)
+    rising = F.coalesce((c("dif") > c("last_dif")) | (c("dea") > c("last_dea")) | (c("hist") > c("last_hist")), no)
+    loud = F.coalesce(c("volume") > c("loud_base") * r.volume[1], no)
+    filters = [(trend, 8.0), (rising, 6.0), (loud, 6.0)]
+    if r.stock_trend != "none":
+        filters.append((_trend(r.stock_trend, r), 8.0))
+    push = F.greatest(F.lit(-10.0), F.least(F.lit(10.0), F.coalesce(F.try_divide(c("hist"), c("close")) * 1000, F.lit(0.0))))
+    score = F.lit(50.0) + F.when(red, 18.0).otherwise(0.0) + F.when(green, 14.0).otherwise(0.0) + push
+    for met, points in filters:
+        buy, score = buy & met, score + F.when(met, points).otherwise(0.0)
+    return rows.select("code", "date", "open", "close", (buy & (c("place") > r.warm_up)).alias("buy"), sell.alias("sell"), F.greatest(F.lit(0.0), F.least(F.lit(100.0), score)).alias("score"))
+
+
+def _trend(kind: str, r: Rules) -> Column:
+    c = F.col("close")
+    a = windows.trend_mask("close_gt_ma", c, F.col(f"ma{r.means[0]}"), c)
+    b = windows.trend_mask("fast_gt_slow", c, F.col(f"ma{r.means[1]}"), F.col(f"ma{r.means[2]}"))
+    return {"none": F.lit(True), "close_gt_ma": a, "fast_gt_slow": b, "and": a & b, "or": a | b}[kind]
+
+
+def market_allows(benchmark: DataFrame, kind: str) -> DataFrame:
+    """date, allowed: the index above its mean of 60, 120 or 200 sessions, or its mean of 20 rising; missing is no."""
+    w = Window.orderBy("date")  # one row for each day
+    if kind == "none":
+        return benchmark.select("date", F.lit(True).alias("allowed"))
+    if kind == "slope20":
+        mean = benchmark.withColumn("m", windows.sma("close", 20, w))
+        return mean.select("date", F.coalesce(F.col("m") > F.lag("m").over(w), F.lit(False)).alias("allowed"))
+    return benchmark.select("date", F.coalesce(F.col("close") > windows.sma("close", int(kind.removeprefix("ma")), w), F.lit(False)).alias("allowed"))
+
+
+def buy_candidates(rows: DataFrame, days: DataFrame, rules: Rules) -> DataFrame:
+    """code, day (of execution), open, score, rank: signals that can be executed at the next session, ranked by (score,
+    code, open) downwards; beyond twice the slots none can be bought, as at most all slots' codes are held (T4)."""
+    w = windows.by(["code"], "day")
+    rows = rows.join(days, "date").select("code", "day", "buy", "score", F.lead("day").over(w).alias("next"), F.lead("open").over(w).alias("open"))
+    rows = rows.where("buy and next = day + 1 and open > 0 and not isnan(open)")
+    rank = F.row_number().over(Window.partitionBy("day").orderBy(F.col("score").desc(), F.col("code").desc(), F.col("open").desc()))
+    rows = rows.select("code", F.col("next").alias("day"), "open", "score").withColumn("rank", rank)
+    return rows.where(F.col("rank") <= 2 * rules.max_positions)
+
+
+_TRADE = "code string, day long, rank long, open double, exit_day long, exit_open double, reason string, marks array<double>"
+
+
+def trades_of(bars: pd.DataFrame, entries: pd.DataFrame, rules: Rules, last: int) -> pd.DataFrame:
+    """What becomes of each entry of one code: exit day (past the last one: never), price, reason, and closes while held.
+
+    A position is looked at after each session on which the code trades the next one too: loss, then time, then
+    the sell signal. A day without a bar is marked at the entry price.
+    """
+    bars = bars.sort_values("day")
+    day, opens, closes, sells = (bars[c].to_numpy() for c in ("day", "open", "close", "sell"))
+    can = np.append(np.diff(day) == 1, False) if len(day) else np.zeros(0, bool)
+    out = []
+    for e in entries.itertuples(index=False):
+        first = int(np.searchsorted(day, e.day))
+        stop = closes[first:] <= e.open * (1 - rules.stop_loss) if rules.stop_loss > 0 else np.zeros(len(day) - first, bool)
+        late = day[first:] + 1 - e.day >= rules.max_days if rules.max_days > 0 else np.zeros(len(day) - first, bool)
+        hit = np.flatnonzero(can[first:] & (stop | late | sells[first:].astype(bool)))
+        j = int(hit[0]) if len(hit) else -1
+        end = int(day[first + j]) + 1 if j >= 0 else last + 1
+        marks = np.full(end - e.day, e.open, float)
+        held = day[first:][day[first:] < end]
+        marks[held - e.day] = closes[first : first + len(held)]
+        reason = "" if j < 0 else "loss" if stop[j] else "time" if late[j] else "signal"
+        out.append((str(e.code), int(e.day), int(e.rank), float(e.open), end, float(opens[first + j + 1]) if j >= 0 else np.nan, reason, marks.tolist()))
+    return pd.DataFrame(out, columns=["code", "day", "rank", "open", "exit_day", "exit_open", "reason", "marks"])
+
+
+def replay(trades: pd.DataFrame, n_days: int, rules: Rules, allowed: Sequence[bool] | None = None) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """The run itself, day by day: exits, then entries into free slots, cash split over a day's buys.
+
+    Gives day, equity, cash, positions, opened for each day, and entry, exit, reason, gain of each closed trade.
+    """
+    by_day = {d: x for d, x in trades.sort_values(["day", "rank"]).groupby("day")} if len(trades) else {}
+    cash, held, out, closed = rules.cash, {}, [], []
+    for day in range(n_days):
+        for code in [c for c, x in held.items() if x[0].exit_day == day]:
+            own, shares, paid = held.pop(code)
+            value = shares * own.exit_open * (1 - rules.cost)
+            cash += value
+            closed.append((int(own.day), day, own.reason, value / paid - 1))
+        opened = 0
+        if day in by_day and (allowed is None or allowed[day - 1]) and cash > 0:
+            free = rules.max_positions - len(held)
+            buys = [x for x in by_day[day].itertuples(index=False) if x.code not in held][: max(0, free)]
+            part = cash / len(buys) if buys else 0.0
+            for x in buys:
+                paid = min(cash, part)
+                held[x.code] = (x, paid / (x.open * (1 + rules.cost)), paid)
+                cash -= paid
+                opened += 1
+        out.append((day, cash + sum(n * x.marks[day - x.day] for x, n, _ in held.values()), cash, len(held), opened))
+    return pd.DataFrame(out, columns=["day", "equity", "cash", "positions", "opened"]), pd.DataFrame(closed, columns=["entry", "exit", "reason", "gain"])
 
 
 def simulate(pdf: pd.DataFrame, rules: Rules) -> pd.DataFrame:
-    """Equity by day. Exits come before entries: loss, then time, then signal; cash is split over a day's buys."""
-    pdf = pdf.sort_values(["date", "code"])
-    cash, held, last, out = rules.cash, {}, {}, []
-    sells: dict = {}
-    wanted: list = []
-    for date, day in pdf.groupby("date", sort=True):
-        rows = {r.code: r for r in day.itertuples(index=False)}
-        for code in [c for c in sells if c in rows and c in held]:
-            cash += held.pop(code)[0] * rows[code].open * (1 - rules.cost)
-            sells.pop(code)
-        free = rules.max_positions - len(held)
-        buys = [c for c in wanted if c in rows and c not in held][: max(0, free)]
-        for i, code in enumerate(buys):
-            part = cash / (len(buys) - i)
-            held[code] = [part / (rows[code].open * (1 + rules.cost)), rows[code].open, 0]
-            cash -= part
-        for code, r in rows.items():
-            last[code] = r.close
-            if code in held:
-                own = held[code]
-                own[2] += 1
-                if r.close <= own[1] * (1 - rules.stop_loss) or own[2] >= rules.max_days or r.sell:
-                    sells[code] = True
-        ranked = sorted((r for r in rows.values() if r.buy), key=lambda r: (r.score, r.code, r.open), reverse=True)
-        wanted = [r.code for r in ranked]
-        out.append((date, cash + sum(n[0] * last[c] for c, n in held.items()), cash, len(held), len(buys)))
-    return pd.DataFrame(out, columns=["date", "equity", "cash", "positions", "opened"])
+    """A run over a small frame of signals (code, date, open, close, buy, sell, score), without Spark: for tests and a look at one market."""
+    dates = sorted(pdf["date"].unique())
+    pdf = pdf.assign(day=pdf["date"].map({d: i for i, d in enumerate(dates)})).sort_values(["code", "day"])
+    nxt = pdf.groupby("code")[["day", "open"]].shift(-1)
+    entries = pdf.assign(next=nxt["day"], at=nxt["open"])
+    entries = entries[entries["buy"] & (entries["next"] == entries["day"] + 1) & (entries["at"] > 0)]
+    entries = entries.sort_values(["next", "score", "code", "at"], ascending=[True, False, False, False])
+    entries = entries.assign(rank=entries.groupby("next").cumcount() + 1)[["code", "next", "at", "rank"]].rename(columns={"next": "day", "at": "open"}).astype({"day": "int64"})
+    made = [trades_of(pdf[pdf["code"] == code], own, rules, len(dates) - 1) for code, own in entries.groupby("code")]
+    curve, _ = replay(pd.concat(made) if made else pd.DataFrame(columns=["code", "day", "rank"]), len(dates), rules)
+    return curve.assign(date=dates)[["date", "equity", "cash", "positions", "opened"]]
 
 
 def metrics(curve: pd.DataFrame) -> dict[str, float]:
     """Yearly return, volatility, Sharpe, largest draw-down and Calmar of an equity curve."""
     e = curve["equity"].to_numpy(float)
     r = e[1:] / e[:-1] - 1 if len(e) > 1 else np.zeros(0)
-    year = float((e[-1] / e[0]) ** (252 / max(1, len(r))) - 1) if len(e) and e[0] > 0 else 0.0
+    year = float((e[-1] / e[0]) ** (252 / max(1, len(r))) - 1) if len(e) and e[0] > 0 and e[-1] > 0 else 0.0
     vol = float(r.std(ddof=1) * np.sqrt(252)) if len(r) > 1 else 0.0
     fall = float((1 - e / np.maximum.accumulate(e)).max()) if len(e) else 0.0
-    return {"annual": year, "volatility": vol, "sharpe": year / vol if vol else 0.0, "max_drawdown": fall, "calmar": year / fall if fall else 0.0}
+    return {"annual": year, "volatility": vol, "sharpe": year / vol if vol else 0.0, "max_drawdown": fall, "calmar": year / fall if fall else 0.0, "cumulative": float(e[-1] / e[0] - 1) if len(e) else 0.0}
+
+
+def openings_mean(opened: np.ndarray, weeks: Sequence[str]) -> float:
+    """Mean over all runs of 13 weeks of their openings a week; 0 for fewer weeks."""
+    per = pd.Series(opened).groupby(list(weeks)).sum().sort_index()
+    return float((per.rolling(13).sum() / 13).dropna().mean()) if len(per) >= 13 else 0.0
 
 
 def gate(m: dict[str, float], least_sharpe: float = 1.0, least_calmar: float = 2.0) -> list[str]:
-    """Names of the hard limits that a run misses."""
-    return [name for name, ok in (("sharpe", m["sharpe"] >= least_sharpe), ("calmar", m["calmar"] >= least_calmar)) if not ok]
+    """Names of the hard limits that a run misses (V10); the index's figures count where they are there."""
+    tests = [("sharpe", m["sharpe"] >= least_sharpe), ("calmar", m["calmar"] >= least_calmar)]
+    if "index_annual" in m:
+        tests += [("annual", m["annual"] > m["index_annual"]), ("cumulative", m["cumulative"] > m["index_cumulative"])]
+    return [name for name, ok in tests if not ok]
 
 
-def _traded(bars: DataFrame, rules: list[Rules]) -> DataFrame:
-    """Signals of the codes that are ever bought: no others can change a run."""
-    rows = signals(bars, min(r.warm_up for r in rules))
-    return rows.join(rows.where("buy").select("code").distinct(), "code", "left_semi")
+def _trades(bars: DataFrame, days: DataFrame, last: int, rules: Rules, run: int) -> DataFrame:
+    """run and _TRADE: the trades that a run may make, worked out code by code."""
+    marked = signals(bars, rules).withColumn("code", F.col("code").cast("string"))
+    entries = buy_candidates(marked, days, rules)
+    own = marked.join(days, "date").select("code", "day", "open", "close", "sell")
 
+    def work(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        return trades_of(right, left.sort_values("day"), rules, last)
 
-def equity_curve(bars: DataFrame, rules: Rules) -> DataFrame:
-    rows = _traded(bars, [rules]).withColumn("run", F.lit(0))
-    schema = "date date, equity double, cash double, positions long, opened long"
-    return rows.groupBy("run").applyInPandas(lambda pdf: simulate(pdf, rules), schema)
+    made = entries.groupBy("code").cogroup(own.groupBy("code")).applyInPandas(work, _TRADE)
+    return made.withColumn("run", F.lit(run))
 
 
-def grid(bars: DataFrame, candidates: list[Rules]) -> DataFrame:
-    """One row for each distinct rule set: its parameters, metrics and failed gates."""
-    candidates = list(dict.fromkeys(candidates))
-    spark = bars.sparkSession
-    runs = spark.createDataFrame([(i,) for i in range(len(candidates))], "run int")
-    rows = _traded(bars, candidates).join(F.broadcast(runs), F.lit(True))
+def runs(bars: DataFrame, benchmark: DataFrame, candidates: Sequence[Rules], fn, schema: str) -> DataFrame:
+    """fn(rules, days, curve, closed) -> frame, for each of the rule sets; `days` has date, close of the index by day."""
+    listed = benchmark.select("date", "close", (F.row_number().over(Window.orderBy("date")) - 1).cast("long").alias("day"))  # one row for each day
+    days = listed.toPandas()  # the sessions of an index: thousands of rows for any number of codes
+    held = {kind: market_allows(benchmark, kind).orderBy("date").toPandas()["allowed"].to_numpy() for kind in {r.market for r in candidates}}
+    made = None
+    for i, rules in enumerate(candidates):
+        own = _trades(bars, listed.select("date", "day"), len(days) - 1, rules, i)
+        made = own if made is None else made.unionByName(own)
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    def work(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         rules = candidates[int(key[0])]
-        m = metrics(simulate(pdf, rules))
-        return pd.DataFrame([asdict(rules) | m | {"run": int(key[0]), "failed": ",".join(gate(m))}])[_GRID]
+        curve, closed = replay(pdf, len(days), rules, held[rules.market])
+        return fn(int(key[0]), rules, days, curve, closed)
+
+    return made.groupBy("run").applyInPandas(work, schema)
+
+
+def equity_curve(bars: DataFrame, benchmark: DataFrame, rules: Rules) -> DataFrame:
+    """date, equity, cash, positions, opened of one run."""
+
+    def out(run, rules, days, curve, closed):
+        return curve.assign(date=days["date"])[["date", "equity", "cash", "positions", "opened"]]
+
+    return runs(bars, benchmark, [rules], out, "date date, equity double, cash double, positions long, opened long")
+
+
+_FIGURES = ["annual", "cumulative", "volatility", "sharpe", "max_drawdown", "calmar", "index_annual", "index_cumulative", "excess", "win_rate", "openings"]
+_COUNTS = ["trades", "by_loss", "by_time", "by_signal"]
+
+
+def figures(run: int, rules: Rules, days: pd.DataFrame, curve: pd.DataFrame, closed: pd.DataFrame) -> dict:
+    """All metrics of a run from its first execution day, beside the index's."""
+    m = metrics(curve.iloc[1:])
+    index = metrics(days.iloc[1:].rename(columns={"close": "equity"})[["equity"]])
+    week = [f"{d.year}-{-(-d.timetuple().tm_yday // 7):02d}" for d in days["date"]]
+    m |= {"index_annual": index["annual"], "index_cumulative": index["cumulative"], "excess": m["annual"] - index["annual"]}
+    m |= {"win_rate": float((closed["gain"] > 0).mean()) if len(closed) else 0.0, "openings": openings_mean(curve["opened"].to_numpy()[1:], week[1:])}
+    m |= {"trades": len(closed)} | {f"by_{k}": int((closed["reason"] == k).sum()) for k in ("loss", "time", "signal")}
+    return m
+
+
+def grid(bars: DataFrame, benchmark: DataFrame, candidates: Sequence[Rules]) -> DataFrame:
+    """One row for each distinct rule set, in order: its parameters, metrics and failed gates."""
+    candidates = list(dict.fromkeys(candidates))
+    shown = ["max_positions", "stop_loss", "max_days"]
+
+    def out(run, rules, days, curve, closed):
+        m = figures(run, rules, days, curve, closed)
+        return pd.DataFrame([{"run": run} | {k: asdict(rules)[k] for k in shown} | m | {"failed": ",".join(gate(m))}])[["run", *shown, *_FIGURES, *_COUNTS, "failed"]]
+
+    kinds = "run int, max_positions long, stop_loss double, max_days long, " + ", ".join(f"{c} double" for c in _FIGURES) + ", " + ", ".join(f"{c} long" for c in _COUNTS) + ", failed string"
+    return runs(bars, benchmark, candidates, out, kinds)
 
-    return rows.groupBy("run").applyInPandas(run, "run int, max_positions long, stop_loss double, max_days long, annual double, volatility double, sharpe double, max_drawdown double, calmar double, failed string")
 
+def staged_search(bars: DataFrame, benchmark: DataFrame, base: Rules, stages: Sequence[tuple[str, Sequence[dict]]]) -> DataFrame:
+    """Each stage tries changes to the rules kept so far, as one grid; its first passing candidate, else the best by
+    Sharpe, is kept for the next (M3). stage, then the columns of grid() for what was kept: one row for each stage."""
+    from dataclasses import replace
 
-_GRID = ["run", "max_positions", "stop_loss", "max_days", "annual", "volatility", "sharpe", "max_drawdown", "calmar", "failed"]
+    spark, kept, rows = bars.sparkSession, base, []
+    for name, changes in stages:
+        tried = list(dict.fromkeys([kept, *(replace(kept, **c) for c in changes)]))
+        found = sorted(grid(bars, benchmark, tried).collect(), key=lambda r: r["run"])  # one row for each candidate
+        best = next((r for r in found if not r["failed"]), None) or max(found, key=lambda r: r["sharpe"], default=None)
+        if best is not None:
+            kept = tried[best["run"]]
+            rows.append((name, *best))
+    kinds = "stage string, run int, max_positions long, stop_loss double, max_days long, " + ", ".join(f"{c} double" for c in _FIGURES) + ", " + ", ".join(f"{c} long" for c in _COUNTS) + ", failed string"
+    return spark.createDataFrame(rows, kinds)

@@ -171,16 +171,79 @@ def week_keys(spark, sf_dir):
     return days.select("date", dates.iso_week(F.col("date")).alias("iso_week"), dates.simple_week(F.col("date")).alias("simple_week"))
 
 
+_MACD = """macd AS (SELECT code, date, rn, dif, dea, dif - dea AS hist FROM e)"""
+_E = """o AS (SELECT code, date, close, row_number() OVER (PARTITION BY code ORDER BY date) AS rn FROM bars),
+e AS (SELECT code, rn, date, close AS e12, close AS e26, 0.0::DOUBLE AS dif, 0.0::DOUBLE AS dea FROM o WHERE rn = 1
+  UNION ALL SELECT o.code, o.rn, o.date, o.close * (2/13.0::DOUBLE) + e.e12 * (11/13.0::DOUBLE), o.close * (2/27.0::DOUBLE) + e.e26 * (25/27.0::DOUBLE),
+    (o.close * (2/13.0::DOUBLE) + e.e12 * (11/13.0::DOUBLE)) - (o.close * (2/27.0::DOUBLE) + e.e26 * (25/27.0::DOUBLE)),
+    ((o.close * (2/13.0::DOUBLE) + e.e12 * (11/13.0::DOUBLE)) - (o.close * (2/27.0::DOUBLE) + e.e26 * (25/27.0::DOUBLE))) * 0.2::DOUBLE + e.dea * 0.8::DOUBLE
+  FROM e JOIN o ON o.code = e.code AND o.rn = e.rn + 1)"""
+
+
+def _turn_sql(signs):
+    """Six positive bars, three falling then three rising (or the other way)."""
+    a, b = signs
+    h = [f"h{i}" if i else "hist" for i in range(5, -1, -1)]
+    return " AND ".join([f"{x} > 0" for x in h] + [f"{x} {a} {y}" for x, y in zip(h[:2], h[1:3])] + [f"{x} {b} {y}" for x, y in zip(h[3:5], h[4:])])
+
+
+_CROSSED = " OR ".join(f"coalesce(h{i + 1} > 0 AND {f'h{i}' if i else 'hist'} < 0, false)" for i in range(5))
+
+
+@query(f"""WITH RECURSIVE {t.BARS}, {_E}, {_MACD},
+l AS (SELECT b.code, b.date, b.close, b.volume, m.rn, dif, dea, hist, lag(dif) OVER w AS d1, lag(dea) OVER w AS e1, {', '.join(f'lag(hist, {i}) OVER w AS h{i}' for i in range(1, 6))},
+  CASE WHEN m.rn >= 20 THEN avg(b.close) OVER (w ROWS 19 PRECEDING) END AS ma20, CASE WHEN m.rn >= 5 THEN avg(b.close) OVER (w ROWS 4 PRECEDING) END AS ma5, CASE WHEN m.rn >= 10 THEN avg(b.close) OVER (w ROWS 9 PRECEDING) END AS ma10, CASE WHEN m.rn >= 5 THEN avg(b.volume) OVER (w ROWS 4 PRECEDING) END AS v5
+  FROM bars b JOIN macd m ON b.code = m.code AND b.date = m.date WINDOW w AS (PARTITION BY b.code ORDER BY b.date)),
+k AS (SELECT *, coalesce({_turn_sql('><')}, false) AS red, coalesce(h2 < 0 AND h1 < 0 AND hist < 0 AND h1 > h2 AND hist > h1, false) AND ({_CROSSED}) AS green,
+  coalesce({_turn_sql('<>')}, false) OR (coalesce(h2 < 0 AND h1 < 0 AND hist < 0 AND h1 < h2 AND hist < h1, false) AND ({_CROSSED})) AS sell,
+  coalesce(close > ma20, false) OR coalesce(ma5 > ma10, false) AS trend, coalesce(dif > d1 OR dea > e1 OR hist > h1, false) AS rising, coalesce(volume > v5, false) AS loud FROM l)
+SELECT code, date, (red OR green) AND trend AND rising AND loud AND rn > 252 AS buy, sell, round(greatest(0, least(100, 50 + CASE WHEN red THEN 18 ELSE 0 END + CASE WHEN green THEN 14 ELSE 0 END + greatest(-10, least(10, hist / close * 1000)) + CASE WHEN trend THEN 8 ELSE 0 END + CASE WHEN rising THEN 6 ELSE 0 END + CASE WHEN loud THEN 6 ELSE 0 END)), 5) AS score FROM k""")
+def signal_rows(spark, sf_dir):
+    """Buy, sell and score of every bar by the recursive averages, turns, trend, rise of any line, and volume; ready after 252 bars."""
+    return backtest.signals(t.daily_bars(spark, sf_dir)).select("code", "date", "buy", "sell", F.round("score", 5).alias("score"))
+
+
+_RULES = backtest.Rules(max_positions=10, warm_up=60)
+
+
 @query()
 def signal_backtest(spark, sf_dir):
-    """Buy on scored signals, exit on loss, time or weakness; the equity curve of one run.
-
-    The path depends on itself, so a run is one group; only signals and the bars of traded codes reach it.
-    """
-    return backtest.equity_curve(t.daily_bars(spark, sf_dir), backtest.Rules())
+    """The equity curve of one run. Trades are made code by code, and only the day by day part is one group:
+    the best ranked signals of each day, at most twice the slots."""
+    return backtest.equity_curve(t.daily_bars(spark, sf_dir), t.benchmark(spark, sf_dir), _RULES)
 
 
 @query()
 def signal_grid(spark, sf_dir):
-    """The same over a grid of rules, a group each, with metrics and gates."""
-    return backtest.grid(t.daily_bars(spark, sf_dir), [backtest.Rules(max_positions=n, stop_loss=s) for n in (5, 10) for s in (0.05, 0.1)])
+    """The same over a grid of rules, with metrics and gates."""
+    from dataclasses import replace
+
+    rules = [replace(_RULES, max_positions=n, stop_loss=s) for n in (5, 10) for s in (0.05, 0.1)]
+    return backtest.grid(t.daily_bars(spark, sf_dir), t.benchmark(spark, sf_dir), rules)
+
+
+@query()
+def run_metrics(spark, sf_dir):
+    """All metrics of runs under each market filter, beside the index's."""
+    from dataclasses import replace
+
+    rules = [replace(_RULES, market=m) for m in ("none", "ma60", "ma120", "ma200", "slope20")]
+    return backtest.grid(t.daily_bars(spark, sf_dir), t.benchmark(spark, sf_dir), rules)
+
+
+@query()
+def staged_search(spark, sf_dir):
+    """M3: stage by stage, the first passing candidate is kept for the next."""
+    stages = [("mode", [{"mode": "green_only"}, {"mode": "red_only"}]), ("loss", [{"stop_loss": x} for x in (0.08, 0.15)]), ("time", [{"max_days": n} for n in (20, 60)])]
+    return backtest.staged_search(t.daily_bars(spark, sf_dir), t.benchmark(spark, sf_dir), _RULES, stages)
+
+
+@query(f"""WITH {t.BARS}, {t.BENCHMARK}, m AS (SELECT date, close, {', '.join(f"CASE WHEN count(*) OVER (ORDER BY date ROWS {n - 1} PRECEDING) = {n} THEN avg(close) OVER (ORDER BY date ROWS {n - 1} PRECEDING) END AS m{n}" for n in (20, 60, 120, 200))} FROM bench)
+SELECT date, coalesce(close > m60, false) AS ma60, coalesce(close > m120, false) AS ma120, coalesce(close > m200, false) AS ma200, coalesce(m20 > lag(m20) OVER (ORDER BY date), false) AS slope20 FROM m""")
+def market_filters(spark, sf_dir):
+    """The index over its means, and its short mean rising."""
+    bench = t.benchmark(spark, sf_dir)
+    out = bench.select("date")
+    for kind in ("ma60", "ma120", "ma200", "slope20"):
+        out = out.join(backtest.market_allows(bench, kind).withColumnRenamed("allowed", kind), "date")
+    return out
