@@ -212,12 +212,12 @@ def _trades(bars: DataFrame, days: DataFrame, last: int, rules: Rules, run: int)
     """run and _TRADE: the trades that a run may make, worked out code by code."""
     marked = signals(bars, rules).withColumn("code", F.col("code").cast("string"))
     entries = buy_candidates(marked, days, rules)
-    own = marked.join(days, "date").select("code", "day", "open", "close", "sell")
+    own = marked.join(days, "date").select(F.col("code").alias("own"), "day", "open", "close", "sell")
 
     def work(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         return trades_of(right, left.sort_values("day"), rules, last)
 
-    made = entries.groupBy("code").cogroup(own.groupBy("code")).applyInPandas(work, _TRADE)
+    made = entries.groupBy("code").cogroup(own.groupBy("own")).applyInPandas(work, _TRADE)
     return made.withColumn("run", F.lit(run))
 
 

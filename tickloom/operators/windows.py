@@ -42,12 +42,12 @@ def _all(conditions: Sequence[Column]) -> Column:
 
 
 def red_turn(hist: Column, front: int, back: int, w, expand: bool = True, strict: bool = True) -> Column:
-    """All positive, moving one way over the first `front` steps and the other over the last `back`."""
+    """All positive, the first `front` moving one way and the last `back` the other; where the parts meet is free."""
     values = lags(hist, front + back, w)
     tests = [v > 0 for v in values]
     for i in range(1, front):
         tests.append(gt(values[i - 1], values[i], strict) if expand else gt(values[i], values[i - 1], strict))
-    for i in range(front, front + back):
+    for i in range(front + 1, front + back):
         tests.append(gt(values[i], values[i - 1], strict) if expand else gt(values[i - 1], values[i], strict))
     return _all(tests)
 

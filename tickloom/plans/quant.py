@@ -46,8 +46,8 @@ def macd_series(spark, sf_dir):
 @query(f"""WITH {_HIST}, l AS (SELECT *, lag(hist, 1) OVER w AS h1, lag(hist, 2) OVER w AS h2, lag(hist, 3) OVER w AS h3, lag(hist, 4) OVER w AS h4, lag(hist, 5) OVER w AS h5 FROM h WINDOW w AS (PARTITION BY code ORDER BY date)),
 x AS (SELECT *, coalesce(h1 > 0 AND hist < 0, false) OR coalesce(h2 > 0 AND h1 < 0, false) OR coalesce(h3 > 0 AND h2 < 0, false) OR coalesce(h4 > 0 AND h3 < 0, false) OR coalesce(h5 > 0 AND h4 < 0, false) AS crossed FROM l)
 SELECT code, date,
-  coalesce(h4 > 0 AND h3 > 0 AND h2 > 0 AND h1 > 0 AND hist > 0 AND h4 > h3 AND h2 > h3 AND h1 > h2 AND hist > h1, false) AS red_expand,
-  coalesce(h4 > 0 AND h3 > 0 AND h2 > 0 AND h1 > 0 AND hist > 0 AND h3 > h4 AND h3 > h2 AND h2 > h1 AND h1 > hist, false) AS red_shrink,
+  coalesce(h4 > 0 AND h3 > 0 AND h2 > 0 AND h1 > 0 AND hist > 0 AND h4 > h3 AND h1 > h2 AND hist > h1, false) AS red_expand,
+  coalesce(h4 > 0 AND h3 > 0 AND h2 > 0 AND h1 > 0 AND hist > 0 AND h3 > h4 AND h2 > h1 AND h1 > hist, false) AS red_shrink,
   crossed,
   coalesce(h2 < 0 AND h1 < 0 AND hist < 0 AND h1 > h2 AND hist > h1, false) AND crossed AS green_decay,
   coalesce(h2 < 0 AND h1 < 0 AND hist < 0 AND h1 < h2 AND hist < h1, false) AND crossed AS green_expand,
