@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def normal_code(c: Column) -> Column:
@@ -102,3 +106,9 @@ def no_company(symbol: Column, kind: Column, name: Column, known: list[str]) ->
 def first_held(*columns: str) -> Column:
     """The first column that holds more than white space."""
     return F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in columns])
+
+
+@F.pandas_udf(StringType())
+def compatible(c: pd.Series) -> pd.Series:
+    """Text in compatibility form (F15): Spark has no function for it, so batches go through Python's tables."""
+    return c.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))

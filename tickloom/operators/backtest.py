@@ -231,9 +231,14 @@ def runs(bars: DataFrame, benchmark: DataFrame, candidates: Sequence[Rules], fn,
         own = _trades(bars, listed.select("date", "day"), len(days) - 1, rules, i)
         made = own if made is None else made.unionByName(own)
 
+    # a run without a trade is a run too: each has a row of its own
+    spark = bars.sparkSession
+    made = made.unionByName(spark.createDataFrame([(i,) for i in range(len(candidates))], "run int"), allowMissingColumns=True)
+
     def work(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         rules = candidates[int(key[0])]
-        curve, closed = replay(pdf, len(days), rules, held[rules.market])
+        trades = pdf[pdf["code"].notna()].astype({"day": "int64", "rank": "int64", "exit_day": "int64"})
+        curve, closed = replay(trades, len(days), rules, held[rules.market])
         return fn(int(key[0]), rules, days, curve, closed)
 
     return made.groupBy("run").applyInPandas(work, schema)

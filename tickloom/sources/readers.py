@@ -20,12 +20,37 @@ def symbol_files(spark: SparkSession, path: str, first: str = "2013-01-04", last
     return bars.join(out.select("code"), "code", "left_anti"), out
 
 
-def kline_lines(df: DataFrame, column: str = "line") -> DataFrame:
-    """Comma-separated bars of eleven fields; shorter lines go."""
+def kline_lines(df: DataFrame, column: str = "line", *keys: str) -> DataFrame:
+    """Comma-separated bars of eleven fields, after the columns of `keys`; shorter lines go."""
     f = F.split(column, ",")
     names = ["open", "close", "high", "low", "volume", "amount", "amplitude", "pct_chg", "change", "turnover"]
     rows = df.where(F.size(f) >= 11)
-    return rows.select(F.try_to_date(f[0], "yyyy-MM-dd").alias("date"), *[f[i + 1].try_cast("double").alias(n) for i, n in enumerate(names)])
+    return rows.select(*keys, F.try_to_date(f[0], "yyyy-MM-dd").alias("date"), *[f[i + 1].try_cast("double").alias(n) for i, n in enumerate(names)])
+
+
+def quote_lines(df: DataFrame, column: str = "line") -> DataFrame:
+    """`df` with the quote of each line `name="…~…";` by its places (S10): close, pre_close, volume, open, date, pct_chg, high, low.
+
+    Lines without quotes or with under five fields go. The change is made anew, to two places, where the previous
+    price is above zero.
+    """
+    f = F.split(F.regexp_extract(column, '="([^"]*)"', 1), "~")
+    number = lambda i: F.coalesce(F.get(f, F.lit(i)).try_cast("double"), F.lit(0.0))
+    change = (F.col("close") - F.col("pre_close")) / F.col("pre_close") * 100
+    rows = df.where(F.size(f) >= 5).withColumns({"close": number(3), "pre_close": number(4), "volume": number(6), "open": number(9), "date": F.try_to_date(F.left(F.get(f, F.lit(30)), F.lit(8)), "yyyyMMdd"), "given": number(32), "high": number(33), "low": number(34)})
+    return rows.withColumn("pct_chg", F.when(F.col("pre_close") > 0, F.floor(change * 100 + 0.5) / 100).otherwise(F.col("given"))).drop("given", column)
+
+
+def digest_blocks(df: DataFrame, key: str, column: str) -> DataFrame:
+    """key, handle, url, likes, retweets, replies, body of each block of a digest (S24): blocks stand between rules; the
+    body is what lies between the header and the link line, without media lines."""
+    block = F.explode(F.split(column, r"\n-{3,}\n")).alias("block")
+    rows = df.select(key, block).where(F.col("block").rlike(r"##\s+@[A-Za-z0-9_]+\s+-\s+\S"))
+    count = lambda name: F.nullif(F.regexp_extract("block", rf"(?m)^URL\s+\S+.*?\s{name}\s+(\d+)", 1), F.lit("")).cast("long")
+    lines = F.split(F.regexp_extract("block", r"(?s)##\s+@[^\n]*\n(.*?)(?:\nURL |$)", 1), "\n")
+    body = F.trim(F.regexp_replace(F.array_join(F.filter(lines, lambda x: ~x.rlike("^(optional )?media:")), " "), r"\s+", " "))
+    rows = rows.select(key, F.regexp_extract("block", r"##\s+@([A-Za-z0-9_]+)", 1).alias("handle"), F.nullif(F.regexp_extract("block", r"(?m)^URL\s+(https?://\S+)", 1), F.lit("")).alias("url"), count("heart").alias("likes"), count("retweet").alias("retweets"), count("reply").alias("replies"), body.alias("body"))
+    return rows.where("body <> ''")
 
 
 def json_rows(spark: SparkSession, path: str, schema: str = "rows array<struct<date:string,open:double,high:double,low:double,close:double,volume:double>>") -> DataFrame:
@@ -35,12 +60,14 @@ def json_rows(spark: SparkSession, path: str, schema: str = "rows array<struct<d
 
 def json_lines(spark: SparkSession, path: str, schema: str, last_files: int | None = None) -> DataFrame:
     """JSON lines, broken ones dropped; of dated files only the last few by name."""
-    rows = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
-    if last_files is None:
-        return rows
-    named = rows.withColumn("__file", F.input_file_name())
-    files = named.select("__file").distinct().orderBy(F.col("__file").desc()).limit(last_files)
-    return named.join(F.broadcast(files), "__file", "left_semi").drop("__file")
+    paths: str | list[str] = path
+    if last_files is not None:  # names first: files that aren't wanted aren't read
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at if any(x in path for x in "*?[{") else spark._jvm.org.apache.hadoop.fs.Path(at, "*"))
+        paths = sorted(str(f.getPath()) for f in found or [] if f.isFile())[-last_files:]
+        if not paths:
+            return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(paths)
 
 
 def delimited(spark: SparkSession, path: str, schema: str) -> DataFrame:
