@@ -55,7 +55,7 @@ def count_terms(c: Column, terms: list[str]) -> Column:
 
 
 def first_rule(c: Column, rules: list[tuple[str, str]], default: str) -> Column:
-    """Label of the first pattern, in order, that is found."""
+    """Label of the first pattern, in order, that is found."""
     out = None
     for pattern, label in rules:
         out = F.when(c.rlike(pattern), label) if out is None else out.when(c.rlike(pattern), label)

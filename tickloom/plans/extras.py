@@ -18,7 +18,7 @@ from tickloom.sources import tables as t
 @query(f"""WITH {t.BARS}, l AS (SELECT code, date, close AS v0, lag(close, 1) OVER w AS v1, lag(close, 2) OVER w AS v2, lag(close, 3) OVER w AS v3, lag(close, 4) OVER w AS v4 FROM bars WINDOW w AS (PARTITION BY code ORDER BY date))
 SELECT code, date, coalesce(v1 < v2 AND v0 > v1, false) AS basic, coalesce(v3 < v4 AND v2 < v3 AND v1 > v2 AND v0 > v1, false) AS advanced, coalesce(v1 < v2 AND v0 - v1 >= 0.5 * (v2 - v1), false) AS strong FROM l""")
 def turning_points(spark, sf_dir):
-    """A fall then a rise over three and five bars, and a rise of at least half the fall."""
+    """A fall then a rise of the close over three and five bars, and a rise of at least half the fall."""
     w = windows.by(["code"])
     v = [F.col("close"), *[F.lag("close", i).over(w) for i in range(1, 5)]]
     no = F.lit(False)
@@ -124,7 +124,7 @@ def coverage_status(spark, sf_dir):
 s AS (SELECT code, date, CASE WHEN close > before THEN 2 ELSE 0 END + CASE WHEN volume > base THEN 1 ELSE 0 END AS score FROM l WHERE rn = 1)
 SELECT code, date, score, CASE WHEN score >= 3 THEN 'strong' WHEN score >= 2 THEN 'candidate' WHEN score >= 1 THEN 'watch' ELSE 'none' END AS level FROM s""")
 def screener_levels(spark, sf_dir):
-    """Weighted score of the last bar, and its level."""
+    """Weighted score of the last bar, and its level."""
     w = windows.by(["code"])
     rows = t.daily_bars(spark, sf_dir).select("code", "date", "close", "volume", F.lag("close").over(w).alias("before"), F.avg("volume").over(w.rowsBetween(-5, -1)).alias("base"), F.row_number().over(Window.partitionBy("code").orderBy(F.col("date").desc())).alias("rn")).where("rn = 1")
     score = F.when(F.col("close") > F.col("before"), 2).otherwise(0) + F.when(F.col("volume") > F.col("base"), 1).otherwise(0)

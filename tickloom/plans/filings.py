@@ -80,7 +80,7 @@ def filing_order(spark, sf_dir):
 
 @query(f"""WITH {_SCORED}, f AS (SELECT code, date, kind, arg_max(score, abs(score)::BIGINT * 1000000000 - id) AS score, count(*) AS hits FROM scored GROUP BY 1, 2, 3) SELECT code, date, CAST(sum(score) AS BIGINT) AS score, CAST(sum(hits) AS BIGINT) AS hits FROM f GROUP BY 1, 2""")
 def family_score(spark, sf_dir):
-    """Of each family of signals the strongest counts once; a company's day is their sum."""
+    """Of each family of signals the strongest counts once; a company's day is their sum."""
     key = F.abs("score").cast("long") * 1_000_000_000 - F.col("id")
     fam = scored(spark, sf_dir).groupBy("code", "date", "kind").agg(F.max_by("score", key).alias("score"), F.count(F.lit(1)).alias("hits"))
     return fam.groupBy("code", "date").agg(F.sum("score").alias("score"), F.sum("hits").alias("hits"))
@@ -89,7 +89,7 @@ def family_score(spark, sf_dir):
 @query(f"""WITH {_SCORED}, d AS (SELECT code, date, max(CASE WHEN score >= 7 THEN id END) AS good_id, min(CASE WHEN score <= -6 THEN id END) AS bad_id, min(score) AS worst FROM scored GROUP BY 1, 2)
 SELECT code, date, CASE WHEN bad_id IS NULL THEN good_id END AS good_id, bad_id, worst BETWEEN -6 AND -1 AS mild FROM d""")
 def suppressed_signals(spark, sf_dir):
-    """A good signal is dropped where a bad one stands beside it; mild bad ones are set apart."""
+    """A good signal is dropped where a bad one stands beside it; mild bad ones are set apart."""
     d = scored(spark, sf_dir).groupBy("code", "date").agg(F.max(F.when(F.col("score") >= 7, F.col("id"))).alias("good"), F.min(F.when(F.col("score") <= -6, F.col("id"))).alias("bad_id"), F.min("score").alias("worst"))
     return d.select("code", "date", F.when(F.col("bad_id").isNull(), F.col("good")).alias("good_id"), "bad_id", F.col("worst").between(-6, -1).alias("mild"))
 

@@ -42,7 +42,7 @@ def batch_checks(spark, sf_dir):
 @query("""WITH u AS (SELECT page_id, url, url LIKE 'https://%' AS https, regexp_extract(url, '^[a-z]+://([^/:?#]*)', 1) AS host FROM pages)
 SELECT page_id, CASE WHEN host = '' THEN 'host' WHEN NOT (host LIKE '%.example.com' OR host LIKE '%.example.org' OR host LIKE '%.example.net') THEN 'allow-list' WHEN NOT https THEN 'scheme' END AS fault FROM u""")
 def source_policy(spark, sf_dir):
-    """The first rule of the source policy that a link breaks."""
+    """The first rule of the source policy that a link breaks."""
     rows = t.read(spark, sf_dir, "pages").select("page_id", "url", F.regexp_extract("url", r"^[a-z]+://([^/:?#]*)", 1).alias("host"))
     rules = {"host": F.col("host") != "", "allow-list": F.col("host").rlike(r"\.example\.(com|org|net)$"), "scheme": F.col("url").startswith("https://")}
     return validate.first_failure(rows, rules).select("page_id", "fault")

@@ -18,13 +18,13 @@ _RULE_SQL = " ".join(f"WHEN regexp_matches(text, '{p}') THEN '{label}'" for p, l
 
 @query(f"SELECT doc_id, CASE {_RULE_SQL} ELSE 'other' END AS category FROM documents")
 def text_category(spark, sf_dir):
-    """Label of the first pattern that is found."""
+    """Label of the first pattern that is found."""
     return t.read(spark, sf_dir, "documents").select("doc_id", text.first_rule(F.col("text"), RULES, "other").alias("category"))
 
 
 @query("SELECT doc_id, label, score FROM documents JOIN (VALUES " + ", ".join(f"('{p}', '{label}', {i - 3})" for i, (p, label) in enumerate(RULES)) + ") AS r(pattern, label, score) ON regexp_matches(text, pattern)")
 def rule_hits(spark, sf_dir):
-    """Every rule of a table that a text meets. Rules are a fixed table, checked one by one in a projection."""
+    """Every rule of a table that a text meets. Rules are a fixed table, checked one by one in a projection."""
     hits = F.array_compact(F.array(*[F.when(F.col("text").rlike(p), F.struct(F.lit(label).alias("label"), F.lit(i - 3).alias("score"))) for i, (p, label) in enumerate(RULES)]))
     return t.read(spark, sf_dir, "documents").select("doc_id", F.inline(hits))
 
@@ -135,7 +135,7 @@ def text_keys(spark, sf_dir):
  contains(text, 'License') OR contains(text, 'licensed') AS hard FROM documents), b AS (SELECT *, least(130, 80 + n // 500) AS score FROM s)
 SELECT doc_id, bad, hard, CASE WHEN bad > 0 AND NOT hard THEN least(score, 72) ELSE score END AS score FROM b""")
 def capped_score(spark, sf_dir):
-    """A score by size with a ceiling, capped where noise meets no hard context."""
+    """a score by size with a ceiling, capped where noise meets no hard context."""
     c = F.col("text")
     rows = t.read(spark, sf_dir, "documents").select("doc_id", F.char_length("text").alias("n"), text.count_terms(c, ["###", "&&&", "!!"]).alias("bad"), (F.contains(c, F.lit("License")) | F.contains(c, F.lit("licensed"))).alias("hard"))
     score = F.least(F.lit(130), 80 + F.floor(F.col("n") / 500))

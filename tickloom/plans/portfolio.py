@@ -115,7 +115,7 @@ def shared_holdings(spark, sf_dir):
 x AS (SELECT code, date, theme, pct, count(*) FILTER (WHERE abs(pct) >= 30) OVER (PARTITION BY date, theme) AS peers FROM r JOIN s USING (code) WHERE pct IS NOT NULL)
 SELECT code, date, round(pct, 6) AS pct, CASE WHEN abs(pct) >= 60 THEN 'direct' WHEN peers - 1 >= 2 THEN 'theme' WHEN peers - 1 >= 1 THEN 'peer' ELSE 'unknown' END AS reason FROM x WHERE abs(pct) >= 30""")
 def anomaly_reasons(spark, sf_dir):
-    """Why a code moved: by itself, with its theme, with a peer, or unknown."""
+    """Why a code moved: by itself, with its theme, with a peer, or unknown."""
     w = Window.partitionBy("code").orderBy("date")
     rows = t.daily_bars(spark, sf_dir).select("code", "date", (100.0 * (F.col("close") / F.lag("close").over(w) - 1)).alias("pct")).where("pct IS NOT NULL")
     theme = t.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("code"), F.col("s_nationkey").alias("theme"))

@@ -56,7 +56,7 @@ def unit_scaling(spark, sf_dir):
 @query("""SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}')) AS mails, len(regexp_extract_all(text, '\\([0-9]{3}\\) [0-9]{3}-[0-9]{4}')) AS phones,
  regexp_extract(text, 'version ([0-9]+)', 1) AS version FROM documents""")
 def extracted_facts(spark, sf_dir):
-    """What patterns find in a text."""
+    """What patterns find in a text: addresses, numbers, a version."""
     c = F.col("text")
     count = lambda p: F.size(F.regexp_extract_all(c, F.lit(p), 0)).cast("long")
     return t.read(spark, sf_dir, "documents").select("doc_id", count(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}").alias("mails"), count(r"\([0-9]{3}\) [0-9]{3}-[0-9]{4}").alias("phones"), F.regexp_extract(c, "version ([0-9]+)", 1).alias("version"))

@@ -69,7 +69,7 @@ def refresh_claims(spark, sf_dir):
 @query("""WITH d AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n, count(*) FILTER (WHERE event_type = 'error') AS failed FROM events GROUP BY 1), x AS (SELECT *, sum(CASE WHEN failed = 0 OR failed * 4 < n THEN 1 ELSE 0 END) OVER (ORDER BY day) AS ok_days FROM d)
 SELECT day, n, failed, CAST(ok_days AS BIGINT) AS ok_days, failed * 4 >= n AS cooling FROM x""")
 def backfill_progress(spark, sf_dir):
-    """Days done so far, and days whose failures call for a pause."""
+    """Days done so far, and days whose failures call for a pause."""
     from pyspark.sql import Window
 
     d = t.read(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_type") == "error").alias("failed"))
@@ -81,7 +81,7 @@ def backfill_progress(spark, sf_dir):
 @query("""WITH e AS (SELECT *, date_sub('second', lag(ts) OVER w, ts) AS gap FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap > 86400 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS visit FROM e)
 SELECT user_id, CAST(visit AS BIGINT) AS visit, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM s GROUP BY 1, 2""")
 def feed_visits(spark, sf_dir):
-    """B1: runs of rows without a gap of over a day."""
+    """Runs of rows without a gap of over a day."""
     from pyspark.sql import Window
 
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")

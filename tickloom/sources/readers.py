@@ -131,5 +131,16 @@ def write_if_changed(df: DataFrame, path: str) -> bool:
         mark = lambda x: x.select(F.xxhash64(*sorted(df.columns)).cast("decimal(38,0)").alias("h")).agg(F.count("h"), F.sum("h")).first()
         if mark(old) == mark(df):
             return False
-    df.write.mode("overwrite").parquet(path)
+    # beside the old rows first, which `df` may still read
+    fs, at = _files(spark, path)
+    fresh = _files(spark, f"{path.rstrip('/')}__new")[1]
+    df.write.mode("overwrite").parquet(f"{path.rstrip('/')}__new")
+    fs.delete(at, True)
+    fs.rename(fresh, at)
     return True
+
+
+def _files(spark: SparkSession, path: str):
+    """The file system of a path, and the path in it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at

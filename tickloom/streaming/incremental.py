@@ -24,7 +24,8 @@ def upsert_sink(stream: DataFrame, path: str, keys: list[str], order: list, chec
     """Keep a keyed table: each batch replaces the rows of its keys.
 
     A batch writes a new version beside the old ones, named by its number, so a batch that runs again after a
-    failure writes the same version, and readers take the last one.
+    failure writes the same version, and readers take the last one. The version before the last stays for those
+    who are reading it; older ones go.
     """
 
     def write(batch: DataFrame, number: int) -> None:
@@ -33,5 +34,8 @@ def upsert_sink(stream: DataFrame, path: str, keys: list[str], order: list, chec
         if number:
             new = merging.last_wins(spark.read.parquet(f"{path}/v{number - 1}"), new, keys)
         new.write.mode("overwrite").parquet(f"{path}/v{number}")
+        if number > 1:
+            at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v{number - 2}")
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
