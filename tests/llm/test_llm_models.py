@@ -41,6 +41,19 @@ def test_quality_held_out(spark, sf_dir):
     assert quality.keep_good(docs, labels).columns == docs.columns
 
 
+def test_quality_of_repeated_rows(spark, sf_dir):
+    """Repeated rows are scored each; a null doc_id is never held out; labels that disagree don't break the fit."""
+    docs = table(spark, sf_dir, "documents").limit(120)
+    labels = table(spark, sf_dir, "labels")
+    rows = [(r["doc_id"], r["text"], "n") for r in docs.collect()]
+    odd = spark.createDataFrame(rows + rows[:30] + [(None, rows[0][1], "n"), (None, None, "n")], "doc_id long, text string, score string")
+    tied = labels.unionByName(labels.withColumn("quality", 1 - F.col("quality")))
+    for found in (labels.unionByName(labels), tied):
+        out = quality.score_quality(odd, quality.fit_quality(odd, found)).collect()
+        assert len(out) == len(rows) + 32 and all(0 <= r["score"] <= 1 for r in out)
+        assert not any(r["held_out"] for r in out if r["doc_id"] is None)
+
+
 def test_no_labels(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")

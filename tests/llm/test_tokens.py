@@ -102,3 +102,19 @@ def test_empty_store(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id long, text string")
     token_store.write_store(docs, f"file://{tmp_path}/store", P.path("byte_bpe_50k.json"), P.PATTERN)
     assert token_store.read_store(spark, f"file://{tmp_path}/store").count() == 0
+
+
+def test_encode_repeated_rows_and_null_ids(spark, reference):
+    rows = [(1, "same text"), (1, "same text"), (None, "a b"), (None, None), (2, "x" * 300_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = bpe.encode_documents(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN, ("n_tokens", "decoded_sha256")).collect()
+    expected = sorted((i, len(reference.encode_ordinary(t or "")), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in [(i or -1, t) for i, t in rows])
+    assert sorted((r["doc_id"] or -1, r["n_tokens"], r["decoded_sha256"]) for r in out) == expected
+
+
+def test_store_with_null_ids(spark, tmp_path):
+    docs = spark.createDataFrame([(None, "b"), (None, "a"), (3, None), (1, "one")], "doc_id long, text string")
+    path = f"file://{tmp_path}/store"
+    token_store.write_store(docs, path, P.path("byte_bpe_50k.json"), P.PATTERN)
+    out = sorted(((r["start"], r["doc_id"], r["n_tokens"]) for r in token_store.read_store(spark, path).collect()))
+    assert [i for _, i, _ in out] == [None, None, 1, 3] and out[0][0] == 0 and all(a[0] + a[2] == b[0] for a, b in zip(out, out[1:]))

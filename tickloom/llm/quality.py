@@ -122,7 +122,8 @@ def _grow(x, gradient, hessian, edges, depth: int, least: int, path=(), rows=Non
 def fit_rules(x: np.ndarray, y: np.ndarray, trees: int = 24, depth: int = 3, penalty: float = 2e-3, bins: int = 64, steps: int = 400) -> RuleModel:
     """Grow boosted trees, take their paths as rules, and weigh them by lasso logistic regression (FISTA).
 
-    With no rows the score is 0.5; with labels of one kind only the bias is fitted, to the smoothed share.
+    With no rows the score is 0.5; with labels of one kind, or that no statistic tells apart, only the bias is
+    fitted, to the smoothed share.
     """
     if not len(y):
         return RuleModel()
@@ -136,6 +137,8 @@ def fit_rules(x: np.ndarray, y: np.ndarray, trees: int = 24, depth: int = 3, pen
         p = 1 / (1 + np.exp(-z))
         z += 0.3 * _grow(x, p - y, p * (1 - p), edges, depth, max(5, len(y) // 500), rules=rules)
     rules = list(dict.fromkeys(rules))
+    if not rules:  # nothing tells the labels apart
+        return RuleModel(bias)
     seen: dict[bytes, tuple] = {}
     for rule in sorted(rules, key=len):
         seen.setdefault(_holds(x, rule).tobytes(), rule)
