@@ -51,3 +51,65 @@ def test_metrics():
     m = backtest.metrics(pd.DataFrame({"equity": [100.0, 110.0, 99.0, 120.0]}))
     assert m["max_drawdown"] == pytest.approx(0.1)
     assert backtest.metrics(pd.DataFrame({"equity": []}))["sharpe"] == 0.0
+
+
+def slow_spread(coupon_bp, upfront, years, sign, rate=0.04):
+    """One trade, one sign, in plain loops."""
+
+    def at(h):
+        annuity = protection = before = 0.0
+        while before < years:
+            now = min(before + 0.25, years)
+            df = np.exp(-rate * now)
+            annuity += (now - before) * df * np.exp(-h * now)
+            protection += (np.exp(-h * before) - np.exp(-h * now)) * df * 0.6
+            before += 0.25
+        return protection - coupon_bp / 1e4 * annuity - sign * upfront, protection / annuity * 1e4
+
+    low, high = 1e-6, 5.0
+    side = np.sign(at(low)[0])
+    if side == np.sign(at(high)[0]):
+        return None
+    for _ in range(80):
+        mid = (low + high) / 2
+        low, high = (mid, high) if np.sign(at(mid)[0]) == side else (low, mid)
+    return at((low + high) / 2)[1]
+
+
+def test_implied_spreads_equal_loops(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, float(c), float(u), float(y), None if i % 5 == 0 else float(r)) for i, (c, u, y, r) in enumerate(zip(rng.choice([25, 100, 500], 40), rng.uniform(0, 0.2, 40), rng.uniform(0.3, 7, 40), rng.uniform(0, 900, 40)))]
+    rows += [(100, 100.0, None, 5.0, 50.0), (101, 100.0, 0.9, 1.0, 50.0), (102, 100.0, 0.01, 0.0, 50.0)]
+    out = {r["id"]: r["implied_bp"] for r in credit.add_implied(spark.createDataFrame(rows, "id int, coupon_bp double, upfront double, years double, reference_bp double")).collect()}
+    for i, c, u, y, r in rows[:40]:
+        both = [x for x in (slow_spread(c, u, y, s) for s in (-1, 1)) if x is not None and x >= 0]
+        want = None if not both else both[0] if r is None else min(both, key=lambda x: abs(x - r))
+        assert out[i] == (None if want is None else pytest.approx(want, rel=1e-6))
+    assert out[100] is None and out[101] is None and out[102] is None
+
+
+def test_credit_spreads_equal_loops(spark, sf_dir):
+    from tickloom.plans import dashboard
+
+    rows = dashboard.credit_spreads(spark, sf_dir).orderBy("id").limit(60).collect()
+    for r in rows:
+        def legs(h):
+            premium = protection = before = 0.0
+            while before < r["years"] - 1e-12:
+                now = min(before + 0.25, r["years"])
+                mid = (now + before) / 2
+                df, df_mid = (float(np.exp(-np.interp(x, CURVE[:, 0], CURVE[:, 1]) * x)) for x in (now, mid))
+                alive, alive_before = np.exp(-h * now), np.exp(-h * before)
+                premium += (now - before) * df * alive + (now - before) / 2 * df_mid * (alive_before - alive)
+                protection += 0.6 * df_mid * (alive_before - alive)
+                before = now
+            return premium, protection
+
+        low, high = 0.0, 20.0
+        for _ in range(200):
+            mid = (low + high) / 2
+            premium, protection = legs(mid)
+            low, high = (mid, high) if protection - r["coupon"] * premium < (100 - r["price"]) / 100 else (low, mid)
+        premium, protection = legs((low + high) / 2)
+        if r["spread_bp"] > 1e-3:
+            assert r["spread_bp"] == pytest.approx(protection / premium * 1e4, rel=1e-6) and r["publishable"]

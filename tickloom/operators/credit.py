@@ -86,3 +86,56 @@ def add_spreads(quotes: DataFrame, nodes: np.ndarray) -> DataFrame:
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in quotes.schema)
     return quotes.mapInPandas(run, f"{fields}, spread_bp double, residual double")
+
+
+def trade_values(hazard: np.ndarray, years: np.ndarray, rate: float = 0.04, recovery: float = 0.4) -> tuple[np.ndarray, np.ndarray]:
+    """Annuity and protection of a trade at a flat rate, both discounted from the end of each quarter."""
+    steps = int(np.ceil(years.max() * 4)) if len(years) else 0
+    t = np.minimum(np.arange(1, steps + 1)[None, :] / 4, years[:, None])
+    before = np.concatenate([np.zeros((len(years), 1)), t[:, :-1]], 1)
+    alive, alive_before, df = np.exp(-hazard[:, None] * t), np.exp(-hazard[:, None] * before), np.exp(-rate * t)
+    return ((t - before) * df * alive).sum(1), ((alive_before - alive) * df * (1 - recovery)).sum(1)
+
+
+def implied_spread(coupon_bp: np.ndarray, upfront: np.ndarray, years: np.ndarray, reference_bp: np.ndarray, rate: float = 0.04, recovery: float = 0.4) -> np.ndarray:
+    """Par spread in basis points that a trade's upfront share implies (M5).
+
+    A report doesn't say who paid: both signs are solved, by 80 halvings of hazards from 0.000001 to 5, and the
+    spread nearest to the reference is taken, without a reference the first that has a solution.
+    """
+    found = []
+    for sign in (-1, 1):
+
+        def gap(h):
+            annuity, protection = trade_values(h, years, rate, recovery)
+            return protection - coupon_bp / 1e4 * annuity - sign * upfront
+
+        low, high = np.full(len(years), 1e-6), np.full(len(years), 5.0)
+        at_low = np.sign(gap(low))
+        solved = at_low != np.sign(gap(high))
+        for _ in range(80):
+            mid = (low + high) / 2
+            same = np.sign(gap(mid)) == at_low
+            low, high = np.where(same, mid, low), np.where(same, high, mid)
+        annuity, protection = trade_values((low + high) / 2, years, rate, recovery)
+        spread = protection / annuity * 1e4
+        found.append(np.where(solved & (spread >= 0), spread, np.nan))
+    first, second = found
+    nearer = np.abs(second - reference_bp) < np.abs(first - reference_bp)
+    return np.where(np.isnan(first) | nearer & ~np.isnan(second), second, first)
+
+
+def add_implied(trades: DataFrame, rate: float = 0.04) -> DataFrame:
+    """`trades` (coupon_bp, upfront, years, reference_bp) with implied_bp; null where the trade has no solution or lacks a figure."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            coupon, upfront, years, reference = (pdf[c].to_numpy(float) for c in ("coupon_bp", "upfront", "years", "reference_bp"))
+            ok = np.isfinite(coupon) & np.isfinite(upfront) & (years > 0)
+            out = np.full(len(pdf), np.nan)
+            if ok.any():
+                out[ok] = implied_spread(coupon[ok], upfront[ok], years[ok], reference[ok], rate)
+            yield pdf.assign(implied_bp=out)
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in trades.schema)
+    return trades.mapInPandas(run, f"{fields}, implied_bp double")

@@ -198,3 +198,12 @@ def credit_spreads(spark, sf_dir):
     lines = t.read(spark, sf_dir, "lineitem")
     quotes = lines.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), (100.5 - F.col("l_discount") * 40).alias("price"), F.lit(0.01).alias("coupon"), (4.5 + F.col("l_linenumber") / 7).alias("years"))
     return credit.add_spreads(quotes, CURVE).withColumn("publishable", F.abs("residual") < 0.001)
+
+
+@query()
+def implied_spreads(spark, sf_dir):
+    """M5: the spread that each trade's upfront implies, of both signs the one nearer to the reference."""
+    c = F.col
+    lines = t.read(spark, sf_dir, "lineitem")
+    trades = lines.select((c("l_orderkey") * 10 + c("l_linenumber")).alias("id"), F.lit(100.0).alias("coupon_bp"), (c("l_tax") / 2).alias("upfront"), (1 + c("l_linenumber").cast("double")).alias("years"), F.when(c("l_linenumber") != 3, c("l_discount") * 5000).alias("reference_bp"))
+    return credit.add_implied(trades)
