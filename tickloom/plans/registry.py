@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tickloom.plans import announcements, bulk, calendar, dashboard, evidence, extras, feeds, filings, gates, headlines, market, news, portfolio, quant, scalars, screener, store  # noqa: F401
+from tickloom.plans import announcements, bulk, calendar, dashboard, evidence, extras, feeds, filings, gates, headlines, market, news, portfolio, quant, scalars, screener, snapshots, store  # noqa: F401
 from tickloom.plans.register import ORACLES, QUERIES, query  # noqa: F401
 
 FLAGSHIP = "market_concentration"
