@@ -204,3 +204,43 @@ def article_prices(body: Column, table: Sequence[tuple[str, str]] = tuple(PRICES
     found = {name: F.nullif(F.regexp_extract(F.replace(body, F.lit(" "), F.lit(" ")), p, 1), F.lit("")).cast("double") for name, p in table}
     lacks = F.array_join(F.array_compact(F.array(*[F.when(c.isNull(), F.lit(name)) for name, c in found.items()])), ",")
     return [*[c.alias(name) for name, c in found.items()], lacks.alias("missing")]
+
+
+#: What to look for in the text of each kind of filing: (kind, name of the fact, pattern); the last group is the value.
+FACTS = [
+    ("减持", "ratio", r"占(?:公司)?总股本[^\d]{0,8}(\d+(?:\.\d+)?)%"),
+    ("减持", "shares", r"减持[^\d\n]{0,20}(\d[\d,]*(?:\.\d+)?)万?股"),
+    ("增持", "ratio", r"占(?:公司)?总股本[^\d]{0,8}(\d+(?:\.\d+)?)%"),
+    ("回购", "least", r"回购[^\d\n]{0,20}不低于[^\d\n]{0,8}(\d[\d,]*(?:\.\d+)?)(?:亿|万)元"),
+    ("回购", "most", r"不超过[^\d\n]{0,8}(\d[\d,]*(?:\.\d+)?)(?:亿|万)元"),
+    ("合同", "amount", r"(?:合同|中标)[^\d\n]{0,20}金额[^\d\n]{0,8}(\d[\d,]*(?:\.\d+)?)(?:亿|万)?元"),
+    ("业绩预告", "growth", r"同比[^\d\n-]{0,8}(-?\d+(?:\.\d+)?)%"),
+]
+
+
+def facts(body: Column, of: Column, table: Sequence[tuple[str, str, str]] = tuple(FACTS)) -> Column:
+    """map<string,double> of what the text of a filing says, by the patterns of its kind; the largest where several are found."""
+    found = []
+    for kind_name, name, pattern in table:
+        values = F.transform(F.regexp_extract_all(body, F.lit(pattern), F.lit(1)), lambda x: F.regexp_replace(x, ",", "").try_cast("double"))
+        found.append(F.when((of == kind_name) & (F.size(values) > 0), F.struct(F.lit(name).alias("key"), F.array_max(values).alias("value"))))
+    return F.map_from_entries(F.array_compact(F.array(*found)))
+
+
+#: Units of a report's tables.
+UNITS = {"元": 1.0, "千元": 1e3, "万元": 1e4, "百万元": 1e6, "亿元": 1e8}
+
+
+def report_metric(body: Column, labels: str) -> tuple[Column, Column, Column]:
+    """This period's value, the one before, and the change in per cent, of a row of a report's table.
+
+    Numbers that a line break cut are mended; the label may stand up to six lines before its numbers; values are
+    in the unit that the text names; a change that isn't given is worked out.
+    """
+    plain = F.regexp_replace(body, r"(\d[,，])\s*\n\s*(\d)", "$1$2")
+    number = r"(-?\d[\d,]*(?:\.\d+)?)"
+    row = rf"(?:{labels})(?:[^\d\n-]*\n){{0,6}}[^\d\n-]*{number}(?:[ \t]+{number})?(?:[ \t]+(-?\d+(?:\.\d+)?)%)?"
+    unit = rules.value_of(F.regexp_extract(plain, r"单位[:：]\s*(?:人民币)?\s*(百万元|千元|万元|亿元|元)", 1), UNITS, 1.0)
+    value = lambda i: F.regexp_replace(F.regexp_extract(plain, row, i), ",", "").try_cast("double")
+    now, before = value(1) * unit, value(2) * unit
+    return now, before, F.coalesce(value(3), F.try_divide(now - before, F.abs(before)) * 100)

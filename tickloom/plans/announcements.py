@@ -204,3 +204,32 @@ def evaluation_names(spark, sf_dir):
     label = F.element_at(F.array(*map(F.lit, EVALUATIONS)), (F.col("p_partkey") % len(EVALUATIONS) + 1).cast("int"))
     name, version, score = a.benchmark(F.col("label"))
     return t.read(spark, sf_dir, "part").select("p_partkey", label.alias("label")).select("p_partkey", name.alias("name"), version.alias("version"), score.alias("score"))
+
+
+_FACT_TEXT = """SELECT l_orderkey * 10 + l_linenumber AS id, CASE l_linenumber % 4 WHEN 0 THEN '减持' WHEN 1 THEN '回购' WHEN 2 THEN '合同' ELSE '其他' END AS kind,
+  CASE l_linenumber % 4 WHEN 0 THEN '拟减持不超过 ' || l_partkey || ',500 股，占总股本的 ' || l_suppkey || '.5%；另占公司总股本 2.25%' WHEN 1 THEN '回购金额不低于 ' || l_suppkey || ' 万元且不超过' || (l_suppkey * 2) || '万元' WHEN 2 THEN '合同总金额 ' || l_partkey || '.75亿元' ELSE '占总股本 9%' END AS body FROM lineitem"""
+
+
+@query(f"""WITH b AS ({_FACT_TEXT}) SELECT id, kind, {', '.join(f"list_max(list_transform(CASE WHEN kind = {_q(k)} THEN regexp_extract_all(body, {_q(p)}, 1) ELSE [] END, lambda x: TRY_CAST(replace(x, ',', '') AS DOUBLE))) AS {n}" for k, n, p in [f for f in a.FACTS if f[0] in ('减持', '回购', '合同')])} FROM b""")
+def filing_facts(spark, sf_dir):
+    """Amounts, shares, ratios and ranges in a filing's text by the patterns of its kind, the largest of several."""
+    k, s, n = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber") % 4
+    text = lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else y.cast("string") for y in x])
+    of = F.when(n == 0, "减持").when(n == 1, "回购").when(n == 2, "合同").otherwise("其他")
+    body = F.when(n == 0, text("拟减持不超过 ", k, ",500 股，占总股本的 ", s, ".5%；另占公司总股本 2.25%")).when(n == 1, text("回购金额不低于 ", s, " 万元且不超过", s * 2, "万元")).when(n == 2, text("合同总金额 ", k, ".75亿元")).otherwise("占总股本 9%")
+    rows = t.read(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), of.alias("kind"), body.alias("body"))
+    rows = rows.select("id", "kind", a.facts(F.col("body"), F.col("kind")).alias("f"))
+    return rows.select("id", "kind", *[F.col("f")[name].alias(name) for name in ("ratio", "shares", "least", "most", "amount")])
+
+
+@query("""WITH r AS (SELECT p_partkey, p_size::DOUBLE AS s, CASE p_partkey % 3 WHEN 0 THEN 1e4 WHEN 1 THEN 1e8 ELSE 1 END AS unit, p_partkey % 4 AS k FROM part)
+SELECT p_partkey, CASE k WHEN 0 THEN s WHEN 1 THEN s * 1000 + 567 WHEN 2 THEN s + 0.5 END * unit AS now, CASE k WHEN 0 THEN 10 WHEN 1 THEN 20 END * unit AS before, round(CASE k WHEN 0 THEN 12.5 WHEN 1 THEN (s * 1000 + 567 - 20) / 20 * 100 END, 6) AS change FROM r""")
+def report_metrics(spark, sf_dir):
+    """A report's revenue with its unit, cut numbers mended, from the label's line or the lines after it, and the change on the period before."""
+    size, k = F.col("p_size"), F.col("p_partkey") % 4
+    text = lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else y.cast("string") for y in x])
+    unit = F.when(F.col("p_partkey") % 3 == 0, "单位：万元\n").when(F.col("p_partkey") % 3 == 1, "单位: 人民币亿元\n").otherwise("")
+    body = F.when(k == 0, text("营业收入 ", size, " 10 12.5%\n净利润 3")).when(k == 1, text("营业总收入\n（合并）\n ", size, ",\n567 20\n")).when(k == 2, text("其他 7\n营业收入：", size, ".5")).otherwise("无")
+    now, before, change = a.report_metric(F.col("body"), "营业总收入|营业收入")
+    rows = t.read(spark, sf_dir, "part").select("p_partkey", F.concat(unit, body).alias("body"))
+    return rows.select("p_partkey", now.alias("now"), before.alias("before"), F.round(change, 6).alias("change"))
