@@ -180,5 +180,6 @@ def mix_documents(docs: DataFrame, seed: int = 7) -> DataFrame:
     """The mix itself: each row of `docs` as often as mix_counts() takes it, columns as they were."""
     rows = with_rows(docs)
     copies = settled(docs.sparkSession, lambda: mix_counts(rows, seed=seed, carry=(ROW,)).where("copies > 0").select(ROW, F.col("copies").cast("int").alias("__copies")))
-    joined = rows.join(copies, ROW).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+    # nearly as many numbers as rows: the same plan at every size, where a small table would be sent to every task
+    joined = rows.join(copies.hint("merge"), ROW).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
     return joined.select(*docs.columns)
