@@ -64,7 +64,7 @@ def _byte_letters() -> dict[int, str]:
 _made: dict[bytes, object] = {}
 
 
-def _encoder(definition: bytes, pattern: str):
+def text_encoder(definition: bytes, pattern: str):
     """Encode one text by the tokenizers library, kept between a worker's tasks."""
     key = zlib.crc32(definition).to_bytes(4, "little") + pattern.encode()
     if key not in _made:
@@ -98,7 +98,7 @@ def _token_blocks(docs: DataFrame, definition: bytes, pattern: str, end_id: int,
     tail = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(held.value, pattern)
+        encode = text_encoder(held.value, pattern)
         shard = TaskContext.get().partitionId()
         block, start = 0, 0
         doc_ids: list = []
