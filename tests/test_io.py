@@ -2,7 +2,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from tickloom.sources import readers
+from tickloom.sources import readers, versions
 from tickloom.streaming import incremental
 
 
@@ -86,7 +86,7 @@ def test_streams(spark, tmp_path):
     incremental.upsert_sink(stream(), out, ["k"], [F.col("ts").desc()], check).awaitTermination(60)
     spark.createDataFrame([(2, dt.datetime(2024, 1, 2), 21), (3, dt.datetime(2024, 1, 2), 30)], schema).write.mode("append").parquet(source)
     incremental.upsert_sink(stream(), out, ["k"], [F.col("ts").desc()], check).awaitTermination(60)
-    assert sorted((r["k"], r["v"]) for r in spark.read.parquet(f"{out}/v1").collect()) == [(1, 11), (2, 21), (3, 30)]
+    assert sorted((r["k"], r["v"]) for r in versions.read(spark, out).collect()) == [(1, 11), (2, 21), (3, 30)]
     w = incremental.windowed(stream(), "ts", "10 minutes", "k", "v").writeStream.format("memory").queryName("win").outputMode("append").trigger(availableNow=True).start()
     w.awaitTermination(60)
     assert sorted((r["k"], r["n"], r["total"]) for r in spark.table("win").collect()) == [(1, 2, 21), (2, 1, 20)]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tickloom.operators import merging
+from tickloom.sources import versions
 
 
 def unseen(stream: DataFrame, keys: list[str], time: str, late: str = "7 days") -> DataFrame:
@@ -20,22 +21,16 @@ def windowed(stream: DataFrame, time: str, width: str, key: str, value: str, lat
     return grouped.agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total")).select(F.col("window.start").alias("start"), key, "n", "total")
 
 
-def upsert_sink(stream: DataFrame, path: str, keys: list[str], order: list, checkpoint: str) -> StreamingQuery:
-    """Keep a keyed table: each batch replaces the rows of its keys.
+def upsert_sink(stream: DataFrame, path: str, keys: list[str], order: list, checkpoint: str, buckets: int = 64) -> StreamingQuery:
+    """Keep a keyed table in versions (sources/versions.py): each batch replaces the rows of its keys.
 
-    A batch writes a new version beside the old ones, named by its number, so a batch that runs again after a
-    failure writes the same version, and readers take the last one. The version before the last stays for those
-    who are reading it; older ones go.
+    Only the buckets of a batch's keys are rewritten. A batch that runs again after a failure finds its number in the
+    manifest, or, if it died before, the version before it. The version before the last stays for those who are
+    reading it; older ones go.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        new = merging.pick(batch, keys, order)
-        spark = batch.sparkSession
-        if number:
-            new = merging.last_wins(spark.read.parquet(f"{path}/v{number - 1}"), new, keys)
-        new.write.mode("overwrite").parquet(f"{path}/v{number}")
-        if number > 1:
-            at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v{number - 2}")
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        versions.upsert(merging.pick(batch, keys, order), path, keys, buckets, batch=(checkpoint, number))
+        versions.forget(batch.sparkSession, path)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
