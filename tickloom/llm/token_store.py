@@ -124,8 +124,10 @@ def _token_blocks(docs: DataFrame, definition: bytes, pattern: str, end_id: int,
             yield flush()
 
     text = F.coalesce("text", F.lit(""))
-    ordered = docs.select(F.col("doc_id").cast("long"), text.alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    return map_arrow(ordered, run, "shard long, block long, start long, doc_ids array<long>, lengths binary, width int, ids binary")
+    # rows that share a doc_id, and even their text, are dealt to several ranges
+    order = ["doc_id", F.xxhash64("text"), "turn"]
+    ordered = docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.monotonically_increasing_id().alias("turn")).repartitionByRange(*order).sortWithinPartitions(*order)
+    return map_arrow(ordered.drop("turn"), run, "shard long, block long, start long, doc_ids array<long>, lengths binary, width int, ids binary")
 
 
 def _count_ids(blocks: DataFrame) -> DataFrame:
