@@ -237,6 +237,20 @@ def test_stages_leave_one_row_of_repeats(spark, sf_dir):
     assert sorted(r["text"] for r in docs.collect()) == ["text number 0 of this table", "text number 1 of this table", "text number 2 of this table", "text without a number"]
 
 
+@pytest.mark.parametrize("rows, bands", [(6, 40), (8, 65)])
+def test_bands_find_pairs_at_the_threshold(rows, bands):
+    """Of pairs of similarity 0.8 nearly all meet in a band and pass the joint likelihood, with the defaults and with longer rows."""
+    p = near_dedup.SketchParams(rows=rows, bands=bands)
+    assert (rows, bands) != (6, 40) or p == near_dedup.SketchParams()
+    reach, found, rng = near_dedup.ReachTest(p), 0, np.random.default_rng(rows)
+    for _ in range(300):
+        pool = rng.integers(0, 2**63, 1000, dtype=np.uint64)
+        a, b = near_dedup.set_sketch(np.sort(pool[:900]), p), near_dedup.set_sketch(np.sort(pool[100:]), p)
+        met = (a == b).reshape(bands, rows).all(1).any()
+        found += bool(met and reach(a, 900, b[None, :], np.array([900]))[0])
+    assert found >= 299
+
+
 def test_sketches_merge_and_estimate():
     p = near_dedup.SketchParams(rows=8, bands=64)
     rng = np.random.default_rng(2)

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,14 +28,14 @@ from tickloom.llm.components import connected_components
 class SketchParams:
     """`bands` bands of `rows` registers find a pair of similarity s with probability 1 - (1 - s**rows)**bands.
 
-    At 0.8 the defaults miss 7 pairs in a million and at 0.85 2 in 100 million; for_corpus() lengthens rows for
-    larger corpora, so that unlike sets rarely meet.
+    At 0.8 the defaults miss 5 pairs in a million, at 0.85 2 in a billion, and sets of similarity 0.06 meet in a band
+    once in 20 million. They are the same for a corpus of any size.
     """
 
     width: int = 5
     threshold: tuple[int, int] = (80, 100)
-    rows: int = 5
-    bands: int = 30
+    rows: int = 6
+    bands: int = 40
     base: float = 1.001
     top: int = 65_534
     #: Log-likelihood by which the threshold must be worse than the estimate for a pair to be left out.
@@ -48,14 +48,6 @@ class SketchParams:
     def size(self) -> int:
         return self.rows * self.bands
 
-    def for_corpus(self, n_docs: int, unlike: float = 0.06, missed: float = 1e-5) -> SketchParams:
-        """Rows so long that a document meets few of n_docs others of similarity `unlike` in a band, and as many
-        bands as it takes to miss at most `missed` of the pairs at 0.8: 5 and 30 up to a million documents, 8 and
-        65 for a billion."""
-        rows = max(5, int(np.ceil(np.log(max(2, n_docs)) / -np.log(unlike))))
-        bands = max(self.bands, int(np.ceil(np.log(missed) / np.log1p(-(0.8**rows)))))
-        return replace(self, rows=rows, bands=bands)
-
 
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word shingles; fewer words than `width` make one shingle."""
@@ -182,10 +174,11 @@ def _span(labels: np.ndarray, linked: Callable, residents: np.ndarray, visitors:
     return edges
 
 
-def _spanning(rows: DataFrame, groups: DataFrame, group: str, payload: list[str], linker: Callable, p: SketchParams) -> DataFrame:
-    """src, dst: edges that join, within each group of `rows` (group, rep, payload), what `linker` links.
+def _spanning(rows: DataFrame, group: str, payload: list[str], linker: Callable, p: SketchParams) -> DataFrame:
+    """src, dst: edges that join, within each group of `rows` (group, n_chunks, rep, payload), what `linker` links.
 
-    `groups` has n_chunks for each group. A group of several chunks is worked through chunk by chunk first.
+    Rows know the number of chunks of their group, so that no group ever gathers whole: each chunk is a group of its
+    own, and a group of several is worked through chunk by chunk first.
     Where its rows aren't one component by then, the rows outside its largest component meet all others, in
     blocks of bounded size: so near copies in any number never meet in pairs of chunks, and no link is lost.
     """
@@ -205,17 +198,17 @@ def _spanning(rows: DataFrame, groups: DataFrame, group: str, payload: list[str]
         return [(held[i][0], held[j][0]) for i, j in _span(labels, linker([r[3:] for r in held]), residents, visitors)]
 
     chunk = F.pmod(F.xxhash64(F.lit(5), "rep"), F.col("n_chunks")).cast("int")
-    dealt = rows.join(groups, group)
-    first = cut(map_sorted_groups(dealt.select(group, chunk.alias("chunk"), "rep", *payload), [group, "chunk"], ["rep"], within, "src long, dst long").distinct())
-    large = groups.where("n_chunks > 1")
+    first = cut(map_sorted_groups(rows.select(group, chunk.alias("chunk"), "rep", *payload), [group, "chunk"], ["rep"], within, "src long, dst long").distinct())
+    large = rows.where("n_chunks > 1")
     if large.isEmpty():
         return first
     labels = connected_components(first)
-    held = rows.join(large, group).join(labels, F.col("rep") == F.col("node"), "left").withColumn("label", F.coalesce("component", "rep")).select(group, "n_chunks", "label", "rep", *payload)
+    held = large.join(labels, F.col("rep") == F.col("node"), "left").withColumn("label", F.coalesce("component", "rep")).select(group, "n_chunks", "label", "rep", *payload)
     held = cut(held)
     sizes = held.groupBy(group, "label").agg(F.count(F.lit(1)).alias("n"))
     sizes = sizes.groupBy(group).agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("n_main")).where("n > n_main")
-    apart = held.join(cut(sizes.select(group, "main", F.ceil((F.col("n") - F.col("n_main")) / p.chunk_rows).alias("n_apart"))), group)
+    sizes = cut(sizes.select(group, "n", "main", F.ceil((F.col("n") - F.col("n_main")) / p.chunk_rows).alias("n_apart")))
+    apart = join_counted(held, sizes, [group], "n", held.count(), salted=("rep",)).where("main IS NOT NULL")
     each = lambda c: F.explode(F.sequence(F.lit(0), (F.col(c) - 1).cast("int")))
     residents = apart.select(group, chunk.alias("lo"), each("n_apart").alias("hi"), "rep", F.lit(0).alias("side"), "label", *payload)
     visitors = apart.where("label != main").select(group, each("n_chunks").alias("lo"), F.pmod(F.xxhash64(F.lit(6), "rep"), F.col("n_apart")).cast("int").alias("hi"), "rep", F.lit(1).alias("side"), "label", *payload)
@@ -271,22 +264,23 @@ def near_duplicates(docs: DataFrame, params: SketchParams | None = None) -> Data
     another text are one node: their links combine. A null doc_id links nothing. Columns other than doc_id
     and text aren't read; empty tables give empty results.
     """
-    p = (params or SketchParams()).for_corpus(docs.count())
+    p = params or SketchParams()
     rows = cut(sketch_documents(docs, p))
     full = rows.where("set_key is not null and doc_id is not null")
-    # equal sets are one row: the smallest doc_id speaks for them
+    # equal sets are one row: the smallest doc_id speaks for them; their sketches are equal too, so any of them will do
     reps = cut(full.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_docs"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")))
     bands = cut(_band_rows(reps, p))
     buckets = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("members")).where("n > 1")
     # bands that gather the same rows are worked through once
-    buckets = cut(buckets.groupBy("n", "members").agg(F.min("band").alias("band")).select("band", F.ceil(F.col("n") / p.chunk_rows).alias("n_chunks")))
-    inside = bands.join(buckets.select("band"), "band", "left_semi").join(reps.select("rep", "n_shingles", "sketch"), "rep")
-    likely = _spanning(inside, buckets, "band", ["n_shingles", "sketch"], _likely(p), p)
+    buckets = cut(buckets.groupBy("n", "members").agg(F.min("band").alias("band")).select("band", "n", F.ceil(F.col("n") / p.chunk_rows).alias("n_chunks")))
+    inside = join_counted(bands, buckets, ["band"], "n", bands.count(), salted=("rep",)).where("n_chunks IS NOT NULL").drop("n")
+    likely = _spanning(inside.join(reps.select("rep", "n_shingles", "sketch"), "rep"), "band", ["n_shingles", "sketch"], _likely(p), p)
     blocks = cut(connected_components(likely).select(F.col("node").alias("rep"), F.col("component").alias("block")))
     sizes = reps.select("rep", "n_shingles").join(blocks, "rep").groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("elements"))
-    chunks = cut(sizes.select("block", F.greatest(F.ceil(F.col("n") / p.chunk_rows), F.ceil(F.col("elements") / p.chunk_elements)).alias("n_chunks")))
+    chunks = cut(sizes.select("block", "n", F.greatest(F.ceil(F.col("n") / p.chunk_rows), F.ceil(F.col("elements") / p.chunk_elements)).alias("n_chunks")))
     sets = _sets_of(docs, reps.select("rep", "set_key").join(blocks.select("rep"), "rep"), p)
-    links = _spanning(blocks.join(sets, "rep"), chunks, "block", ["elements"], _exact(p), p)
+    dealt = join_counted(blocks, chunks, ["block"], "n", blocks.count(), salted=("rep",)).drop("n")
+    links = _spanning(dealt.join(sets, "rep"), "block", ["elements"], _exact(p), p)
     found = connected_components(links).select(F.col("node").alias("rep"), "component")
     groups = reps.select("set_key", "rep", "n_docs").join(found, "rep", "left").select("set_key", "n_docs", F.coalesce("component", "rep").alias("component"))
     joined = join_counted(rows.select("doc_id", "n_shingles", "set_key"), groups, ["set_key"], "n_docs", full.count())
