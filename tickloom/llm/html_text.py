@@ -307,26 +307,22 @@ def page_elements(pages: DataFrame, words: bool = True) -> DataFrame:
 
 
 def site_templates(elements: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
-    """host, slot, key, n_rows, recurs (the content does), place (most of what stands in the place does).
+    """host, slot, key, n_rows, recurs (the content does), place (most of what stands in the place does), on that host.
 
     Contexts are counted and not pages, so an article that is posted again under other links is no template.
-    Counts are made before rows move; a host of any size costs what its subtrees do.
+    Counts are made before rows move; a host of any size costs what its subtrees do. What other hosts hold says
+    nothing, so a text is the same whatever else is in the table.
     """
     base = elements.groupBy("host", "slot", "key", "context").agg(F.count(F.lit(1)).alias("n"))
     own = cut(base.groupBy("host", "slot", "key").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("n_rows")))
-    every = cut(base.select("slot", "key", "context").distinct().groupBy("slot", "key").agg(F.count(F.lit(1)).alias("all_c")))
-    again = lambda c: F.sum(F.when(F.col(c) > 1, F.col(c)).otherwise(0))
-    places = own.groupBy("host", "slot").agg(F.sum("c").alias("n"), again("c").alias("again"), F.count(F.lit(1)).alias("d"))
-    all_places = every.groupBy("slot").agg(F.sum("all_c").alias("all_n"), again("all_c").alias("all_again"), F.count(F.lit(1)).alias("all_d"))
+    again = F.sum(F.when(F.col("c") > 1, F.col("c")).otherwise(0))
+    places = own.groupBy("host", "slot").agg(F.sum("c").alias("n"), again.alias("again"), F.count(F.lit(1)).alias("d"))
     rows = join_counted(own, places, ["host", "slot"], "d", own.count())
-    wide = join_counted(every, all_places, ["slot"], "all_d", every.count())
-    rows = rows.join(wide, ["slot", "key"])
-    alike = lambda n, m: (F.col(n) >= min_pages) & (F.col(m) >= F.col(n) * MIN_REPEATED)
-    recurs = (F.col("c") >= min_pages) | (F.col("all_c") >= min_pages)
-    return rows.select("host", "slot", "key", "n_rows", recurs.alias("recurs"), (alike("n", "again") | alike("all_n", "all_again")).alias("place"))
+    alike = (F.col("n") >= min_pages) & (F.col("again") >= F.col("n") * MIN_REPEATED)
+    return rows.select("host", "slot", "key", "n_rows", (F.col("c") >= min_pages).alias("recurs"), alike.alias("place"))
 
 
-def extract_text(pages: DataFrame, min_pages: int = MIN_PAGES, templates: bool = True, words: bool = True) -> DataFrame:
+def extract_text(pages: DataFrame, min_pages: int = MIN_PAGES, templates: bool = True, words: bool = True, outside: bool = True) -> DataFrame:
     """page_id, url, text for each row of `pages`: the article's blocks, a line each; empty if there is none.
 
     Null html is empty. A null or odd url has the empty host, counted like any other. Repeated rows are pages of
@@ -335,7 +331,8 @@ def extract_text(pages: DataFrame, min_pages: int = MIN_PAGES, templates: bool =
     What recurs on a host, or in its place, goes whatever it is called; but an article's bare paragraphs,
     headings, lists and tables are its own text however often they recur. Counts can't tell on hosts of few
     pages and where content varies: there what an article element leaves outside goes, and what hint words name.
-    Without `templates` only what says so by tag or role goes; without `words` hints aren't asked.
+    Each rule has its switch: `templates` the counts on a page's host, `outside` what article elements leave outside,
+    `words` the hint words. Without all of them only what says so by tag or role goes.
     """
     kind = pages.schema["page_id"].dataType.simpleString()
 
@@ -346,13 +343,15 @@ def extract_text(pages: DataFrame, min_pages: int = MIN_PAGES, templates: bool =
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), *arrays], names=["page_id", "url", "a", "b", "texts", "owners", "parents"])
 
     rows = map_arrow(_known(pages).select("page_id", "url", "a", "b", "html"), read, f"page_id {kind}, url string, a long, b long, texts array<string>, owners array<int>, parents array<int>")
-    if templates:
-        elements = page_elements(pages, words)
-        elements = cut(elements)
-        found = cut(site_templates(elements, min_pages))
-        total = found.agg(F.coalesce(F.sum("n_rows"), F.lit(0))).first()[0]
-        judged = join_counted(elements.drop("context"), found, ["host", "slot", "key"], "n_rows", total)
-        gone = judged.where(F.col("recurs") | (F.col("place") & ~F.col("main")) | F.col("hint") | F.col("outside"))
+    if templates or words or outside:
+        judged = elements = cut(page_elements(pages, words))
+        asked = F.lit(False)
+        if templates:
+            found = cut(site_templates(elements, min_pages))
+            total = found.agg(F.coalesce(F.sum("n_rows"), F.lit(0))).first()[0]
+            judged = join_counted(elements.drop("context"), found, ["host", "slot", "key"], "n_rows", total)
+            asked = F.col("recurs") | (F.col("place") & ~F.col("main"))
+        gone = judged.where(asked | (F.col("hint") if words else F.lit(False)) | (F.col("outside") if outside else F.lit(False)))
         # one row for each page that differs from others, however often it is repeated
         gone = gone.groupBy("a", "b", "at").agg(F.count(F.lit(1)).alias("n"))
         gone = cut(gone.groupBy("a", "b").agg(F.collect_list("at").alias("gone"), F.max("n").alias("n")))
