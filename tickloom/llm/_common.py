@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -24,8 +25,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Scratch folders made while a released() block is open, innermost last.
-_open: list[list[str]] = []
+#: The list that takes the scratch folders made now; each thread of the driver has its own.
+_open: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("tickloom_scratch", default=None)
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -37,8 +38,14 @@ def scratch_dir(spark: SparkSession) -> str:
         base = "file://" + tempfile.mkdtemp(prefix="tickloom-")
         spark.sparkContext.setCheckpointDir(base)
     path = f"{base.rstrip('/')}/tickloom-{uuid.uuid4().hex}"
-    if _open:
-        _open[-1].append(path)
+    # a query's result reads its scratch until the caller has used it, so what nobody releases goes when the driver ends
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(at)
+    fs.deleteOnExit(at)
+    made = _open.get()
+    if made is not None:
+        made.append(path)
     return path
 
 
@@ -58,11 +65,11 @@ def path_of(df: DataFrame) -> str:
 def recorded():
     """A list of the scratch folders made inside."""
     made: list[str] = []
-    _open.append(made)
+    before = _open.set(made)
     try:
         yield made
     finally:
-        _open.remove(made)
+        _open.reset(before)
 
 
 @contextlib.contextmanager
