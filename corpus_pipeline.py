@@ -6,6 +6,7 @@ rows and empty tables are rows like others. Columns that a stage doesn't know ar
 
 from __future__ import annotations
 
+import contextvars
 import functools
 
 import public_tokenizers
@@ -14,16 +15,17 @@ from pyspark.sql import DataFrame, SparkSession
 from tickloom.llm import bpe, exact_dedup, mixing, near_dedup, quality
 from tickloom.llm._common import cut, recorded, remove, scratch_dir, table
 
-#: Scratch folders that the last stage's result is read from.
-_left: list[str] = []
+#: Scratch folders that the last stage's result is read from, by the tables' folder: of one run, or of stages called one by one in a thread.
+_left: contextvars.ContextVar[dict[str, list[str]]] = contextvars.ContextVar("corpus_pipeline_left")
 
 
-def _release(spark: SparkSession, docs: DataFrame | None = None) -> None:
+def _release(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> None:
     """Delete what earlier stages left, but for folders that `docs` still reads: a stage's result is written before the next one runs."""
-    read = docs.inputFiles() if docs is not None and _left else []
-    gone = [path for path in _left if not any(path.rsplit("/", 1)[1] in file for file in read)]
+    left = _left.get({}).get(sf_dir, [])
+    read = docs.inputFiles() if docs is not None and left else []
+    gone = [path for path in left if not any(path.rsplit("/", 1)[1] in file for file in read)]
     remove(spark, *gone)
-    _left[:] = [path for path in _left if path not in gone]
+    left[:] = [path for path in left if path not in gone]
 
 
 def stage(f):
@@ -31,10 +33,12 @@ def stage(f):
 
     @functools.wraps(f)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        _release(spark, docs)
+        if _left.get(None) is None:
+            _left.set({})
+        _release(spark, sf_dir, docs)
         with recorded() as made:
             out = f(spark, docs, sf_dir)
-        _left.extend(made)
+        _left.get().setdefault(sf_dir, []).extend(made)
         return out
 
     return run
@@ -87,11 +91,15 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     What a stage wrote on its way is deleted once its result is there, and so is the result before it.
     """
-    docs, written = table(spark, sf_dir, "documents"), None
-    for _, step in STAGES[:-1]:
-        before, written = written, scratch_dir(spark)
-        docs = cut(step(spark, docs, sf_dir), path=written)
-        _release(spark)
-        if before:
-            remove(spark, before)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    mine = _left.set({})
+    try:
+        docs, written = table(spark, sf_dir, "documents"), None
+        for _, step in STAGES[:-1]:
+            before, written = written, scratch_dir(spark)
+            docs = cut(step(spark, docs, sf_dir), path=written)
+            _release(spark, sf_dir)
+            if before:
+                remove(spark, before)
+        return STAGES[-1][1](spark, docs, sf_dir)
+    finally:
+        _left.reset(mine)

@@ -112,3 +112,13 @@ def test_sql_agrees(spark, sf_dir, name):
 def test_all_eleven_are_registered():
     names = __spark_entry__.queries()
     assert "pipeline" in names and all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 11))
+
+
+def test_two_runs_at_once_keep_their_scratch(spark, sf_dir, tmp_path):
+    """Stages of two runs, taken in turns and in threads, don't delete what the other still reads."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    run = lambda _: sorted(map(tuple, corpus_pipeline.run(spark, sf_dir).select("doc_id", "n_tokens").collect()), key=str)
+    with ThreadPoolExecutor(2) as pool:
+        one, two = pool.map(run, range(2))
+    assert one == two and one
