@@ -10,7 +10,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 
 def zero_rate(nodes: np.ndarray, years: np.ndarray) -> np.ndarray:
@@ -139,3 +140,16 @@ def add_implied(trades: DataFrame, rate: float = 0.04) -> DataFrame:
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in trades.schema)
     return trades.mapInPandas(run, f"{fields}, implied_bp double")
+
+
+#: The most that a price may be missed by, and an official spread by its share and in basis points.
+PRICE_TOLERANCE, SHARE_TOLERANCE, MOST_BP = 0.005, 0.01, 2.0
+
+
+def quality(residual: Column, spread_bp: Column, official_bp: Column) -> Column:
+    """struct<status, publishable, relative_error> of a spread by its price residual and the official one, if any (M7)."""
+    apart = F.abs(spread_bp - official_bp)
+    share = F.try_divide(apart, official_bp)
+    near = F.coalesce((share <= SHARE_TOLERANCE) & (apart <= F.least(F.lit(MOST_BP), official_bp * SHARE_TOLERANCE)), F.lit(False))
+    status = F.when(residual > PRICE_TOLERANCE, "needs-review").when(official_bp.isNull(), "model-derived").when(near, "validated").otherwise("needs-review")
+    return F.struct(status.alias("status"), status.isin("model-derived", "validated").alias("publishable"), F.when(official_bp > 0, share).alias("relative_error"))

@@ -41,3 +41,84 @@ def round_robin(df: DataFrame, queue: str, order: Sequence[Column], quota: int)
     df = df.withColumn("turn", turn.cast("long")).where(F.col("turn") <= quota)
     place = F.row_number().over(Window.orderBy("turn", *order))
     return df.withColumn("place", place.cast("long")).where(F.col("place") <= quota)
+
+
+def priority_fair(df: DataFrame, queue: str, score: str, seq: str, weight: str, url: str, title: str, quota: int, first: int = 32) -> DataFrame:
+    """What fair selection takes from queues: best heads first, at most `quota` of a queue, one of each url and title.
+
+    Rows go by falling score, then queue, then `seq`, as long as their queue has taken less than its quota. A row that
+    shares url or title with one taken replaces the first such one if its queue (its best row's `weight`) is heavier
+    than that row, and is dropped otherwise; null and empty urls or titles are alike too. `place` orders the result.
+
+    Only the `first` best rows of each queue are looked at, and four times as many each time a queue ran out of them
+    while it was open: one task sees a few rows for each queue, never all rows.
+    """
+    w = Window.partitionBy(queue).orderBy(F.col(score).desc(), seq)
+    ranked = df.withColumn("__turn", F.row_number().over(w)).withColumn("__heavy", F.first(weight).over(w))
+    names = [queue, "__turn", "__heavy", score, seq, weight, url, title]
+    kinds = dict(df.dtypes)
+
+    def select(batches):
+        import pyarrow as pa
+
+        taken: dict = {}
+        seen: dict = {}
+        slots: list = []
+        holders: dict = {"u": {}, "t": {}}
+
+        def put(slot: int, row: tuple, on: bool) -> None:
+            for kind, key in (("u", row[6] or ""), ("t", row[7] or "")):
+                held = holders[kind].setdefault(key, set())
+                held.add(slot) if on else held.discard(slot)
+
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in names)):
+                q = row[0]
+                seen[q] = max(seen.get(q, 0), row[1])
+                if taken.get(q, 0) >= quota:
+                    continue
+                alike = holders["u"].get(row[6] or "", set()) | holders["t"].get(row[7] or "", set())
+                if alike:
+                    slot = min(alike)
+                    if row[2] <= slots[slot][5]:
+                        continue
+                    put(slot, slots[slot], False)
+                    slots[slot] = row
+                else:
+                    slot = len(slots)
+                    slots.append(row)
+                put(slot, row, True)
+                taken[q] = taken.get(q, 0) + 1
+        rows = [(r[0], r[1], False) for r in slots] + [(q, n, True) for q, n in seen.items() if taken.get(q, 0) < quota]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((batch_type, pa.int32(), pa.bool_()))], names=[queue, "__turn", "open"])
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    batch_type = to_arrow_type(df.schema[queue].dataType)
+    while True:
+        heads = ranked.where(F.col("__turn") <= first).select(*names)
+        line = heads.repartition(1).sortWithinPartitions(F.col(score).desc(), queue, seq)
+        picked = line.mapInArrow(select, f"{queue} {kinds[queue]}, __turn int, open boolean").collect()  # at most quota rows and one of each queue
+        ran_out = [r for r in picked if r["open"] and r["__turn"] == first]
+        if not ran_out:
+            break
+        first *= 4
+    keys = df.sparkSession.createDataFrame([(r[0], r[1]) for r in picked if not r["open"]], f"{queue} {kinds[queue]}, __turn int")
+    out = ranked.join(keys, [queue, "__turn"], "left_semi").select(*df.columns)
+    return out.withColumn("place", F.row_number().over(Window.orderBy(F.col(score).desc(), queue, seq)).cast("long"))
+
+
+def balanced(df: DataFrame, key: str, positive: str, order: Sequence[Column], up: int, down: int, limit: int) -> DataFrame:
+    """Of each key up to `limit` rows: `up` positive and `down` others, what one side lacks filled from the other.
+
+    No side can give more than `limit`, so Spark drops what lies beyond before the rows are counted.
+    """
+    w = Window.partitionBy(key, positive).orderBy(*order)
+    rows = df.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= limit)
+    side, c = Window.partitionBy(key), F.col
+    rows = rows.withColumns({"__np": F.count_if(c(positive)).over(side), "__nn": F.count_if(~c(positive)).over(side)})
+    negative = F.least(F.lit(down), "__nn")
+    wanted = F.least(F.when(c("__nn") == 0, limit).otherwise(up + down - negative), "__np")
+    taken = wanted + F.greatest(F.lit(0), F.least(limit - wanted - negative, c("__np") - wanted))
+    rows = rows.where(c("__rn") <= F.when(c(positive), taken).otherwise(F.least(c("__nn"), limit - taken)))
+    return rows.drop("__rn", "__np", "__nn")

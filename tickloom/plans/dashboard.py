@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tickloom.functions import dates
-from tickloom.operators import credit, merging, ranking
+from tickloom.operators import costs, credit, merging, ranking
 from tickloom.plans.register import query
 from tickloom.sources import tables as t
 
@@ -28,12 +28,12 @@ def _months(spark, sf_dir):
 
 
 @query(f"""WITH {_MONTHS}, l AS (SELECT *, lag(cents) OVER w AS before, lag(month) OVER w AS month_before FROM latest WINDOW w AS (PARTITION BY company ORDER BY month))
-SELECT company, month, cents, cents - before AS change, (cents - before) * 1.0::DOUBLE / before AS change_share, coalesce(month_before = month - INTERVAL 1 MONTH, false) AS consecutive FROM l""")
+SELECT company, month, cents, cents - before AS change, (cents - before) * 1.0::DOUBLE / before AS change_share, coalesce(month_before = month - INTERVAL 1 MONTH, false) AS consecutive, DATE '1998-08-02' - max(observed) OVER (PARTITION BY company) > 18 AS stale FROM l""")
 def monthly_latest(spark, sf_dir):
-    """The last observation of each month against that of the month before it."""
+    """The last observation of each month against that of the month before it, and whether the newest is over 18 days old."""
     w = Window.partitionBy("company").orderBy("month")
     before = F.lag("cents").over(w)
-    return _months(spark, sf_dir).select("company", "month", "cents", (F.col("cents") - before).alias("change"), ((F.col("cents") - before) * 1.0 / before).alias("change_share"), F.coalesce(F.lag("month").over(w) == F.add_months("month", -1), F.lit(False)).alias("consecutive"))
+    return _months(spark, sf_dir).select("company", "month", "cents", (F.col("cents") - before).alias("change"), ((F.col("cents") - before) * 1.0 / before).alias("change_share"), F.coalesce(F.lag("month").over(w) == F.add_months("month", -1), F.lit(False)).alias("consecutive"), (F.datediff(F.lit("1998-08-02").cast("date"), F.max("observed").over(Window.partitionBy("company"))) > 18).alias("stale"))
 
 
 @query(f"""WITH {_MONTHS} SELECT month, CAST(sum(CASE WHEN c_mktsegment = 'AUTOMOBILE' THEN cents END) AS BIGINT) AS automobile, CAST(sum(CASE WHEN c_mktsegment = 'BUILDING' THEN cents END) AS BIGINT) AS building, CAST(sum(CASE WHEN c_mktsegment = 'MACHINERY' THEN cents END) AS BIGINT) AS machinery
@@ -107,20 +107,27 @@ def changes_over_time(spark, sf_dir):
     return out.select("sku", "as_of", "input_price", "change_7d", "change_month")
 
 
-@query(f"""WITH {_OBS}, g AS (SELECT *, date_diff('day', lag(observed) OVER (PARTITION BY company ORDER BY observed, seq), observed) AS gap FROM obs WHERE kind = 'F'),
-a AS (SELECT company, count(*) AS n, CAST(sum(cents) AS BIGINT) AS total, count(*) FILTER (WHERE observed > DATE '1998-01-01') AS n_recent, max(observed) AS latest, round(avg(gap), 4) AS mean_gap, round(sum(CAST(cents AS DOUBLE) * (seq % 7)) / sum(cents), 6) AS weighted FROM g GROUP BY ROLLUP (company)) SELECT * FROM a""")
+@query(f"""WITH {_OBS}, g AS (SELECT *, observed BETWEEN DATE '1995-03-15' - INTERVAL 1 YEAR AND DATE '1995-03-15' AS recent, seq % 3 = 0 AS fixed, (seq % 7)::DOUBLE AS coupon FROM obs WHERE kind = 'F'),
+a AS (SELECT company, count(*) AS n, CAST(sum(cents) AS BIGINT) AS total, count(*) FILTER (WHERE recent) AS n_recent, CAST(coalesce(sum(cents) FILTER (WHERE recent), 0) AS BIGINT) AS total_recent, max(observed) AS latest, count(*) FILTER (WHERE fixed) AS n_fixed, round(sum(CAST(cents AS DOUBLE) * coupon) FILTER (WHERE fixed) / sum(cents) FILTER (WHERE fixed), 6) AS coupon,
+  CASE WHEN count(*) > 1 THEN CAST(round((max(observed) - min(observed)) * 1.0::DOUBLE / (count(*) - 1)) AS BIGINT) END AS mean_gap FROM g GROUP BY ROLLUP (company))
+SELECT *, CASE WHEN mean_gap > 0 THEN round(365.0::DOUBLE / mean_gap, 6) END AS a_year FROM a""")
 def capital_summary(spark, sf_dir):
-    """Counts, sums, gaps and an amount-weighted rate for each company and overall."""
-    w = Window.partitionBy("company").orderBy("observed", "seq")
-    rows = observations(spark, sf_dir).where("kind = 'F'").withColumn("gap", F.datediff("observed", F.lag("observed").over(w)))
-    return rows.rollup("company").agg(
+    """Counts and sums, all and of the twelve months before a day, mean gap in days, how often a year, and the amount-weighted fixed coupon, for each company and overall. The gaps of a sorted series add up to last less first."""
+    now = F.lit("1995-03-15").cast("date")
+    c = F.col
+    rows = observations(spark, sf_dir).where("kind = 'F'").withColumns({"recent": c("observed").between(F.add_months(now, -12), now), "fixed": c("seq") % 3 == 0, "rate": (c("seq") % 7).cast("double")})
+    weight = F.sum(F.when(c("fixed"), c("cents")))
+    out = rows.rollup("company").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum("cents").alias("total"),
-        F.count_if(F.col("observed") > F.lit("1998-01-01").cast("date")).alias("n_recent"),
+        F.count_if("recent").alias("n_recent"),
+        F.coalesce(F.sum(F.when(c("recent"), c("cents"))), F.lit(0)).alias("total_recent"),
         F.max("observed").alias("latest"),
-        F.round(F.avg("gap"), 4).alias("mean_gap"),
-        F.round(F.sum(F.col("cents").cast("double") * (F.col("seq") % 7)) / F.sum("cents"), 6).alias("weighted"),
+        F.count_if("fixed").alias("n_fixed"),
+        F.round(F.sum(F.when(c("fixed"), c("cents").cast("double") * c("rate"))) / weight, 6).alias("coupon"),
+        F.when(F.count(F.lit(1)) > 1, F.round(F.datediff(F.max("observed"), F.min("observed")) / (F.count(F.lit(1)) - 1)).cast("long")).alias("mean_gap"),
     )
+    return out.withColumn("a_year", F.when(c("mean_gap") > 0, F.round(365.0 / c("mean_gap"), 6)))
 
 
 @query("""WITH m AS (SELECT p_type AS metric, p_brand AS vendor, max(p_retailprice) AS score, p_type LIKE 'S%' AS lower FROM part GROUP BY 1, 2),
@@ -207,3 +214,40 @@ def implied_spreads(spark, sf_dir):
     lines = t.read(spark, sf_dir, "lineitem")
     trades = lines.select((c("l_orderkey") * 10 + c("l_linenumber")).alias("id"), F.lit(100.0).alias("coupon_bp"), (c("l_tax") / 2).alias("upfront"), (1 + c("l_linenumber").cast("double")).alias("years"), F.when(c("l_linenumber") != 3, c("l_discount") * 5000).alias("reference_bp"))
     return credit.add_implied(trades)
+
+
+_COSTED = """r AS (SELECT row_number() OVER () AS rid, l_orderkey * 10 + l_linenumber AS run, l_partkey AS model, CASE l_linenumber % 3 WHEN 1 THEN 'standard' WHEN 2 THEN 'long' END AS context_tier, CASE WHEN l_suppkey % 4 = 0 THEN 'priority' WHEN l_suppkey % 4 = 1 THEN 'standard' END AS service_tier,
+  CAST(l_shipdate AS DATE) + CAST(l_linenumber AS INTEGER) * 5 AS run_day, CASE WHEN l_linenumber <> 7 THEN CAST(round(l_quantity * 1000) AS BIGINT) END AS input_tokens, CASE WHEN l_suppkey % 10 <> 9 THEN l_partkey ELSE -1 END AS cached_tokens, CAST(round(l_tax * 100000) AS BIGINT) AS output_tokens FROM lineitem),
+pr AS (SELECT l_orderkey * 10 + l_linenumber AS seq, l_partkey AS model, coalesce(CASE l_suppkey % 3 WHEN 0 THEN 'long' WHEN 1 THEN 'standard' END, 'standard') AS context_tier, coalesce(CASE WHEN l_linenumber % 2 = 0 THEN 'priority' END, 'standard') AS service_tier, CAST(l_shipdate AS DATE) AS as_of,
+  l_extendedprice / l_quantity AS input_rate, l_discount AS cached_rate, l_tax * 100 AS output_rate, CASE WHEN l_linenumber = 5 THEN '' ELSE ' usd' END AS currency FROM lineitem WHERE l_linenumber <> 6)"""
+
+
+@query(f"""WITH {_COSTED}, best AS (SELECT rid, p.* EXCLUDE (model, context_tier, service_tier), row_number() OVER (PARTITION BY rid ORDER BY p.as_of DESC, seq, input_rate, cached_rate, output_rate) AS place FROM r JOIN pr p ON p.model = r.model AND (r.context_tier IS NULL OR r.context_tier = p.context_tier) AND (r.service_tier IS NULL OR r.service_tier = p.service_tier) AND p.as_of <= run_day),
+j AS (SELECT r.*, b.* EXCLUDE (rid), input_tokens IS NOT NULL AND cached_tokens >= 0 AND output_tokens >= 0 AS known, trim(currency) <> '' AS priced FROM r LEFT JOIN best b ON b.rid = r.rid AND place = 1),
+s AS (SELECT *, CASE WHEN NOT known THEN 'tokens_unavailable' WHEN coalesce(priced, false) THEN 'ready' ELSE 'price_unavailable' END AS status FROM j),
+c AS (SELECT run, status, CASE WHEN status = 'ready' THEN as_of END AS price_as_of, CASE WHEN status = 'ready' THEN round(input_tokens / 1000000.0::DOUBLE * input_rate, 12) END AS input_cost, CASE WHEN status = 'ready' THEN round(cached_tokens / 1000000.0::DOUBLE * cached_rate, 12) END AS cached_cost, CASE WHEN status = 'ready' THEN round(output_tokens / 1000000.0::DOUBLE * output_rate, 12) END AS output_cost FROM s)
+SELECT *, round(input_cost + cached_cost + output_cost, 12) AS total_cost FROM c""")
+def costed_runs(spark, sf_dir):
+    """Each run at the newest price of its model not after it, of the tiers that the run states, in three parts to twelve places; why there is no cost otherwise."""
+    c, line = F.col, F.col("l_linenumber")
+    lines = t.read(spark, sf_dir, "lineitem")
+    runs = lines.select(
+        (c("l_orderkey") * 10 + line).alias("run"), c("l_partkey").alias("model"), F.when(line % 3 == 1, "standard").when(line % 3 == 2, "long").alias("context_tier"), F.when(c("l_suppkey") % 4 == 0, "priority").when(c("l_suppkey") % 4 == 1, "standard").alias("service_tier"), F.date_add(F.to_date("l_shipdate"), line.cast("int") * 5).alias("run_day"),
+        F.when(line != 7, F.round(c("l_quantity") * 1000).cast("long")).alias("input_tokens"), F.when(c("l_suppkey") % 10 != 9, c("l_partkey")).otherwise(-1).alias("cached_tokens"), F.round(c("l_tax") * 100_000).cast("long").alias("output_tokens"),
+    )
+    listed = lines.select(
+        (c("l_orderkey") * 10 + line).alias("seq"), c("l_partkey").alias("model"), F.when(c("l_suppkey") % 3 == 0, "long").when(c("l_suppkey") % 3 == 1, "standard").alias("context_tier"), F.when(line % 2 == 0, "priority").alias("service_tier"), F.to_date("l_shipdate").alias("as_of"),
+        (c("l_extendedprice") / c("l_quantity")).alias("input_rate"), c("l_discount").alias("cached_rate"), (c("l_tax") * 100).alias("output_rate"), F.when(line == 5, "").otherwise(" usd").alias("currency"), F.when(line == 6, "per_image").otherwise("per_million_tokens").alias("unit"),
+    )
+    return costs.attach(runs, listed).select("run", "status", "price_as_of", "input_cost", "cached_cost", "output_cost", "total_cost")
+
+
+@query("""WITH q AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_tax / 10 AS residual, l_extendedprice / 1000 AS spread, CASE WHEN l_linenumber % 3 > 0 THEN l_extendedprice / 1000 * (1 + (l_discount - 0.05) / 4) END AS official FROM lineitem),
+x AS (SELECT *, abs(spread - official) AS gap, abs(spread - official) / official AS share FROM q), s AS (SELECT *, CASE WHEN residual > 0.005 THEN 'needs-review' WHEN official IS NULL THEN 'model-derived' WHEN share <= 0.01 AND gap <= least(2.0, official * 0.01) THEN 'validated' ELSE 'needs-review' END AS status FROM x)
+SELECT id, status, status <> 'needs-review' AS publishable, round(share, 9) AS relative_error FROM s""")
+def credit_quality(spark, sf_dir):
+    """M7: whether a spread may be published: by how far its price is missed, and how near it is to an official one."""
+    k, spread = F.col("l_linenumber"), F.col("l_extendedprice") / 1000
+    official = F.when(k % 3 > 0, spread * (1 + (F.col("l_discount") - 0.05) / 4))
+    rows = t.read(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + k).alias("id"), credit.quality(F.col("l_tax") / 10, spread, official).alias("q"))
+    return rows.select("id", "q.status", "q.publishable", F.round("q.relative_error", 9).alias("relative_error"))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tickloom.functions import text
-from tickloom.operators import merging, ranking, windows
+from tickloom.operators import disclosures, merging, ranking, windows
 from tickloom.plans.dashboard import prices
 from tickloom.plans.dashboard import _PRICES as PRICES_SQL
 from tickloom.plans.filings import _SCORED as SCORED_SQL
@@ -212,3 +212,21 @@ def market_context(spark, sf_dir):
     f = t.daily_bars(spark, sf_dir).select("date", (100.0 * (F.lead("close").over(w) / F.col("close") - 1)).alias("pct")).where("pct is not null")
     x = f.groupBy("date").agg(F.round(F.avg("pct"), 6).alias("mean_pct"))
     return x.withColumn("context", F.when(F.col("mean_pct") > 0.8, "up").when(F.col("mean_pct") < -0.8, "down").otherwise("flat"))
+
+
+_slug = lambda c: f"coalesce(nullif(trim(regexp_replace(lower({c}), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'none')"
+
+
+@query(f"""WITH s AS (SELECT l_suppkey AS model, l_orderkey * 10 + l_linenumber AS seq, CAST(l_quantity AS BIGINT) % 5 AS value, CASE l_linenumber % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END AS rank, 'Agent ' || l_returnflag AS agent, CASE WHEN l_linenumber > 3 THEN l_linestatus END AS harness, 'u' || l_orderkey AS url FROM lineitem),
+d AS (SELECT model, value, rank, agent, harness, arg_max(url, seq) AS url FROM s GROUP BY ALL), k AS (SELECT *, {_slug('agent')} || ':' || {_slug('harness')} AS run FROM d),
+o AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY rank, run, value DESC, url) AS place, count(*) OVER (PARTITION BY model) AS n FROM k)
+SELECT model, n, n > 1 AS ambiguous, value, rank = 0 AS complete, run, url FROM o WHERE place = 1""")
+def merged_disclosures(spark, sf_dir):
+    """All that was disclosed of a model's score, once for each identity, the most complete first; ambiguous if there are several."""
+    k = F.col("l_linenumber")
+    rows = t.read(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").alias("model"), (F.col("l_orderkey") * 10 + k).alias("seq"), (F.col("l_quantity").cast("long") % 5).alias("value"), F.when(k % 3 == 0, True).when(k % 3 == 1, False).alias("complete"),
+        F.struct(F.concat(F.lit("Agent "), F.col("l_returnflag")).alias("agent"), F.when(k > 3, F.col("l_linestatus")).alias("harness")).alias("run"), F.concat(F.lit("u"), F.col("l_orderkey").cast("string")).alias("url"),
+    )
+    out = disclosures.merged(rows, ["model"], "value", "complete", "run", "seq", ["url"])
+    return out.select("model", "n", "ambiguous", "value", F.coalesce("complete", F.lit(False)).alias("complete"), F.col("run_key").alias("run"), "url")

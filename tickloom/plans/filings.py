@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tickloom.operators import merging
+from tickloom.operators import merging, ranking
 from tickloom.plans.register import query
 from tickloom.sources import tables as t
 
@@ -94,11 +94,21 @@ def suppressed_signals(spark, sf_dir):
     return d.select("code", "date", F.when(F.col("bad_id").isNull(), F.col("good")).alias("good_id"), "bad_id", F.col("worst").between(-6, -1).alias("mild"))
 
 
-@query(f"""WITH {_SCORED}, p AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY score DESC, id) AS a, row_number() OVER (PARTITION BY code ORDER BY score, id) AS b FROM scored),
-x AS (SELECT code, id, score, CASE WHEN a <= 3 THEN 'good' ELSE 'bad' END AS side FROM p WHERE (a <= 3 AND score > 0) OR (b <= 3 AND score < 0)) SELECT * FROM x""")
+@query(f"""WITH {_SCORED}, p AS (SELECT code, id, score, score > 0 AS up, row_number() OVER (PARTITION BY code, score > 0 ORDER BY abs(score) DESC, id) AS rn FROM scored WHERE score <> 0),
+n AS (SELECT code, count(*) FILTER (WHERE up) AS np, count(*) FILTER (WHERE NOT up) AS nn FROM p GROUP BY 1), q AS (SELECT code, np, nn, least(2, nn) AS kn, CASE WHEN nn = 0 THEN 5 ELSE 3 + 2 - least(2, nn) END AS wp FROM n),
+k AS (SELECT code, least(wp, np) + greatest(0, least(5 - least(wp, np) - kn, np - least(wp, np))) AS take_p, np, nn, kn FROM q)
+SELECT p.code, id, score, CASE WHEN up THEN 'good' ELSE 'bad' END AS side FROM p JOIN k ON k.code = p.code WHERE CASE WHEN up THEN rn <= take_p ELSE rn <= least(nn, 5 - take_p) END""")
 def balanced_rows(spark, sf_dir):
-    """Three rows of each side for each company."""
-    w = Window.partitionBy("code")
-    rows = scored(spark, sf_dir).withColumns({"a": F.row_number().over(w.orderBy(F.col("score").desc(), "id")), "b": F.row_number().over(w.orderBy("score", "id"))})
-    rows = rows.where("(a <= 3 AND score > 0) OR (b <= 3 AND score < 0)")
-    return rows.select("code", "id", "score", F.when(F.col("a") <= 3, "good").otherwise("bad").alias("side"))
+    """Three good and two bad rows of each company, what one side lacks filled from the other up to five."""
+    rows = scored(spark, sf_dir).where("score <> 0").withColumn("up", F.col("score") > 0)
+    return ranking.balanced(rows, "code", "up", [F.abs("score").desc(), F.col("id")], 3, 2, 5).select("code", "id", "score", F.when(F.col("up"), "good").otherwise("bad").alias("side"))
+
+
+@query("""WITH c AS (SELECT l_suppkey AS code, unnest(string_split(p_name || ' ' || p_type || ' ' || p_brand, ' ')[1:3]) AS concept FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag = 'R'),
+g AS (SELECT concept, count(*) AS n, count(DISTINCT code) AS n_codes FROM c GROUP BY 1) SELECT * FROM g ORDER BY n DESC, concept LIMIT 10""")
+def risk_concepts(spark, sf_dir):
+    """The ten concepts met most among the first three of each risk, with the companies concerned."""
+    lines = t.read(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select("l_partkey", F.col("l_suppkey").alias("code"))
+    concepts = t.read(spark, sf_dir, "part").select("p_partkey", F.slice(F.split(F.concat_ws(" ", "p_name", "p_type", "p_brand"), " "), 1, 3).alias("concepts"))
+    rows = lines.join(concepts, F.col("l_partkey") == F.col("p_partkey")).select("code", F.explode("concepts").alias("concept"))
+    return rows.groupBy("concept").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("code").alias("n_codes")).orderBy(F.col("n").desc(), "concept").limit(10)

@@ -64,3 +64,19 @@ def feed_freshness(spark, sf_dir):
 def duplicate_membership(spark, sf_dir):
     """In how many industries each code stands; more than one is an error."""
     return t.margin_balances(spark, sf_dir).groupBy("code").agg(F.count_distinct("industry").alias("n_industries"))
+
+
+@query(f"""WITH {t.BARS}, d AS (SELECT date AS asked, CASE WHEN (code * 7 + day(date)) % 211 = 0 THEN date - 1 ELSE date END AS date, CASE WHEN (code + day(date)) % 97 = 0 THEN '900' || lpad(code::VARCHAR, 3, '0') || '.SH' WHEN day(date) = 17 THEN '600' || lpad((code // 2)::VARCHAR, 3, '0') || '.SH' ELSE lpad((code + 600000)::VARCHAR, 6, '0') || '.SH' END AS ts_code FROM bars),
+x AS (SELECT asked, count(*) AS n, count(DISTINCT ts_code) AS n_codes, count(*) FILTER (WHERE date <> asked) AS wd, count(*) FILTER (WHERE ts_code LIKE '900%') AS wc FROM d GROUP BY 1),
+e AS (SELECT date AS asked, count(*) + CASE WHEN day(date) = 5 THEN 1 ELSE 0 END AS n_expected FROM bars WHERE day(date) < 10 GROUP BY 1, date)
+SELECT x.asked, n, n_codes, CASE WHEN wd > 0 THEN 'date' WHEN wc > 0 THEN 'code' WHEN n <> n_codes THEN 'unique' WHEN n_expected > 0 THEN CASE WHEN n <> n_expected THEN 'rows' END WHEN n < 20 THEN 'coverage' END AS failure FROM x LEFT JOIN e ON e.asked = x.asked""")
+def delivery_gate(spark, sf_dir):
+    """V1: whether each day's delivery is of that day, of strict codes, each once, and whole."""
+    c = F.col
+    bars = t.daily_bars(spark, sf_dir).select("code", "date")
+    at = F.day("date")
+    digits = lambda n: F.lpad(n.cast("string"), 3, "0")
+    listed = F.when((c("code") + at) % 97 == 0, F.concat(F.lit("900"), digits(c("code")))).when(at == 17, F.concat(F.lit("600"), digits(F.floor(c("code") / 2)))).otherwise(F.lpad((c("code") + 600000).cast("string"), 6, "0"))
+    rows = bars.select(c("date").alias("asked"), F.when((c("code") * 7 + at) % 211 == 0, F.date_sub("date", 1)).otherwise(c("date")).alias("date"), F.concat(listed, F.lit(".SH")).alias("ts_code"))
+    expected = bars.where(at < 10).groupBy(c("date").alias("asked")).agg(F.count(F.lit(1)).alias("n")).select("asked", (c("n") + F.when(F.day("asked") == 5, 1).otherwise(0)).alias("n_expected"))
+    return validate.delivery_gate(rows, "asked", "date", "ts_code", expected, least=20)

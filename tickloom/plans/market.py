@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tickloom.operators import merging, ranking, windows
+from tickloom.operators import merging, ranking, validate, windows
 from tickloom.plans.register import query
 from tickloom.sources import tables as t
 
@@ -50,14 +50,21 @@ def market_long_history(spark, sf_dir):
 
 
 @query(f"""WITH {t.MARGIN}, prev AS (SELECT date, code, industry, cents, lag(cents) OVER (PARTITION BY code ORDER BY date) AS before FROM margin),
+bought AS (SELECT CAST(o_orderdate AS DATE) AS date, c_mktsegment AS industry, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS buy FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'O' GROUP BY 1, 2), members AS (SELECT c_mktsegment AS industry, count(*) AS n_universe FROM customer GROUP BY 1),
 g AS (SELECT date, industry, count(DISTINCT code) AS n_codes, CAST(sum(cents) AS BIGINT) AS balance, CAST(sum(cents - before) AS BIGINT) AS change FROM prev GROUP BY 1, 2)
-SELECT date, industry, n_codes, balance, change, balance * 100.0::DOUBLE / sum(balance) OVER (PARTITION BY date) AS market_pct FROM g""")
+SELECT date, industry, n_universe, n_codes, balance, coalesce(buy, 0) AS buy, change, balance * 100.0::DOUBLE / sum(balance) OVER (PARTITION BY date) AS market_pct,
+ CASE WHEN industry IN ('BUILDING', 'MACHINERY') THEN balance * 100.0::DOUBLE / sum(CASE WHEN industry IN ('BUILDING', 'MACHINERY') THEN balance END) OVER (PARTITION BY date) END AS sector_pct FROM g JOIN members USING (industry) LEFT JOIN bought USING (date, industry)""")
 def margin_by_industry(spark, sf_dir):
-    """Balances, changes on each code's previous day, and share of the market, by day and industry."""
+    """By day and industry members, codes, balances, purchases, changes on each code's previous day (null if none is known), and shares of the market and of the sector."""
     rows = t.margin_balances(spark, sf_dir)
     rows = rows.withColumn("change", F.col("cents") - F.lag("cents").over(windows.by(["code"])))
     out = rows.groupBy("date", "industry").agg(F.count_distinct("code").alias("n_codes"), F.sum("cents").alias("balance"), F.sum("change").alias("change"))
-    return out.withColumn("market_pct", F.col("balance") * 100.0 / F.sum("balance").over(Window.partitionBy("date")))
+    customers = t.read(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("industry"))
+    bought = t.read(spark, sf_dir, "orders").where("o_orderstatus = 'O'").join(customers, F.col("o_custkey") == F.col("c_custkey")).groupBy(F.to_date("o_orderdate").alias("date"), "industry").agg(F.sum(t.cents("o_totalprice")).alias("buy"))
+    out = out.join(customers.groupBy("industry").agg(F.count(F.lit(1)).alias("n_universe")), "industry").join(bought, ["date", "industry"], "left")
+    day, balance = Window.partitionBy("date"), F.col("balance")
+    sector = F.when(F.col("industry").isin("BUILDING", "MACHINERY"), balance)
+    return out.select("date", "industry", "n_universe", "n_codes", "balance", F.coalesce("buy", F.lit(0)).alias("buy"), "change", (balance * 100.0 / F.sum(balance).over(day)).alias("market_pct"), (sector * 100.0 / F.sum(sector).over(day)).alias("sector_pct"))
 
 
 @query(f"""WITH {t.MARGIN}, d AS (SELECT date, CAST(sum(cents) AS BIGINT) AS market, CAST(sum(CASE WHEN industry IN ('BUILDING', 'MACHINERY') THEN cents ELSE 0 END) AS BIGINT) AS sector FROM margin GROUP BY 1),
@@ -90,14 +97,18 @@ def market_row_builder(spark, sf_dir):
     return t.daily_bars(spark, sf_dir).select("code", "date", "close", (100.0 * (F.col("close") - F.lag("close").over(w)) / F.lag("close").over(w)).alias("pct"), windows.volume_ratio(F.col("volume"), 5, w).alias("ratio"))
 
 
-@query(f"""WITH {t.BARS}, d AS (SELECT date, count(*) AS n FROM bars GROUP BY 1), x AS (SELECT date, n, lag(n) OVER (ORDER BY date) AS a, lead(n) OVER (ORDER BY date) AS b FROM d)
-SELECT date, n, coalesce(n >= 0.9 * ((coalesce(a, b) + coalesce(b, a)) / 2.0), true) AS ok FROM x""")
+@query(f"""WITH {t.BARS}, d AS (SELECT date, count(*) AS n, count(*) FILTER (WHERE volume >= 30) AS valid FROM bars GROUP BY 1), u AS (SELECT count(*) AS universe FROM supplier),
+x AS (SELECT *, greatest(lag(valid) OVER (ORDER BY date), lead(valid) OVER (ORDER BY date)) AS beside FROM d, u),
+f AS (SELECT date, n, valid, round(n * 1.0::DOUBLE / universe, 6) AS coverage, CASE WHEN beside > 0 THEN round(valid * 1.0::DOUBLE / beside, 6) END AS ratio, CASE WHEN n * 1.0::DOUBLE / universe < 0.2 THEN 'coverage' END AS a, CASE WHEN NOT coalesce(beside > 0, false) THEN 'no neighbours' WHEN valid * 1.0::DOUBLE / beside < 0.9 THEN 'neighbours' END AS b FROM x)
+SELECT date, n, valid, coverage, ratio, concat_ws(',', a, b) AS failures, a IS NULL AND b IS NULL AS ok FROM f""")
 def market_snapshot_gate(spark, sf_dir):
-    """A day's rows against those of the days beside it."""
-    days = t.daily_bars(spark, sf_dir).groupBy("date").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.orderBy("date")
-    a, b = F.lag("n").over(w), F.lead("n").over(w)
-    return days.select("date", "n", F.coalesce(F.col("n") >= 0.9 * ((F.coalesce(a, b) + F.coalesce(b, a)) / 2.0), F.lit(True)).alias("ok"))
+    """A day's rows against the universe, and its valid rows against the days beside it, with what fails."""
+    days = t.daily_bars(spark, sf_dir).groupBy("date").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("volume") >= 30).alias("valid"))
+    w = Window.orderBy("date")  # one row for each day
+    days = days.withColumn("beside", F.array(F.lag("valid").over(w), F.lead("valid").over(w)))
+    universe = t.read(spark, sf_dir, "supplier").count()
+    gate = validate.snapshot_gate(F.col("n"), F.col("valid"), F.lit(universe), F.col("beside"), least_coverage=0.2)
+    return days.select("date", "n", "valid", gate.alias("g")).select("date", "n", "valid", "g.coverage", "g.ratio", F.array_join("g.failures", ",").alias("failures"), (F.size("g.failures") == 0).alias("ok"))
 
 
 @query("""WITH d AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS date FROM lineitem), o AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS date FROM orders)

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tickloom.functions import text
-from tickloom.operators import merging, ranking
+from tickloom.operators import merging, moving, ranking
 from tickloom.plans.register import query
 from tickloom.sources import tables as t
 
@@ -82,11 +82,20 @@ def newest_with_pins(spark, sf_dir):
 @query("""WITH q AS (SELECT event_id, event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS turn FROM events),
 p AS (SELECT *, row_number() OVER (ORDER BY turn, value DESC, event_id) AS place FROM q WHERE turn <= 40) SELECT event_id, event_type, value, turn, place FROM p WHERE place <= 40""")
 def fair_selection(spark, sf_dir):
-    """Heads of all queues before any second."""
+    """Heads of all queues before any second."""
     rows = t.read(spark, sf_dir, "events").select("event_id", "event_type", "value")
     return ranking.round_robin(rows, "event_type", [F.col("value").desc(), F.col("event_id")], 40)
 
 
+@query()
+def priority_fair_selection(spark, sf_dir):
+    """Two rows of each user's queue, best heads first, one of each link and title, a heavier source replacing a lighter one."""
+    kind = F.col("event_type")
+    weight = F.when(kind == "purchase", 1000).when(kind == "signup", 800).when(kind == "click", 700).when(kind == "view", 600).otherwise(500)
+    rows = t.read(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("queue"), "value", weight.alias("weight"), F.concat(F.lit("n.example/"), (F.col("event_id") % 900).cast("string")).alias("url"), F.concat(kind, F.lit(" "), (F.col("event_id") * 7 % 800).cast("string")).alias("title"))
+    return ranking.priority_fair(rows, "queue", "value", "event_id", "weight", "url", "title", 2)
+
+
 @query(f"""WITH e AS (SELECT event_id, value, greatest(0.5, date_sub('second', ts, TIMESTAMP '{NOW}') / 3600.0::DOUBLE) AS age FROM events)
 SELECT event_id, round(value / pow(age, 0.65), 6) AS velocity, round(greatest(1 - 0.02 * age, 0.5), 6) AS decay, CASE WHEN age <= 2 THEN 10 WHEN age <= 6 THEN 8 WHEN age <= 12 THEN 5 WHEN age <= 24 THEN 3 ELSE 0 END AS recency,
  round(least(100, ln(1 + value) / ln(1 + 1000) * 90), 6) AS engagement FROM e""")
@@ -104,23 +113,23 @@ def engagement_scores(spark, sf_dir):
     )
 
 
-@query("""WITH g AS (SELECT event_id, user_id, value, 1.0::DOUBLE * count(*) OVER (PARTITION BY user_id ORDER BY value RANGE UNBOUNDED PRECEDING) / count(*) OVER (PARTITION BY user_id) AS own,
- count(*) OVER (PARTITION BY user_id) AS n, 1.0::DOUBLE * count(*) OVER (PARTITION BY event_type ORDER BY value RANGE UNBOUNDED PRECEDING) / count(*) OVER (PARTITION BY event_type) AS peers FROM events)
-SELECT event_id, n, CAST(round(5 + 35 * CASE WHEN n >= 5 THEN own ELSE peers END) AS INTEGER) AS score FROM g""")
-def engagement_percentile(spark, sf_dir):
-    """Rank among the account's own samples if there are five, else among its kind.
+_SAMPLE = "s.event_type <> 'error' AND CAST(s.ts AS DATE) BETWEEN CAST(e.ts AS DATE) - 29 AND CAST(e.ts AS DATE)"
 
-    Ranks come from counts by distinct value, made before rows move: a kind that holds most rows costs one row a value.
-    """
-    rows = t.read(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
 
-    def ranked(key, share, n):
-        w = Window.partitionBy(key)
-        counts = rows.groupBy(key, "value").agg(F.count(F.lit(1)).alias("c")).withColumn(n, F.sum("c").over(w))
-        return counts.withColumn(share, F.sum("c").over(w.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)) / F.col(n)).drop("c")
-
-    out = rows.join(ranked("user_id", "own", "n"), ["user_id", "value"]).join(ranked("event_type", "peers", "m"), ["event_type", "value"])
-    return out.select("event_id", "n", F.round(5 + 35 * F.when(F.col("n") >= 5, F.col("own")).otherwise(F.col("peers"))).cast("int").alias("score"))
+@query(f"""WITH own AS (SELECT e.event_id, count(s.event_id) AS n, count(s.event_id) FILTER (WHERE s.value <= e.value) AS k FROM events e LEFT JOIN events s ON s.user_id = e.user_id AND {_SAMPLE} GROUP BY 1),
+every AS (SELECT e.event_id, count(s.event_id) AS n, count(s.event_id) FILTER (WHERE s.value <= e.value) AS k FROM (SELECT DISTINCT ON (value, CAST(ts AS DATE)) * FROM events) e LEFT JOIN events s ON {_SAMPLE} GROUP BY 1),
+named AS (SELECT value, CAST(ts AS DATE) AS day, n, k FROM every JOIN events USING (event_id))
+SELECT e.event_id, own.n, CAST(CASE WHEN own.n >= 5 THEN round(5 + 35.0::DOUBLE * own.k / own.n) WHEN g.n > 0 THEN round(5 + 35.0::DOUBLE * g.k / g.n) ELSE 18 END AS INTEGER) AS score
+FROM events e JOIN own USING (event_id) JOIN named g ON g.value = e.value AND g.day = CAST(e.ts AS DATE)""")
+def engagement_percentile(spark, sf_dir):
+    """Rank among the samples of the last 30 days as each row sees them: the account's own if there are five, else all; 18 without any."""
+    rows = t.read(spark, sf_dir, "events").select("event_id", F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("account"), "value", F.to_date("ts").alias("day"), (F.col("event_type") != "error").alias("sample"))
+    both = rows.select(F.explode(F.array("account", F.lit("*"))).alias("key"), "value", "day", "sample")
+    ranks = moving.ranks_in_days(both, "key", "value", "day", "sample", 30)
+    every = ranks.where("key = '*'").select("value", "day", F.col("n").alias("all_n"), F.col("at_most").alias("all_k"))
+    out = rows.join(ranks.withColumnRenamed("key", "account"), ["account", "value", "day"]).join(every, ["value", "day"])
+    share = lambda k, n: F.round(5 + 35.0 * F.col(k) / F.col(n)).cast("int")
+    return out.select("event_id", "n", F.when(F.col("n") >= 5, share("at_most", "n")).when(F.col("all_n") > 0, share("all_k", "all_n")).otherwise(18).alias("score"))
 
 
 @query("""SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9_\\x{4e00}-\\x{9fff}]+', ' ', 'g'), ' +', ' ', 'g')) AS normal,

@@ -122,3 +122,26 @@ def anomaly_reasons(spark, sf_dir):
     rows = rows.where("abs(pct) >= 30").join(theme, "code").withColumn("peers", F.count(F.lit(1)).over(Window.partitionBy("date", "theme")))
     reason = F.when(F.abs("pct") >= 60, "direct").when(F.col("peers") - 1 >= 2, "theme").when(F.col("peers") - 1 >= 1, "peer").otherwise("unknown")
     return rows.select("code", "date", F.round("pct", 6).alias("pct"), reason.alias("reason"))
+
+
+@query(f"""WITH {t.BARS}, m AS (SELECT code, date_trunc('month', date)::DATE AS month, arg_max(close, date) AS close FROM bars GROUP BY 1, 2), codes AS (SELECT code, min(month) AS a FROM m GROUP BY 1), e AS (SELECT max(month) AS b FROM m),
+s AS (SELECT code, unnest(generate_series(a, b, INTERVAL 1 MONTH))::DATE AS month FROM codes, e),
+f AS (SELECT s.code, s.month, m.close IS NOT NULL AS fresh, last_value(m.close IGNORE NULLS) OVER w AS now, last_value(m.close IGNORE NULLS) OVER (PARTITION BY s.code ORDER BY s.month ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM s LEFT JOIN m ON m.code = s.code AND m.month = s.month WINDOW w AS (PARTITION BY s.code ORDER BY s.month ROWS UNBOUNDED PRECEDING)),
+v AS (SELECT s_nationkey AS fund, month, count(*) AS n, count(*) FILTER (WHERE fresh) AS n_fresh, sum((code % 9 + 1) * now) AS now, sum((code % 9 + 1) * coalesce(before, now)) AS before FROM f JOIN supplier ON s_suppkey = code GROUP BY 1, 2),
+g AS (SELECT *, n_fresh >= greatest(1, ceil(n * 0.8)) AS reliable FROM v)
+SELECT fund, month, n, n_fresh, reliable, round(sum(CASE WHEN reliable THEN ln(now / before) ELSE 0 END) OVER (PARTITION BY fund ORDER BY month ROWS UNBOUNDED PRECEDING), 6) AS log_nav FROM g""")
+def fund_nav(spark, sf_dir):
+    """A fund's chained value, which moves only where four in five of its positions have a fresh price; others keep their last."""
+    month = F.trunc("date", "month")
+    seen = t.daily_bars(spark, sf_dir).groupBy("code", month.alias("month")).agg(F.max_by("close", "date").alias("close"))
+    end = seen.agg(F.max("month")).first()[0]
+    spine = seen.groupBy("code").agg(F.min("month").alias("a")).select("code", F.explode(F.expr(f"sequence(a, date'{end}', interval 1 month)")).alias("month"))
+    w = Window.partitionBy("code").orderBy("month")
+    upto = lambda last: F.last("close", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, last))
+    rows = spine.join(seen, ["code", "month"], "left").select("code", "month", F.col("close").isNotNull().alias("fresh"), upto(0).alias("now"), upto(-1).alias("before"))
+    funds = t.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("code"), F.col("s_nationkey").alias("fund"), (F.col("s_suppkey") % 9 + 1).alias("shares"))
+    value = lambda c: F.sum(F.col("shares") * c)
+    out = rows.join(funds, "code").groupBy("fund", "month").agg(F.count(F.lit(1)).alias("n"), F.count_if("fresh").alias("n_fresh"), value(F.col("now")).alias("now"), value(F.coalesce("before", "now")).alias("before"))
+    out = out.withColumn("reliable", F.col("n_fresh") >= F.greatest(F.lit(1), F.ceil(F.col("n") * 0.8)))
+    run = F.sum(F.when(F.col("reliable"), F.ln(F.col("now") / F.col("before"))).otherwise(0.0)).over(Window.partitionBy("fund").orderBy("month").rowsBetween(Window.unboundedPreceding, 0))
+    return out.select("fund", "month", "n", "n_fresh", "reliable", F.round(run, 6).alias("log_nav"))
