@@ -82,13 +82,17 @@ def total_raised(text: Column) -> Column:
     return F.array_max(_sums(text, pattern))
 
 
-def project_sums(text: Column, total: Column) -> Column:
-    """Sum of the distinct sums for projects; purposes that are no projects must not stand within NEAR letters."""
+def project_sums(text: Column) -> Column:
+    """The distinct sums for projects; purposes that are no projects must not stand within NEAR letters."""
     words = [*LIQUIDITY, *DEBTS]
     behind = "|".join(f"{w}.{{0,{NEAR - len(w)}}}" for w in words)
     ahead = "|".join(f".{{0,{NEAR - len(w)}}}{w}" for w in words)
     pattern = rf"(?s)(?=拟[使投])(?<!{behind})拟(?:使用|投入)(?:本次)?募集资金(?:金额|额)?\s*{SUM}(?!{ahead})"
-    found = F.array_distinct(F.transform(_sums(text, pattern), lambda x: F.round(x, 4)))
+    return F.array_distinct(F.transform(_sums(text, pattern), lambda x: F.round(x, 4)))
+
+
+def projects_together(found: Column, total: Column) -> Column:
+    """What the projects need together; null if that is more than is raised."""
     # beside others, the whole sum repeated isn't one more project
     parts = F.when(total.isNotNull() & (F.size(found) > 1), F.filter(found, lambda x: F.abs(x - total) > F.greatest(F.lit(1.0), total * 0.001))).otherwise(found)
     amount = F.reduce(parts, F.lit(0.0), lambda s, x: s + x)
@@ -108,11 +112,10 @@ def _first(text: Column, patterns: list[str]) -> Column:
     return F.coalesce(*[F.when(text.rlike(p), F.regexp_extract(text, p, 1)) for p in patterns])
 
 
-def dilution_pct(text: Column) -> Column:
+def dilution_pct(stated: Column, issued: Column, before: Column) -> Column:
     """Shares to be issued over those before, as stated in per cent or worked out from both numbers."""
-    shares = lambda p: F.when(text.rlike(p), _number(F.regexp_extract(text, p, 1)) * F.when(F.regexp_extract(text, p, 1).endswith("万股"), 1e4).otherwise(1.0))
-    stated = _first(text, DILUTION)
-    return F.when(stated.isNotNull(), numeral(stated)).otherwise(F.try_divide(shares(SHARES_ISSUED), shares(SHARES_BEFORE)) * 100)
+    shares = lambda n: _number(n) * F.when(n.endswith("万股"), 1e4).otherwise(1.0)
+    return F.when(stated.isNotNull(), numeral(stated)).otherwise(F.try_divide(shares(issued), shares(before)) * 100)
 
 
 def _any(text: Column, patterns: list[str]) -> Column:
@@ -142,18 +145,27 @@ def metrics(text: Column, current_price: Column) -> Column:
         _any(text, STRATEGIC).alias("strategic"),
         _any(text, FINANCIAL).alias("financial"),
         _any(text, UNDECIDED).alias("undecided"),
+        text.rlike(NAMED).alias("named"),
+        project_sums(text).alias("parts"),
+        _first(text, DILUTION).alias("stated"),
+        _first(text, [SHARES_ISSUED]).alias("issued"),
+        _first(text, [SHARES_BEFORE]).alias("before"),
+        _first(text, LOCKUP).alias("lockup"),
+        text.rlike(HIGH_GROWTH).alias("growth"),
+        text.rlike(CORE_BUSINESS).alias("core"),
+        (text != "").alias("has_text"),
     )
 
     def derive(f: Column) -> Column:
         ordinary_debt = F.when(f["costly"], 0.0).otherwise(F.coalesce(f["debt"], F.lit(0.0)))
         ordinary = F.coalesce(f["both"], F.coalesce(f["flow"], F.lit(0.0)) + ordinary_debt)
-        stated = project_sums(text, f["total"])
+        stated = projects_together(f["parts"], f["total"])
         rest = F.when(f["total"].isNotNull() & (ordinary > 0) & f["expansion"], F.greatest(F.lit(0.0), f["total"] - ordinary))
         projects = F.coalesce(stated, rest, f["total"] * f["direct"])
         share = lambda x: F.least(F.lit(1.0), F.greatest(F.lit(0.0), x / f["total"]))
-        known = F.when(f["undecided"], False).when(f["internal"] | f["strategic"] | f["financial"] | text.rlike(NAMED), True)
+        known = F.when(f["undecided"], False).when(f["internal"] | f["strategic"] | f["financial"] | f["named"], True)
         return F.struct(
-            (text != "").alias("has_text"),
+            f["has_text"].alias("has_text"),
             f["total"].alias("total"),
             f["flow"].alias("liquidity"),
             F.when(~f["costly"], f["debt"]).alias("ordinary_debt"),
@@ -161,15 +173,15 @@ def metrics(text: Column, current_price: Column) -> Column:
             F.when((f["total"] > 0) & (ordinary > 0), share(ordinary)).when((f["total"] > 0) & f["purposes"], 0.0).alias("liquidity_ratio"),
             projects.alias("projects"),
             F.coalesce(f["direct"], F.when(f["total"] > 0, F.when(projects.isNotNull(), share(projects)))).alias("project_ratio"),
-            dilution_pct(text).alias("dilution_pct"),
-            F.floor(numeral(_first(text, LOCKUP))).cast("int").alias("lockup_months"),
+            dilution_pct(f["stated"], f["issued"], f["before"]).alias("dilution_pct"),
+            F.floor(numeral(f["lockup"])).cast("int").alias("lockup_months"),
             F.when(f["price"].isNotNull(), "fixed").when(numeral(f["floor"]).isNotNull(), "auction_floor").otherwise("unknown").alias("pricing"),
             f["price"].alias("price"),
             (numeral(f["floor"]) / 100).alias("floor_ratio"),
             F.when(current_price > 0, f["price"] / current_price).alias("price_ratio"),
-            text.rlike(HIGH_GROWTH).alias("high_growth"),
+            f["growth"].alias("high_growth"),
             f["expansion"].alias("expansion"),
-            text.rlike(CORE_BUSINESS).alias("core_business"),
+            f["core"].alias("core_business"),
             f["costly"].alias("high_interest"),
             f["internal"].alias("internal"),
             f["strategic"].alias("strategic"),
@@ -177,7 +189,8 @@ def metrics(text: Column, current_price: Column) -> Column:
             known.alias("investors_known"),
         )
 
-    return F.transform(F.array(found), derive)[0]  # each part is worked out once
+    # what the text holds is looked for once, and worked out from there: a lambda's own parts would be looked for at each use
+    return F.transform(F.array(found), derive)[0]
 
 
 def signals(m: Column, over_average: Column, place_60d: Column) -> Column:
