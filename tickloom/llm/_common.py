@@ -41,8 +41,9 @@ def scratch_dir(spark: SparkSession) -> str:
     # a query's result reads its scratch until the caller has used it, so what nobody releases goes when the driver ends
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.mkdirs(at)
+    fs.mkdirs(at)  # only a path that is there can be listed
     fs.deleteOnExit(at)
+    fs.delete(at, True)
     made = _open.get()
     if made is not None:
         made.append(path)
