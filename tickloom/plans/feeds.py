@@ -120,7 +120,7 @@ def compatible_text(spark, sf_dir):
 
 @query("""WITH h AS (SELECT o_custkey AS fund, l_suppkey AS code, min(l_orderkey * 10 + l_linenumber) AS seq FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2) SELECT code, arg_min(fund, seq) AS fund, count(*) AS n_funds FROM h GROUP BY 1""")
 def watch_list(spark, sf_dir):
-    """The codes that funds hold, each once, under the fund that held it first."""
+    """The codes that funds hold, each once, under the fund that held it first."""
     orders = t.read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("fund"))
     lines = t.read(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("code"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
     held = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("fund", "code").agg(F.min("seq").alias("seq"))

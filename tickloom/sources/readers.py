@@ -77,6 +77,26 @@ def delimited(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).option("sep", sep).option("quote", '"').option("escape", '"').option("multiLine", True).csv(path)
 
 
+def concept_list(spark: SparkSession, path: str, code: str = "stock_code", concept: str = "concept_name", rank: str = "rank") -> DataFrame:
+    """code, concepts of a watch list in CSV with a header in any order, with or without a byte order mark.
+
+    Codes are filled up to six digits; a code without a concept has none; concepts are trimmed, each once, by their best
+    rank, then by name; a rank that is missing or no number counts as 9999. Rows without a code go. A file without the
+    column of codes is refused; other columns may lack.
+    """
+    rows = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True).csv(path)
+    names = {name.lstrip("\ufeff").strip().strip('"').lower(): name for name in rows.columns}
+    if code not in names:
+        raise ValueError(f"no column {code} in {path}")
+    of = lambda name: F.trim(F.col(f"`{names[name]}`")) if name in names else F.lit(None).cast("string")
+    filled = F.when(F.char_length(of(code)) < 6, F.lpad(of(code), 6, "0")).otherwise(of(code))
+    place = F.coalesce(of(rank).try_cast("int"), F.lit(9999))
+    rows = rows.where(F.coalesce(of(code), F.lit("")) != "").select(filled.alias("code"), F.nullif(of(concept), F.lit("")).alias("concept"), place.alias("rank"))
+    once = rows.groupBy("code", "concept").agg(F.min("rank").alias("rank"))
+    named = F.when(F.col("concept").isNotNull(), F.struct("rank", "concept"))
+    return once.groupBy("code").agg(F.sort_array(F.collect_list(named))["concept"].alias("concepts"))
+
+
 def markdown_tables(df: DataFrame, key: str, column: str) -> DataFrame:
     """key, block, row, cells for the lines of pipe tables; separator rows go, blocks need two rows."""
     from pyspark.sql import Window

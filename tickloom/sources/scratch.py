@@ -5,12 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write `df` into the folder that spark.checkpoint.dir names and read it again. Only a local session may lack one: it gets its own."""
-    spark = df.sparkSession
+def folder(spark: SparkSession) -> str:
+    """A new folder in the one that spark.checkpoint.dir names, gone when the driver ends. Only a local session may lack one: it gets its own."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         if not spark.sparkContext.master.startswith("local"):
@@ -22,5 +21,11 @@ def cut(df: DataFrame) -> DataFrame:
     fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
     fs.mkdirs(at)
     fs.deleteOnExit(at)
+    return path
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write `df` into a folder of its own and read it again."""
+    path = folder(df.sparkSession)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
