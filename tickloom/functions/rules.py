@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,9 +11,52 @@ from pyspark.sql import functions as F
 Table = Sequence[tuple[str, object]]
 
 
+_SPECIAL = "\\.+*?()[]{}|^$"
+
+
+def _needed(pattern: str) -> tuple[list[str], bool] | None:
+    """Words of which a match must hold one, and whether holding one is all that the pattern asks; None if it isn't plain to see."""
+    if pattern.startswith("(?"):
+        return None
+    words, word, runs, depth, exact = [], "", [], 0, True
+    for i, x in enumerate(pattern + "|"):
+        if depth == 0 and x == "|":
+            best = max([*runs, word], key=len)
+            if not best:
+                return None
+            words.append(best)
+            word, runs = "", []
+            continue
+        depth += (x in "([") - (x in ")]")
+        if x in _SPECIAL or depth:
+            if x == "\\" or x in "{}":  # escapes and counts: left to the pattern
+                return None
+            runs.append(word[:-1] if x in "*?" else word)
+            word, exact = "", False
+        else:
+            word += x
+    return (words, exact) if depth == 0 else None
+
+
+def found(c: Column, pattern: str) -> Column:
+    """Whether a pattern is found: its plain words are looked for first, and the pattern is tried only where one stands."""
+    needed = _needed(pattern)
+    if needed is None:
+        return c.rlike(pattern)
+    held = F.contains(c, F.lit(needed[0][0]))
+    for word in needed[0][1:]:
+        held = held | F.contains(c, F.lit(word))
+    return held if needed[1] else held & c.rlike(pattern)
+
+
+def once(c: Column, make: Callable[[Column], Column]) -> Column:
+    """make(c), with `c` evaluated once however often it stands in the result, wherever the optimizer moves it."""
+    return F.transform(F.array(c), make)[0]
+
+
 def first(c: Column, table: Table, default: object = None) -> Column:
     """The value of the first pattern that is found."""
-    return F.coalesce(*[F.when(c.rlike(pattern), F.lit(value)) for pattern, value in table], F.lit(default))
+    return F.coalesce(*[F.when(found(c, pattern), F.lit(value)) for pattern, value in table], F.lit(default))
 
 
 def value_of(c: Column, table: dict[str, object], default: object) -> Column:

@@ -86,15 +86,15 @@ def hits(title: Column, company: Column, signals: Sequence[tuple[str, int, str]]
             if re.search(labels, label):
                 made = F.when(applies, hit(label + mark, 0, "none")).otherwise(made)
         if family == "reduce":
-            made = F.when(title.rlike(NO_SELL), hit("自愿不减持", 3, "other")).otherwise(made)
-        out.append(F.when(title.rlike(pattern), made))
+            made = F.when(rules.found(title, NO_SELL), hit("自愿不减持", 3, "other")).otherwise(made)
+        out.append(F.when(rules.found(title, pattern), made))
     return F.array_compact(F.array(*out)).cast(f"array<{_HIT}>")
 
 
 def _all(c: Column, patterns: Sequence[str]) -> Column:
     out = F.lit(True)
     for p in patterns:
-        out = out & c.rlike(p)
+        out = out & rules.found(c, p)
     return out
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.operators import windows
+from tickloom.sources.scratch import cut
 
 
 @dataclass(frozen=True)
@@ -208,27 +209,43 @@ def gate(m: dict[str, float], least_sharpe: float = 1.0, least_calmar: float = 2
     return [name for name, ok in tests if not ok]
 
 
-def _trades(bars: DataFrame, days: DataFrame, last: int, rules: Rules, run: int) -> DataFrame:
-    """run and _TRADE: the trades that a run may make, worked out code by code."""
-    marked = signals(bars, rules).withColumn("code", F.col("code").cast("string"))
-    entries = buy_candidates(marked, days, rules)
+#: What a run reads beside its signals: rule sets that differ in these alone share them.
+_OF_RUNS = ("max_positions", "cost", "stop_loss", "max_days", "cash", "market")
+
+
+def _key(rules: Rules) -> tuple:
+    return tuple(v for k, v in asdict(rules).items() if k not in _OF_RUNS)
+
+
+def _trades(marked: DataFrame, days: DataFrame, last: int, group: Sequence[tuple[int, Rules]]) -> DataFrame:
+    """run and _TRADE: the trades that runs over the same signals may make, worked out code by code in one pass."""
+    entries = buy_candidates(marked, days, max((rules for _, rules in group), key=lambda rules: rules.max_positions))
     own = marked.join(days, "date").select(F.col("code").alias("own"), "day", "open", "close", "sell")
 
     def work(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        return trades_of(right, left.sort_values("day"), rules, last)
+        left = left.sort_values("day")
+        return pd.concat([trades_of(right, left[left["rank"] <= 2 * rules.max_positions], rules, last).assign(run=run) for run, rules in group])
 
-    made = entries.groupBy("code").cogroup(own.groupBy("own")).applyInPandas(work, _TRADE)
-    return made.withColumn("run", F.lit(run))
+    return entries.groupBy("code").cogroup(own.groupBy("own")).applyInPandas(work, _TRADE + ", run int")
 
 
-def runs(bars: DataFrame, benchmark: DataFrame, candidates: Sequence[Rules], fn, schema: str) -> DataFrame:
-    """fn(rules, days, curve, closed) -> frame, for each of the rule sets; `days` has date, close of the index by day."""
+def runs(bars: DataFrame, benchmark: DataFrame, candidates: Sequence[Rules], fn, schema: str, marked: dict[tuple, DataFrame] | None = None) -> DataFrame:
+    """fn(rules, days, curve, closed) -> frame, for each of the rule sets; `days` has date, close of the index by day.
+
+    Signals are worked out and written once for all rule sets that share them; `marked` keeps what was written for later calls.
+    """
+    benchmark, marked = cut(benchmark), {} if marked is None else marked
     listed = benchmark.select("date", "close", (F.row_number().over(Window.orderBy("date")) - 1).cast("long").alias("day"))  # one row for each day
     days = listed.toPandas()  # the sessions of an index: thousands of rows for any number of codes
     held = {kind: market_allows(benchmark, kind).orderBy("date").toPandas()["allowed"].to_numpy() for kind in {r.market for r in candidates}}
-    made = None
+    groups: dict[tuple, list[tuple[int, Rules]]] = {}
     for i, rules in enumerate(candidates):
-        own = _trades(bars, listed.select("date", "day"), len(days) - 1, rules, i)
+        groups.setdefault(_key(rules), []).append((i, rules))
+    made = None
+    for key, group in groups.items():
+        if key not in marked:
+            marked[key] = cut(signals(bars, group[0][1]).withColumn("code", F.col("code").cast("string")))
+        own = _trades(marked[key], listed.select("date", "day"), len(days) - 1, group)
         made = own if made is None else made.unionByName(own)
 
     # a run without a trade is a run too: each has a row of its own
@@ -268,8 +285,8 @@ def figures(run: int, rules: Rules, days: pd.DataFrame, curve: pd.DataFrame, clo
     return m
 
 
-def grid(bars: DataFrame, benchmark: DataFrame, candidates: Sequence[Rules]) -> DataFrame:
-    """One row for each distinct rule set, in order: its parameters, metrics and failed gates."""
+def grid(bars: DataFrame, benchmark: DataFrame, candidates: Sequence[Rules], marked: dict[tuple, DataFrame] | None = None) -> DataFrame:
+    """One row for each distinct rule set, in order: its parameters, metrics and failed gates (M2, V10); `marked` as in runs()."""
     candidates = list(dict.fromkeys(candidates))
     shown = ["max_positions", "stop_loss", "max_days"]
 
@@ -278,7 +295,7 @@ def grid(bars: DataFrame, benchmark: DataFrame, candidates: Sequence[Rules]) ->
         return pd.DataFrame([{"run": run} | {k: asdict(rules)[k] for k in shown} | m | {"failed": ",".join(gate(m))}])[["run", *shown, *_FIGURES, *_COUNTS, "failed"]]
 
     kinds = "run int, max_positions long, stop_loss double, max_days long, " + ", ".join(f"{c} double" for c in _FIGURES) + ", " + ", ".join(f"{c} long" for c in _COUNTS) + ", failed string"
-    return runs(bars, benchmark, candidates, out, kinds)
+    return runs(bars, benchmark, candidates, out, kinds, marked)
 
 
 def staged_search(bars: DataFrame, benchmark: DataFrame, base: Rules, stages: Sequence[tuple[str, Sequence[dict]]]) -> DataFrame:
@@ -286,10 +303,11 @@ def staged_search(bars: DataFrame, benchmark: DataFrame, base: Rules, stages: Se
     Sharpe, is kept for the next (M3). stage, then the columns of grid() for what was kept: one row for each stage."""
     from dataclasses import replace
 
-    spark, kept, rows = bars.sparkSession, base, []
+    spark, kept, rows, marked = bars.sparkSession, base, [], {}
+    benchmark = cut(benchmark)
     for name, changes in stages:
         tried = list(dict.fromkeys([kept, *(replace(kept, **c) for c in changes)]))
-        found = sorted(grid(bars, benchmark, tried).collect(), key=lambda r: r["run"])  # one row for each candidate
+        found = sorted(grid(bars, benchmark, tried, marked).collect(), key=lambda r: r["run"])  # one row for each candidate
         best = next((r for r in found if not r["failed"]), None) or max(found, key=lambda r: r["sharpe"], default=None)
         if best is not None:
             kept = tried[best["run"]]

@@ -111,20 +111,19 @@ NEED_SUBJECT = ("model-launch", "purchase-approval", "capex", "funding")
 def _all_found(c: Column, pattern: str) -> Column:
     out = F.lit(True)
     for part in pattern.split(" & "):
-        out = out & c.rlike(part)
+        out = out & rules.found(c, part)
     return out
 
 
 def category(title: Column, source_type: Column) -> Column:
     """Category of a headline: rates first, then words in order, then the kind of source."""
     default = F.when(source_type.isin("official", "academic", "developer"), "软件").otherwise("宏观")
-    return F.coalesce(rules.first(text.normalise(title), CATEGORIES), default)
+    return F.coalesce(rules.once(text.normalise(title), lambda c: rules.first(c, CATEGORIES)), default)
 
 
 def signal(title: Column) -> Column:
     """The first of ten kinds of signal."""
-    c = text.normalise(title)
-    return F.coalesce(*[F.when(_all_found(c, p), F.lit(label)) for p, label in SIGNALS], F.lit("普通新闻"))
+    return rules.once(text.normalise(title), lambda c: F.coalesce(*[F.when(_all_found(c, p), F.lit(label)) for p, label in SIGNALS], F.lit("普通新闻")))
 
 
 def recency(hours: Column) -> Column:
@@ -133,8 +132,12 @@ def recency(hours: Column) -> Column:
 
 def score(title: Column, source_type: Column, base: Column, hours: Column, kind: Column, of: Column) -> Column:
     """Score of a headline from its kind and signal (`kind`, `of`), source, age and context; noise is capped at 72."""
-    c = text.normalise(F.concat_ws(" ", title, kind, of))
-    hard, demand = c.rlike(HARD), c.rlike(DEMAND)
+    words = text.normalise(F.concat_ws(" ", title, kind, of))
+    met = rules.once(words, lambda c: F.struct(*[rules.found(c, p).alias(name) for name, p in (("hard", HARD), ("demand", DEMAND), ("noise", NOISE))]))
+    return rules.once(met, lambda m: _points(title, source_type, base, hours, kind, of, m["hard"], m["demand"], m["noise"]))
+
+
+def _points(title: Column, source_type: Column, base: Column, hours: Column, kind: Column, of: Column, hard: Column, demand: Column, noise: Column) -> Column:
     improves = of == "需求改善"
     points = (
         F.lit(50)
@@ -146,7 +149,7 @@ def score(title: Column, source_type: Column, base: Column, hours: Column, kind:
         + F.when(hard, 12).otherwise(0)
         + F.when(improves & demand, 10).when(improves, -18).otherwise(0)
     )
-    return F.when(c.rlike(NOISE) & ~hard, F.least(base, F.lit(72))).otherwise(F.greatest(base, points))
+    return F.when(noise & ~hard, F.least(base, F.lit(72))).otherwise(F.greatest(base, points))
 
 
 def token(c: Column) -> Column:
@@ -156,10 +159,24 @@ def token(c: Column) -> Column:
 
 
 def event_key(title: Column) -> Column:
-    """event:subject:action:object, null where object or action lacks, or a subject that the action needs."""
-    subject = rules.first(title, SUBJECTS, "")
-    found = F.coalesce(*[F.when(title.rlike(p), F.regexp_extract(title, p, 0)) for p, _ in OBJECTS])
-    thing = F.coalesce(*[F.when(title.rlike(p), F.lit(key) if key else token(F.regexp_extract(title, p, 0))) for p, key in OBJECTS])
-    action = F.coalesce(*[F.when(title.rlike(p.removesuffix(" & model")) & found.rlike(MODEL) if p.endswith(" & model") else _all_found(title, p), F.lit(name)) for p, name in ACTIONS])
-    ok = thing.isNotNull() & action.isNotNull() & ((subject != "") | ~action.isin(*NEED_SUBJECT))
-    return F.when(ok, F.concat(F.lit("event:"), F.when(subject != "", subject).otherwise(thing), F.lit(":"), action, F.lit(":"), thing))
+    """event:subject:action:object, null where object or action lacks, or a subject that the action needs.
+
+    Each part is worked out once: subject and object of a title, then its action, then the key.
+    """
+
+    def parts(t: Column) -> Column:
+        thing = F.coalesce(*[F.when(t.rlike(p), F.struct(F.regexp_extract(t, p, 0).alias("found"), F.lit(key).alias("key"))) for p, key in OBJECTS])
+        return F.struct(t.alias("title"), rules.first(t, SUBJECTS, "").alias("subject"), thing.alias("thing"))
+
+    def acting(s: Column) -> Column:
+        t, found = s["title"], s["thing"]["found"]
+        action = [F.when((t.rlike(p.removesuffix(" & model")) & found.rlike(MODEL)) if p.endswith(" & model") else _all_found(t, p), F.lit(name)) for p, name in ACTIONS]
+        thing = F.when(s["thing"]["key"] != "", s["thing"]["key"]).otherwise(token(found))
+        return F.struct(s["subject"].alias("subject"), F.when(found.isNotNull(), F.coalesce(*action)).alias("action"), thing.alias("thing"))
+
+    def key(s: Column) -> Column:
+        named = s["subject"] != ""
+        ok = s["thing"].isNotNull() & s["action"].isNotNull() & (named | ~s["action"].isin(*NEED_SUBJECT))
+        return F.when(ok, F.concat(F.lit("event:"), F.when(named, s["subject"]).otherwise(s["thing"]), F.lit(":"), s["action"], F.lit(":"), s["thing"]))
+
+    return rules.once(rules.once(rules.once(title, parts), acting), key)
