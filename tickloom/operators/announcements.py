@@ -5,6 +5,7 @@ Rules come as tables, so that a user's own may replace the samples here; each fu
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -36,11 +37,26 @@ SIGNALS = [
 ]
 # What a title must hold (all of them) for rules of some labels to count for nothing, and the mark on the label.
 NO_SELL = r"自愿.*不减持|承诺.*不减持|承诺.*锁定|自愿锁定|不减持承诺|未减持|提前终止.*减持计划|终止.*减持计划"
+_REWARD, _BUYBACK = r"限制性股票|股票期权|股权激励", r"回购报告书|集中竞价.*回购|首次回购|回购方案|回购股份"
+_PART_LIFTED = r"撤销部分其他风险警示|撤销.*风险警示.*继续|撤销.*其他风险警示.*继续"
+#: (patterns that a title must hold, one that it must not hold or "", labels concerned, mark), the first that applies decides.
+#: A pattern with "@" before it looks at title and company.
 NEUTRALISERS = [
-    ([r"股权激励|限制性股票|股票期权|员工持股计划"], r"^股份回购$", "(激励类)"),
-    ([r"ST|退市风险", r"回购报告书|集中竞价.*回购|首次回购|回购方案|回购股份"], r"^股份回购$", "(ST自救)"),
-    ([r"限制性股票|股票期权|股权激励", r"内幕信息知情人|注销.*期权|注销.*股票|调整.*价格|调整.*数量|调整.*相关事项"], r"^限制性股票激励计划$", "(程序性)"),
-]
+    ([r"股权激励|限制性股票|股票期权|员工持股计划"], "", r"^股份回购$", "(激励类)"),
+    ([r"@ST|退市风险", _BUYBACK], "", r"^股份回购$", "(ST自救)"),
+    ([_REWARD, r"内幕信息知情人|注销.*期权|注销.*股票|调整.*价格|调整.*数量|调整.*相关事项"], "", r"^限制性股票激励计划$", "(程序性)"),
+    (
+        [_REWARD + r"|员工持股", r"解锁条件成就|解锁.*暨上市|登记完成|授予完成|激励对象名单|名单公示|名单审核公示|自查表|内幕信息知情人|调整.*价格|调整.*数量|调整.*相关事项|注销.*期权|注销.*股票|作废|失效"],
+        "", r"^限制性股票激励计划$", "(执行/程序类v28)",
+    ),
+    ([r"律师事务所.*专项核查意见|律师事务所.*法律意见|律师.*见证|律师.*法律意见|专项核查意见.*增持|专项核查意见.*减持|免于以要约方式.*增持.*专项核查意见"], "", r"增持", "(律师核查v28)"),
+    ([_PART_LIFTED], "", r"ST|退市", "(撤销部分v28)"),
+    ([r"撤销(?:|部|[^部].{0,14}|部[^分].{0,13})风险警示"], _PART_LIFTED, r"ST|退市", "(撤销全v29)"),
+    ([_REWARD + r"|员工持股"], r"草案|正式发布", r"^限制性股票激励计划$", "(v930严格)"),
+    ([r"增持", r"进展|完成|结果|实施完毕"], "", r"增持|大股东", "(v930进展)"),
+    ([r"注销减资|减资公告|减少注册资本"], _REWARD, r"^股份回购$", "(v930减资)"),
+    ([r"日常经营合同"], "", r"中标|重大合同", "(v930日常)"),
+]
 #: (pattern, reason): titles that say nothing; the first decides.
 NEUTRAL = [(r"独立董事", "独董意见"), (r"法律意见书|律师", "法律意见"), (r"股东大会|董事会决议", "会议"), (r"更正|补充", "更正补充"), (r"提示性公告", "提示性")]
 #: (pattern on a label, kind), in order.
@@ -69,39 +85,54 @@ _HIT = "struct<label:string,weight:int,family:string>"
 
 
 def hits(title: Column, company: Column, signals: Sequence[tuple[str, int, str]] = tuple(SIGNALS)) -> Column:
-    """array<struct<label, weight, family>>: every rule that a title meets, neutralised ones with weight 0."""
-    whole = F.concat_ws(" ", title, company)
-    quiet = [_all(whole, patterns) for patterns, _, _ in NEUTRALISERS]
+    """array<struct<label, weight, family>>: every rule that a title meets, neutralised ones with weight 0 (X6); a null title meets none."""
+    looked = F.struct(title.alias("title"), F.concat_ws(" ", title, company).alias("whole"))
+    quiet = lambda s: F.struct(s["title"].alias("title"), *[_quiet(s, must, unless).alias(f"q{i}") for i, (must, unless, _, _) in enumerate(NEUTRALISERS)], rules.found(s["title"], NO_SELL).alias("kept"))
+    return rules.once(rules.once(looked, quiet), lambda s: _hits(s, signals))
+
 
-    def hit(label: str | Column, weight: int, family: str) -> Column:
-        return F.struct((F.lit(label) if isinstance(label, str) else label).alias("label"), F.lit(weight).alias("weight"), F.lit(family).alias("family"))
+def _quiet(s: Column, must: Sequence[str], unless: str) -> Column:
+    out = F.lit(True)
+    for p in must:
+        out = out & (rules.found(s["whole"], p[1:]) if p.startswith("@") else rules.found(s["title"], p))
+    return out & ~rules.found(s["title"], unless) if unless else out
 
-    import re
+
+def _hits(s: Column, signals: Sequence[tuple[str, int, str]]) -> Column:
+    def hit(label: str, weight: int, family: str) -> Column:
+        return F.struct(F.lit(label).alias("label"), F.lit(weight).alias("weight"), F.lit(family).alias("family"))
 
     out = []
     for pattern, weight, label in signals:
         family = "reduce" if "减持" in label else "increase" if "增持" in label else "other"
         made = hit(label, weight, family)
-        for applies, (_, labels, mark) in reversed(list(zip(quiet, NEUTRALISERS))):
+        for i, (_, _, labels, mark) in reversed(list(enumerate(NEUTRALISERS))):
             if re.search(labels, label):
-                made = F.when(applies, hit(label + mark, 0, "none")).otherwise(made)
+                made = F.when(s[f"q{i}"], hit(label + mark, 0, "none")).otherwise(made)
         if family == "reduce":
-            made = F.when(rules.found(title, NO_SELL), hit("自愿不减持", 3, "other")).otherwise(made)
-        out.append(F.when(rules.found(title, pattern), made))
+            made = F.when(s["kept"], hit("自愿不减持", 3, "other")).otherwise(made)
+        out.append(F.when(rules.found(s["title"], pattern), made))
     return F.array_compact(F.array(*out)).cast(f"array<{_HIT}>")
 
 
-def _all(c: Column, patterns: Sequence[str]) -> Column:
-    out = F.lit(True)
-    for p in patterns:
-        out = out & rules.found(c, p)
-    return out
+def rule_tables(spec: str) -> tuple[list[tuple[str, int, str]], list[tuple[str, str]]]:
+    """Signals (pattern, weight, label) and neutral titles (pattern, reason) out of pipe tables in a user's text.
 
-
-def _best(found: Column, family: str) -> Column:
-    """Of a family the hit with the largest size, the first of equal ones."""
-    of = F.filter(found, lambda h: h["family"] == family)
-    return F.reduce(of, F.lit(None).cast(_HIT), lambda best, h: F.when(best.isNull() | (F.abs(h["weight"]) > F.abs(best["weight"])), h).otherwise(best))
+    A table whose first column is `label` has label, score, pattern; one whose first is `pattern` has pattern, reason.
+    `;` parts alternatives. Rows that lack a cell, or whose score is no whole number, go; other tables are passed over.
+    """
+    signals, neutral, kind = [], [], ""
+    for line in spec.splitlines():
+        cells = [c.strip() for c in line.strip().strip("|").split("|")]
+        if not line.strip().startswith("|"):
+            kind = kind if kind == "pattern" and not line.strip() else ""  # tables of neutral titles go on after an empty line
+        elif not kind:
+            kind = cells[0] if cells[0] in ("label", "pattern") else ""
+        elif kind == "label" and len(cells) >= 3 and cells[0] and cells[2] and re.fullmatch(r"[+-]?\d+", cells[1]):
+            signals.append((cells[2].replace(";", "|"), int(cells[1]), cells[0]))
+        elif kind == "pattern" and len(cells) >= 2 and cells[0] != "pattern" and cells[0].strip("-: ") and cells[1]:
+            neutral.append((cells[0].replace(";", "|"), cells[1]))
+    return signals, neutral
 
 
 def counted(found: Column) -> Column:
@@ -110,6 +141,12 @@ def counted(found: Column) -> Column:
     return F.concat(best, F.filter(found, lambda h: h["family"] == "other"))
 
 
+def _best(found: Column, family: str) -> Column:
+    """Of a family the hit with the largest size, the first of equal ones."""
+    of = F.filter(found, lambda h: h["family"] == family)
+    return F.reduce(of, F.lit(None).cast(_HIT), lambda best, h: F.when(best.isNull() | (F.abs(h["weight"]) > F.abs(best["weight"])), h).otherwise(best))
+
+
 def total(found: Column) -> Column:
     return F.reduce(found, F.lit(0), lambda s, h: s + h["weight"])
 
@@ -133,9 +170,9 @@ def kind(found: Column) -> Column:
     return F.coalesce(*[F.when(met(p), F.lit(name)) for p, name in KINDS], F.lit("其他"))
 
 
-def neutral(title: Column) -> Column:
+def neutral(title: Column, table: Sequence[tuple[str, str]] = tuple(NEUTRAL)) -> Column:
     """The first reason why a title says nothing, or null."""
-    return rules.first(title, NEUTRAL)
+    return rules.first(title, table)
 
 
 # Titles that aren't reports, the four reports, and what may follow their names.

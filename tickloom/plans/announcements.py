@@ -18,14 +18,19 @@ TITLES = [
     "关于控股股东增持公司股份的公告", "关于控股股东、董事长增持公司股份的公告", "关于董事增持股份的公告", "股东减持股份结果的公告", "5%以上股东减持股份计划的公告", "关于控股股东自愿承诺不减持股份的公告",
     "关于首次回购股份的公告", "关于回购股份用于员工持股计划的公告", "限制性股票激励计划（草案）", "关于调整限制性股票授予价格的公告", "关于项目中标的公告", "关于签订重大合同的公告", "关于公司股票可能被终止上市的风险提示", "关于公司股票实施其他风险警示的公告",
     "关于收到立案告知书的公告", "2023年半年度业绩预告", "关于重大资产重组实施完成的公告", "关于新药获得临床试验批准的公告", "关于签署战略合作协议的公告", "关于扩产项目的公告", "关于收到行政处罚决定书的公告", "关于控股股东破产重整的公告", "独立董事关于回购股份的意见", "关于年报的更正公告", "关于日常经营的公告",
+    "关于撤销部分其他风险警示", "关于撤销退市风险警示", "关于撤销部分退市风险警示", "关于限制性股票激励计划首次授予登记完成", "关于股票期权激励计划解锁条件成就", "关于签订日常经营合同暨重大合同", "关于回购股份注销减资", "关于股东增持股份计划",
 ]
+#: What stands before and after it.
+BEFORE = ["", "关于公司", "广东某律师事务所", "*ST", "控股股东", "2024年", "北京子公司"]
+AFTER = ["", "的公告", "进展", "实施完毕", "之专项核查意见", "（草案）", "结果", "暨继续被实施其他风险警示", "的提示性公告", "正式发布", "法律意见书"]
 
 
 def filings(spark, sf_dir):
     """id, code, company, date, title, share_pct (of a contract in the year's revenue)."""
     li = t.read(spark, sf_dir, "lineitem")
     key = F.col("l_partkey") * 3 + F.col("l_linenumber")
-    title = F.element_at(F.array(*map(F.lit, TITLES)), (key % len(TITLES) + 1).cast("int"))
+    pick = lambda words, k: F.element_at(F.array(*map(F.lit, words)), (k % len(words) + 1).cast("int"))
+    title = F.concat(pick(BEFORE, F.col("l_suppkey")), pick(TITLES, key), pick(AFTER, F.col("l_orderkey")))
     company = F.concat(F.when(F.col("l_suppkey") % 9 == 0, "*ST").otherwise("Co"), F.col("l_suppkey").cast("string"))
     return li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_suppkey").alias("code"), company.alias("company"), F.to_date("l_shipdate").alias("date"), title.alias("title"), (F.col("l_discount") * 300).alias("share_pct"))
 
@@ -34,15 +39,16 @@ def _hit_sql(i, pattern, weight, label):
     made = lambda text, w, f: f"{{'ord': {i}, 'label': {_q(text)}, 'w': {w}, 'f': '{f}'}}"
     family = "reduce" if "减持" in label else "increase" if "增持" in label else "other"
     cases = [f"WHEN regexp_matches(title, {_q(a.NO_SELL)}) THEN {made('自愿不减持', 3, 'other')}"] if family == "reduce" else []
-    for patterns, labels, mark in a.NEUTRALISERS:
+    for must, unless, labels, mark in a.NEUTRALISERS:
         if re.search(labels, label):
-            cases.append("WHEN " + " AND ".join(f"regexp_matches(title || ' ' || company, {_q(p)})" for p in patterns) + f" THEN {made(label + mark, 0, 'none')}")
+            met = [f"regexp_matches(title || ' ' || company, {_q(p[1:])})" if p.startswith("@") else f"regexp_matches(title, {_q(p)})" for p in must]
+            cases.append("WHEN " + " AND ".join(met + ([f"NOT regexp_matches(title, {_q(unless)})"] if unless else [])) + f" THEN {made(label + mark, 0, 'none')}")
     out = f"CASE {' '.join(cases)} ELSE {made(label, weight, family)} END" if cases else made(label, weight, family)
     return f"CASE WHEN regexp_matches(title, {_q(pattern)}) THEN {out} END"
 
 
 _FILINGS = f"""f AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_suppkey AS code, CASE WHEN l_suppkey % 9 = 0 THEN '*ST' ELSE 'Co' END || l_suppkey AS company, CAST(l_shipdate AS DATE) AS date,
-  {_pick_sql(TITLES, '(l_partkey * 3 + l_linenumber)')} AS title, l_discount * 300 AS share_pct FROM lineitem),
+  {_pick_sql(BEFORE, 'l_suppkey')} || {_pick_sql(TITLES, '(l_partkey * 3 + l_linenumber)')} || {_pick_sql(AFTER, 'l_orderkey')} AS title, l_discount * 300 AS share_pct FROM lineitem),
 h AS (SELECT *, list_filter([{', '.join(_hit_sql(i, *s) for i, s in enumerate(a.SIGNALS))}], lambda x: x IS NOT NULL) AS hs FROM f)"""
 
 
