@@ -113,3 +113,24 @@ def test_credit_spreads_equal_loops(spark, sf_dir):
         premium, protection = legs((low + high) / 2)
         if r["spread_bp"] > 1e-3:
             assert r["spread_bp"] == pytest.approx(protection / premium * 1e4, rel=1e-6) and r["publishable"]
+
+
+def test_roots_take_few_steps_and_equal_terms_one(monkeypatch):
+    steps, solved, exp = [], [], np.exp
+    monkeypatch.setattr(credit.np, "exp", lambda x: steps.append(x.size) or exp(x))
+    rng = np.random.default_rng(8)
+    terms = pd.DataFrame({"price": rng.uniform(90, 101, 50).round(1), "coupon": 0.01, "years": 5.0})
+    frame = pd.concat([terms] * 40, ignore_index=True)
+    spread = credit.by_terms(frame, lambda *x: solved.append(len(x[0])) or (credit.spread_from_price(*x, CURVE),), 1)[0]
+    assert sum(solved) == len(terms.drop_duplicates()) and sum(steps) < 20 * 20 * 50
+    assert spread.tolist() == credit.spread_from_price(*(frame[c].to_numpy() for c in frame), CURVE).tolist()
+
+
+def test_roots_beyond_the_bounds_end_there():
+    one = lambda *x: credit.spread_from_price(*(np.array([v]) for v in x), CURVE)[0]
+    assert one(150.0, 0.01, 5.0) == 0.0 and one(1.0, 0.01, 5.0) == pytest.approx(one(1e-9, 0.01, 5.0)) and np.isfinite(one(1e-9, 0.01, 5.0))
+    # with a coupon below 0 as with others: the same as by halving
+    got = credit.implied_spread(np.array([-100.0, 100.0]), np.array([-0.0316, 0.02]), np.array([3.39, 5.0]), np.array([np.nan, np.nan]))
+    for g, c, u, y in zip(got, (-100.0, 100.0), (-0.0316, 0.02), (3.39, 5.0)):
+        both = [slow_spread(c, u, y, s) for s in (-1, 1)]
+        assert g == pytest.approx(next(x for x in both if x is not None and x >= 0), rel=1e-9)
