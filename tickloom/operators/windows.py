@@ -6,8 +6,9 @@ only the recursive averages need their series in one task's memory.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,8 +26,12 @@ def sma(value: str | Column, n: int, w) -> Column:
 
 
 def lags(value: Column, n: int, w) -> list[Column]:
-    """The value n-1 .. 0 rows ago."""
-    return [F.lag(value, i).over(w) for i in range(n - 1, 0, -1)] + [value]
+    """The value n-1 .. 0 rows ago. `w` is a window, or a function of how many rows ago, for values that rows hold already."""
+    return [ago(value, i, w) for i in range(n - 1, 0, -1)] + [value]
+
+
+def ago(value: Column, i: int, w) -> Column:
+    return value if i == 0 else w(i) if callable(w) else F.lag(value, i).over(w)
 
 
 def gt(left: Column, right: Column, strict: bool = True) -> Column:
@@ -56,8 +61,7 @@ def crossed_down(hist: Column, lookback: int, w) -> Column:
     """A change from positive to negative at any of the last `lookback` steps."""
     out = F.lit(False)
     for i in range(lookback):
-        now = hist if i == 0 else F.lag(hist, i).over(w)
-        out = out | F.coalesce((F.lag(hist, i + 1).over(w) > 0) & (now < 0), F.lit(False))
+        out = out | F.coalesce((ago(hist, i + 1, w) > 0) & (ago(hist, i, w) < 0), F.lit(False))
     return out
 
 
@@ -104,17 +108,44 @@ def percentile_rank(value: Column, w) -> Column:
     return F.when(value.isNotNull(), 100.0 * F.count(value).over(w.rangeBetween(Window.unboundedPreceding, 0)) / present)
 
 
-def macd(bars: DataFrame, key: str = "code", order: str = "date", value: str = "close", spans: tuple[int, int, int] = (12, 26, 9), bar_factor: float = 1.0) -> DataFrame:
-    """key, order, value, dif, dea, hist by recursive averages seeded at the first value."""
+def whole_keys(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
+    """Frames of rows sorted by a key, cut anew so that each holds all rows of its keys: many small keys, or one large."""
+    kept: list[pd.DataFrame] = []
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        k = pdf[key]
+        starts = np.flatnonzero((k.ne(k.shift()) & ~(k.isna() & k.shift().isna())).to_numpy()[1:]) + 1
+        first = kept[-1][key].iloc[-1] if kept else None
+        fresh = bool(kept) and not (first == k.iloc[0] or pd.isna(first) and pd.isna(k.iloc[0]))
+        cut = int(starts[-1]) if len(starts) else 0
+        if fresh or cut:
+            done = [*kept, pdf.iloc[:cut]]
+            yield pd.concat([x for x in done if len(x)], ignore_index=True)
+            kept = []
+        kept.append(pdf.iloc[cut:])
+    if kept:
+        yield pd.concat(kept, ignore_index=True)
+
+
+def macd(
+    bars: DataFrame, key: str = "code", order: str = "date", value: str = "close", spans: tuple[int, int, int] = (12, 26, 9), bar_factor: float = 1.0, beside: Sequence[str] = ()
+) -> DataFrame:
+    """key, order, value, dif, dea, hist by recursive averages seeded at the first value (W1, W2), and the columns `beside`.
+
+    A task runs over its keys one after another in one sorted stream, the short series of a batch all together.
+    """
     fast, slow, signal = spans
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        x = pdf[value]
-        dif = x.ewm(span=fast, adjust=False).mean() - x.ewm(span=slow, adjust=False).mean()
-        dea = dif.ewm(span=signal, adjust=False).mean()
-        return pdf.assign(dif=dif, dea=dea, hist=(dif - dea) * bar_factor)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in whole_keys(batches, key):
+            of = pdf.groupby(key, sort=False, dropna=False).ngroup().to_numpy()  # rows of a key stand together, so results keep their order
+            mean = lambda x, span: x.groupby(of).ewm(span=span, adjust=False).mean().to_numpy()
+            dif = pd.Series(mean(pdf[value], fast) - mean(pdf[value], slow))
+            dea = mean(dif, signal)
+            yield pdf.assign(dif=dif.to_numpy(), dea=dea, hist=(dif.to_numpy() - dea) * bar_factor)
 
     kinds = {f.name: f.dataType.simpleString() for f in bars.schema}
-    schema = f"{key} {kinds[key]}, {order} {kinds[order]}, {value} double, dif double, dea double, hist double"
-    return bars.select(key, order, value).where(F.col(value).isNotNull()).groupBy(key).applyInPandas(run, schema)
+    schema = f"{key} {kinds[key]}, {order} {kinds[order]}, {value} double, {''.join(f'{c} {kinds[c]}, ' for c in beside)}dif double, dea double, hist double"
+    rows = bars.select(key, order, value, *beside).where(F.col(value).isNotNull())
+    return rows.repartition(key).sortWithinPartitions(key, order).mapInPandas(run, schema)
