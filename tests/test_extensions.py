@@ -46,3 +46,11 @@ def test_bars_of_texts(session):
     session.createDataFrame([(1, body), (2, None), (3, "")], "id int, body string").createOrReplaceTempView("texts")
     rows = session.sql("SELECT id, b.* FROM texts, LATERAL bars_of(body) b ORDER BY at").collect()
     assert [tuple(r) for r in rows] == [(1, 0, dt.date(2024, 1, 2), 1.0, 3.0, 0.5, 2.0, 100.0), (1, 5, dt.date(2024, 1, 4), 2.0, 4.0, 1.0, 3.0, 7.0)]
+
+
+def test_bars_of_many_short_texts_come_without_a_table_for_each(session):
+    texts = session.range(50).selectExpr("id", "concat('2024-01-02,1,2,3,0.5,', id) AS body")
+    texts.createOrReplaceTempView("short_texts")
+    found = session.sql("SELECT id, b.volume FROM short_texts, LATERAL bars_of(body) b")
+    assert {r["id"]: r["volume"] for r in found.collect()} == {i: float(i) for i in range(50)}
+    assert "ArrowEvalPythonUDTF" not in found._jdf.queryExecution().executedPlan().toString()

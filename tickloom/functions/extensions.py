@@ -1,7 +1,7 @@
 """What a session may call by name from SQL: scalar functions, rule tables, an aggregate, a table function (M9).
 
 What SQL can say becomes a SQL function, which Spark inlines into the plan; only the aggregate and the table
-function run in Python, on Arrow batches. Register once for each session; a name that is there is replaced.
+function run in Python, the aggregate on Arrow batches. Register once for each session; a name that is there is replaced.
 """
 
 from __future__ import annotations
@@ -78,7 +78,8 @@ class _BarsOf:
             yield at, day, first, high, low, last, volume
 
 
-bars_of = F.udtf(_BarsOf, returnType=_BARS, useArrow=True)
+# rows are pickled in batches: by Arrow each call's few rows would be a table of their own, at five times the time
+bars_of = F.udtf(_BarsOf, returnType=_BARS, useArrow=False)
 
 
 def register(spark: SparkSession) -> list[str]:
