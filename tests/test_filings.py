@@ -69,3 +69,10 @@ def test_rule_tables_of_a_text(spark):
     assert scored(spark, [("出售完毕", ""), ("出售一半", ""), ("卖", None)], signals=tuple(signals)) == [([], 0), (["甲减持"], -4), (["甲减持"], -4)]
     assert spark.range(1).select(a.neutral(F.lit("董事会决议更正"), tuple(neutral)).alias("r")).first()["r"] == "会"
     assert a.rule_tables("") == ([], [])
+
+
+def test_filings_are_looked_through_once(spark, sf_dir):
+    from tickloom.plans import announcements as plans
+
+    plan = plans.filing_suppression(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1

@@ -8,7 +8,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tickloom.operators import announcements as a
-from tickloom.operators import merging
 from tickloom.plans.headlines import _pick_sql, _q
 from tickloom.plans.register import query
 from tickloom.sources import tables as t
@@ -95,10 +94,12 @@ SELECT code, date, CASE WHEN top IS NOT NULL AND NOT (good_kind = '新药' AND b
 def filing_suppression(spark, sf_dir):
     """A company's best and worst filing of a day; approvals give way to anything bad, sales by holders to anything good."""
     rows = _scored(spark, sf_dir).where("reason is null")
-    good = merging.pick(rows.where("score > 0"), ["code", "date"], [F.col("score").desc(), F.col("id")]).select("code", "date", F.col("id").alias("g"), F.col("kind").alias("gk"))
-    bad = merging.pick(rows.where("score < 0"), ["code", "date"], [F.col("score"), F.col("id")]).select("code", "date", F.col("id").alias("b"), F.col("kind").alias("bk"))
-    both = rows.select("code", "date").distinct().join(good, ["code", "date"], "left").join(bad, ["code", "date"], "left")
-    return both.select("code", "date", F.when(~((F.col("gk") == "新药") & F.col("b").isNotNull()), F.col("g")).alias("good_id"), F.when(~((F.col("bk") == "减持") & F.col("g").isNotNull()), F.col("b")).alias("bad_id"))
+    score = F.col("score")
+    first = lambda test, size: F.min(F.when(test, F.struct((-size).alias("size"), F.col("id"), F.col("kind"))))
+    both = rows.groupBy("code", "date").agg(first(score > 0, score).alias("good"), first(score < 0, -score).alias("bad"))
+    good = F.when(~((F.col("good.kind") == "新药") & F.col("bad").isNotNull()), F.col("good.id"))
+    bad = F.when(~((F.col("bad.kind") == "减持") & F.col("good").isNotNull()), F.col("bad.id"))
+    return both.select("code", "date", good.alias("good_id"), bad.alias("bad_id"))
 
 
 #: (label, score, pattern) of risks; the lowest score is the result.
