@@ -154,3 +154,10 @@ def test_counts_of_deliveries_meet_without_a_join_or_distinct_codes(spark, sf_di
 
     plan = bulk.cross_section_counts(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "distinct" not in plan.lower() and "LeftOuter" not in plan and "Expand" not in plan
+
+
+def test_runs_and_prices_move_once(spark, sf_dir):
+    from tickloom.plans import dashboard
+
+    plan = dashboard.costed_runs(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.operators import merging
-
 TIERS = ("context_tier", "service_tier")
 #: Stands for a tier that a run doesn't state.
 ANY = "*"
@@ -22,14 +20,21 @@ def attach(runs: DataFrame, prices: DataFrame) -> DataFrame:
     count. Status: tokens_unavailable (a count lacks, is negative or not finite), price_unavailable (no such price,
     or one whose rates or currency are no good), ready. Costs are rounded to twelve places.
     """
-    keys = ["model", *TIERS]
-    usable = prices.where("unit = 'per_million_tokens' AND as_of IS NOT NULL AND model IS NOT NULL")
-    for tier in TIERS:
-        usable = usable.withColumn(tier, F.explode(F.array(F.coalesce(F.nullif(tier, F.lit("")), F.lit("standard")), F.lit(ANY))))
     rates = ["input_rate", "cached_rate", "output_rate"]
-    usable = merging.pick(usable, [*keys, "as_of"], [F.col(c) for c in ("seq", *rates)])
+    named = {tier: F.coalesce(F.nullif(tier, F.lit("")), F.lit("standard")) for tier in TIERS}
+    usable = prices.where("unit = 'per_million_tokens' AND as_of IS NOT NULL AND model IS NOT NULL").withColumns(named)
+    seen = F.struct(F.col("as_of").alias("price_as_of"), *rates, "currency").alias("__hit")
+    usable = usable.select("model", *TIERS, F.col("as_of").alias("__at"), F.lit(1).alias("__side"), F.col("seq").alias("__seq"), seen)
     asking = runs.withColumns({f"__{tier}": F.col(tier) for tier in TIERS}).withColumns({tier: F.coalesce(F.nullif(tier, F.lit("")), F.lit(ANY)) for tier in TIERS})
-    met = merging.as_of(asking, usable.withColumnRenamed("as_of", "price_as_of"), keys, "run_day", "price_as_of", [*rates, "currency"])
+    asking = asking.withColumn("__at", F.col("run_day")).withColumn("__side", F.lit(2))
+    # runs and prices move once, by model; the four ways to ask are made where the model's rows are
+    both = asking.unionByName(usable, allowMissingColumns=True).repartition("model")
+    for tier in TIERS:
+        both = both.withColumn(tier, F.explode(F.when(F.col("__side") == 1, F.array(tier, F.lit(ANY))).otherwise(F.array(tier))))
+    order = ["__at", "__side", F.col("__seq").desc(), *[F.col(f"__hit.{c}").desc() for c in rates]]  # of one day's prices the first comes last
+    w = Window.partitionBy("model", *TIERS).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    met = both.withColumn("__last", F.last("__hit", ignorenulls=True).over(w)).where("__side = 2")
+    met = met.select(*asking.columns, *[F.col(f"__last.{c}") for c in ("price_as_of", *rates, "currency")])
     good = lambda c: F.coalesce((F.col(c) >= 0) & (F.col(c) < float("inf")), F.lit(False))
     known = good("input_tokens") & good("cached_tokens") & good("output_tokens")
     priced = good("input_rate") & good("cached_rate") & good("output_rate") & F.coalesce(F.upper(F.trim("currency")).rlike("^[A-Z]{3}$"), F.lit(False))
