@@ -1,8 +1,12 @@
 """Placement texts in odd wordings."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
+from tickloom.functions import rules
 from tickloom.operators import placements as p
 
 
@@ -81,3 +85,15 @@ def test_scores(spark):
     got = rows.select(found.alias("s"), p.score(found).alias("n")).collect()
     assert [(x.label, x.weight) for x in got[0].s] == [("定增投向主业扩产", 7), ("定增严重稀释", -5), ("定增内部人认购", 3), ("定增大幅折价", -3), ("定增高位发行", -2)]
     assert [r.n for r in got] == [0, 0, -2]
+
+
+def test_patterns_are_tried_only_where_their_words_stand(spark):
+    patterns = [*p.INTERNAL, *p.FINANCIAL, *p.UNDECIDED, p.NAMED, *p.LOCKUP, p.FIXED_PRICE, p.FLOOR_PRICE, *p.DILUTION, p.SHARES_ISSUED, p.SHARES_BEFORE, p.DIRECT_SHARE, p.EXPANSION, p.CORE_BUSINESS, p._either(p.DEBTS)]
+    assert all(rules._needed(x) for x in patterns)
+    assert rules._needed(r"a\x41b") is None and rules._needed("(?i)ab") is None and rules._needed(r"ab{0,2}c\.d") == (["a"], False)
+    rng = random.Random(12)
+    words = sorted({w for x in patterns for w in re.findall(r"[一-鿿]+", x)}) + ["18", "30%", " ", "。", "百分之", "个月", "20.5 %", "3,000万股", "元", "归还银行借款"]
+    texts = spark.createDataFrame([("".join(rng.choices(words, k=rng.randint(0, 9))),) for _ in range(400)], "s string")
+    wrong = [F.count_if(rules.found(F.col("s"), x) != F.col("s").rlike(x)).alias(str(i)) for i, x in enumerate([*patterns, "|".join(p.DEBTS)])]
+    wrong.append(F.count_if(F.col("s").rlike(p._either(p.DEBTS)) != F.col("s").rlike("|".join(p.DEBTS))).alias("either"))
+    assert not any(texts.agg(*wrong).first())

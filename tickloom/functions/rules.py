@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
@@ -16,10 +17,11 @@ _SPECIAL = "\\.+*?()[]{}|^$"
 
 def _needed(pattern: str) -> tuple[list[str], bool] | None:
     """Words of which a match must hold one, and whether holding one is all that the pattern asks; None if it isn't plain to see."""
-    if pattern.startswith("(?"):
+    # flags, and escapes that stand for letters, are left to the pattern
+    if re.search(r"\(\?[a-zA-Z-]|\\(?![sdwSDW]|[^a-zA-Z0-9])", pattern):
         return None
     words, word, runs, depth, exact = [], "", [], 0, True
-    for i, x in enumerate(pattern + "|"):
+    for x in re.sub(r"\\.", ".", pattern, flags=re.DOTALL) + "|":  # an escape is any one sign here
         if depth == 0 and x == "|":
             best = max([*runs, word], key=len)
             if not best:
@@ -27,11 +29,9 @@ def _needed(pattern: str) -> tuple[list[str], bool] | None:
             words.append(best)
             word, runs = "", []
             continue
-        depth += (x in "([") - (x in ")]")
+        depth += (x in "([{") - (x in ")]}")
         if x in _SPECIAL or depth:
-            if x == "\\" or x in "{}":  # escapes and counts: left to the pattern
-                return None
-            runs.append(word[:-1] if x in "*?" else word)
+            runs.append(word[:-1] if x in "*?{" else word)
             word, exact = "", False
         else:
             word += x

@@ -6,9 +6,12 @@ the task that holds it; a text without a fact gives null, never 0.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tickloom.functions import rules
 from tickloom.functions import text as tx
 
 # Titles of plans, and of the papers beside them.
@@ -65,21 +68,30 @@ def ten_thousands(amount: Column) -> Column:
     return _number(amount) * F.when(amount.endswith("亿元"), 1e4).when(amount.endswith("万元"), 1.0).otherwise(1e-4)
 
 
-def _sums(text: Column, pattern: str) -> Column:
+def _sums(text: Column, pattern: str, words: str) -> Column:
+    """The sums that a pattern gives, which is tried only where what all its matches hold stands."""
     found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), ten_thousands)
-    return F.filter(found, lambda x: x > 0)
+    return F.when(rules.found(text, words), F.filter(found, lambda x: x > 0)).otherwise(F.array().cast("array<double>"))
 
 
 def near_purpose(text: Column, purpose: str) -> Column:
     """The largest sum that stands before or after a purpose within its clause."""
     before, after = rf"{SUM}[^,，;；。]{{0,45}}?(?:{purpose})", rf"(?:{purpose})[^,，;；。]{{0,55}}?{SUM}"
-    return F.array_max(F.concat(_sums(text, before), _sums(text, after)))
+    return F.array_max(F.concat(_sums(text, before, purpose), _sums(text, after, purpose)))
+
+
+def _either(words: list[str]) -> str:
+    """A pattern for any of the words, none of which begins another: those that begin alike are told apart behind their beginning."""
+    tails: dict[str, list[str]] = {}
+    for w in words:
+        tails.setdefault(w[:2], []).append(w[2:])
+    return "|".join(f"{head}(?:{'|'.join(rest)})" for head, rest in tails.items())
 
 
 def total_raised(text: Column) -> Column:
     """The largest sum raised; one that is used, put or meant for something is a part and doesn't count."""
     pattern = rf"(?s)(?=募集资金)(?<!(?:使用|投入|用于).{{0,12}})募集资金(?:总额)?\s*(?:预计)?\s*(?:不超过|不高于|上限(?:为)?|为)?\s*(?:人民币)?\s*{SUM}"
-    return F.array_max(_sums(text, pattern))
+    return F.array_max(_sums(text, pattern, "募集资金"))
 
 
 def project_sums(text: Column) -> Column:
@@ -88,7 +100,7 @@ def project_sums(text: Column) -> Column:
     behind = "|".join(f"{w}.{{0,{NEAR - len(w)}}}" for w in words)
     ahead = "|".join(f".{{0,{NEAR - len(w)}}}{w}" for w in words)
     pattern = rf"(?s)(?=拟[使投])(?<!{behind})拟(?:使用|投入)(?:本次)?募集资金(?:金额|额)?\s*{SUM}(?!{ahead})"
-    return F.array_distinct(F.transform(_sums(text, pattern), lambda x: F.round(x, 4)))
+    return F.array_distinct(F.transform(_sums(text, pattern, "拟使用|拟投入"), lambda x: F.round(x, 4)))
 
 
 def projects_together(found: Column, total: Column) -> Column:
@@ -109,7 +121,7 @@ def numeral(c: Column) -> Column:
 
 def _first(text: Column, patterns: list[str]) -> Column:
     """What the first pattern that is found gives, even if it is no number."""
-    return F.coalesce(*[F.when(text.rlike(p), F.regexp_extract(text, p, 1)) for p in patterns])
+    return F.coalesce(*[F.when(rules.found(text, p), F.regexp_extract(text, p, 1)) for p in patterns])
 
 
 def dilution_pct(stated: Column, issued: Column, before: Column) -> Column:
@@ -119,7 +131,7 @@ def dilution_pct(stated: Column, issued: Column, before: Column) -> Column:
 
 
 def _any(text: Column, patterns: list[str]) -> Column:
-    return text.rlike("|".join(f"(?:{p})" for p in patterns))
+    return functools.reduce(Column.__or__, [rules.found(text, p) for p in patterns])
 
 
 def metrics(text: Column, current_price: Column) -> Column:
@@ -129,39 +141,43 @@ def metrics(text: Column, current_price: Column) -> Column:
     dilution_pct, lockup_months, pricing (fixed, auction_floor, unknown), price, floor_ratio, price_ratio (over the
     current price), flags, and what is known of investors (null: nothing).
     """
-    flow_words, debt_words = "|".join(LIQUIDITY), "|".join(DEBTS)
+    flow_words, debt_words = "|".join(LIQUIDITY), _either(DEBTS)
+    has = lambda p: rules.found(text, p)
     found = F.struct(
         total_raised(text).alias("total"),
         near_purpose(text, flow_words).alias("flow"),
         near_purpose(text, debt_words).alias("debt"),
         near_purpose(text, rf"(?:{flow_words})(?:及|与|和)(?:{debt_words})").alias("both"),
-        (text.rlike(debt_words) & text.rlike(HIGH_INTEREST) & text.rlike(SAVES_INTEREST)).alias("costly"),
-        text.rlike(EXPANSION).alias("expansion"),
-        text.rlike(f"{flow_words}|{debt_words}").alias("purposes"),
-        (F.when(text.rlike(DIRECT_SHARE), F.regexp_extract(text, DIRECT_SHARE, 1).try_cast("double")) / 100).alias("direct"),
-        F.when(text.rlike(FIXED_PRICE), _number(F.regexp_extract(text, FIXED_PRICE, 1))).alias("price"),
-        F.regexp_replace(F.when(text.rlike(FLOOR_PRICE), F.regexp_extract(text, FLOOR_PRICE, 1)), r"百分之|\s*%", "").alias("floor"),
+        (has(HIGH_INTEREST) & has(SAVES_INTEREST) & has(debt_words)).alias("costly"),
+        has(EXPANSION).alias("expansion"),
+        (has(flow_words) | has(debt_words)).alias("purposes"),
+        (F.when(has(DIRECT_SHARE), F.regexp_extract(text, DIRECT_SHARE, 1).try_cast("double")) / 100).alias("direct"),
+        F.when(has(FIXED_PRICE), _number(F.regexp_extract(text, FIXED_PRICE, 1))).alias("price"),
+        F.regexp_replace(F.when(has(FLOOR_PRICE), F.regexp_extract(text, FLOOR_PRICE, 1)), r"百分之|\s*%", "").alias("floor"),
         _any(text, INTERNAL).alias("internal"),
-        _any(text, STRATEGIC).alias("strategic"),
+        (has("认购|引入") & _any(text, STRATEGIC)).alias("strategic"),
         _any(text, FINANCIAL).alias("financial"),
         _any(text, UNDECIDED).alias("undecided"),
-        text.rlike(NAMED).alias("named"),
+        has(NAMED).alias("named"),
         project_sums(text).alias("parts"),
         _first(text, DILUTION).alias("stated"),
         _first(text, [SHARES_ISSUED]).alias("issued"),
         _first(text, [SHARES_BEFORE]).alias("before"),
         _first(text, LOCKUP).alias("lockup"),
-        text.rlike(HIGH_GROWTH).alias("growth"),
-        text.rlike(CORE_BUSINESS).alias("core"),
+        has(HIGH_GROWTH).alias("growth"),
+        has(CORE_BUSINESS).alias("core"),
         (text != "").alias("has_text"),
     )
 
-    def derive(f: Column) -> Column:
+    def sums(f: Column) -> Column:
         ordinary_debt = F.when(f["costly"], 0.0).otherwise(F.coalesce(f["debt"], F.lit(0.0)))
         ordinary = F.coalesce(f["both"], F.coalesce(f["flow"], F.lit(0.0)) + ordinary_debt)
         stated = projects_together(f["parts"], f["total"])
         rest = F.when(f["total"].isNotNull() & (ordinary > 0) & f["expansion"], F.greatest(F.lit(0.0), f["total"] - ordinary))
-        projects = F.coalesce(stated, rest, f["total"] * f["direct"])
+        return F.struct(f.alias("f"), ordinary.alias("ordinary"), F.coalesce(stated, rest, f["total"] * f["direct"]).alias("projects"), (numeral(f["floor"]) / 100).alias("floor_ratio"))
+
+    def derive(s: Column) -> Column:
+        f, ordinary, projects, floor_ratio = s["f"], s["ordinary"], s["projects"], s["floor_ratio"]
         share = lambda x: F.least(F.lit(1.0), F.greatest(F.lit(0.0), x / f["total"]))
         known = F.when(f["undecided"], False).when(f["internal"] | f["strategic"] | f["financial"] | f["named"], True)
         return F.struct(
@@ -175,9 +191,9 @@ def metrics(text: Column, current_price: Column) -> Column:
             F.coalesce(f["direct"], F.when(f["total"] > 0, F.when(projects.isNotNull(), share(projects)))).alias("project_ratio"),
             dilution_pct(f["stated"], f["issued"], f["before"]).alias("dilution_pct"),
             F.floor(numeral(f["lockup"])).cast("int").alias("lockup_months"),
-            F.when(f["price"].isNotNull(), "fixed").when(numeral(f["floor"]).isNotNull(), "auction_floor").otherwise("unknown").alias("pricing"),
+            F.when(f["price"].isNotNull(), "fixed").when(floor_ratio.isNotNull(), "auction_floor").otherwise("unknown").alias("pricing"),
             f["price"].alias("price"),
-            (numeral(f["floor"]) / 100).alias("floor_ratio"),
+            floor_ratio.alias("floor_ratio"),
             F.when(current_price > 0, f["price"] / current_price).alias("price_ratio"),
             f["growth"].alias("high_growth"),
             f["expansion"].alias("expansion"),
@@ -190,7 +206,7 @@ def metrics(text: Column, current_price: Column) -> Column:
         )
 
     # what the text holds is looked for once, and worked out from there: a lambda's own parts would be looked for at each use
-    return F.transform(F.array(found), derive)[0]
+    return rules.once(rules.once(found, sums), derive)
 
 
 def signals(m: Column, over_average: Column, place_60d: Column) -> Column:
