@@ -62,6 +62,18 @@ def test_priority_fair_selection(spark, seed):
     assert ranking.priority_fair(frame.limit(0), "queue", "value", "id", "weight", "url", "title", 2).count() == 0
 
 
+
+def test_priority_fair_goes_over_ranges(spark, monkeypatch):
+    read = []
+    went = ranking._fair_range
+    monkeypatch.setattr(ranking, "_fair_range", lambda *a: read.append(a) or went(*a))
+    monkeypatch.setattr(ranking, "RANGE_ROWS", 15)
+    rng = random.Random(8)
+    rows = [{"id": i, "queue": rng.randint(0, 40), "value": float(rng.randint(0, 30)), "weight": rng.choice([500, 700, 1000]), "url": rng.choice([None, "", *map(str, range(30))]), "title": rng.choice([None, *map(str, range(40))])} for i in range(300)]
+    frame = spark.createDataFrame([(r["id"], r["queue"], r["value"], r["weight"], r["url"], r["title"]) for r in rows], "id long, queue int, value double, weight int, url string, title string")
+    out = ranking.priority_fair(frame, "queue", "value", "id", "weight", "url", "title", 2, first=3).collect()
+    assert {r.id for r in out} == plain_fair(rows, 2) and len(read) == 7
+
 def test_costs_take_the_tiers_that_runs_state(spark):
     day = lambda n: DAY + dt.timedelta(n)
     price = "seq long, model string, context_tier string, service_tier string, as_of date, input_rate double, cached_rate double, output_rate double, currency string, unit string"

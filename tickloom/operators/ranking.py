@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
+import pickle
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.sources import scratch
+
 
 def top_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, rank: str = "rank") -> DataFrame:
     """The first n rows of each group with their rank; Spark drops the others before the shuffle."""
@@ -43,6 +47,10 @@ def round_robin(df: DataFrame, queue: str, order: Sequence[Column], quota: int)
     return df.withColumn("place", place.cast("long")).where(F.col("place") <= quota)
 
 
+#: Rows of a range in `priority_fair`, for each of its `first`.
+RANGE_ROWS = 10_000
+
+
 def priority_fair(df: DataFrame, queue: str, score: str, seq: str, weight: str, url: str, title: str, quota: int, first: int = 32) -> DataFrame:
     """What fair selection takes from queues: best heads first, at most `quota` of a queue, one of each url and title.
 
@@ -50,62 +58,86 @@ def priority_fair(df: DataFrame, queue: str, score: str, seq: str, weight: str,
     shares url or title with one taken replaces the first such one if its queue (its best row's `weight`) is heavier
     than that row, and is dropped otherwise; null and empty urls or titles are alike too. `place` orders the result.
 
-    Only the `first` best rows of each queue are looked at, and four times as many each time a queue ran out of them
-    while it was open: one task sees a few rows for each queue, never all rows.
+    The selection is sequential, so rows are written in ranges of the order, of about `first` times RANGE_ROWS each, and
+    one task goes over a range at a time: it holds a range and what is taken so far, which is the result, never all rows.
     """
     w = Window.partitionBy(queue).orderBy(F.col(score).desc(), seq)
     ranked = df.withColumn("__turn", F.row_number().over(w)).withColumn("__heavy", F.first(weight).over(w))
     names = [queue, "__turn", "__heavy", score, seq, weight, url, title]
     kinds = dict(df.dtypes)
+    spark = df.sparkSession
+    size = df.agg(F.count(F.lit(1)).alias("n"), F.max(weight).alias("top")).first()
+    n = max(1, -(-size["n"] // (first * RANGE_ROWS)))
+    path = f"{scratch.folder(spark)}/fair"
+    order = [F.col(score).desc(), F.col(queue), F.col(seq)]
+    line = ranked.select(*names).repartitionByRange(n, *order).withColumn("__range", F.spark_partition_id())
+    line.write.partitionBy("__range").parquet(path)
+    line = spark.read.schema(line.schema).parquet(path)
+
+    taken: dict = {}
+    slots: list = []
+    for k in range(n):
+        held = spark.sparkContext.broadcast((taken, slots))
+        rows = line.where(F.col("__range") == k).drop("__range").coalesce(1).sortWithinPartitions(*order)
+        state = rows.mapInArrow(_fair_range(names, held, size["top"], quota), "taken binary, slots binary").first()
+        if state is not None:
+            changed, put = pickle.loads(state["taken"]), pickle.loads(state["slots"])
+            taken = taken | changed
+            slots = slots + [None] * (max([*put, -1]) + 1 - len(slots))
+            for slot, row in put.items():
+                slots[slot] = row
+        held.unpersist()
+    keys = spark.createDataFrame([(r[0], r[1]) for r in slots], f"__queue {kinds[queue]}, __at int")
+    out = ranked.join(F.broadcast(keys), ranked[queue].eqNullSafe(keys["__queue"]) & (ranked["__turn"] == keys["__at"]), "left_semi").select(*df.columns)
+    return out.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long"))
+
+
+def _fair_range(names: Sequence[str], held, top, quota: int):
+    """Goes on with fair selection over one sorted range; gives the queues and slots that changed."""
 
     def select(batches):
         import pyarrow as pa
-
-        taken: dict = {}
-        seen: dict = {}
-        slots: list = []
-        holders: dict = {"u": {}, "t": {}}
-
-        def put(slot: int, row: tuple, on: bool) -> None:
-            for kind, key in (("u", row[6] or ""), ("t", row[7] or "")):
-                held = holders[kind].setdefault(key, set())
-                held.add(slot) if on else held.discard(slot)
-
+        import pyarrow.compute as pc
+
+        taken, slots = dict(held.value[0]), list(held.value[1])
+        changed, put = {}, {}
+        holders: tuple[dict, dict] = ({}, {})
+
+        def hold(slot: int, row: tuple, on: bool) -> None:
+            for by, key in zip(holders, (row[6] or "", row[7] or "")):
+                at = by.setdefault(key, set())
+                at.add(slot) if on else at.discard(slot)
+
+        for slot, row in enumerate(slots):
+            hold(slot, row, True)
+        # no queue is heavier than the slots of the largest weight: as long as none before them may change, rows alike go, whatever comes
+        dead = list(itertools.takewhile(lambda r: r[5] == top, slots))
+        dead = [pa.array(sorted({r[i] or "" for r in dead}), pa.string()) for i in (6, 7)]
+        seen = 0
         for batch in batches:
+            seen += batch.num_rows
+            alike = [pc.is_in(pc.fill_null(batch.column(c).cast(pa.string()), ""), value_set=keys) for c, keys in zip(names[6:], dead)]
+            batch = batch.filter(pc.invert(pc.or_(*alike)))
             for row in zip(*(batch.column(c).to_pylist() for c in names)):
                 q = row[0]
-                seen[q] = max(seen.get(q, 0), row[1])
                 if taken.get(q, 0) >= quota:
                     continue
-                alike = holders["u"].get(row[6] or "", set()) | holders["t"].get(row[7] or "", set())
+                alike = holders[0].get(row[6] or "", set()) | holders[1].get(row[7] or "", set())
+                slot = min(alike, default=len(slots))
                 if alike:
-                    slot = min(alike)
                     if row[2] <= slots[slot][5]:
                         continue
-                    put(slot, slots[slot], False)
+                    hold(slot, slots[slot], False)
                     slots[slot] = row
                 else:
-                    slot = len(slots)
                     slots.append(row)
-                put(slot, row, True)
-                taken[q] = taken.get(q, 0) + 1
-        rows = [(r[0], r[1], False) for r in slots] + [(q, n, True) for q, n in seen.items() if taken.get(q, 0) < quota]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((batch_type, pa.int32(), pa.bool_()))], names=[queue, "__turn", "open"])
-
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    batch_type = to_arrow_type(df.schema[queue].dataType)
-    while True:
-        heads = ranked.where(F.col("__turn") <= first).select(*names)
-        line = heads.repartition(1).sortWithinPartitions(F.col(score).desc(), queue, seq)
-        picked = line.mapInArrow(select, f"{queue} {kinds[queue]}, __turn int, open boolean").collect()  # at most quota rows and one of each queue
-        ran_out = [r for r in picked if r["open"] and r["__turn"] == first]
-        if not ran_out:
-            break
-        first *= 4
-    keys = df.sparkSession.createDataFrame([(r[0], r[1]) for r in picked if not r["open"]], f"{queue} {kinds[queue]}, __turn int")
-    out = ranked.join(keys, [queue, "__turn"], "left_semi").select(*df.columns)
-    return out.withColumn("place", F.row_number().over(Window.orderBy(F.col(score).desc(), queue, seq)).cast("long"))
+                put[slot] = row
+                hold(slot, row, True)
+                changed[q] = taken[q] = taken.get(q, 0) + 1
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(x)], pa.binary()) for x in (changed, put)], names=["taken", "slots"])
+
+    return select
 
 
 def balanced(df: DataFrame, key: str, positive: str, order: Sequence[Column], up: int, down: int, limit: int) -> DataFrame:
