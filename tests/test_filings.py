@@ -4,7 +4,9 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from tickloom.functions import rules
 from tickloom.operators import announcements as a
+from tickloom.plans import announcements as announcement_plans
 
 
 def scored(spark, rows, **tables):
@@ -76,3 +78,18 @@ def test_filings_are_looked_through_once(spark, sf_dir):
 
     plan = plans.filing_suppression(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation [") == 1
+
+
+def test_hits_are_looked_for_once(spark, sf_dir):
+    plan = announcement_plans.filing_adjusted(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" in plan and "Filter (" not in plan  # a filter on the hits would look for them once more
+
+
+def test_alternatives_are_tried_where_all_their_words_stand(spark):
+    patterns = [p for p, _, _ in a.SIGNALS] + [p.removeprefix("@") for must, unless, _, _ in a.NEUTRALISERS for p in [*must, unless] if p] + [a.NO_SELL] + [p for p, _ in a.KINDS]
+    assert rules._needed("重组.*完成|中标") == [(["重组", "完成"], "重组.*完成"), (["中标"], "")] and rules._needed("(甲|乙).*(丙|丁)") is None
+    rng = random.Random(11)
+    words = sorted({w for p in patterns for w in re.findall(r"[一-鿿]+", p)}) + ["5%以上股东", "ST ", "\n"]
+    texts = spark.createDataFrame([("".join(rng.choices(words, k=rng.randint(0, 5))),) for _ in range(400)] + [(None,)], "s string")
+    wrong = [F.count_if(~rules.found(F.col("s"), p).eqNullSafe(F.col("s").rlike(p))).alias(str(i)) for i, p in enumerate(patterns)]
+    assert not any(texts.agg(*wrong).first())

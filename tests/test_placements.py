@@ -90,7 +90,7 @@ def test_scores(spark):
 def test_patterns_are_tried_only_where_their_words_stand(spark):
     patterns = [*p.INTERNAL, *p.FINANCIAL, *p.UNDECIDED, p.NAMED, *p.LOCKUP, p.FIXED_PRICE, p.FLOOR_PRICE, *p.DILUTION, p.SHARES_ISSUED, p.SHARES_BEFORE, p.DIRECT_SHARE, p.EXPANSION, p.CORE_BUSINESS, p._either(p.DEBTS)]
     assert all(rules._needed(x) for x in patterns)
-    assert rules._needed(r"a\x41b") is None and rules._needed("(?i)ab") is None and rules._needed(r"ab{0,2}c\.d") == (["a"], False)
+    assert rules._needed(r"a\x41b") is None and rules._needed("(?i)ab") is None and rules._needed(r"ab{0,2}c\.d|e") == [(["a", "c", "d"], r"ab{0,2}c\.d"), (["e"], "")]
     rng = random.Random(12)
     words = sorted({w for x in patterns for w in re.findall(r"[一-鿿]+", x)}) + ["18", "30%", " ", "。", "百分之", "个月", "20.5 %", "3,000万股", "元", "归还银行借款"]
     texts = spark.createDataFrame([("".join(rng.choices(words, k=rng.randint(0, 9))),) for _ in range(400)], "s string")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Callable, Sequence
 
@@ -15,38 +16,36 @@ Table = Sequence[tuple[str, object]]
 _SPECIAL = "\\.+*?()[]{}|^$"
 
 
-def _needed(pattern: str) -> tuple[list[str], bool] | None:
-    """Words of which a match must hold one, and whether holding one is all that the pattern asks; None if it isn't plain to see."""
+def _needed(pattern: str) -> list[tuple[list[str], str]] | None:
+    """Of each alternative the words that a match must hold, and what is to be tried then ("" if one word is all); None if it isn't plain to see."""
     # flags, and escapes that stand for letters, are left to the pattern
     if re.search(r"\(\?[a-zA-Z-]|\\(?![sdwSDW]|[^a-zA-Z0-9])", pattern):
         return None
-    words, word, runs, depth, exact = [], "", [], 0, True
-    for x in re.sub(r"\\.", ".", pattern, flags=re.DOTALL) + "|":  # an escape is any one sign here
+    out, word, runs, depth, start = [], "", [], 0, 0
+    for i, x in enumerate(re.sub(r"\\.", "..", pattern, flags=re.DOTALL) + "|"):  # an escape is any signs here
         if depth == 0 and x == "|":
-            best = max([*runs, word], key=len)
-            if not best:
+            words = [w for w in dict.fromkeys([*runs, word]) if w]
+            if not words:
                 return None
-            words.append(best)
-            word, runs = "", []
+            out.append((words, pattern[start:i] if runs else ""))
+            word, runs, start = "", [], i + 1
             continue
         depth += (x in "([{") - (x in ")]}")
         if x in _SPECIAL or depth:
             runs.append(word[:-1] if x in "*?{" else word)
-            word, exact = "", False
+            word = ""
         else:
             word += x
-    return (words, exact) if depth == 0 else None
+    return out if depth == 0 else None
 
 
 def found(c: Column, pattern: str) -> Column:
-    """Whether a pattern is found: its plain words are looked for first, and the pattern is tried only where one stands."""
+    """Whether a pattern is found: an alternative's plain words are looked for first, and it is tried only where all of them stand."""
     needed = _needed(pattern)
     if needed is None:
         return c.rlike(pattern)
-    held = F.contains(c, F.lit(needed[0][0]))
-    for word in needed[0][1:]:
-        held = held | F.contains(c, F.lit(word))
-    return held if needed[1] else held & c.rlike(pattern)
+    tests = [functools.reduce(Column.__and__, [F.contains(c, F.lit(w)) for w in words] + ([c.rlike(rest)] if rest else [])) for words, rest in needed]
+    return functools.reduce(Column.__or__, tests)
 
 
 def once(c: Column, make: Callable[[Column], Column]) -> Column:

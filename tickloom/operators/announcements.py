@@ -166,7 +166,7 @@ def by_revenue(found: Column, share_pct: Column) -> Column:
 
 def kind(found: Column) -> Column:
     """Kind of a filing by the labels of its hits, in order."""
-    met = lambda p: F.exists(found, lambda h: h["label"].rlike(p))
+    met = lambda p: F.exists(found, lambda h: rules.found(h["label"], p))
     return F.coalesce(*[F.when(met(p), F.lit(name)) for p, name in KINDS], F.lit("其他"))
 
 

@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tickloom.functions import rules
 from tickloom.operators import announcements as a
 from tickloom.plans.headlines import _pick_sql, _q
 from tickloom.plans.register import query
@@ -82,9 +83,14 @@ _WEIGHT = "CASE WHEN x.label IN ('中标', '重大合同') AND share_pct >= 20 T
 k AS (SELECT id, was_both, list_transform(list_filter(hs, lambda x: NOT (was_both AND x.label = '大股东大额增持')), lambda x: {{'ord': x.ord, 'f': x.f, 'w': {_WEIGHT}}}) AS ks FROM b) SELECT id, {_points('ks')} AS score, was_both FROM k""")
 def filing_adjusted(spark, sf_dir):
     """X11: scores after a holder who manages counts once and income is weighed by its share of the revenue."""
-    rows = _scored(spark, sf_dir).where("n_hits > 0")
-    found = a.by_revenue(a.one_holder(F.col("hits")), F.col("share_pct"))
-    return rows.select("id", a.total(a.counted(found)).alias("score"), (F.size(a.one_holder(F.col("hits"))) < F.size("hits")).alias("was_both"))
+    def made(hits):
+        kept = a.one_holder(hits)
+        return F.struct(F.size(hits).alias("n"), a.total(a.counted(a.by_revenue(kept, F.col("share_pct")))).alias("score"), (F.size(kept) < F.size(hits)).alias("was_both"))
+
+    rows = filings(spark, sf_dir)
+    # a filter on the hits would look for them once more; an array of one row or none is made of them once
+    met = F.filter(F.array(rules.once(a.hits(F.col("title"), F.col("company")), made)), lambda x: x["n"] > 0)
+    return rows.select("id", F.inline(met)).select("id", "score", "was_both")
 
 
 @query(f"""WITH {_SCORES}, g AS (SELECT code, date, max(CASE WHEN score > 0 THEN score END) AS top, min(CASE WHEN score < 0 THEN score END) AS bottom,
