@@ -4,8 +4,10 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tickloom.operators import containment
+from tickloom.plans import evidence
 
 
 @pytest.mark.parametrize("max_sent", [containment.MAX_SENT, 0])
@@ -25,3 +27,13 @@ def test_no_needles_and_no_texts(spark, max_sent):
     texts, needles = spark.createDataFrame([(1, "a")], "id long, text string"), spark.createDataFrame([("a", False)], "needle string, whole boolean")
     assert containment.found_in(texts, needles.limit(0), "id", "text", max_sent).count() == 0
     assert containment.found_in(texts.limit(0), needles, "id", "text", max_sent).count() == 0
+
+
+def test_moves_and_evidence_are_made_once(spark, sf_dir):
+    plan = evidence.attributed_moves(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lag(close") == 1 and plan.count("o_orderstatus") and plan.count("Window [lag(") == 1
+    texts = spark.createDataFrame([(1, "ab"), (2, "ab"), (3, "b"), (4, None)], "id int, s string").select(F.struct("id").alias("about"), "s")
+    needles = spark.createDataFrame([("ab", False), ("b", False)], "needle string, whole boolean")
+    for most in (0, 100):
+        got = sorted((r.id, r.needle) for r in containment.found_in(texts, needles, "about", "s", most).select("about.id", "needle").collect())
+        assert got == [(1, "ab"), (1, "b"), (2, "ab"), (2, "b"), (3, "b")]

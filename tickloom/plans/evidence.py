@@ -63,19 +63,24 @@ def moves(spark, sf_dir):
 
 def _texts_of(spark, sf_dir, needles):
     """id, date, kind, polarity and needle, whole: texts are searched once for all distinct needles."""
-    rows = evidence(spark, sf_dir)
-    return containment.found_in(rows, needles, "id", "text").join(rows.drop("text"), "id")
+    rows = evidence(spark, sf_dir).select(F.struct("id", "date", "kind", "polarity").alias("about"), "text")
+    return containment.found_in(rows, needles, "about", "text").select("about.*", "needle", "whole")  # what is kept of a text goes with it, not into a join
 
 
 _SUPPORTS = "(polarity = 0 OR (polarity > 0) = (pct >= 0))"
 _DIRECT = f"dd AS (SELECT DISTINCT b.code, b.date, ev.id, ev.kind FROM big b JOIN ev ON ev.date = b.date JOIN own ON own.code = b.code AND {_HOLDS} WHERE {_SUPPORTS})"
 
 
-def _directly(spark, sf_dir, rows):
-    """code, date, id, kind of each piece of evidence that names a moved code in its direction, once."""
+def _named(spark, sf_dir):
+    """code, date, id, kind, polarity of each piece of evidence that names a code, once."""
     own = needles_of_companies(spark, sf_dir)
     named = _texts_of(spark, sf_dir, own.select("needle", "whole")).join(own, ["needle", "whole"])
-    met = rows.select("code", "date", "pct").join(named.select("code", "date", "id", "kind", "polarity").distinct(), ["code", "date"])
+    return named.select("code", "date", "id", "kind", "polarity").distinct()
+
+
+def _directly(spark, sf_dir, rows):
+    """code, date, id, kind of each piece of evidence that names a moved code in its direction, once."""
+    met = rows.select("code", "date", "pct").join(_named(spark, sf_dir), ["code", "date"])
     return met.where((F.col("polarity") == 0) | ((F.col("polarity") > 0) == (F.col("pct") >= 0))).select("code", "date", "id", "kind")
 
 
@@ -116,7 +121,10 @@ def attributed_moves(spark, sf_dir):
     """Why a code moved: its own evidence and its kind, its fund's theme, two abnormal peers of the fund, or unknown, with confidence and up to three sources."""
     funds = t.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("code"), F.col("s_nationkey").alias("fund"))
     rows = moves(spark, sf_dir).join(funds, "code")
-    direct = _directly(spark, sf_dir, rows).groupBy("code", "date").agg(F.count(F.lit(1)).alias("direct"), F.min_by("kind", "id").alias("kind"))
+    # both directions of a code's day in one row, so that moves are made and joined once
+    of = lambda test: (F.count_if(test), F.min_by("kind", F.when(test, F.col("id"))))
+    (up, up_kind), (down, down_kind) = of(F.col("polarity") >= 0), of(F.col("polarity") <= 0)
+    direct = _named(spark, sf_dir).groupBy("code", "date").agg(up.alias("own_up"), down.alias("own_down"), up_kind.alias("up_kind"), down_kind.alias("down_kind"))
     # a text that holds several words of a fund counts once; then one row for each fund and day
     words = theme_words(spark, sf_dir).withColumn("whole", F.lit(False))
     texts = _texts_of(spark, sf_dir, words.select("needle", "whole")).join(words, ["needle", "whole"]).select("fund", "date", "id", "polarity").distinct()
@@ -124,10 +132,11 @@ def attributed_moves(spark, sf_dir):
     rows = rows.join(direct, ["code", "date"], "left").join(themed, ["fund", "date"], "left")
     rows = rows.withColumn("abnormal", F.count(F.lit(1)).over(Window.partitionBy("date", "fund")))
     c = F.col
-    themed_n, direct_n = F.coalesce(F.when(c("pct") >= 0, c("up")).otherwise(c("down")), F.lit(0)), F.coalesce("direct", F.lit(0))
+    side = lambda up, down: F.when(c("pct") >= 0, c(up)).otherwise(c(down))
+    themed_n, direct_n, kind = F.coalesce(side("up", "down"), F.lit(0)), F.coalesce(side("own_up", "own_down"), F.lit(0)), side("up_kind", "down_kind")
     reason = F.when(direct_n > 0, "direct").when(themed_n > 0, "theme").when(c("abnormal") >= 2, "peers").otherwise("unknown")
     confidence = F.when(direct_n > 0, "high").when((themed_n > 0) | (c("abnormal") >= 2), "middle").otherwise("low")
-    return rows.select("code", "date", F.round("pct", 6).alias("pct"), reason.alias("reason"), "kind", confidence.alias("confidence"), F.least(direct_n, F.lit(3)).alias("n_sources"))
+    return rows.select("code", "date", F.round("pct", 6).alias("pct"), reason.alias("reason"), kind.alias("kind"), confidence.alias("confidence"), F.least(direct_n, F.lit(3)).alias("n_sources"))
 
 
 _THEMED = f"""{_POS}, s AS (SELECT fund, sum(shares * coalesce(current, cost)) AS now, sum(shares * coalesce(prev, current, cost)) AS before FROM pos GROUP BY 1),
