@@ -37,3 +37,7 @@ def test_moves_and_evidence_are_made_once(spark, sf_dir):
     for most in (0, 100):
         got = sorted((r.id, r.needle) for r in containment.found_in(texts, needles, "about", "s", most).select("about.id", "needle").collect())
         assert got == [(1, "ab"), (1, "b"), (2, "ab"), (2, "b"), (3, "b")]
+
+
+def test_positions_of_related_funds_move_once(spark, sf_dir):
+    assert "l_extendedprice" not in evidence.related_funds(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
